@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revpanel.llm.repeats import strip_repeated_passages, strip_repeated_windows
 from revpanel.llm.simhash import simhash_classes
 
 
@@ -18,5 +19,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that start earlier, by sparse suffix arrays over all documents."""
+    out = strip_repeated_passages(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "starts", "ends")
+
+
+def op9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that start earlier, by Rabin-Karp hashes over all documents."""
+    out = strip_repeated_windows(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op7_suffixes": op7_suffixes, "op9_windows": op9_windows}
 ORACLE: dict[str, str] = {}
