@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revpanel.llm.decontaminate import contamination
 from revpanel.llm.repeats import strip_repeated_passages, strip_repeated_windows
 from revpanel.llm.simhash import simhash_classes
+from revpanel.llm.toxicity import fit_toxicity, held_out, toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of ids that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    scores = toxicity_scores(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in all documents: windows of 13 words, found by winnowing."""
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that start earlier, by sparse suffix arrays over all documents."""
     out = strip_repeated_passages(_table(spark, sf_dir, "documents"))
@@ -31,5 +47,5 @@ def op9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_suffixes": op7_suffixes, "op9_windows": op9_windows}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op7_suffixes": op7_suffixes, "op9_windows": op9_windows}
 ORACLE: dict[str, str] = {}
