@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revpanel.llm.decontaminate import contamination
+from revpanel.llm.mixing import mix_documents
 from revpanel.llm.repeats import strip_repeated_passages, strip_repeated_windows
+from revpanel.llm.sharding import shard_documents
 from revpanel.llm.simhash import simhash_classes
 from revpanel.llm.toxicity import fit_toxicity, held_out, toxicity_scores
 
@@ -35,6 +37,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of their words, sources weighing 5, 2, 1 in turn."""
+    return mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that start earlier, by sparse suffix arrays over all documents."""
     out = strip_repeated_passages(_table(spark, sf_dir, "documents"))
@@ -47,5 +54,12 @@ def op9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op7_suffixes": op7_suffixes, "op9_windows": op9_windows}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards with numbers of rows at most one apart, equal texts together."""
+    out = shard_documents(_table(spark, sf_dir, "documents"))
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op9_windows": op9_windows, "op10_sharding": op10_sharding}
 ORACLE: dict[str, str] = {}
