@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revpanel.llm.decontaminate import contamination
+from revpanel.llm.html import extract_main_text
 from revpanel.llm.mixing import mix_documents
 from revpanel.llm.repeats import strip_repeated_passages, strip_repeated_windows
 from revpanel.llm.sharding import shard_documents
 from revpanel.llm.simhash import simhash_classes
+from revpanel.llm.topk import exact_top_k
 from revpanel.llm.toxicity import fit_toxicity, held_out, toxicity_scores
 
 
@@ -37,6 +39,16 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every vector whose id is divisible by 50, over all vectors."""
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, sources weighing 5, 2, 1 in turn."""
     return mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -61,5 +73,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op9_windows": op9_windows, "op10_sharding": op10_sharding}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_html": op5_html, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op9_windows": op9_windows, "op10_sharding": op10_sharding}
 ORACLE: dict[str, str] = {}
