@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,8 +159,28 @@ def _joined(parts: DataFrame, n_blocks: int, schema: str) -> DataFrame:
     return lists.mapInPandas(run, schema)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that are not contaminated, with all their columns; rows with a null doc_id stay if their text is clean."""
-    found = contamination(docs, benchmark, text=text, doc_id=doc_id)
-    bad = cut(found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("__bad")), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, share: int = 20, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+    """The documents that are not contaminated, with all their columns.
+
+    A benchmark of one block filters the rows where they are; else documents are dropped by their id and text.
+    """
+    n_blocks, bench = _blocks(benchmark, text, item_id)
+    if n_blocks > 1:
+        found = contamination(docs.select(F.struct(F.col(f"`{doc_id}`"), F.xxhash64(f"`{text}`")).alias("doc_id"), F.col(f"`{text}`").alias("text")), benchmark, share, item_id=item_id)
+        bad = cut(found.where("contaminated").select(F.xxhash64("doc_id").alias("__bad")).distinct())
+        own = F.xxhash64(F.struct(F.col(f"`{doc_id}`"), F.xxhash64(f"`{text}`")))
+        return docs.join(bad, own == F.col("__bad"), "left_anti")
+    index = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(sorted(((r["item_id"], r["text"]) for r in bench.toLocalIterator()), key=str)))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, found = WordHasher(), index.value
+        for batch in batches:
+            stay = []
+            for t in batch.column(at).to_pylist():
+                words = hasher(alnum_words(t))
+                n = int(found.match(words)[0].sum())
+                stay.append(not n or share * n < len(words))
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revpanel.llm.decontaminate import contamination
 from revpanel.llm.html import extract_main_text
 from revpanel.llm.mixing import mix_documents
+from revpanel.llm.pii import replace_personal_data
 from revpanel.llm.repeats import strip_repeated_passages, strip_repeated_windows
 from revpanel.llm.sharding import shard_documents
 from revpanel.llm.simhash import simhash_classes
@@ -60,6 +61,11 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "starts", "ends")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates in place of personal data."""
+    return replace_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words that start earlier, by Rabin-Karp hashes over all documents."""
     out = strip_repeated_windows(_table(spark, sf_dir, "documents"))
@@ -73,5 +79,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_html": op5_html, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op9_windows": op9_windows, "op10_sharding": op10_sharding}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_html": op5_html, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op8_pii": op8_pii, "op9_windows": op9_windows, "op10_sharding": op10_sharding}
 ORACLE: dict[str, str] = {}

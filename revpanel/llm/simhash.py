@@ -296,7 +296,15 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each near-duplicate group: the one with the smallest doc_id (of repeated rows, one)."""
+    """One row of each near-duplicate group, with all its columns: the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays; rows with a null doc_id stay.
+    """
     groups = near_duplicate_groups(docs, text=text, doc_id=doc_id)
-    stay = groups.groupBy("group_id").agg(F.min("doc_id").alias("__stay")).select("__stay")
-    return docs.join(cut(stay), docs[doc_id].eqNullSafe(F.col("__stay"))).drop("__stay").dropDuplicates([doc_id])
+    gone = cut(groups.where("doc_id != group_id").select(F.col("doc_id").alias("__gone")).distinct())
+    out = docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    twice = cut(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")))
+    if twice.isEmpty():
+        return out
+    on = F.col(f"`{doc_id}`") == F.col("__twice")
+    return out.join(twice, on, "left_anti").unionByName(out.join(twice, on, "left_semi").dropDuplicates([doc_id]))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,16 +141,14 @@ def toxicity_scores(docs: DataFrame, model: FactorizationMachine, text: str = "t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose score is under the threshold, with all their columns."""
-    model = fit_toxicity(docs, labels, text=text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    """The rows whose score is under the threshold, with all their columns; null and empty texts are scored like any other."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, text=text))
+    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = shared.value
         terms = _Terms({int(s) // len(LEVELS) for s in fm.slots})
-        for pdf in batches:
-            stay = np.array([fm.score(terms(t)) < threshold for t in pdf[text]], bool)
-            yield pdf[stay][names]
+        for batch in batches:
+            yield batch.filter(pa.array([fm.score(terms(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
