@@ -53,8 +53,9 @@ class WordHasher:
         cache, digest = self.cache, xxhash.xxh64_intdigest
         if len(cache) > self.limit:
             cache.clear()
-        for w in set(words) - cache.keys():
-            cache[w] = digest(w, 7)
+        for w in words:
+            if w not in cache:
+                cache[w] = digest(w, 7)
         return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
