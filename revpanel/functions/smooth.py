@@ -30,6 +30,7 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, x0: np.ndarray, df: float | N
     m = (q / half[:, None]) @ np.linalg.solve(r, (q / half[:, None]).T)
     values, vectors = np.linalg.eigh((m + m.T) / 2)
     values = np.maximum(values, 0)
+    values[:2] = 0  # straight lines are not rough
     rotated = vectors.T @ (half * y)
 
     def trace(lam_: float) -> float:

@@ -172,3 +172,15 @@ def guess_period(times: Iterable) -> int:
     elif isinstance(values[0], dt.date):
         values = [v.toordinal() for v in values]
     return math.gcd(*(int(b - a) for a, b in zip(values, values[1:])))
+
+
+def full_seq(times: Iterable, period: int) -> list:
+    """All times from the first to the last in steps of ``period`` (days for dates); others than these are an error."""
+    values = sorted(set(times))
+    step = dt.timedelta(days=period) if isinstance(values[0], dt.date) else period
+    out = [values[0]]
+    while out[-1] < values[-1]:
+        out.append(out[-1] + step)
+    if not set(values) <= set(out):
+        raise PanelError(f"the times are not {period} apart")
+    return out

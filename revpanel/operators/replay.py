@@ -21,6 +21,10 @@ from revpanel.log import RevisionLog
 from revpanel.operators.windows import check_arity
 
 
+#: Up to so many versions are ranked row by row.
+FEW = 64
+
+
 def _versions(log: RevisionLog, versions: Sequence | None) -> list:
     if versions is None:
         return log.default_versions()
@@ -51,11 +55,18 @@ def snapshots(log: RevisionLog, versions: Sequence | None = None, before: Any =
     array, _ = _ranked(log, versions)
     w = Window.partitionBy(*log.meta.cell).orderBy("version")
     df = log.df.withColumn("__end", F.lead("version").over(w))
+    before_it = lambda c: F.size(F.filter(array, lambda v: v < c))
     # Live at versions[i] for i in [first, last]: those from version on and before the end.
-    df = df.withColumn("__first", F.size(F.filter(array, lambda v: v < F.col("version"))))
-    df = df.withColumn("__last", F.when(F.col("__end").isNull(), len(versions)).otherwise(F.size(F.filter(array, lambda v: v < F.col("__end")))) - 1)
+    if len(versions) <= FEW:
+        df = df.withColumn("__first", before_it(F.col("version"))).withColumn("__stop", before_it(F.col("__end")))
+    else:
+        # The rank is looked up once per version that occurs, not once per row.
+        ranks = log.df.select("version").distinct().withColumn("__first", before_it(F.col("version")))
+        ends = ranks.select(F.col("version").alias("__end"), F.col("__first").alias("__stop"))
+        df = df.join(ranks, "version").join(ends, "__end", "left")
+    df = df.withColumn("__last", F.when(F.col("__end").isNull(), len(versions)).otherwise(F.col("__stop")) - 1)
     df = df.where("__first <= __last").withColumn("__i", F.explode(F.sequence("__first", "__last")))
-    df = df.withColumn("__v", F.element_at(array, F.col("__i") + 1)).drop("__end", "__first", "__last", "__i")
+    df = df.withColumn("__v", F.element_at(array, F.col("__i") + 1)).select(*log.df.columns, "__v")
     return _reach(df, log, before)
 
 
@@ -83,9 +94,10 @@ def slide(log: RevisionLog, aggs: dict[str, Column], before: Any = INF, versions
     nothing = live.where(F.lit(False)).agg(*[c.alias(n) for n, c in aggs.items()])
     if log.levels:
         out = _with_levels(log, live, out, nothing, versions)
-    missing = _frame_of(log, versions).join(out.select("__v").distinct(), "__v", "left_anti")
-    empty = missing.select("__v", *[F.lit(None).cast(log.df.schema[g].dataType).alias(g) for g in groups]).crossJoin(F.broadcast(nothing))
-    out = out.select("__v", *groups, *aggs).unionByName(empty)
+    # Versions without rows come back with the aggregate of nothing; the snapshots are computed once.
+    zero = nothing.select(*[F.col(n).alias(f"__0_{n}") for n in aggs])
+    out = _frame_of(log, versions).join(out.select("__v", *groups, *aggs, F.lit(True).alias("__hit")), "__v", "left").join(F.broadcast(zero))
+    out = out.withColumns({n: F.when(F.col("__hit"), F.col(n)).otherwise(F.col(f"__0_{n}")) for n in aggs})
     values = [F.struct(*aggs).alias(new_name)] if new_name else list(aggs)
     return out.select(*groups, F.col("__v").alias("version"), *values)
 

@@ -63,6 +63,13 @@ def test_periods():
         guess_period([3, 3])
 
 
+def test_full_sequences():
+    assert tm.full_seq([day(0), day(4)], 2) == [day(0), day(2), day(4)]
+    assert tm.full_seq([3, 9, 5], 2) == [3, 5, 7, 9]
+    with pytest.raises(PanelError):
+        tm.full_seq([1, 4], 2)
+
+
 def test_steps():
     assert tm.to_steps(dt.timedelta(weeks=3), "week") == 3
     with pytest.raises(PanelError):
