@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are words and their beginnings of 4 to 7 characters, each at three levels (present, at least twice, at least
-four times), hashed to 3 * 2**20 slots. The machine learns a weight for each kept slot and, through factor vectors, one for
+four times), hashed to 3 * 2**18 slots. The machine learns a weight for each kept slot and, through factor vectors, one for
 each pair of slots, so that two terms that are harmless alone can count together.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from revpanel.llm.common import alnum_words
 
-SLOTS, LEVELS, PREFIXES = 1 << 20, (1, 2, 4), (4, 5, 6, 7)
+SLOTS, LEVELS, PREFIXES = 1 << 18, (1, 2, 4), (4, 5, 6, 7)
 
 
 def _slots(word: bytes) -> list[int]:
@@ -45,7 +45,7 @@ class _Terms:
                 got = self.cache[w] = [s for s in _slots(w) if self.kept is None or s in self.kept]
             for s in got:
                 sums[s] += n
-        return np.array([s * len(LEVELS) + i for s, n in sums.items() for i, least in enumerate(LEVELS) if n >= least], np.int64)
+        return np.array([s * len(LEVELS) + i for s, n in sums.items() for i, least in enumerate(LEVELS) if n >= least], np.int32)
 
 
 @dataclass
@@ -58,19 +58,22 @@ class FactorizationMachine:
     factors: np.ndarray
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, keep: int = 1024, factors: int = 8, epochs: int = 150, rate: float = 0.03, decay: float = 2e-3, seed: int = 5) -> FactorizationMachine:
-        """Adam on the logistic loss, over the ``keep`` slots most associated with the label."""
+    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, keep: int = 1024, least: float = 10.8, factors: int = 8, epochs: int = 300, rate: float = 0.03, decay: float = 2e-4, seed: int = 5) -> FactorizationMachine:
+        """Adam on the logistic loss, over the ``keep`` slots most associated with the label.
+
+        Slots whose chi-square with the label is under ``least`` (10.8: one in a thousand by chance) are left out.
+        """
         n, size = len(rows), SLOTS * len(LEVELS)
-        flat, owner = np.concatenate([*rows, np.empty(0, np.int64)]), np.repeat(np.arange(n), [len(r) for r in rows])
+        flat, owner = np.concatenate([*rows, np.empty(0, np.int32)]), np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
         seen = np.bincount(flat, minlength=size)
-        hit = np.bincount(flat, weights=labels[owner] if n else None, minlength=size)
+        hit = np.bincount(flat[labels[owner] > 0] if n else flat, minlength=size)
         positives = max(float(labels.sum()), 1.0)
         negatives = max(n - positives, 1.0)
         share, rest = (hit + 0.5) / (positives + 1), (seen - hit + 0.5) / (negatives + 1)
         pooled = (seen + 1) / (n + 2)
-        score = (share - rest) ** 2 / (pooled * (1 - pooled)) * (seen >= 3)
+        score = (share - rest) ** 2 / (pooled * (1 - pooled)) * positives * negatives / (positives + negatives) * (seen >= 3)
         slots = np.sort(np.argsort(-score, kind="stable")[:keep])
-        slots = slots[score[slots] > 0]
+        slots = slots[score[slots] > least]
         at = np.searchsorted(slots, flat)
         at[at == len(slots)] = 0
         ok = slots[at] == flat if len(slots) else np.zeros(len(flat), bool)
@@ -117,13 +120,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, text:
     share = min(1.0, 0.95 * max_rows / max(n, 1))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    # sample has at most about max_rows rows
-    rows = plain.join(F.broadcast(sample), "doc_id")
-    terms, xs, ys = _Terms(), [], []
-    for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"] or "")):
-        xs.append(terms(r["text"]))
-        ys.append(float(r["y"] > 0))
-    return FactorizationMachine.fit(xs, np.array(ys))
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = _Terms()
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"y": pdf["y"] > 0, "x": [np.sort(terms(t)).tobytes() for t in pdf["text"]]})
+
+    # sample has at most about max_rows rows; texts become slots where they are
+    rows = plain.join(F.broadcast(sample), "doc_id").mapInPandas(slots, "y boolean, x binary").toPandas()
+    rows = rows.sort_values(["y", "x"], ignore_index=True)
+    return FactorizationMachine.fit([np.frombuffer(x, np.int32) for x in rows["x"]], rows["y"].to_numpy(np.float64))
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
