@@ -158,7 +158,15 @@ class Forest:
         return order[starts[d] : starts[d + 1]]
 
 
-_KIND = np.array([0, *[1 if t in BLOCK else 2 for t in TAGS[1:]]])
+#: Elements that are part of a sentence: their label is nearly always that of their parent.
+PHRASE = frozenset("a b em i span strong u small code sup sub time br wbr img".split())
+_KIND = np.array([0, *[2 if t in PHRASE else 1 for t in TAGS[1:]]])
+
+
+def edge_kinds(f: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Kind of the edge above each node: to a text, a block or a phrase; those below the body are kinds of their own."""
+    kind = _KIND[f[:, 0]]
+    return np.where(np.isin(f[parent, 0], [_TAG["body"], _TAG["html"]]), 3 + (kind == 1), kind)
 
 
 class TreeModel:
@@ -182,14 +190,14 @@ class TreeModel:
         # Tags decide most, and the other features depend on them: their weight is halved.
         emission[2:] = [e / 2 for e in emission[2:]]
         child = np.flatnonzero(parent >= 0)
-        c = np.full((3, 2, 2), 0.5)
-        np.add.at(c, (_KIND[f[child, 0]], y[parent[child]], y[child]), 1)
+        c = np.full((5, 2, 2), 0.5)
+        np.add.at(c, (edge_kinds(f, parent)[child], y[parent[child]], y[child]), 1)
         return cls(np.log([0.99, 0.01]), np.log(c / c.sum(2, keepdims=True)), emission)
 
     def marginals(self, forest: Forest) -> np.ndarray:
         """P(main text) of every node, by one pass of messages upward and one downward."""
         f, parent = forest.features()
-        depth, kind = np.array(forest.depth), _KIND[f[:, 0]]
+        depth, kind = np.array(forest.depth), edge_kinds(f, parent)
         belief = sum(e[f[:, j]] for j, e in enumerate(self.emission))
         top = int(depth.max(initial=0))
         up = np.zeros_like(belief)

@@ -100,7 +100,9 @@ class _Page:
             return self.el("main", 1, self.r.choice([body, self.el("article", 1, body), self.el("div", 1, body)]))
         if kind < 0.85:
             return self.el(self.r.choice(["div", "section"]), 1, self.r.choice([body, self.el("div", 1, body)]), self.cue("content", "article-body", "post", "entry-content", "main", "story"))
-        return self.el(self.r.choice(["div", "section"]), 1, body)
+        if kind < 0.92:
+            return self.el(self.r.choice(["div", "section"]), 1, body)
+        return body
 
     def page(self) -> str:
         r, top, end = self.r, [], []
