@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from revpanel.llm.common import WordHasher, cursors, grouped_batches, input_bytes, mix64, plain_words, power_of_two, rolling
 
 #: Words that a task hashes at once; windows a bucket should hold; bytes of text of a group of documents.
-BATCH_WORDS, BUCKET_WINDOWS, GROUP_BYTES = 1_000_000, 65_536, 4 << 20
+BATCH_WORDS, BUCKET_WINDOWS, GROUP_BYTES = 1_000_000, 1 << 19, 4 << 20
 NO_ID = -(1 << 63)
 
 
