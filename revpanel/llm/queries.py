@@ -58,7 +58,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that start earlier, by sparse suffix arrays over all documents."""
     out = strip_repeated_passages(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "starts", "ends")
+    spans = F.array_join(F.transform(F.arrays_zip("starts", "ends"), lambda x: F.concat(x["starts"].cast("string"), F.lit("-"), x["ends"].cast("string"))), ",")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), spans.alias("spans"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,42 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_html": op5_html, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op8_pii": op8_pii, "op9_windows": op9_windows, "op10_sharding": op10_sharding}
-ORACLE: dict[str, str] = {}
+
+def _windows_sql(width: int, spans: bool) -> str:
+    """Removal of windows that start earlier, for tables of the size of the correctness check."""
+    found = ""
+    if spans:
+        found = """, runs AS (SELECT doc_id, min(p) - 1 AS s, max(p) AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gone) GROUP BY doc_id, g),
+        spans AS (SELECT doc_id, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM runs GROUP BY doc_id)"""
+    return rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + {width - 1}), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {width - 2})) AS i FROM w WHERE len(ws) >= {width})),
+    late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+    gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + {width})) AS p FROM late)),
+    one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w){found}
+    SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256{", coalesce(spans.spans, '') AS spans" if spans else ""}
+    FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g ON g.doc_id = w.doc_id
+    LEFT JOIN (SELECT one.doc_id, string_agg(word, ' ' ORDER BY one.p) AS t FROM one LEFT JOIN gone ON gone.doc_id = one.doc_id AND gone.p = one.p WHERE gone.p IS NULL GROUP BY 1) k ON k.doc_id = w.doc_id
+    {"LEFT JOIN spans ON spans.doc_id = w.doc_id" if spans else ""}"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op3_decontaminate": rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS k FROM (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+    dw AS (SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM bw) ON len(ws) >= n)),
+    hit AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
+    pos AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM hit)) GROUP BY 1),
+    its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+    SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+    "op4_topk": """
+    WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings WHERE embedding IS NOT NULL),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""",
+    "op7_suffixes": _windows_sql(50, True),
+    "op9_windows": _windows_sql(20, False),
+}
