@@ -127,6 +127,8 @@ def growth_rate(panel: Panel, y: str, method: str = "rel_change", h: int = 7, lo
     options = params or GrowthParams()
     if method == "trend_filter":
         options = options.for_trend_filter()
+        if options.family != "gaussian":
+            raise PanelError("the trend filter fits the gaussian family; transform y for others")
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

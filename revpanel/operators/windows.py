@@ -44,12 +44,14 @@ def _ref_times(panel: Panel, ref_times: Sequence | None, check: bool) -> list |
     return times
 
 
-def _frame(panel: Panel, size, align: str) -> tuple[WindowSpec, Column | int, int | float, tuple]:
+def _frame(panel: Panel, size, align: str, split: int | None = None) -> tuple[WindowSpec, Column | int, int | float, tuple]:
     """The window, its number of slots, its size in steps, and the (before, after)."""
     tt = panel.meta.time_type
     n = window_steps(size, tt)
     before, after = before_after(n, align)
-    base = Window.partitionBy(*panel.meta.series).orderBy("__t")
+    base = Window.partitionBy(*panel.meta.series, *(["__c"] if split else [])).orderBy("__t")
+    if split and (n == INF or split < 1):
+        raise PanelError("only bounded windows are split, into chunks of at least one step")
     if n == INF:
         # The running window starts at the first time of the whole panel.
         first = panel.df.agg(F.min(index("time_value", tt))).first()[0] or 0
@@ -98,6 +100,8 @@ def default_names(panel: Panel, columns: Sequence[str], f: str, n: int | float,
 
 
 def _finish(panel: Panel, df: DataFrame, new: list[str], times: list | None, all_rows: bool) -> Panel:
+    if "__own" in df.columns:
+        df = df.where("__own").drop("__own", "__c")
     df = df.drop("__t")
     if times is not None:
         at = F.col("time_value").isin(times)
@@ -106,18 +110,30 @@ def _finish(panel: Panel, df: DataFrame, new: list[str], times: list | None, all
     return out.canonical_columns()
 
 
-def _near(panel: Panel, times: list | None, before, after, all_rows: bool) -> DataFrame:
-    """Rows that a result can need: filters on time do not pass through a window by themselves."""
+def _near(panel: Panel, times: list | None, before, after, all_rows: bool, split: int | None = None) -> DataFrame:
+    """Rows that a result can need: filters on time do not pass through a window by themselves.
+
+    With ``split`` a row goes to every chunk of that many steps whose reference times can see it, so that one long
+    series is worked on by many tasks; _finish keeps the row of its own chunk.
+    """
     tt = panel.meta.time_type
     df = panel.df.withColumn("__t", index("time_value", tt))
     if times and not all_rows and before != INF:
         at = [py_index(t, tt) for t in times]
         df = df.where(F.col("__t").between(min(at) - int(before) * STEP[tt], max(at) + int(after) * STEP[tt]))
+    if split:
+        length = split * STEP[tt]
+        chunk = lambda t: F.floor(t / length)
+        first, last = chunk(F.col("__t") - int(after) * STEP[tt]), chunk(F.col("__t") + int(before) * STEP[tt])
+        df = df.withColumn("__c", F.explode(F.sequence(first, last))).withColumn("__own", chunk(F.col("__t")) == F.col("__c"))
     return df
 
 
-def roll(panel: Panel, columns: str | Sequence[str], f: str = "mean", size=None, align: str = "right", skip_nulls: bool = False, prefix: str | None = None, suffix: str | None = None, new_names: Sequence[str] | None = None, ref_times: Sequence | None = None, all_rows: bool = False, validate: bool = True) -> Panel:
-    """Rolling (or, with size=inf, running) mean, sum, prod, min, max, all, any or median of columns."""
+def roll(panel: Panel, columns: str | Sequence[str], f: str = "mean", size=None, align: str = "right", skip_nulls: bool = False, prefix: str | None = None, suffix: str | None = None, new_names: Sequence[str] | None = None, ref_times: Sequence | None = None, all_rows: bool = False, validate: bool = True, split: int | None = None) -> Panel:
+    """Rolling (or, with size=inf, running) mean, sum, prod, min, max, all, any or median of columns.
+
+    ``split`` deals each series out in chunks of that many steps, for few and very long series.
+    """
     if f not in STEMS:
         raise PanelError(f"no rolling function {f!r}; use slide() or slide_python()")
     if size is None:
@@ -132,7 +148,7 @@ def roll(panel: Panel, columns: str | Sequence[str], f: str = "mean", size=None,
             raise PanelError("rolling windows need at least one row")
         check_unique(panel.df, panel.meta.keys)
     times = _ref_times(panel, ref_times, validate)
-    w, slots, n, (before, after) = _frame(panel, size, align)
+    w, slots, n, (before, after) = _frame(panel, size, align, split)
     if new_names is not None and (prefix is not None or suffix is not None):
         raise PanelError("give either new_names or prefix and suffix")
     names = list(new_names) if new_names is not None else default_names(panel, columns, f, n, align, prefix, suffix)
@@ -143,12 +159,12 @@ def roll(panel: Panel, columns: str | Sequence[str], f: str = "mean", size=None,
     if len(set(names)) != len(names):
         raise PanelError("new column names repeat")
     logical = {c: isinstance(panel.df.schema[c].dataType, T.BooleanType) for c in columns}
-    df = _near(panel, times, before, after, all_rows)
+    df = _near(panel, times, before, after, all_rows, split)
     df = df.select("*", *[guarded(f, F.col(c), w, slots, logical[c], skip_nulls).alias(name) for c, name in zip(columns, names)])
     return _finish(panel, df, names, times, all_rows)
 
 
-def slide(panel: Panel, exprs: dict[str, Column], size=None, align: str = "right", ref_times: Sequence | None = None, all_rows: bool = False, pack_as: str | None = None) -> Panel:
+def slide(panel: Panel, exprs: dict[str, Column], size=None, align: str = "right", ref_times: Sequence | None = None, all_rows: bool = False, pack_as: str | None = None, split: int | None = None) -> Panel:
     """Named aggregate expressions over each window (nulls skipped, as aggregates do); None deletes an earlier output.
 
     With ``pack_as`` the outputs are one struct column. An empty panel is returned as it is, with null columns.
@@ -157,13 +173,13 @@ def slide(panel: Panel, exprs: dict[str, Column], size=None, align: str = "right
         raise PanelError("a window size is needed")
     _check_groups(panel)
     times = _ref_times(panel, ref_times, True)
-    w, _, _, (before, after) = _frame(panel, size, align)
+    w, _, _, (before, after) = _frame(panel, size, align, split)
     kept = {k: v for k, v in exprs.items() if v is not None}
     if not kept:
         raise PanelError("no new column is made")
     if clash := set([pack_as] if pack_as else kept) & set(panel.df.columns):
         raise PanelError(f"new columns exist already: {sorted(clash)}")
-    df = _near(panel, times, before, after, all_rows).select("*", *[v.over(w).alias(k) for k, v in kept.items()])
+    df = _near(panel, times, before, after, all_rows, split).select("*", *[v.over(w).alias(k) for k, v in kept.items()])
     new = list(kept)
     if pack_as:
         df = df.withColumn(pack_as, F.struct(*new)).drop(*new)

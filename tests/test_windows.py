@@ -162,3 +162,15 @@ def test_other_keys(spark):
     p = Panel.from_df(spark.createDataFrame(pd.DataFrame(data, columns=["geo_value", "age", "time_value", "value"]), "geo_value int, age int, time_value date, value double"), other_keys=["age"])
     got = p.roll_sum("value", 2, new_names=["s"]).df.where("time_value = date'2020-01-05'").collect()
     assert [r["s"] for r in got] == [9.0] * 4
+
+
+@pytest.mark.parametrize("time_type", ["day", "week", "yearmonth"])
+def test_split_series_give_the_same(spark, time_type):
+    p = make(spark, time_type)
+    size = dt.timedelta(weeks=7) if time_type == "week" else 7
+    for align, split in (("right", 4), ("center", 5), ("left", 11)):
+        whole = p.roll_sum("value", size, align=align, new_names=["s"], validate=False).df.collect()
+        parts = p.roll_sum("value", size, align=align, new_names=["s"], validate=False, split=split).df.collect()
+        assert sorted(whole, key=str) == sorted(parts, key=str)
+    with pytest.raises(PanelError):
+        p.roll_sum("value", INF, split=3)
