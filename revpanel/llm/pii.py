@@ -190,7 +190,8 @@ def replace_personal_data(docs: DataFrame, key: str = "surrogates", text: str =
     mapping = cut(distinct_surrogates(cut(one.select("kind", "norm").distinct()), key))
     shown = one.join(mapping, ["kind", "norm"]).select("th", "mention", _rendered(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("by"))
     by_text = cut(shown.groupBy("th").agg(F.map_from_entries(F.collect_set(F.struct("mention", "by"))).alias("by")))
-    joined = plain.join(by_text, "th", "left")
+    # The same join at every size; AQE splits texts that very many documents share.
+    joined = plain.join(by_text.hint("shuffle_hash"), "th", "left")
     pieces = F.split("text", EVERYTHING, -1)
     by = F.concat(F.transform(mentions, lambda m: F.coalesce(F.try_element_at(F.col("by"), m), m)), F.array(F.lit("")))
     woven = F.array_join(F.flatten(F.zip_with(pieces, by, lambda p, m: F.array(p, m))), "")
