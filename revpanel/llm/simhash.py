@@ -26,6 +26,8 @@ from revpanel.llm.graph import components
 
 #: Members of one bucket tile; larger buckets are dealt out as pairs of tiles.
 TILE = 256
+#: Tiles that a member may meet on average before the plan is made finer.
+DENSE = 8
 _CHUNK = 1 << 16
 
 
@@ -88,6 +90,12 @@ class PivotPlan:
             blocks += 1
         return cls(bits=bits, blocks=blocks, agree=blocks - max_bits)
 
+    def finer(self, max_bits: int) -> PivotPlan | None:
+        """The lossless plan with one more block, whose buckets are smaller and more; None at 11 blocks."""
+        if self.agree != self.blocks - max_bits or self.blocks >= max_bits + 8:
+            return None
+        return PivotPlan(self.bits, self.blocks + 1, self.agree + 1, self.pivots, self.seed)
+
     def tables(self) -> list[np.ndarray]:
         """Per block: int8[2**width, pivots], the distance of every block value to every pivot.
 
@@ -179,7 +187,7 @@ def links(items: DataFrame, plan: PivotPlan, max_bits: int, verify_bits: int | N
     else on ``fp`` within ``max_bits``, which loses no link if the plan is exact. Ids must be distinct.
     """
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pd.DataFrame], plan: PivotPlan) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 for at in range(0, len(pdf), 4096):
@@ -187,10 +195,17 @@ def links(items: DataFrame, plan: PivotPlan, max_bits: int, verify_bits: int | N
                     k = plan.keys(_words(part["fp"]))
                     yield pd.DataFrame({"key": k.ravel(), "id": np.repeat(part["id"].to_numpy(), k.shape[1])})
 
-    keys = items.select("id", "fp").mapInPandas(keyed, "key long, id long")
-    # Sizes of the buckets with company: partial counts, so a hot bucket is one row per task.
-    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     tiles = F.ceil(F.col("n") / TILE).cast("int")
+    while True:
+        keys = items.select("id", "fp").mapInPandas(lambda it, p=plan: keyed(it, p), "key long, id long")
+        # Sizes of the buckets with company: partial counts, so a hot bucket is one row per task.
+        sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        # Very many different fingerprints around one would meet in too many tiles: ask for more agreement.
+        work = sizes.agg(F.sum(F.col("n") * tiles).alias("rows"), F.sum("n").alias("members")).first()
+        finer = plan.finer(max_bits) if verify_bits is None and (work["rows"] or 0) > DENSE * (work["members"] or 0) else None
+        if finer is None:
+            break
+        plan = finer
     own = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
     met = (
         keys.join(sizes, "key")
@@ -302,7 +317,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """
     groups = near_duplicate_groups(docs, text=text, doc_id=doc_id)
     gone = cut(groups.where("doc_id != group_id").select(F.col("doc_id").alias("__gone")).distinct())
-    out = docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    out = docs.join(gone.hint("shuffle_hash"), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
     twice = cut(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")))
     if twice.isEmpty():
         return out

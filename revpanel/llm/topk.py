@@ -59,7 +59,7 @@ def exact_top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: float
     an empty result; other columns are not read. Queries are a stated set: they go to all rows in blocks of bounded size.
     """
     spark = vectors.sparkSession
-    plain = vectors.where(is_query | True).select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vec}`").cast("array<double>").alias("v"), is_query.alias("query"))
+    plain = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vec}`").cast("array<double>").alias("v"), is_query.alias("query"))
     sound = plain.where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     # min() keeps one vector of each id; the query flag depends on the id alone
     rows = cut(sound.groupBy("id").agg(F.min("v").alias("v"), F.max("query").alias("query")))

@@ -93,8 +93,11 @@ def test_simhash_classes(spark):
     assert got == want
 
 
-def test_simhash_large_bucket(spark):
-    """Hundreds of fingerprints around one: tiles, stars, and no lost link."""
+@pytest.mark.parametrize("dense", [8, 1])
+def test_simhash_large_bucket(spark, monkeypatch, dense):
+    """Hundreds of fingerprints around one: tiles, stars, finer plans, and no lost link."""
+    monkeypatch.setattr(simhash, "TILE", 32)
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rng = np.random.default_rng(4)
     centre = int(rng.integers(0, 1 << 63))
     values = {centre}
@@ -104,7 +107,7 @@ def test_simhash_large_bucket(spark):
             x ^= 1 << int(b)
         values.add(x)
     ids = np.array(sorted(values), np.uint64)
-    items = spark.createDataFrame([(int(v), bytes(np.uint64(v).tobytes())) for v in ids.view(np.int64)] if False else [(int(v.view(np.int64)), v.tobytes()) for v in ids], "id long, fp binary")
+    items = spark.createDataFrame([(int(v.view(np.int64)), v.tobytes()) for v in ids], "id long, fp binary")
     found = graph.components(simhash.links(items, simhash.PivotPlan.exact(len(ids)), 3))
     got = defaultdict(set)
     for r in found.collect():
