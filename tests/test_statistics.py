@@ -20,8 +20,7 @@ def make(spark, cols, n=None, geo="a"):
     n = n or len(next(iter(cols.values())))
     pdf = pd.DataFrame({"geo_value": geo, "time_value": [D + dt.timedelta(days=i) for i in range(n)], **cols})
     kinds = {k: "long" if np.asarray(v).dtype.kind == "i" else "double" for k, v in cols.items()}
-    rows = [tuple(None if isinstance(x, float) and np.isnan(x) and False else x for x in r) for r in pdf.itertuples(index=False)]
-    return Panel.from_df(spark.createDataFrame(rows, "geo_value string, time_value date, " + ", ".join(f"{k} {t}" for k, t in kinds.items())))
+    return Panel.from_df(spark.createDataFrame(list(pdf.itertuples(index=False, name=None)), "geo_value string, time_value date, " + ", ".join(f"{k} {t}" for k, t in kinds.items())))
 
 
 def test_correlation(spark):
