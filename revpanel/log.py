@@ -149,8 +149,15 @@ class RevisionLog:
         if all_versions:
             return replace(self, df=df, groups=(), levels=()).truncated_meta(version)
         m = self.meta
-        last = df.groupBy(*m.cell).agg(F.max_by(F.struct(*self.values), "version").alias("__s")) if self.values else df.select(*m.cell).distinct()
-        df = last.select(*m.cell, *[F.col(f"__s.`{c}`").alias(c) for c in self.values])
+        fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+        if not self.values:
+            df = df.select(*m.cell).distinct()
+        elif all(isinstance(self.df.schema[c].dataType, fixed) for c in self.values):
+            # Fixed-width buffers stay in the hash aggregate; a struct would sort.
+            df = df.groupBy(*m.cell).agg(*[F.max_by(c, "version").alias(c) for c in self.values])
+        else:
+            last = df.groupBy(*m.cell).agg(F.max_by(F.struct(*self.values), "version").alias("__s"))
+            df = last.select(*m.cell, *[F.col(f"__s.`{c}`").alias(c) for c in self.values])
         return Panel(df, PanelMeta(m.geo_type, m.time_type, version, m.other_keys))
 
     def as_of_current(self, **kw) -> Panel | RevisionLog:

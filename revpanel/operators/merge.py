@@ -13,8 +13,8 @@ def merge(x: RevisionLog, y: RevisionLog, sync: str = "forbid", compact: bool =
     """All keys and versions of both logs, with the values that each side had at that version.
 
     A value that is explicitly null is carried forward too. ``sync`` settles different ends of observation: forbid refuses,
-    na and locf extend the shorter log, truncate shortens the longer one. One full join and one window, which share
-    their partitioning by key and time.
+    na and locf extend the shorter log, truncate shortens the longer one. The two logs are stacked and go through one
+    shuffle and one sort by key, time and version, in which windows carry both sides forward and compaction follows.
     """
     if sync not in ("forbid", "na", "locf", "truncate"):
         raise PanelError("sync must be forbid, na, locf or truncate")
@@ -40,8 +40,12 @@ def merge(x: RevisionLog, y: RevisionLog, sync: str = "forbid", compact: bool =
     one = F.lit(1).alias("__row")
     a = left.select(*keys, F.struct(*x.values, one).alias("__x"))
     b = right.select(*keys, F.struct(*y.values, one).alias("__y"))
-    w = Window.partitionBy(*cell).orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.join(b, keys, "full").withColumns({"__x": F.last("__x", True).over(w), "__y": F.last("__y", True).over(w)})
+    order = Window.partitionBy(*cell).orderBy("version")
+    # The RANGE frame reaches over both rows of one version, of which the last is kept.
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b, allowMissingColumns=True)
+    both = both.select(*keys, F.last("__x", True).over(upto).alias("__x"), F.last("__y", True).over(upto).alias("__y"), F.lead("version").over(order).eqNullSafe(F.col("version")).alias("__twice"))
+    both = both.where("not __twice")
     df = both.select("geo_value", "time_value", *x.meta.other_keys, "version", *[F.col(f"__x.`{c}`").alias(c) for c in x.values], *[F.col(f"__y.`{c}`").alias(c) for c in y.values])
     if start is not None and start > end:
         raise PanelError("clobberable_start is after versions_end")
