@@ -107,5 +107,5 @@ def repeat_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     mixed = mix_documents(docs, text=text, doc_id=doc_id)
     plan = cut(mixed.groupBy("h").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("h", "__h"))
     h: Column = F.shiftrightunsigned(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), 64 - _BITS)
-    joined = docs.withColumn("__h", h).join(plan, "__h")
+    joined = docs.withColumn("__h", h).join(plan.hint("shuffle_hash"), "__h")
     return joined.withColumn("__i", F.explode(F.expr("sequence(1, __copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -64,9 +64,11 @@ class FactorizationMachine:
         Slots whose chi-square with the label is under ``least`` (10.8: one in a thousand by chance) are left out.
         """
         n, size = len(rows), SLOTS * len(LEVELS)
-        flat, owner = np.concatenate([*rows, np.empty(0, np.int32)]), np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-        seen = np.bincount(flat, minlength=size)
-        hit = np.bincount(flat[labels[owner] > 0] if n else flat, minlength=size)
+        seen, hit = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for r, y in zip(rows, labels):
+            seen[r] += 1
+            if y:
+                hit[r] += 1
         positives = max(float(labels.sum()), 1.0)
         negatives = max(n - positives, 1.0)
         share, rest = (hit + 0.5) / (positives + 1), (seen - hit + 0.5) / (negatives + 1)
@@ -74,11 +76,9 @@ class FactorizationMachine:
         score = (share - rest) ** 2 / (pooled * (1 - pooled)) * positives * negatives / (positives + negatives) * (seen >= 3)
         slots = np.sort(np.argsort(-score, kind="stable")[:keep])
         slots = slots[score[slots] > least]
-        at = np.searchsorted(slots, flat)
-        at[at == len(slots)] = 0
-        ok = slots[at] == flat if len(slots) else np.zeros(len(flat), bool)
         x = np.zeros((n, len(slots)), np.float32)
-        x[owner[ok], at[ok]] = 1
+        for i, r in enumerate(rows):
+            x[i] = np.isin(slots, r)
         rng = np.random.default_rng(seed)
         base = np.log(positives / negatives)
         p = [np.array([base], np.float32), np.zeros(len(slots), np.float32), rng.normal(0, 0.02, (len(slots), factors)).astype(np.float32)]
@@ -108,7 +108,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> FactorizationMachine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> FactorizationMachine:
     """Fit on about ``max_rows`` labelled documents at most, taken by a hash of their id; held-out ids are never read.
 
     The bound keeps what reaches the driver the same at every input size. Null labels are left out; of
@@ -128,9 +128,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, text:
                 yield pd.DataFrame({"y": pdf["y"] > 0, "x": [np.sort(terms(t)).tobytes() for t in pdf["text"]]})
 
     # sample has at most about max_rows rows; texts become slots where they are
-    rows = plain.join(F.broadcast(sample), "doc_id").mapInPandas(slots, "y boolean, x binary").toPandas()
-    rows = rows.sort_values(["y", "x"], ignore_index=True)
-    return FactorizationMachine.fit([np.frombuffer(x, np.int32) for x in rows["x"]], rows["y"].to_numpy(np.float64))
+    rows = plain.join(F.broadcast(sample), "doc_id").mapInPandas(slots, "y boolean, x binary").toArrow()
+    pairs = sorted(zip(rows["y"].to_pylist(), rows["x"].to_pylist()))
+    return FactorizationMachine.fit([np.frombuffer(x, np.int32) for _, x in pairs], np.array([y for y, _ in pairs], np.float64))
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
