@@ -163,21 +163,19 @@ class _Linker:
         out[keep[far <= self.max_bits]] = True
         return out
 
-    def star(self, fps: np.ndarray) -> np.ndarray:
-        """Index of the first member of the local component of each member."""
-        n = len(fps)
-        i, j = np.triu_indices(n, 1)
-        ok = self.pairs(fps, i, j)
-        i, j = i[ok], j[ok]
-        lab = np.arange(n)
-        while True:
-            new = lab.copy()
-            np.minimum.at(new, i, lab[j])
-            np.minimum.at(new, j, new[i])
-            new = new[new]
-            if (new == lab).all():
-                return lab
-            lab = new
+
+
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member reachable from each of n members over the links (i, j)."""
+    lab = np.arange(n)
+    while True:
+        new = lab.copy()
+        np.minimum.at(new, i, lab[j])
+        np.minimum.at(new, j, new[i])
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
 
 
 def links(items: DataFrame, plan: PivotPlan, max_bits: int, verify_bits: int | None = None) -> DataFrame:
@@ -224,26 +222,27 @@ def links(items: DataFrame, plan: PivotPlan, max_bits: int, verify_bits: int | N
             group = (pdf[["key", "t1", "t2"]].ne(pdf[["key", "t1", "t2"]].shift())).any(axis=1).to_numpy().cumsum()
             starts, ends = cursors(group)
             size = ends - starts
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             # Buckets of up to 8: all pairs at once, one distance in the order after the other.
             small = np.repeat(size <= 8, size)
-            for step in range(1, 8):
-                i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(group) > step else np.empty(0, np.int64)
-                if len(i):
-                    ok = linker.pairs(fps, i, i + step)
-                    a.append(ids[i[ok]])
-                    b.append(ids[i[ok] + step])
+            for step in range(1, min(8, len(group))):
+                i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+                ok = linker.pairs(fps, i, i + step)
+                left.append(i[ok])
+                right.append(i[ok] + step)
             for s, e in zip(starts[size > 8], ends[size > 8]):
-                lab = linker.star(fps[s:e])
-                other = np.flatnonzero(lab != np.arange(e - s))
-                a.append(ids[s + lab[other]])
-                b.append(ids[s + other])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+                i, j = np.triu_indices(e - s, 1)
+                ok = linker.pairs(fps, s + i, s + j)
+                left.append(s + i[ok])
+                right.append(s + j[ok])
+            # One row for each member that is not the least of its component, however many links it has.
+            root = _roots(len(ids), np.concatenate(left), np.concatenate(right))
+            at = np.flatnonzero(root != np.arange(len(ids)))
+            if len(at):
+                yield pd.DataFrame({"a": ids[root[at]], "b": ids[at]}).drop_duplicates()
 
     n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInPandas(grouped, "a long, b long")
+    return met.repartition(n, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "id").mapInPandas(grouped, "a long, b long")
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, lower: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
