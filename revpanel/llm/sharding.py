@@ -86,9 +86,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 10, text:
     ends = cut(cells.withColumn("upto", upto).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("ends")))
     order = ["h", "doc_id", "size"]
     placed = numbered(linked, ["gid"], F.col("h"), order, 64, "i").join(ends, "gid")
-    placed = cut(placed.withColumn("shard", F.expr("filter(ends, e -> i < e.upto)[0].shard")).drop("ends", "i", "members"))
+    placed = cut(placed.withColumn("shard", F.expr("filter(ends, e -> i < e.upto)[0].shard")).drop("ends", "i"))
     # What a shard holds beyond its quota goes back, a group at a time, to the documents that may stand anywhere.
-    placed = cut(numbered(placed, ["shard"], F.xxhash64("gid"), ["gid", *order], subs, "i").withColumn("over", F.col("i") >= quota))
+    # (A large group is dealt over many buckets.)
+    # Each numbering has a hash of its own: what one has put in order is no longer spread by the same hash.
+    again = lambda k: F.xxhash64("h", F.lit(k))
+    bucket = F.when(F.col("members") > 256, again(1)).otherwise(F.xxhash64("gid"))
+    placed = cut(numbered(placed, ["shard"], bucket, ["gid", *order], subs, "i").withColumn("over", F.col("i") >= quota).drop("members"))
     stay = placed.where("not over").drop("over", "i")
     free = single.drop("members").unionByName(placed.where("over").drop("over", "i", "shard"))
     shards = docs.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"))
@@ -96,8 +100,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 10, text:
     fill = F.sum(quota - F.col("held")).over(Window.orderBy("shard"))
     room = held.select("shard", fill.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("ends"))
     one = F.lit(0).alias("all")
-    rest = numbered(free.select("*", one), ["all"], F.col("h"), order, subs, "i").join(room.select("*", one), "all")
+    rest = numbered(free.select("*", one), ["all"], again(2), order, subs, "i").join(room.select("*", one), "all")
     rest = rest.withColumn("shard", F.expr("filter(ends, e -> i < e.upto)[0].shard")).drop("ends", "i", "all")
     every = cut(stay.unionByName(rest))
-    out = numbered(every, ["shard"], F.col("h"), order, subs, "slot")
+    out = numbered(every, ["shard"], again(3), order, subs, "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "gid")
