@@ -272,7 +272,7 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, lower:
 
 
 #: Candidates of near_duplicate_groups: keys of two blocks, 24 bits.
-NEAR = PivotPlan(bits=168, blocks=14, agree=2, pivots=4)
+NEAR = PivotPlan(bits=144, blocks=12, agree=2, pivots=4)
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id", plan: PivotPlan = NEAR) -> DataFrame:
@@ -280,7 +280,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int
 
     Similarity is the cosine that a 256-bit fingerprint of the runs estimates: cos(pi * bits / 256). At a cosine
     of 0.8 a fifth of the bits differ, for which no exact index exists, so the candidates come from the pivot
-    tables of a second fingerprint, on runs of two words, that changes less: 168 bits in 14 blocks of 12, any
+    tables of a second fingerprint, on runs of two words, that changes less: 144 bits in 12 blocks of 12, any
     two blocks agreeing. Exact copies meet first, by their text, and need no fingerprint. group_id is the
     smallest doc_id of the group. Null and empty texts are one group; rows that repeat a doc_id share a group.
 
