@@ -272,17 +272,105 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, lower:
 
 
 #: Candidates of near_duplicate_groups: keys of two blocks, 24 bits.
-NEAR = PivotPlan(bits=144, blocks=12, agree=2, pivots=4)
+NEAR = PivotPlan(bits=168, blocks=14, agree=2, pivots=4)
+#: Texts whose runs are counted for the order of the prefixes, and runs that this order puts last, at most.
+SAMPLE, COMMON = 4000, 20_000
+
+
+def _run_set(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """int64, ascending: the different runs of a text by 62 bits of their hashes, those of ``common`` after all others."""
+    h = np.unique(hashes >> np.uint64(2)).view(np.int64)
+    if len(common) and len(h):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = np.sort(h | (common[at] == h).astype(np.int64) << 62)
+    return h
+
+
+def _prefix(runs: np.ndarray, similarity: float) -> np.ndarray:
+    """The first runs, of which two sets with a Jaccard similarity of ``similarity`` or more share one."""
+    return runs[: len(runs) - int(np.ceil(similarity * len(runs) - 1e-9)) + 1] if len(runs) else runs
+
+
+def similar_sets(items: DataFrame, texts: DataFrame, common: np.ndarray, similarity: float, shingle: int) -> DataFrame:
+    """(ca long, cb long): pairs of classes with a pair of texts whose runs have a Jaccard similarity of ``similarity`` or more.
+
+    ``items`` is (id, comp long, n int, prefix array<long>), ids distinct, and ``texts`` (id, t). No such pair is lost:
+    its prefixes share a run, and as many runs as the rest of the sets leaves open. Pairs of one class are not looked
+    at. Large buckets are dealt out as pairs of tiles.
+    """
+    keys = items.select("id", "comp", "n", F.explode("prefix").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    sizes = cut(sizes.where("lo != hi").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("c")))
+    own = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
+    met = (
+        keys.join(sizes, "key")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.expr("sequence(0, c - 1)")))
+        .select("key", "id", "comp", "n", "own", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"))
+    )
+
+    def meeting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in grouped_batches(batches, ["key", "t1", "t2"]):
+            ids, comp, size, tile, t1, t2 = (pdf[c].to_numpy() for c in ("id", "comp", "n", "own", "t1", "t2"))
+            group = (pdf[["key", "t1", "t2"]].ne(pdf[["key", "t1", "t2"]].shift())).any(axis=1).to_numpy().cumsum()
+
+            def pairs(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+                # Two members of one tile meet where both tiles are theirs, and only there.
+                ok = (comp[i] != comp[j]) & ((tile[i] != tile[j]) | (t1[i] == t2[i]))
+                ok &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+                i, j = i[ok], j[ok]
+                return pd.DataFrame({"a": ids[i], "b": ids[j], "ca": comp[i], "cb": comp[j], "na": size[i], "nb": size[j]})
+
+            starts, ends = cursors(group)
+            small = np.repeat(ends - starts <= 8, ends - starts)
+            steps = [np.flatnonzero(small[:-k] & (group[:-k] == group[k:])) for k in range(1, min(8, len(group)))]
+            for k, i in enumerate(steps, 1):
+                yield pairs(i, i + k)
+            for s, e in zip(starts[ends - starts > 8], ends[ends - starts > 8]):
+                i, j = np.triu_indices(e - s, 1)
+                yield pairs(s + i, s + j)
+
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "id")
+    met = met.mapInPandas(meeting, "a long, b long, ca long, cb long, na int, nb int")
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("ca", "cb", "na", "nb")])
+    # What is shared outside the prefixes is at most what one of them leaves out.
+    rest = F.ceil(similarity * F.greatest("na", "nb") - 1e-9) - 1
+    need = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = cut(shared.where(F.col("shared") + rest >= need).select("a", "b", "ca", "cb"))
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "runs": [_run_set(shingle_hashes(lower_words(t), shingle), common).tobytes() for t in pdf["t"]]})
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = np.zeros(len(pdf), bool)
+            for k, (a, b) in enumerate(zip(pdf["ra"], pdf["rb"])):
+                a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                ok[k] = shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+            yield pdf.loc[ok, ["ca", "cb"]]
+
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    runs = cut(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id long, runs binary"))
+    both = pairs.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
+    return cut(both.select("ca", "cb", "ra", "rb").mapInPandas(verified, "ca long, cb long").distinct())
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id", plan: PivotPlan = NEAR) -> DataFrame:
-    """(doc_id, group_id): documents whose SimHash similarity on runs of five words is 0.8 or more.
+    """(doc_id, group_id): documents that are alike by 0.8 or more in their runs of five words, by either of two measures.
+
+    1. The cosine that a 256-bit fingerprint of the runs estimates: cos(pi * bits / 256). At a cosine of 0.8 a fifth
+       of the bits differ, for which no exact index exists, so the candidates are found, not all of them, by the
+       keys of a second fingerprint, on runs of two words, that changes less: 168 bits in 14 blocks of 12, any two
+       blocks agreeing.
+    2. The Jaccard similarity of the sets of runs. Every pair that the first measure has not joined is found, by an
+       exact prefix join: of a set's runs in one order for all texts the first fifth is looked up. Runs that are
+       frequent in a sample come last in this order, which spares work and changes no result.
 
-    Similarity is the cosine that a 256-bit fingerprint of the runs estimates: cos(pi * bits / 256). At a cosine
-    of 0.8 a fifth of the bits differ, for which no exact index exists, so the candidates come from the pivot
-    tables of a second fingerprint, on runs of two words, that changes less: 144 bits in 12 blocks of 12, any
-    two blocks agreeing. Exact copies meet first, by their text, and need no fingerprint. group_id is the
-    smallest doc_id of the group. Null and empty texts are one group; rows that repeat a doc_id share a group.
+    Exact copies meet first, by their text, and need no fingerprint. group_id is the smallest doc_id of the
+    group. Null and empty texts are one group; rows that repeat a doc_id share a group.
 
     From some ten million different texts on, 24 bits agree by chance so often that a ``plan`` with agree=3 and more
     blocks is the cheaper one.
@@ -295,21 +383,37 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int
     hashed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("t"), F.struct(*same).alias("same"))
     ids = cut(hashed.select("doc_id", "same"))
     first = cut(ids.groupBy("same").agg(F.min("doc_id").alias("least")).select(F.xxhash64("same").alias("id"), "same", "least"))
+    texts = hashed.select("doc_id", F.xxhash64("same").alias("id"), "t")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.empty(0, np.int64)
+        for pdf in batches:
+            yield pd.DataFrame({"h": np.concatenate([none, *(_run_set(shingle_hashes(lower_words(t), shingle), none) for t in pdf["t"])])})
+
+    sample = texts.where(F.pmod("id", F.lit(max(1, first.count() // SAMPLE))) == 0).dropDuplicates(["id"])
+    often = sample.mapInPandas(counted, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
+    common = np.sort(np.array([r["h"] for r in often.collect()], np.int64))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for t in pdf["t"]:
                 words = lower_words(t)
-                rows.append((fingerprint(shingle_hashes(words, 2), width).tobytes(), fingerprint(shingle_hashes(words, shingle), 256).tobytes()))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "id": pdf["id"], "fp": [r[0] for r in rows], "check": [r[1] for r in rows]})
+                hashes = shingle_hashes(words, shingle)
+                runs = _run_set(hashes, common)
+                rows.append((fingerprint(shingle_hashes(words, 2), width).tobytes(), fingerprint(hashes, 256).tobytes(), len(runs), _prefix(runs, similarity)))
+            columns = {c: [r[k] for r in rows] for k, c in enumerate(("fp", "check", "n", "prefix"))}
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "id": pdf["id"]} | columns)
 
-    every = hashed.select("doc_id", F.xxhash64("same").alias("id"), "t").mapInPandas(prints, f"doc_id {kind}, id long, fp binary, check binary")
+    every = texts.mapInPandas(prints, f"doc_id {kind}, id long, fp binary, check binary, n int, prefix array<long>")
     kept = first.select("id", F.col("least").alias("doc_id"))
-    items = cut(every.join(kept.withColumnRenamed("doc_id", "least"), "id").where("doc_id <=> least").select("id", "fp", "check").dropDuplicates(["id"]))
+    items = cut(every.join(kept.withColumnRenamed("doc_id", "least"), "id").where("doc_id <=> least").drop("doc_id", "least").dropDuplicates(["id"]))
     found = cut(links(items, plan, limit, verify_bits=limit).distinct())
     comp = components(found).withColumnRenamed("node", "id")
-    tagged = cut(first.join(comp, "id", "left").select("same", "least", F.coalesce("comp", "id").alias("comp")))
+    classes = cut(items.select("id", "n", "prefix").join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "prefix"))
+    merged = components(similar_sets(classes, texts.select("id", "t"), common, similarity, shingle).toDF("a", "b")).toDF("comp", "into")
+    whole = classes.select("id", "comp").join(merged, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp"))
+    tagged = cut(first.join(whole, "id").select("same", "least", "comp"))
     roots = cut(tagged.groupBy("comp").agg(F.min("least").alias("group_id")))
     labels = cut(tagged.join(roots, "comp").select("same", "group_id"))
     return ids.join(labels, "same").select("doc_id", "group_id")

@@ -167,6 +167,35 @@ def test_near_duplicates(spark):
     assert len(set(ids)) == len(ids) and {10 * i for i in range(60)} <= set(ids) and None in ids
 
 
+def edited(rng, i):
+    """A text and a near copy at a Jaccard similarity from 0.80 to 0.85: a block of words replaced, or words appended."""
+    w = words(rng, (200, 600)[i % 2]).split()
+    n = len(w)
+    if i % 3 == 0:
+        k, at = int(0.08 * n), rng.randrange(int(0.9 * n))
+        copy = w[:at] + [f"new{i}x{j}" for j in range(k)] + w[at + k :]
+    else:
+        copy = w + [f"more{i}x{j}" for j in range(int((0, 0.2, 0.23)[i % 3] * n))]
+    return " ".join(w), " ".join(copy)
+
+
+@pytest.mark.parametrize("tile", [256, 4])
+def test_near_duplicates_of_contiguous_edits_and_appended_passages(spark, monkeypatch, tile):
+    """Every pair is found, also where a passage that many texts share fills their prefixes."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng, rows = random.Random(12), []
+    licence = words(rng, 30)
+    for i in range(120):
+        a, b = edited(rng, i)
+        if i % 4 == 3:
+            a, b = licence + " " + a, licence + " " + b
+        assert 0.8 <= jaccard(a, b) <= 0.87
+        rows += [(10 * i, a), (10 * i + 1, b), (10 * i + 5, words(rng, 150) + " " + licence)]
+    group = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(table(spark, rows)).collect()}
+    assert [i for i in range(120) if group[10 * i] != group[10 * i + 1]] == []
+    assert all(group[10 * i + 5] == 10 * i + 5 for i in range(120))
+
+
 def brute_windows(rows, width):
     order, first = sorted(((common_id(d), d, t) for d, t in rows), key=lambda x: x[0]), {}
     for key, _, t in order:
