@@ -26,8 +26,8 @@ _NAMES = sorted({n for x in GIVEN.values() for n in x}, key=lambda n: (-len(n),
 #: Types in the order in which they are tried at one place, with their patterns.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)+",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[a-f]*\d)[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)",
@@ -60,7 +60,8 @@ def _kind(mention: Column) -> Column:
 def _norm(mention: Column, kind: Column) -> Column:
     """The form in which spellings of one entity are equal."""
     packed = F.regexp_replace(mention, r"[ ().\-]", "")
-    return F.when(kind == "email", F.lower(mention)).when(kind.isin("ip", "secret", "name"), mention).otherwise(packed)
+    lower = (kind == "email") | ((kind == "secret") & mention.rlike(r"\A[0-9A-Fa-f]+\z"))
+    return F.when(lower, F.lower(mention)).when(kind.isin("ip", "secret", "name"), mention).otherwise(packed)
 
 
 def _nibbles(seed: Column, n: int = 3) -> Column:
@@ -170,7 +171,7 @@ def _rendered(mention: Column, kind: Column, replaced: Column) -> Column:
 
     spaced = F.array_join(F.transform(chars, one), "")
     cased = F.when(mention == F.upper(mention), F.upper(replaced)).otherwise(replaced)
-    return F.when(kind == "email", cased).when(kind.isin("ip", "secret", "name"), replaced).otherwise(spaced)
+    return F.when(kind.isin("email", "secret"), cased).when(kind.isin("ip", "name"), replaced).otherwise(spaced)
 
 
 def replace_personal_data(docs: DataFrame, key: str = "surrogates", text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -502,6 +502,17 @@ def test_surrogates(spark):
     assert pii.replace_personal_data(table(spark, rows).limit(0)).count() == 0
 
 
+def test_secrets_of_either_case(spark):
+    """An upper-cased token is the entity of its original, also one that begins like an IBAN; no spelling stays."""
+    tokens = ["9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "de89370400440532013000aabbccddee"]
+    rows = [(10 * k + i, f'TOKEN = "{f}" and {f}.') for k, t in enumerate(tokens) for i, f in enumerate((t, t.upper(), t[:20].upper() + t[20:]))]
+    by = {r["doc_id"]: r for r in pii.replace_personal_data(table(spark, rows)).collect()}
+    for k, t in enumerate(tokens):
+        low, up, mixed = (re.search(r"[0-9A-Fa-f]{32,}", by[10 * k + i]["text"])[0] for i in range(3))
+        assert all(by[10 * k + i]["n_mentions"] == 2 and t not in by[10 * k + i]["text"].lower() for i in range(3))
+        assert low == low.lower() and up == low.upper() and mixed.lower() == low and len(low) == len(t)
+
+
 def test_surrogates_that_meet_are_hashed_again(spark):
     names = [("name", f"Anna {chr(97 + i % 26)}") for i in range(26)]
     df = spark.createDataFrame(names, "kind string, norm string")
