@@ -125,6 +125,10 @@ def growth_rate(panel: Panel, y: str, method: str = "rel_change", h: int = 7, lo
     if not na_rm and validate and not df.where("__y is null").limit(1).isEmpty():
         warnings.warn(f"{method} leaves out values that are missing or not finite", stacklevel=2)
     options = params or GrowthParams()
+    if method == "smooth_spline":
+        plain = GrowthParams()
+        if any(getattr(options, o) != getattr(plain, o) for o in ("cv", "spar", "all_knots", "df_offset", "penalty")):
+            raise PanelError("the smoothing spline has no cv, spar, all_knots, df_offset or penalty; give df or lam")
     if method == "trend_filter":
         options = options.for_trend_filter()
         if options.family != "gaussian":

@@ -192,3 +192,10 @@ def test_outliers_by_decomposition_and_by_function(spark):
         p.detect_outliers("y", combiner="mode")
     with pytest.raises(PanelError):
         p.detect_outliers("y", [Method(lambda x: 1, "a")])
+
+
+@pytest.mark.parametrize("option", [{"cv": True}, {"spar": 0.5}, {"all_knots": True}, {"df_offset": 1}, {"penalty": 2}])
+def test_spline_refuses_options_it_does_not_have(spark, option):
+    df = spark.createDataFrame([("a", i, float(i + 1)) for i in range(8)], "geo_value string, time_value int, v double")
+    with pytest.raises(PanelError, match="smoothing spline"):
+        Panel.from_df(df, as_of=9).growth_rate("v", method="smooth_spline", params=GrowthParams(**option))
