@@ -1,10 +1,12 @@
 """Benchmark decontamination by winnowing.
 
 Of every benchmark item the least hash of K words among each SPAN neighbouring positions is kept; the same is done
-to the documents. K + SPAN - 1 = 13, so any 13 shared words contain a fingerprint kept on both sides. Fingerprints
-of documents are joined with those of the items, and each hit is extended over the whole diagonal of
-the two word sequences; runs of 13 equal words or more are hits. Items of fewer than 13 words are one window each, and
-are kept as that window's hash, by length.
+to the documents. K + SPAN - 1 = 13, so any 13 shared words contain a fingerprint kept on both sides. An item of fewer
+than 13 words has one fingerprint, the hash of all its words, which is looked up at every position. Fingerprints of documents
+are joined with those of the items in Spark, and each hit is extended over the whole diagonal of the two word
+sequences; runs of 13 equal words (or of all words of a shorter item) are hits.
+
+What happens to a text depends on the text alone, so results are kept by 128 bits of it and equal texts are matched once.
 """
 
 from __future__ import annotations
@@ -13,79 +15,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import WordHasher, alnum_words, cut, rolling
+from revpanel.llm.common import WordHasher, alnum_words, cut, mix64, rolling
 from revpanel.llm.repeats import minimisers
+from revpanel.llm.simhash import text_key
 
 WINDOW, K = 13, 8
 SPAN = WINDOW - K + 1
-#: Words of benchmark items that are broadcast at once; a larger benchmark is matched block by block.
-BLOCK_WORDS = 2_000_000
-
-
-class BenchmarkIndex:
-    """Fingerprints of one block of items."""
-
-    def __init__(self, rows: list[tuple[object, str | None]]):
-        hasher, same = WordHasher(), {}
-        for item, text in rows:
-            words = alnum_words(text)
-            if words:
-                same.setdefault(hasher(words).tobytes(), set()).update([] if item is None else [str(item)])
-        self.words = [np.frombuffer(b, np.uint64) for b in same]
-        self.ids = [sorted(x) for x in same.values()]
-        keys, at, short = [], [], {}
-        for i, w in enumerate(self.words):
-            if len(w) < WINDOW:
-                short.setdefault(len(w), {})[int(rolling(w, len(w))[0])] = i
+#: Bits of the filter of benchmark fingerprints that goes to all tasks, whatever the size of the benchmark.
+FILTER_BITS, CHUNK = 1 << 26, 1 << 16
+
+
+def _at_all(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, different from those of other sizes."""
+    return mix64(rolling(words, size) ^ np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of an item's fingerprints."""
+    if len(words) < WINDOW:
+        return (_at_all(words, len(words)), np.zeros(1, np.int64)) if len(words) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    h = _at_all(words, K)
+    p = minimisers(h, SPAN)
+    return h[p], p
+
+
+def candidates(words: np.ndarray, sizes: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions in a document that may be fingerprints of the benchmark."""
+    hs, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for size in (0, *sizes):
+        if size == 0:
+            if len(words) < WINDOW:
                 continue
-            h = rolling(w, K)
-            p = minimisers(h, SPAN)
-            keys.append(h[p])
-            at.append(np.stack([np.full(len(p), i), p], 1))
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.at = self.keys[order], (np.concatenate(at) if at else np.empty((0, 2), np.int64))[order]
-        self.short = {n: (np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)])) for n, x in sorted(short.items())}
-
-    def match(self, words: np.ndarray) -> tuple[np.ndarray, set[int]]:
-        """Which words are hit, and which (distinct) items have an occurring window."""
-        n, items = len(words), set()
-        steps = np.zeros(n + 1, np.int64)
-        if n >= WINDOW and len(self.keys):
-            h = rolling(words, K)
-            p = minimisers(h, SPAN)
-            lo, hi = np.searchsorted(self.keys, h[p]), np.searchsorted(self.keys, h[p], "right")
-            done = set()
-            for k in np.flatnonzero(hi > lo):
-                for i, q in self.at[lo[k] : hi[k]]:
-                    shift = int(p[k]) - int(q)
-                    if (i, shift) in done:
-                        continue
-                    done.add((i, shift))
-                    item = self.words[i]
-                    a, b = max(0, shift), min(n, shift + len(item))
-                    equal = np.r_[False, words[a:b] == item[a - shift : b - shift], False].astype(np.int8)
-                    edge = np.flatnonzero(np.diff(equal))
-                    for s, e in zip(edge[::2], edge[1::2]):
-                        if e - s >= WINDOW:
-                            items.add(int(i))
-                            steps[a + s] += 1
-                            steps[a + e] -= 1
-        for size, (keys, index) in self.short.items():
-            if n < size:
-                break
-            h = rolling(words, size)
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = np.flatnonzero(keys[k] == h)
-            if len(hit):
-                items.update(index[np.unique(k[hit])].tolist())
-                np.add.at(steps, hit, 1)
-                np.add.at(steps, hit + size, -1)
-        return np.cumsum(steps[:n]) > 0, items
+            h, p = fingerprints(words)
+        else:
+            h = _at_all(words, size)
+            p = np.arange(len(h))
+        on = _slot(h)
+        ok = (bits[on >> 3] >> (on & 7).astype(np.uint8)) & 1 > 0
+        hs.append(h[ok])
+        at.append(p[ok])
+    return np.concatenate(hs), np.concatenate(at)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def extended(words: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int]]:
+    """Runs [start, end) of the document that equal the item at this shift, of 13 words or the whole of a shorter item."""
+    a, b = max(0, shift), min(len(words), shift + len(item))
+    if b <= a:
+        return []
+    edge = np.flatnonzero(np.diff(np.r_[False, words[a:b] == item[a - shift : b - shift], False].astype(np.int8)))
+    least = min(WINDOW, len(item))
+    return [(a + int(s), a + int(e)) for s, e in zip(edge[::2], edge[1::2]) if e - s >= least]
 
 
 def _edges(hit: np.ndarray) -> tuple[list, list]:
@@ -93,94 +79,115 @@ def _edges(hit: np.ndarray) -> tuple[list, list]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
-def _blocks(benchmark: DataFrame, text: str, item_id: str) -> tuple[int, DataFrame]:
+def _items(benchmark: DataFrame, text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
+    """(iid, words binary, item_ids array<string>): a row for each different sequence of words; (h, iid, at): its fingerprints."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher()
+        for pdf in batches:
+            out = pdf.assign(words=[hasher(alnum_words(t)).tobytes() for t in pdf["text"]])
+            yield out.loc[out["words"].str.len() > 0, ["item_id", "words"]]
+
     plain = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), F.col(f"`{text}`").alias("text"))
-    size = plain.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    return max(1, -(-size // (6 * BLOCK_WORDS))), plain
+    same = plain.mapInPandas(hashed, "item_id string, words binary").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    items = cut(same.withColumn("iid", F.monotonically_increasing_id()))
+
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, w in zip(pdf["iid"], pdf["words"]):
+                h, p = fingerprints(np.frombuffer(w, np.uint64))
+                yield pd.DataFrame({"h": h.view(np.int64), "iid": i, "at": p})
 
+    return items, cut(items.select("iid", "words").mapInPandas(prints, "h long, iid long, at long"))
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted ids), contaminated, starts, ends (hit intervals in words).
 
-    A document word inside any occurrence of an item's window (13 words in a row, or the whole of a shorter item) is hit;
-    contaminated: n_hit > 0 and share * n_hit >= n_words. Whole texts; null or empty texts and items have no
-    words. Items with a null id hit words but are not listed. Rows that repeat a document are each returned. Empty
-    tables give no rows or no hits. The benchmark is broadcast in blocks of bounded size, each matched with all documents.
-    """
-    spark = docs.sparkSession
+def _filter(prints: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, 1 where a fingerprint may be: gathered in chunks, so that its size does not depend on the benchmark's."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for pdf in batches:
+            on = _slot(pdf["h"].to_numpy().view(np.uint64))
+            np.bitwise_or.at(bits, on >> 3, (1 << (on & 7)).astype(np.uint8))
+        for at in range(0, len(bits), CHUNK):
+            if bits[at : at + CHUNK].any():
+                yield pd.DataFrame({"at": [at], "bits": [bits[at : at + CHUNK].tobytes()]})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in prints.select("h").mapInPandas(partial, "at long, bits binary").groupBy("at").applyInPandas(merged, "at long, bits binary").toLocalIterator():
+        bits[r["at"] : r["at"] + CHUNK] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2, n_words), a row per document; (h1, h2, n_hit, items, starts, ends), a row per different text with hits."""
+    items, prints = _items(benchmark, text, item_id)
+    # At most WINDOW - 1 lengths of items shorter than a window.
+    sizes = [int(r["n"]) for r in items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(f"n < {WINDOW}").distinct().collect()]
+    shared = docs.sparkSession.sparkContext.broadcast((sorted(sizes), _filter(prints)))
     kind = docs.schema[doc_id].dataType.simpleString()
-    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    n_blocks, bench = _blocks(benchmark, text, item_id)
-    schema = f"doc_id {kind}, same long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>"
-    parts = None
-    for k in range(n_blocks):
-        block = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        index = spark.sparkContext.broadcast(BenchmarkIndex(sorted(((r["item_id"], r["text"]) for r in block.toLocalIterator()), key=str)))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            hasher, found = WordHasher(), index.value
-            for pdf in batches:
-                rows = []
-                for d, same, t in zip(pdf["doc_id"], pdf["same"], pdf["text"]):
-                    words = hasher(alnum_words(t))
-                    hit, items = found.match(words)
-                    names = sorted({x for i in items for x in found.ids[i]})
-                    rows.append((d, same, len(words), int(hit.sum()), names, *_edges(hit)))
-                yield pd.DataFrame(rows, columns=["doc_id", "same", "n_words", "n_hit", "items", "starts", "ends"])
-
-        part = plain.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInPandas(run, schema)
-        parts = part if parts is None else parts.union(part)
-    if n_blocks > 1:
-        parts = _joined(parts, n_blocks, schema)
-    contaminated = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
-    return parts.select("doc_id", "n_words", "n_hit", "items", contaminated.alias("contaminated"), "starts", "ends")
+    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *text_key(text), F.col(f"`{text}`").alias("text"))
 
+    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, (short, bits) = WordHasher(), shared.value
+        for pdf in batches:
+            words = [hasher(alnum_words(t)) for t in pdf["text"]]
+            found = [candidates(w, short, bits) for w in words]
+            yield pdf[["doc_id", "h1", "h2"]].assign(n_words=[len(w) for w in words], h=[x[0].view(np.int64) for x in found], p=[x[1] for x in found])
+
+    every = cut(plain.mapInPandas(looked_up, f"doc_id {kind}, h1 long, h2 long, n_words long, h array<long>, p array<long>"))
+    ones = every.where("size(h) > 0").select("h1", "h2", F.explode(F.arrays_zip("h", "p")).alias("x")).select("h1", "h2", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
+    pairs = cut(ones.join(prints, "h").select("h1", "h2", "iid", (F.col("p") - F.col("at")).alias("shift")).distinct())
+    wanted = pairs.select("h1", "h2").distinct()
+    texts = plain.select("h1", "h2", "text").join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    against = pairs.join(items, "iid").select("h1", "h2", "shift", "words", "item_ids")
+
+    def extend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["h1", "h2", "n_hit", "items", "starts", "ends"]
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=columns)
+        words, names = WordHasher()(alnum_words(left["text"].iloc[0])), set()
+        steps = np.zeros(len(words) + 1, np.int64)
+        for shift, w, ids in zip(right["shift"], right["words"], right["item_ids"]):
+            for s, e in extended(words, np.frombuffer(w, np.uint64), int(shift)):
+                names.update(ids)
+                steps[s] += 1
+                steps[e] -= 1
+        hit = np.cumsum(steps[:-1]) > 0
+        if not hit.any():
+            return pd.DataFrame(columns=columns)
+        return pd.DataFrame([(left["h1"].iloc[0], left["h2"].iloc[0], int(hit.sum()), sorted(names), *_edges(hit))], columns=columns)
+
+    schema = "h1 long, h2 long, n_hit long, items array<string>, starts array<long>, ends array<long>"
+    return every.select("doc_id", "h1", "h2", "n_words"), cut(texts.groupBy("h1", "h2").cogroup(against.groupBy("h1", "h2")).applyInPandas(extend, schema))
 
-def _joined(parts: DataFrame, n_blocks: int, schema: str) -> DataFrame:
-    """Results of all blocks as one row per document."""
-    lists = parts.groupBy("doc_id", "same", "n_words").agg(
-        (F.count("*") / n_blocks).cast("int").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("starts")).alias("starts"),
-        F.flatten(F.collect_list("ends")).alias("ends"),
-    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                steps = np.zeros(r.n_words + 1, np.int64)
-                np.add.at(steps, np.asarray(r.starts, np.int64), 1)
-                np.add.at(steps, np.asarray(r.ends, np.int64), -1)
-                hit = np.cumsum(steps[: r.n_words]) > 0
-                rows += [(r.doc_id, r.same, r.n_words, int(hit.sum()), list(r.items), *_edges(hit))] * r.copies
-            yield pd.DataFrame(rows, columns=["doc_id", "same", "n_words", "n_hit", "items", "starts", "ends"])
+def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, items (sorted ids), contaminated, starts, ends (hit intervals in words).
 
-    return lists.mapInPandas(run, schema)
+    A document word inside any occurrence of an item's window (13 words in a row, or the whole of a shorter item) is hit;
+    contaminated: n_hit > 0 and share * n_hit >= n_words. Whole texts of any length; null or empty texts and items have no
+    words. Items with a null id hit words but are not listed. Rows that repeat a document are each returned, as are null
+    ids; items that repeat count once. Empty tables give no rows or no hits; other columns are not read. The benchmark is
+    joined by its fingerprints at every size; only a filter of FILTER_BITS bits goes to all tasks.
+    """
+    every, found = hits(docs, benchmark, text, doc_id, item_id)
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>")).alias(c)
+    out = every.join(found, ["h1", "h2"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
+    contaminated = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+    return out.select("doc_id", "n_words", "n_hit", none("items", "string"), contaminated.alias("contaminated"), none("starts", "long"), none("ends", "long"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, share: int = 20, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """The documents that are not contaminated, with all their columns.
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+    """The documents without any benchmark window, with all their columns.
 
-    A benchmark of one block filters the rows where they are; else documents are dropped by their id and text.
+    A passage of a benchmark spoils a long document as it does a short one, so one hit is enough. Documents without words
+    (null or empty) stay, as do rows that repeat and null ids; an empty benchmark drops nothing, an empty table stays empty.
     """
-    n_blocks, bench = _blocks(benchmark, text, item_id)
-    if n_blocks > 1:
-        found = contamination(docs.select(F.struct(F.col(f"`{doc_id}`"), F.xxhash64(f"`{text}`")).alias("doc_id"), F.col(f"`{text}`").alias("text")), benchmark, share, item_id=item_id)
-        bad = cut(found.where("contaminated").select(F.xxhash64("doc_id").alias("__bad")).distinct())
-        own = F.xxhash64(F.struct(F.col(f"`{doc_id}`"), F.xxhash64(f"`{text}`")))
-        return docs.join(bad, own == F.col("__bad"), "left_anti")
-    index = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(sorted(((r["item_id"], r["text"]) for r in bench.toLocalIterator()), key=str)))
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, found = WordHasher(), index.value
-        for batch in batches:
-            stay = []
-            for t in batch.column(at).to_pylist():
-                words = hasher(alnum_words(t))
-                n = int(found.match(words)[0].sum())
-                stay.append(not n or share * n < len(words))
-            yield batch.filter(pa.array(stay, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    _, found = hits(docs, benchmark, text, doc_id, item_id)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*names).alias("row"), *text_key(text))
+    return marked.join(found.select("h1", "h2"), ["h1", "h2"], "left_anti").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import cut
+from revpanel.llm.common import cut, forget
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -30,10 +30,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = cut(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
-        least = cut(large.groupBy("b").agg(F.min("a").alias("m")))
-        joined = large.join(least, "b")
-        small = joined.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b"))
-        now = cut(small.distinct())
+        lower = cut(large.groupBy("b").agg(F.min("a").alias("m")))
+        joined = large.join(lower, "b")
+        small = joined.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(lower.select(F.col("m").alias("a"), "b"))
+        old, now = now, cut(small.distinct())
+        forget(old, least, large, lower)
         after = _digest(now)
         if after == before:
             break

@@ -1,13 +1,14 @@
 """SimHash near-duplicates found with pivot distance tables.
 
-A fingerprint is cut into blocks. For each block there are reference patterns (the pivots), and the
-table of a fingerprint holds the Hamming distances between its blocks and their pivots. By the
-triangle inequality the largest coordinate difference within a block is a lower bound of the bits in
-which that block differs; the bounds of disjoint blocks add up. So two fingerprints within d bits
-must have difference 0 in all but d blocks: rows that agree in all coordinates of ``agree`` blocks meet
-through an equi-join on those coordinates, pairs whose summed bound exceeds d are discarded from the
-tables alone, and the survivors are verified on the fingerprints themselves. The table is never joined
-with itself freely and no bucket emits all its pairs: a bucket emits a spanning star per local component.
+The table of a fingerprint holds its Hamming distances to a number of reference fingerprints (the pivots). By the triangle
+inequality the largest difference between two fingerprints' coordinates is a lower bound of the bits in which they
+differ: pairs over the limit are discarded by it, and the survivors are verified on the fingerprints themselves.
+
+Pairs are looked at only within buckets. For links of d bits or fewer (``simhash_classes``) the references are cut into the
+blocks of the fingerprints: two fingerprints within d bits have the same distances to all references in all but d
+blocks, so rows meet that agree in the coordinates of ``agree`` blocks. For a similarity of 0.8 (``near_duplicate_groups``),
+where a fifth of the bits may differ, texts meet that share one of their least five-word runs, and the references of a
+bucket are members of it. No bucket emits all its pairs, only links that span what is connected in it.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import cursors, cut, grouped_batches, lower_words, mix64, plain_words, shingle_hashes, with_text
+from revpanel.llm.common import WordHasher, alnum_words, cursors, cut, forget, grouped_batches, lower_words, mix64, plain_words, rolling, shingle_hashes
 from revpanel.llm.graph import components
 
-#: Members of one bucket tile; larger buckets are dealt out as pairs of tiles.
+#: Members of one bucket tile; larger buckets are dealt out over tiles.
 TILE = 256
-#: Tiles that a member may meet on average before the plan is made finer.
-DENSE = 8
+#: References of a bucket, where these are members of it.
+REFERENCES = 4
 _CHUNK = 1 << 16
 
 
@@ -65,12 +66,12 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, lower: bool = True, tex
 
 @dataclass(frozen=True)
 class PivotPlan:
-    """How a key fingerprint of ``bits`` bits is cut into blocks and how many blocks must agree."""
+    """Reference fingerprints, the blocks into which they and all others are cut, and how many blocks must agree."""
 
     bits: int = 64
     blocks: int = 5
     agree: int = 2
-    pivots: int = 16
+    pivots: int = 32
     seed: int = 11
     widths: tuple[int, ...] = field(init=False)
     combos: tuple[tuple[int, ...], ...] = field(init=False)
@@ -90,24 +91,14 @@ class PivotPlan:
             blocks += 1
         return cls(bits=bits, blocks=blocks, agree=blocks - max_bits)
 
-    def finer(self, max_bits: int) -> PivotPlan | None:
-        """The lossless plan with one more block, whose buckets are smaller and more; None at 11 blocks."""
-        if self.agree != self.blocks - max_bits or self.blocks >= max_bits + 8:
-            return None
-        return PivotPlan(self.bits, self.blocks + 1, self.agree + 1, self.pivots, self.seed)
+    def references(self) -> np.ndarray:
+        """uint64[pivots, bits // 64]: random fingerprints."""
+        return np.random.default_rng(self.seed).integers(0, 1 << 64, (self.pivots, self.bits // 64), dtype=np.uint64)
 
     def tables(self) -> list[np.ndarray]:
-        """Per block: int8[2**width, pivots], the distance of every block value to every pivot.
-
-        The pivots are random patterns plus the zero and one-bit patterns, which make the coordinates of a
-        block tell its values apart.
-        """
-        rng, out = np.random.default_rng(self.seed), []
-        for w in self.widths:
-            refs = np.unique(np.r_[0, 1 << np.arange(w), rng.integers(0, 1 << w, self.pivots)]).astype(np.uint32)
-            values = np.arange(1 << w, dtype=np.uint32)
-            out.append(np.bitwise_count(values[:, None] ^ refs[None, :]).astype(np.int8))
-        return out
+        """Per block: int8[2**width, pivots], the distance of every block value to that block of every reference."""
+        refs = self.split(self.references())
+        return [np.bitwise_count(np.arange(1 << w, dtype=np.uint32)[:, None] ^ refs[None, :, b]).astype(np.int8) for b, w in enumerate(self.widths)]
 
     def split(self, fps: np.ndarray) -> np.ndarray:
         """uint64[n, words] -> block values uint32[n, blocks]."""
@@ -120,7 +111,7 @@ class PivotPlan:
         return out
 
     def keys(self, fps: np.ndarray) -> np.ndarray:
-        """int64[n, combos]: a digest of the combination and of the pivot coordinates of its blocks."""
+        """int64[n, combos]: a digest of the combination and of the coordinates of its blocks."""
         digests = []
         for table in self.tables():
             d = np.full(len(table), 0x1F83D9ABFB41BD6B, np.uint64)
@@ -137,33 +128,26 @@ class PivotPlan:
         return out.view(np.int64)
 
 
-def _words(blobs: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), -1)
+def distances(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """int16[n, pivots]: the pivot table."""
+    return np.stack([np.bitwise_count(fps ^ r).sum(1, dtype=np.int16) for r in refs], 1)
 
 
-class _Linker:
-    """Verified links within groups of fingerprints."""
-
-    def __init__(self, plan: PivotPlan | None, max_bits: int):
-        self.plan, self.max_bits = plan, max_bits
-        self.tables = plan.tables() if plan else []
-
-    def pairs(self, fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of the pairs (i, j) are links: first by the pivot tables, then by the fingerprints."""
-        keep = np.arange(len(i))
-        if self.plan:
-            values, bound = self.plan.split(fps), np.zeros(len(i), np.int16)
-            for b, table in enumerate(self.tables):
-                left, right = table[values[i[keep], b]], table[values[j[keep], b]]
-                bound = bound + np.abs(left - right).max(1)
-                near = bound <= self.max_bits
-                keep, bound = keep[near], bound[near]
-        far = np.bitwise_count(fps[i[keep]] ^ fps[j[keep]]).sum(1, dtype=np.int64)
-        out = np.zeros(len(i), bool)
-        out[keep[far <= self.max_bits]] = True
-        return out
+def linked_pairs(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which of the pairs (i, j) are links: first by the pivot table, then by the fingerprints."""
+    near = np.arange(len(i))
+    for p in range(0, table.shape[1], 8):
+        a, b = table[i[near], p : p + 8], table[j[near], p : p + 8]
+        near = near[np.abs(a - b).max(1, initial=0) <= max_bits]
+    far = np.bitwise_count(fps[i[near]] ^ fps[j[near]]).sum(1, dtype=np.int64)
+    out = np.zeros(len(i), bool)
+    out[near[far <= max_bits]] = True
+    return out
 
 
+def _words(blobs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), -1)
+
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least member reachable from each of n members over the links (i, j)."""
@@ -178,71 +162,96 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def links(items: DataFrame, plan: PivotPlan, max_bits: int, verify_bits: int | None = None) -> DataFrame:
-    """(id long, fp binary, check binary) -> (a long, b long): links that span every group of linked items.
+def _in_buckets(rows: DataFrame, max_bits: int, refs: np.ndarray | None) -> DataFrame:
+    """(key, t1, t2, id, comp, fp) -> (a, b): links that span what is connected in each bucket (key, t1, t2).
 
-    ``fp`` makes the keys. With ``verify_bits`` the links are verified on ``check`` within that many bits;
-    else on ``fp`` within ``max_bits``, which loses no link if the plan is exact. Ids must be distinct.
+    Pairs of one comp (not null) are not looked at. Without ``refs``, members of each bucket are its references.
     """
 
-    def keyed(batches: Iterator[pd.DataFrame], plan: PivotPlan) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                for at in range(0, len(pdf), 4096):
-                    part = pdf.iloc[at : at + 4096]
-                    k = plan.keys(_words(part["fp"]))
-                    yield pd.DataFrame({"key": k.ravel(), "id": np.repeat(part["id"].to_numpy(), k.shape[1])})
-
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    while True:
-        keys = items.select("id", "fp").mapInPandas(lambda it, p=plan: keyed(it, p), "key long, id long")
-        # Sizes of the buckets with company: partial counts, so a hot bucket is one row per task.
-        sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-        # Very many different fingerprints around one would meet in too many tiles: ask for more agreement.
-        work = sizes.agg(F.sum(F.col("n") * tiles).alias("rows"), F.sum("n").alias("members")).first()
-        finer = plan.finer(max_bits) if verify_bits is None and (work["rows"] or 0) > DENSE * (work["members"] or 0) else None
-        if finer is None:
-            break
-        plan = finer
-    own = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
-    met = (
-        keys.join(sizes, "key")
-        .select("key", "id", tiles.alias("c"))
-        .select("key", "id", "c", own.alias("own"))
-        .select("key", "id", "own", F.explode(F.expr("sequence(0, c - 1)")).alias("other"))
-        .select("key", "id", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"))
-    )
-    payload = F.col("fp") if verify_bits is None else F.col("check")
-    met = met.join(items.select("id", payload.alias("fp")), "id")
-    linker = _Linker(plan if verify_bits is None else None, max_bits if verify_bits is None else verify_bits)
-
-    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in grouped_batches(batches, ["key", "t1", "t2"]):
             ids, fps = pdf["id"].to_numpy(), _words(pdf["fp"])
+            comp = pdf["comp"].fillna(-1).to_numpy(np.int64) if pdf["comp"].isna().any() else pdf["comp"].to_numpy(np.int64)
             group = (pdf[["key", "t1", "t2"]].ne(pdf[["key", "t1", "t2"]].shift())).any(axis=1).to_numpy().cumsum()
             starts, ends = cursors(group)
             size = ends - starts
+            if refs is not None:
+                table = distances(fps, refs)
+            else:
+                first, last = np.repeat(starts, size), np.repeat(ends - 1, size)
+                table = np.stack([np.bitwise_count(fps ^ fps[np.minimum(first + r, last)]).sum(1, dtype=np.int16) for r in range(REFERENCES)], 1)
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+            def look(i: np.ndarray, j: np.ndarray) -> None:
+                open_ = (comp[i] != comp[j]) | (comp[i] < 0)
+                i, j = i[open_], j[open_]
+                ok = linked_pairs(fps, table, i, j, max_bits)
+                left.append(i[ok])
+                right.append(j[ok])
+
             # Buckets of up to 8: all pairs at once, one distance in the order after the other.
             small = np.repeat(size <= 8, size)
             for step in range(1, min(8, len(group))):
                 i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
-                ok = linker.pairs(fps, i, i + step)
-                left.append(i[ok])
-                right.append(i[ok] + step)
+                look(i, i + step)
             for s, e in zip(starts[size > 8], ends[size > 8]):
-                i, j = np.triu_indices(e - s, 1)
-                ok = linker.pairs(fps, s + i, s + j)
-                left.append(s + i[ok])
-                right.append(s + j[ok])
+                # In slabs, so that a bucket of any size takes bounded memory.
+                for at in range(s, e, TILE):
+                    i, j = np.meshgrid(np.arange(at, min(at + TILE, e)), np.arange(at, e), indexing="ij")
+                    i, j = i[i < j], j[i < j]
+                    look(i, j)
             # One row for each member that is not the least of its component, however many links it has.
             root = _roots(len(ids), np.concatenate(left), np.concatenate(right))
             at = np.flatnonzero(root != np.arange(len(ids)))
             if len(at):
                 yield pd.DataFrame({"a": ids[root[at]], "b": ids[at]}).drop_duplicates()
 
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "id").mapInPandas(grouped, "a long, b long")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "id").mapInPandas(run, "a long, b long")
+
+
+def linked(keys: DataFrame, items: DataFrame, max_bits: int, refs: np.ndarray | None = None) -> DataFrame:
+    """keys (key long, id long), items (id long, fp binary), ids distinct -> (node long, comp long): components of links.
+
+    Ids that share a key and whose fingerprints differ in ``max_bits`` or fewer bits are linked. Buckets of up to TILE members
+    are looked at whole. A larger one is dealt over tiles, with one member as the lead in all of them; only
+    where its members are then not all connected are the tiles of those connected with the lead set against
+    the others, and the others against each other. Nodes without links are not in the result.
+    """
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    prints, none = items.select("id", "fp"), F.lit(None).cast("long").alias("comp")
+    # Partial counts, so a hot bucket is one row per task.
+    lead = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))["id"]
+    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n"), lead.alias("lead")).where("n > 1").withColumn("c", tiles("n")))
+    members = cut(keys.join(sizes.select("key", "c"), "key").select("key", "id", "c", own("c").alias("t")))
+    leads = sizes.where("c > 1").select("key", F.col("lead").alias("id"), F.explode(F.expr("sequence(0, c - 1)")).alias("t"))
+    rows = members.select("key", "id", "t").union(leads).select("key", F.col("t").alias("t1"), F.lit(0).alias("t2"), "id", none)
+    found = cut(_in_buckets(rows.join(prints, "id"), max_bits, refs).distinct())
+    comp = components(found)
+    large = sizes.where("c > 1")
+    if large.isEmpty():
+        forget(sizes, members, found)
+        return comp
+    # The rest of the large buckets: pairs of different components only.
+    label = F.coalesce("comp", "id").alias("comp")
+    placed = cut(members.where("c > 1").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    major = large.select("key", F.col("lead").alias("id")).join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("comp", "id").alias("major"))
+    mixed = cut(mixed.join(major, "key"))
+    placed = placed.join(mixed, "key").withColumn("main", F.col("comp") == F.col("major"))
+    counts = cut(placed.groupBy("key").agg(F.count_if("main").alias("n1"), F.count_if(~F.col("main")).alias("n2")).select("key", tiles("n1").alias("c1"), tiles("n2").alias("c2")))
+    placed = cut(placed.join(counts, "key").select("key", "id", "comp", "main", "c1", "c2"))
+    ones = placed.where("main").select("key", "id", "comp", own("c1").alias("t1"), F.explode(F.expr("sequence(0, c2 - 1)")).alias("t2"))
+    others = placed.where("not main").withColumn("t", own("c2"))
+    against = others.select("key", "id", "comp", F.explode(F.expr("sequence(0, c1 - 1)")).alias("t1"), F.col("t").alias("t2"))
+    between = others.select("key", "id", "comp", "t", F.explode(F.expr("sequence(0, c2 - 1)")).alias("u"))
+    between = between.select("key", "id", "comp", (-1 - F.least("t", "u")).alias("t1"), F.greatest("t", "u").alias("t2"))
+    rows = ones.union(against).union(between).select("key", "t1", "t2", "id", "comp")
+    more = _in_buckets(rows.join(prints, "id"), max_bits, refs)
+    out = components(cut(found.union(more).distinct()))
+    forget(sizes, members, mixed, counts, placed, found)
+    return out
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, lower: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -256,179 +265,129 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, lower:
     prints = cut(with_fingerprints(docs, shingle, lower, text, doc_id))
     # Exact copies fall together here, before any pair is looked at.
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    n = distinct.count()
+    plan = PivotPlan.exact(distinct.count(), max_bits)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["fp"], "fp": [x.tobytes() for x in pdf["fp"].to_numpy()]})
 
-    items = distinct.select("fp").mapInPandas(packed, "id long, fp binary")
-    found = cut(links(items, PivotPlan.exact(n, max_bits), max_bits).distinct())
-    comp = components(found).withColumnRenamed("node", "fp")
-    tagged = cut(distinct.join(comp, "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp")))
+    found = linked(block_keys(distinct.select("fp"), plan), distinct.select("fp").mapInPandas(packed, "id long, fp binary"), max_bits, plan.references())
+    tagged = cut(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp")))
     roots = cut(tagged.groupBy("comp").agg(F.min("least").alias("component_id")))
     labels = cut(tagged.join(roots, "comp").select("fp", "component_id"))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Candidates of near_duplicate_groups: keys of two blocks, 24 bits.
-NEAR = PivotPlan(bits=168, blocks=14, agree=2, pivots=4)
-#: Texts whose runs are counted for the order of the prefixes, and runs that this order puts last, at most.
-SAMPLE, COMMON = 4000, 20_000
+def block_keys(prints: DataFrame, plan: PivotPlan) -> DataFrame:
+    """(fp long) -> (key long, id long): a row for each combination of blocks, id being the fingerprint."""
 
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 4096):
+                ids = pdf["fp"].to_numpy()[at : at + 4096]
+                k = plan.keys(ids.view(np.uint64).reshape(-1, 1))
+                yield pd.DataFrame({"key": k.ravel(), "id": np.repeat(ids, k.shape[1])})
 
-def _run_set(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """int64, ascending: the different runs of a text by 62 bits of their hashes, those of ``common`` after all others."""
-    h = np.unique(hashes >> np.uint64(2)).view(np.int64)
-    if len(common) and len(h):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        h = np.sort(h | (common[at] == h).astype(np.int64) << 62)
-    return h
+    return prints.mapInPandas(keyed, "key long, id long")
 
 
-def _prefix(runs: np.ndarray, similarity: float) -> np.ndarray:
-    """The first runs, of which two sets with a Jaccard similarity of ``similarity`` or more share one."""
-    return runs[: len(runs) - int(np.ceil(similarity * len(runs) - 1e-9)) + 1] if len(runs) else runs
+#: Bits of the fingerprints of near_duplicate_groups, and the runs by which a text is looked up.
+NEAR_BITS, LEAST_RUNS = 512, 32
+#: Texts whose runs are counted for the order of the runs, and runs that this order puts last, at most.
+SAMPLE, COMMON = 8000, 50_000
 
 
-def similar_sets(items: DataFrame, texts: DataFrame, common: np.ndarray, similarity: float, shingle: int) -> DataFrame:
-    """(ca long, cb long): pairs of classes with a pair of texts whose runs have a Jaccard similarity of ``similarity`` or more.
+def _runs(words: list[bytes], hasher: WordHasher, shingle: int) -> np.ndarray:
+    """Hashes of the runs of a text, repeats included; fewer words are one run."""
+    return rolling(hasher(words), min(shingle, len(words))) if words else np.empty(0, np.uint64)
 
-    ``items`` is (id, comp long, n int, prefix array<long>), ids distinct, and ``texts`` (id, t). No such pair is lost:
-    its prefixes share a run, and as many runs as the rest of the sets leaves open. Pairs of one class are not looked
-    at. Large buckets are dealt out as pairs of tiles.
-    """
-    keys = items.select("id", "comp", "n", F.explode("prefix").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sizes = cut(sizes.where("lo != hi").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("c")))
-    own = F.pmod(F.xxhash64("id"), F.col("c")).cast("int")
-    met = (
-        keys.join(sizes, "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.expr("sequence(0, c - 1)")))
-        .select("key", "id", "comp", "n", "own", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"))
-    )
-
-    def meeting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in grouped_batches(batches, ["key", "t1", "t2"]):
-            ids, comp, size, tile, t1, t2 = (pdf[c].to_numpy() for c in ("id", "comp", "n", "own", "t1", "t2"))
-            group = (pdf[["key", "t1", "t2"]].ne(pdf[["key", "t1", "t2"]].shift())).any(axis=1).to_numpy().cumsum()
 
-            def pairs(i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-                # Two members of one tile meet where both tiles are theirs, and only there.
-                ok = (comp[i] != comp[j]) & ((tile[i] != tile[j]) | (t1[i] == t2[i]))
-                ok &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
-                i, j = i[ok], j[ok]
-                return pd.DataFrame({"a": ids[i], "b": ids[j], "ca": comp[i], "cb": comp[j], "na": size[i], "nb": size[j]})
+def _look_up(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """int64: the runs by which a text is looked up, the first ones in an order that puts those of ``common`` last.
 
-            starts, ends = cursors(group)
-            small = np.repeat(ends - starts <= 8, ends - starts)
-            steps = [np.flatnonzero(small[:-k] & (group[:-k] == group[k:])) for k in range(1, min(8, len(group)))]
-            for k, i in enumerate(steps, 1):
-                yield pairs(i, i + k)
-            for s, e in zip(starts[ends - starts > 8], ends[ends - starts > 8]):
-                i, j = np.triu_indices(e - s, 1)
-                yield pairs(s + i, s + j)
-
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "id")
-    met = met.mapInPandas(meeting, "a long, b long, ca long, cb long, na int, nb int")
-    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("ca", "cb", "na", "nb")])
-    # What is shared outside the prefixes is at most what one of them leaves out.
-    rest = F.ceil(similarity * F.greatest("na", "nb") - 1e-9) - 1
-    need = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
-    pairs = cut(shared.where(F.col("shared") + rest >= need).select("a", "b", "ca", "cb"))
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "runs": [_run_set(shingle_hashes(lower_words(t), shingle), common).tobytes() for t in pdf["t"]]})
-
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = np.zeros(len(pdf), bool)
-            for k, (a, b) in enumerate(zip(pdf["ra"], pdf["rb"])):
-                a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                ok[k] = shared >= similarity * (len(a) + len(b) - shared) - 1e-9
-            yield pdf.loc[ok, ["ca", "cb"]]
-
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    runs = cut(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id long, runs binary"))
-    both = pairs.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
-    return cut(both.select("ca", "cb", "ra", "rb").mapInPandas(verified, "ca long, cb long").distinct())
-
-
-def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id", plan: PivotPlan = NEAR) -> DataFrame:
-    """(doc_id, group_id): documents that are alike by 0.8 or more in their runs of five words, by either of two measures.
-
-    1. The cosine that a 256-bit fingerprint of the runs estimates: cos(pi * bits / 256). At a cosine of 0.8 a fifth
-       of the bits differ, for which no exact index exists, so the candidates are found, not all of them, by the
-       keys of a second fingerprint, on runs of two words, that changes less: 168 bits in 14 blocks of 12, any two
-       blocks agreeing.
-    2. The Jaccard similarity of the sets of runs. Every pair that the first measure has not joined is found, by an
-       exact prefix join: of a set's runs in one order for all texts the first fifth is looked up. Runs that are
-       frequent in a sample come last in this order, which spares work and changes no result.
-
-    Exact copies meet first, by their text, and need no fingerprint. group_id is the smallest doc_id of the
-    group. Null and empty texts are one group; rows that repeat a doc_id share a group.
-
-    From some ten million different texts on, 24 bits agree by chance so often that a ``plan`` with agree=3 and more
-    blocks is the cheaper one.
+    Of two sets of runs with a cosine of ``similarity`` or more one of the first n - similarity**2 * n + 1 is shared, in
+    whatever order (prefix filter). Hashes are in random order, and at least 0.64 of the union is shared, so that
+    already LEAST_RUNS share none with a probability under 0.36**32 = 7e-15; under 0.5**32 = 3e-10 if up to a seventh of the runs
+    are put last. Texts with more of these are looked up by all.
     """
-    limit = int(np.floor(np.arccos(similarity) / np.pi * 256))
+    h = np.unique(hashes >> np.uint64(2)).view(np.int64)
+    n, last = len(h), 0
+    if n and len(common):
+        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        last = int(often.sum())
+        h = np.sort(h | often.astype(np.int64) << 62)
+    first = n - int(np.ceil(similarity**2 * n - 1e-9)) + 1
+    return h[: first if 7 * last > n else min(first, LEAST_RUNS)]
+
+
+def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, h1 long, h2 long, group_id, keep boolean): groups of documents alike by 0.8 or more, one row per document.
+
+    Alike are texts whose 512-bit SimHash fingerprints of five-word runs estimate a cosine of ``similarity`` or more:
+    cos(pi * bits / 512). Words are lower-cased runs of ASCII letters, digits and all other characters from U+0080 on, so
+    that case and punctuation hide no copy; fewer words make one run. Candidates share one of the runs of
+    ``_look_up``; the order of runs comes from a bounded sample, which spares work and changes no result.
+
+    Exact copies meet first, by 128 bits of their text, and are alike whatever they hold; a null text is an empty one. Texts
+    without words are like their copies only. group_id is the smallest doc_id of the group, null if it has no
+    other. ``keep`` marks the rows of one doc_id and text of each group: the smallest doc_id, nulls last. Rows that repeat a
+    doc_id are grouped by their texts. An empty table gives an empty result; columns other than the two are not read.
+    """
+    limit = int(np.floor(np.arccos(similarity) / np.pi * NEAR_BITS))
     kind = docs.schema[doc_id].dataType.simpleString()
-    width = -(-plan.bits // 64) * 64
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    same = [F.xxhash64(body), F.crc32(body.cast("binary")), F.octet_length(body)]
-    hashed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("t"), F.struct(*same).alias("same"))
-    ids = cut(hashed.select("doc_id", "same"))
-    first = cut(ids.groupBy("same").agg(F.min("doc_id").alias("least")).select(F.xxhash64("same").alias("id"), "same", "least"))
-    texts = hashed.select("doc_id", F.xxhash64("same").alias("id"), "t")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("t"), *text_key(text))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.empty(0, np.int64)
+        hasher = WordHasher()
         for pdf in batches:
-            yield pd.DataFrame({"h": np.concatenate([none, *(_run_set(shingle_hashes(lower_words(t), shingle), none) for t in pdf["t"])])})
+            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *(np.unique(_runs(alnum_words(t), hasher, shingle) >> np.uint64(2)).view(np.int64) for t in pdf["t"])])})
 
-    sample = texts.where(F.pmod("id", F.lit(max(1, first.count() // SAMPLE))) == 0).dropDuplicates(["id"])
-    often = sample.mapInPandas(counted, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
-    common = np.sort(np.array([r["h"] for r in often.collect()], np.int64))
+    part = F.pmod("h2", F.lit(max(1, docs.count() // SAMPLE))) == 0
+    often = texts.where(part).dropDuplicates(["h1", "h2"]).mapInPandas(counted, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    common = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher()
         for pdf in batches:
             rows = []
             for t in pdf["t"]:
-                words = lower_words(t)
-                hashes = shingle_hashes(words, shingle)
-                runs = _run_set(hashes, common)
-                rows.append((fingerprint(shingle_hashes(words, 2), width).tobytes(), fingerprint(hashes, 256).tobytes(), len(runs), _prefix(runs, similarity)))
-            columns = {c: [r[k] for r in rows] for k, c in enumerate(("fp", "check", "n", "prefix"))}
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "id": pdf["id"]} | columns)
-
-    every = texts.mapInPandas(prints, f"doc_id {kind}, id long, fp binary, check binary, n int, prefix array<long>")
-    kept = first.select("id", F.col("least").alias("doc_id"))
-    items = cut(every.join(kept.withColumnRenamed("doc_id", "least"), "id").where("doc_id <=> least").drop("doc_id", "least").dropDuplicates(["id"]))
-    found = cut(links(items, plan, limit, verify_bits=limit).distinct())
-    comp = components(found).withColumnRenamed("node", "id")
-    classes = cut(items.select("id", "n", "prefix").join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "n", "prefix"))
-    merged = components(similar_sets(classes, texts.select("id", "t"), common, similarity, shingle).toDF("a", "b")).toDF("comp", "into")
-    whole = classes.select("id", "comp").join(merged, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp"))
-    tagged = cut(first.join(whole, "id").select("same", "least", "comp"))
-    roots = cut(tagged.groupBy("comp").agg(F.min("least").alias("group_id")))
-    labels = cut(tagged.join(roots, "comp").select("same", "group_id"))
-    return ids.join(labels, "same").select("doc_id", "group_id")
+                runs = _runs(alnum_words(t), hasher, shingle)
+                rows.append((fingerprint(runs, NEAR_BITS).tobytes(), _look_up(runs, common, similarity)))
+            yield pdf[["doc_id", "h1", "h2"]].assign(fp=[r[0] for r in rows], keys=[r[1] for r in rows])
+
+    every = texts.mapInPandas(prints, f"doc_id {kind}, h1 long, h2 long, fp binary, keys array<long>")
+    first = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    items = cut(first.withColumn("id", F.monotonically_increasing_id()))
+    found = linked(items.select(F.explode("keys").alias("key"), "id"), items, limit)
+    tagged = cut(items.select("id", "h1", "h2", "least").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("group_id"), F.col("id").alias("best"))).alias("b")
+    roots = cut(tagged.groupBy("comp").agg(best).select("comp", "b.group_id", "b.best"))
+    labels = cut(tagged.join(roots, "comp").select("h1", "h2", "group_id", (F.col("id") == F.col("best")).alias("best")))
+    forget(items, tagged, roots)
+    out = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *text_key(text)).join(labels, ["h1", "h2"])
+    return out.select("doc_id", "h1", "h2", "group_id", (F.col("best") & F.col("doc_id").eqNullSafe(F.col("group_id"))).alias("keep"))
+
+
+def text_key(text: str) -> list[Column]:
+    """Two independent hashes of a text (null as empty), 128 bits together."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return [F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")]
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each near-duplicate group, with all its columns: the one with the smallest doc_id.
+    """One row of each near-duplicate group of ``near_duplicate_groups``, with all its columns.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id stay.
+    The row of the smallest doc_id stays; a null doc_id only where its group has no other. Of rows that repeat doc_id and
+    text one stays; rows that repeat a doc_id with other texts belong to the groups of their texts. An empty table stays empty.
     """
-    groups = near_duplicate_groups(docs, text=text, doc_id=doc_id)
-    gone = cut(groups.where("doc_id != group_id").select(F.col("doc_id").alias("__gone")).distinct())
-    out = docs.join(gone.hint("shuffle_hash"), F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
-    twice = cut(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")))
-    if twice.isEmpty():
-        return out
-    on = F.col(f"`{doc_id}`") == F.col("__twice")
-    return out.join(twice, on, "left_anti").unionByName(out.join(twice, on, "left_semi").dropDuplicates([doc_id]))
+    kept = near_duplicate_groups(docs, text=text, doc_id=doc_id).where("keep")
+    stay = cut(kept.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("doc_id").alias("d")))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*names).alias("row"), F.col(f"`{doc_id}`").alias("d"), *text_key(text))
+    same = (marked["h1"] == stay["h1"]) & (marked["h2"] == stay["h2"]) & marked["d"].eqNullSafe(stay["d"])
+    one, twice = stay.where("n = 1").hint("shuffle_hash"), stay.where("n > 1")
+    out = marked.join(one, same, "left_semi")
+    if not twice.isEmpty():
+        out = out.union(marked.join(twice, same, "left_semi").dropDuplicates(["h1", "h2"]))
+    return out.select("row.*")
