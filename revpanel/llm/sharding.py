@@ -8,6 +8,8 @@ unlinked documents fill the shards to exactly equal numbers of rows.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ def propagate(cells: DataFrame, quota: Column, n_shards: int, rounds: int, subs:
     return cells
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: shards whose numbers of rows are at most one apart.
+def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 10, text: str = "text", doc_id: str = "doc_id", row_id: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot, gid (and ``row_id``): shards whose numbers of rows are at most one apart.
 
     Documents with equal texts stay together as far as a shard holds them; a group larger than a shard fills as few
     as it can. size is the UTF-8 bytes of the text plus 1. A null text has no bytes and is linked to nothing; empty
@@ -72,11 +74,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 10, text:
     blank = F.coalesce(body, F.lit(""))
     crc, size = F.crc32(blank.cast("binary")), (F.octet_length(blank) + 1).cast("long")
     gid = F.when(body.isNotNull(), F.xxhash64(body, crc, size))
-    base = cut(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), gid.alias("gid"), F.xxhash64(F.col(f"`{doc_id}`"), body).alias("h")))
+    extra = [F.col(f"`{row_id}`").alias("rid")] if row_id else []
+    base = cut(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), gid.alias("gid"), F.xxhash64(F.col(f"`{doc_id}`"), body, *extra).alias("h"), *extra))
     total = base.count()
     subs = power_of_two(total / 50_000, 16, 1 << 16)
     groups = cut(base.where("gid is not null").groupBy("gid").agg(F.count("*").alias("members")).where("members > 1"))
-    joined = cut(base.join(groups, "gid", "left"))
+    # The same join at every size; AQE splits a group with very many members.
+    joined = cut(base.join(groups.hint("shuffle_hash"), "gid", "left"))
     linked, single = joined.where("members is not null"), joined.where("members is null")
     quota = F.lit(total // n_shards) + (F.col("shard") < total % n_shards).cast("long")
     cells = cut(linked.groupBy("gid", F.pmod("h", F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")))
@@ -84,8 +88,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 10, text:
     # Members of a group, numbered, fill the group's counts one shard after the other.
     upto = F.sum("n").over(Window.partitionBy("gid").orderBy(F.desc("n"), "shard"))
     ends = cut(cells.withColumn("upto", upto).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("ends")))
-    order = ["h", "doc_id", "size"]
-    placed = numbered(linked, ["gid"], F.col("h"), order, 64, "i").join(ends, "gid")
+    order = ["h", "doc_id", "size", *(["rid"] if row_id else [])]
+    placed = numbered(linked, ["gid"], F.col("h"), order, 64, "i").join(ends.hint("shuffle_hash"), "gid")
     placed = cut(placed.withColumn("shard", F.expr("filter(ends, e -> i < e.upto)[0].shard")).drop("ends", "i"))
     # What a shard holds beyond its quota goes back, a group at a time, to the documents that may stand anywhere.
     # (A large group is dealt over many buckets.)
@@ -95,13 +99,33 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 10, text:
     placed = cut(numbered(placed, ["shard"], bucket, ["gid", *order], subs, "i").withColumn("over", F.col("i") >= quota).drop("members"))
     stay = placed.where("not over").drop("over", "i")
     free = single.drop("members").unionByName(placed.where("over").drop("over", "i", "shard"))
-    shards = docs.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"))
-    held = shards.join(stay.groupBy("shard").agg(F.count("*").alias("held")), "shard", "left").na.fill(0, ["held"])
-    fill = F.sum(quota - F.col("held")).over(Window.orderBy("shard"))
-    room = held.select("shard", fill.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("ends"))
-    one = F.lit(0).alias("all")
-    rest = numbered(free.select("*", one), ["all"], again(2), order, subs, "i").join(room.select("*", one), "all")
-    rest = rest.withColumn("shard", F.expr("filter(ends, e -> i < e.upto)[0].shard")).drop("ends", "i", "all")
+    held = {r["shard"]: r["held"] for r in stay.groupBy("shard").agg(F.count("*").alias("held")).collect()}
+    # One number per shard: where in the numbering of the free rows its room ends.
+    rooms = itertools.accumulate(total // n_shards + (s < total % n_shards) - held.get(s, 0) for s in range(n_shards))
+    at = sum([(F.col("i") >= end).cast("int") for end in rooms], F.lit(0))
+    rest = numbered(free.withColumn("all", F.lit(0)), ["all"], again(2), order, subs, "i").withColumn("shard", at).drop("i", "all")
     every = cut(stay.unionByName(rest))
     out = numbered(every, ["shard"], again(3), order, subs, "slot")
-    return out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "gid")
+    names = ["doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "gid"]
+    return out.select(*names, *([F.col("rid").alias(row_id)] if row_id else []))
+
+
+def edges_cut(placed: DataFrame) -> DataFrame:
+    """One row for the result of ``shard_documents``: edges (pairs of equal texts) and how many of them lie between shards."""
+    cells = placed.where("gid is not null").groupBy("gid", "shard").agg(F.count("*").alias("n"))
+    of = cells.groupBy("gid").agg(F.sum("n").alias("all"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("inside"))
+    edges = F.sum(F.col("all") * (F.col("all") - 1) / 2)
+    return of.agg(F.coalesce(edges, F.lit(0.0)).alias("edges"), F.coalesce(edges - F.sum("inside"), F.lit(0.0)).alias("cut"))
+
+
+def shard_rows(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` with all their columns, and size, text_crc32, shard and slot of ``shard_documents``.
+
+    Columns of ``docs`` that have one of these names give way. Nulls, repeated rows and empty tables are as in ``shard_documents``.
+    """
+    new = ["size", "text_crc32", "shard", "slot"]
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    rows = cut(docs.select(F.struct(*names).alias("row"), F.col(f"`{doc_id}`").alias("d"), F.monotonically_increasing_id().alias("rid")))
+    short = rows.select("rid", "d", F.col(f"row.`{text}`").alias("t"))
+    placed = shard_documents(short, n_shards, text="t", doc_id="d", row_id="rid").select("rid", *new)
+    return rows.join(placed.hint("shuffle_hash"), "rid").select("row.*", *new)

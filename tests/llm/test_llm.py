@@ -499,8 +499,21 @@ def test_sharding(spark):
     assert np.mean([len(set(s)) == 1 for s in small]) > 0.9
     large = max(shards.values(), key=len)
     assert len(set(large)) <= math.ceil(len(large) / (len(rows) // 16)) + 1
+    edges = sharding.edges_cut(sharding.shard_documents(docs)).first()
+    assert edges["edges"] == sum(len(s) * (len(s) - 1) // 2 for s in shards.values())
+    assert edges["cut"] == sum(len(s) * (len(s) - 1) // 2 - sum(n * (n - 1) // 2 for n in Counter(s).values()) for s in shards.values())
+    by_hash = sum(len(s) * (len(s) - 1) / 2 * 15 / 16 for s in shards.values() if len(s) > 1)
+    # what no placement avoids: the large group fills whole shards
+    room, pairs = -(-len(rows) // 16), lambda n: n * (n - 1) // 2
+    least = pairs(len(large)) - len(large) // room * pairs(room) - pairs(len(large) % room)
+    assert least <= edges["cut"] <= least + 0.4 * (by_hash - least)
     assert sharding.shard_documents(docs.limit(0)).count() == 0
     assert sharding.shard_documents(table(spark, rows[:5])).count() == 5
+    whole = sharding.shard_rows(docs.withColumn("slot", F.lit("x")))
+    assert whole.columns == [*docs.columns, "size", "text_crc32", "shard", "slot"]
+    assert Counter((r["doc_id"], r["text"]) for r in whole.collect()) == Counter(rows)
+    assert sorted(r["slot"] for r in whole.where("shard = 3").collect()) == list(range(whole.where("shard = 3").count()))
+    assert sharding.shard_rows(docs.limit(0)).count() == 0
 
 
 ENTITIES = [
@@ -567,9 +580,47 @@ def test_registered_queries(spark):
     assert isinstance(out.schema["n_words"].dataType, T.LongType)
 
 
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    """Each stage of the pipeline on nulls, repeats, very long texts and clashing columns against brute force, and on an empty table."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(21), corpus(4)
+    rude = [(2000 + i, words(rng, 30) + " dimwit " + words(rng, 10)) for i in range(150)]
+    plain = [(3000 + i, words(rng, 40)) for i in range(600)]
+    items = [(i, words(rng, 16)) for i in range(5)] + [(9, None)]
+    leaks = [(4000 + i, words(rng, 20 + 900 * (i % 2)) + " " + items[i % 5][1] + " " + words(rng, 8)) for i in range(20)]
+    rows += rude + plain + leaks + [(None, None), (None, leaks[0][1])]
+    docs, folder = table(spark, rows), str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(d, 1, int(2000 <= d < 3000)) for d, _ in rude + plain], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = {"": docs}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        out = stage(spark, docs, folder)
+        out.write.parquet(f"{folder}/out/{name}")
+        docs = got[name] = spark.read.parquet(f"{folder}/out/{name}")
+        assert docs.columns[: len(got[""].columns)] == got[""].columns
+    ids = {name: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()] for name, df in got.items()}
+    assert Counter(ids["toxicity"]) == Counter(ids[""]) - Counter(r for r in ids[""] if "dimwit" in (r[1] or ""))
+    best = {}
+    for d, t, _, c in brute_groups(ids["toxicity"]):
+        best.setdefault(c, []).append((d is None, d or 0))
+    kept = {t or "": (d is None, d or 0) for d, t in ids["near_duplicates"]}
+    assert len(kept) == len(ids["near_duplicates"]) == len(best) and Counter(kept.values()) == Counter(min(v) for v in best.values())
+    bad = {k[0] for k in brute_contamination(ids["near_duplicates"], items) if k[2]}
+    assert Counter(ids["decontamination"]) == Counter(r for r in ids["near_duplicates"] if r[0] not in bad) and len(bad) >= 19
+    plan = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix_documents(got["decontamination"]).collect()}
+    assert Counter(ids["mixing"]) == Counter({(d, t): plan[d, len(split(t))] for d, t in ids["decontamination"] if plan[d, len(split(t))]})
+    assert Counter(ids["sharding"]) == Counter(ids["mixing"])
+    sizes = [r["count"] for r in got["sharding"].groupBy("shard").count().collect()]
+    assert max(sizes) - min(sizes) <= 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert {"doc_id", "text", "lang", "source", "size", "text_crc32", "shard", "slot"} <= set(out.columns)
     sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
     assert max(sizes) - min(sizes) <= 1 and [n for n, _ in corpus_pipeline.STAGES][1] == "near_duplicates"
