@@ -67,28 +67,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+#: Two odd bases of rolling hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64."""
+    if len(_POWERS.get((base, 1), ())) < n:
         size = max(n, 1 << 15)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            p = np.full(size, base, np.uint64)
+        for sign in (1, -1):
+            p = np.full(size, pow(base, sign, 1 << 64), np.uint64)
             p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            _POWERS[base, sign] = np.multiply.accumulate(p)
+    return _POWERS[base, 1][:n], _POWERS[base, -1][:n]
 
 
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
     """Rabin-Karp hashes of all windows of ``width`` word hashes (modulo 2**64, then mixed)."""
     n = len(hashes)
     if n < width:
         return np.empty(0, np.uint64)
-    up, down = _powers(n + 1)
+    up, down = _powers(n + 1, base)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * down[:n], out=sums[1:])
     return mix64((sums[width:] - sums[:-width]) * up[: n - width + 1] ^ np.uint64(width))

@@ -1,12 +1,14 @@
-"""Removal of passages that occur earlier: by all windows (Rabin-Karp) or by sparse suffixes.
+"""Removal of passages that occur earlier: by all windows (Rabin-Karp) or by sparse suffix arrays.
 
-A repeated window is found where its hashes meet. Positions travel as packed arrays, one row per task batch
-and bucket of hashes, so a shuffle carries about eight bytes a window. Each batch keeps back all but its first
-occurrence of a hash (the others are known to be repeats on the spot), so a passage that stands in a third of all
-documents sends one position per batch and no task ever gathers its occurrences.
+A document is a doc_id and a text: rows that repeat both are one document, rows that repeat a doc_id with other texts are
+several, in the order of a hash of their texts. Positions are (doc_id, hash of the text, word).
 
-Hashes are 64 bits wide, of which 48 bits travel beside the bucket number: different windows are taken for equal with
-probability about n**2 / 2**61 or less for n windows.
+Windows are counted in two rounds. The first finds candidates by 32 bits of a hash beside its bucket, which loses none;
+positions travel as packed arrays, one row per task batch and bucket, so that a shuffle carries about six bytes a window.
+The second decides on the candidates alone by two independent 64-bit hashes, 128 bits: n different windows among the candidates
+meet by chance with a probability under n**2 / 2**129. (Words themselves are told apart by 64 bits.) Each batch keeps back all but
+its first occurrence of a window, so a passage that stands in a third of all documents sends one position per batch and
+no task ever gathers its occurrences.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import WordHasher, cursors, grouped_batches, input_bytes, mix64, plain_words, power_of_two, rolling
+from revpanel.llm.common import BASES, WordHasher, cursors, cut, forget, grouped_batches, input_bytes, mix64, plain_words, power_of_two, rolling
 
 #: Words that a task hashes at once; windows a bucket should hold; bytes of text of a group of documents.
 BATCH_WORDS, BUCKET_WINDOWS, GROUP_BYTES = 1_000_000, 1 << 19, 4 << 20
 NO_ID = -(1 << 63)
+#: A document: (doc_id or NO_ID, hash of the text), its doc_id and its words.
+Doc = tuple[int, int, list[bytes]]
+_EMPTY = np.empty(0, np.int64)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -37,81 +42,111 @@ def _unplanes(b: bytes, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
-def pack(doc: np.ndarray, start: np.ndarray, h: np.ndarray | None = None) -> bytes:
-    """Positions sorted by (doc, start), and 48 bits of a hash for each."""
-    n = len(doc)
-    step = np.diff(doc, prepend=np.int64(0))
-    head = zstandard.ZstdCompressor(level=1).compress(_planes(step) + _planes(start.astype(np.uint32)))
-    tail = b"" if h is None else np.ascontiguousarray(h.view(np.uint8).reshape(n, 8)[:, :6]).tobytes()
-    return np.array([n, len(head)], np.uint32).tobytes() + head + tail
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    n, size = map(int, np.frombuffer(blob, np.uint32, 2))
-    head = zstandard.ZstdDecompressor().decompress(blob[8 : 8 + size])
-    doc, start = np.cumsum(_unplanes(head[: 8 * n], "<i8", n)), _unplanes(head[8 * n :], "<u4", n).astype(np.int64)
-    if len(blob) == 8 + size:
-        return doc, start, None
-    h = np.zeros((n, 8), np.uint8)
-    h[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 8 + size).reshape(n, 6)
-    return doc, start, h.view(np.uint64).ravel()
-
-
-def _by_group(doc: np.ndarray, start: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
-    """Positions as one packed row for each group of documents."""
-    g = np.mod(doc, groups)
-    order = np.lexsort((start, doc, g))
-    doc, start, g = doc[order], start[order], g[order]
-    for s, e in zip(*cursors(g)):
-        yield int(g[s]), pack(doc[s:e], start[s:e])
-
-
-def _runs(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by hash and position; the index of each one's first equal; which ones start later than that."""
-    order = np.lexsort((start, doc, h))
-    h, doc, start = h[order], doc[order], start[order]
-    s, e = cursors(h)
-    first = np.repeat(s, e - s)
-    return order, first, (doc != doc[first]) | (start != start[first])
+class Marks:
+    """Positions (doc, text, start), sorted, with hashes of some width for each (uint8[n, width])."""
+
+    def __init__(self, doc: np.ndarray, text: np.ndarray, start: np.ndarray, tail: np.ndarray | None = None):
+        self.doc, self.text, self.start = doc, text, start
+        self.tail = np.empty((len(doc), 0), np.uint8) if tail is None else tail
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def __getitem__(self, at: np.ndarray) -> Marks:
+        return Marks(self.doc[at], self.text[at], self.start[at], self.tail[at])
+
+    @classmethod
+    def joined(cls, parts: list[Marks]) -> Marks:
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("doc", "text", "start", "tail")))
+
+    def pack(self) -> bytes:
+        new = np.flatnonzero(np.r_[True, (self.doc[1:] != self.doc[:-1]) | (self.text[1:] != self.text[:-1])][: len(self)])
+        counts = np.diff(np.r_[new, len(self)]).astype(np.uint32)
+        body = _planes(self.doc[new]) + self.text[new].tobytes() + _planes(counts) + _planes(self.start.astype(np.uint32))
+        body = zstandard.ZstdCompressor(level=1).compress(body)
+        return np.array([len(self), len(new), len(body), self.tail.shape[1]], np.uint32).tobytes() + body + self.tail.tobytes()
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Marks:
+        n, docs, size, width = map(int, np.frombuffer(blob, np.uint32, 4))
+        body = zstandard.ZstdDecompressor().decompress(blob[16 : 16 + size])
+        counts = _unplanes(body[16 * docs : 20 * docs], "<u4", docs)
+        doc, text = _unplanes(body[: 8 * docs], "<i8", docs), np.frombuffer(body, np.int64, docs, 8 * docs)
+        tail = np.frombuffer(blob, np.uint8, n * width, 16 + size).reshape(n, width)
+        return cls(np.repeat(doc, counts), np.repeat(text, counts), _unplanes(body[20 * docs :], "<u4", n).astype(np.int64), tail)
+
+    def by_group(self, groups: int) -> Iterator[tuple[int, bytes]]:
+        """One packed row for each group of documents, without hashes."""
+        g = np.mod(self.doc ^ self.text, groups)
+        order = np.lexsort((self.start, self.text, self.doc, g))
+        g = g[order]
+        for s, e in zip(*cursors(g)):
+            at = order[s:e]
+            yield int(g[s]), Marks(self.doc[at], self.text[at], self.start[at]).pack()
+
+
+def _equal(h: tuple[np.ndarray, ...], marks: Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hashes and position; the index of each one's first equal; which ones lie elsewhere than that."""
+    order = np.lexsort((marks.start, marks.text, marks.doc, *h))
+    new = np.zeros(len(order), bool)
+    for x in h:
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    new[:1] = True
+    starts = np.flatnonzero(new)
+    first = np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    m = marks[order]
+    return order, first, (m.doc != m.doc[first]) | (m.text != m.text[first]) | (m.start != m.start[first])
 
 
 class _Sizes:
+    """Buckets of hashes and groups of documents. From 100 TB on a bucket grows beyond BUCKET_WINDOWS, to some hundred MB."""
+
     def __init__(self, docs: DataFrame):
         data = input_bytes(docs)
         self.buckets = power_of_two(data / 3 / BUCKET_WINDOWS, 64, 1 << 20)
-        self.groups = power_of_two(2 * data / GROUP_BYTES, 16, 1 << 20) + 1
+        self.groups = power_of_two(2 * data / GROUP_BYTES, 16, 1 << 24) + 1
+
+
+#: Windows of a batch: one or two hashes for each, and their positions.
+Hashed = tuple[tuple[np.ndarray, ...], Marks]
 
 
-def _meet(hashed: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: _Sizes, all_of_run: bool) -> Iterator[pd.DataFrame]:
-    """Rows (bucket, blob) of a batch's windows; repeats inside the batch go straight on as bucket -1 - group."""
-    shift = np.uint64(64 - (sizes.buckets.bit_length() - 1))
-    for h, doc, start in hashed:
-        if not len(h):
+def _meet(hashed: Iterator[Hashed], sizes: _Sizes) -> Iterator[pd.DataFrame]:
+    """Rows (bucket, blob) of a batch's windows; what is known from the batch alone goes straight on as bucket -1 - group.
+
+    With one hash, that are all windows that have an equal elsewhere, and 32 bits travel; with two, those that start later than an
+    equal one, and all 128 bits travel.
+    """
+    low = sizes.buckets.bit_length() - 1
+    for h, marks in hashed:
+        if not len(marks):
             continue
-        order, first, later = _runs(h, doc, start)
-        h, doc, start = h[order], doc[order], start[order]
-        rows = []
-        known = later
-        if all_of_run:
-            known = later.copy()
+        order, first, later = _equal(h, marks)
+        h, marks = tuple(x[order] for x in h), marks[order]
+        known = later.copy()
+        if len(h) == 1:
             known[first[later]] = True
-        if known.any():
-            rows += [(-1 - g, b) for g, b in _by_group(doc[known], start[known], sizes.groups)]
-        own = np.flatnonzero(first == np.arange(len(h)))
-        h, doc, start = h[own], doc[own], start[own]
-        bucket = (h >> shift).astype(np.int64)
-        order = np.lexsort((start, doc, bucket))
-        h, doc, start, bucket = h[order], doc[order], start[order], bucket[order]
-        below = h << np.uint64(sizes.buckets.bit_length() - 1) >> np.uint64(16)
-        rows += [(int(bucket[s]), pack(doc[s:e], start[s:e], below[s:e])) for s, e in zip(*cursors(bucket))]
+        rows = [(-1 - g, b) for g, b in marks[known].by_group(sizes.groups)] if known.any() else []
+        own = np.flatnonzero(first == np.arange(len(marks)))
+        h, marks = tuple(x[own] for x in h), marks[own]
+        bucket = (h[0] >> np.uint64(64 - low)).astype(np.int64)
+        order = np.lexsort((marks.start, marks.text, marks.doc, bucket))
+        marks, bucket = marks[order], bucket[order]
+        if len(h) == 1:
+            tail = (h[0][order] << np.uint64(low) >> np.uint64(32)).astype(np.uint32).view(np.uint8).reshape(-1, 4)
+        else:
+            tail = np.stack([x[order] for x in h], 1).view(np.uint8).reshape(-1, 16)
+        marks.tail = tail
+        rows += [(int(bucket[s]), marks[slice(s, e)].pack()) for s, e in zip(*cursors(bucket))]
         yield pd.DataFrame(rows, columns=["bucket", "blob"])
 
 
-def _repeated(met: DataFrame, sizes: _Sizes, all_of_run: bool) -> DataFrame:
-    """(bucket, blob) -> (g, blob): positions of windows that start later than an equal one (or of all that have one)."""
+def _repeated(met: DataFrame, sizes: _Sizes) -> DataFrame:
+    """(bucket, blob) -> (g, blob): windows that have an equal elsewhere (32 bits), or start later than an equal one (128 bits)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, starts, held = [], [], 0
+        held: list[Marks] = []
         for pdf in grouped_batches(batches, ["bucket"]):
             key = pdf["bucket"].to_numpy()
             on = pdf[key < 0]
@@ -120,72 +155,108 @@ def _repeated(met: DataFrame, sizes: _Sizes, all_of_run: bool) -> DataFrame:
             for s, e in zip(*cursors(key)):
                 if key[s] < 0:
                     continue
-                parts = [unpack(b) for b in pdf["blob"].iloc[s:e]]
-                doc, start, h = (np.concatenate([p[i] for p in parts]) for i in range(3))
-                order, first, later = _runs(h, doc, start)
-                if all_of_run:
+                marks = Marks.joined([Marks.unpack(b) for b in pdf["blob"].iloc[s:e]])
+                width = marks.tail.shape[1]
+                h = np.ascontiguousarray(marks.tail).view(np.uint32 if width == 4 else np.uint64)
+                order, first, later = _equal(tuple(h[:, k] for k in range(h.shape[1])), marks)
+                if width == 4:
                     later[first[later]] = True
-                docs.append(doc[order][later])
-                starts.append(start[order][later])
-                held += len(docs[-1])
-            if held > 1_000_000:
-                yield pd.DataFrame(list(_by_group(np.concatenate(docs), np.concatenate(starts), sizes.groups)), columns=["g", "blob"])
-                docs, starts, held = [], [], 0
+                held.append(marks[order[later]])
+            if sum(map(len, held)) > 1_000_000:
+                yield pd.DataFrame(list(_bare(held).by_group(sizes.groups)), columns=["g", "blob"])
+                held = []
         if held:
-            yield pd.DataFrame(list(_by_group(np.concatenate(docs), np.concatenate(starts), sizes.groups)), columns=["g", "blob"])
+            yield pd.DataFrame(list(_bare(held).by_group(sizes.groups)), columns=["g", "blob"])
 
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(run, "g int, blob binary")
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Documents in lists of about BATCH_WORDS words, each sorted by doc_id; a long document is a list of its own."""
-    held, words = [], 0
+def _bare(parts: list[Marks]) -> Marks:
+    return Marks.joined([Marks(p.doc, p.text, p.start) for p in parts])
+
+
+def _id(d: object) -> int:
+    return NO_ID if d is None or d != d else int(d)
+
+
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[list[Doc]]:
+    """Different documents in lists of about BATCH_WORDS words; a long document is a list of its own."""
+    held: dict[tuple[int, int], list[bytes]] = {}
+    words = 0
     for pdf in frames:
-        for d, t in zip(pdf["doc_id"], pdf["text"]):
-            w = plain_words(t)
-            held.append((NO_ID if d is None or d != d else int(d), w))
-            words += len(w)
+        for d, h, t in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
+            if (key := (_id(d), int(h))) not in held:
+                held[key] = plain_words(t)
+                words += len(held[key])
             if words > BATCH_WORDS:
-                yield sorted(held, key=lambda x: x[0])
-                held, words = [], 0
+                yield [(*k, w) for k, w in held.items()]
+                held, words = {}, 0
     if held:
-        yield sorted(held, key=lambda x: x[0])
+        yield [(*k, w) for k, w in held.items()]
+
+
+def _marks_of(docs: list[tuple[int, int, np.ndarray]]) -> Marks:
+    """Positions of documents, given as (doc, text, starts)."""
+    sizes = [len(p) for _, _, p in docs]
+    return Marks(np.repeat(np.array([d for d, _, _ in docs], np.int64), sizes), np.repeat(np.array([t for _, t, _ in docs], np.int64), sizes), np.concatenate([_EMPTY, *(p for _, _, p in docs)]))
 
 
-def _windows(frames: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _windows(frames: Iterator[pd.DataFrame], width: int) -> Iterator[Hashed]:
     hasher = WordHasher()
     for docs in _batches(frames):
-        hs = [rolling(hasher(w), width) for _, w in docs if len(w) >= width]
-        ids = [d for d, w in docs if len(w) >= width]
-        if hs:
-            sizes = [len(h) for h in hs]
-            yield np.concatenate(hs), np.repeat(np.array(ids, np.int64), sizes), np.concatenate([np.arange(n) for n in sizes])
+        long = [(d, t, rolling(hasher(w), width)) for d, t, w in docs if len(w) >= width]
+        if long:
+            yield (np.concatenate([h for _, _, h in long]),), _marks_of([(d, t, np.arange(len(h))) for d, t, h in long])
 
 
 def _grouped(docs: DataFrame, groups: int) -> DataFrame:
-    return docs.select(F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(groups)).cast("int").alias("g"), "doc_id", "text")
+    """With the group of each document: doc_id xor hash of the text, so that neither one text nor one doc_id is a group."""
+    g = F.pmod(F.coalesce("doc_id", F.lit(NO_ID)).bitwiseXOR(F.col("th")), F.lit(groups)).cast("int")
+    return docs.select(g.alias("g"), "doc_id", "th", "text")
 
 
-def _marks(blobs: pd.Series) -> Callable[[int], np.ndarray]:
+def _look_up(blobs: pd.Series) -> Callable[[int, int], np.ndarray]:
     """Positions of each document of a group."""
     if not len(blobs):
-        return lambda d: np.empty(0, np.int64)
-    parts = [unpack(b)[:2] for b in blobs]
-    doc, start = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(doc, kind="stable")
-    doc, start = doc[order], start[order]
-    return lambda d: start[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
+        return lambda d, t: _EMPTY
+    marks = _bare([Marks.unpack(b) for b in blobs])
+    order = np.lexsort((marks.text, marks.doc))
+    marks = marks[order]
+    starts = np.flatnonzero(np.r_[True, (marks.doc[1:] != marks.doc[:-1]) | (marks.text[1:] != marks.text[:-1])])
+    ends = np.r_[starts[1:], len(marks)]
+    at = {(int(marks.doc[s]), int(marks.text[s])): (s, e) for s, e in zip(starts, ends)}
+    return lambda d, t: marks.start[slice(*at.get((d, t), (0, 0)))]
+
+
+def _decided(grouped: DataFrame, candidates: DataFrame, sizes: _Sizes, width: int, near: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """(g, blob) of the windows, among ``near`` the candidates, that start later than an equal one by 128 bits."""
+
+    def exact(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        at, hasher, seen = _look_up(right["blob"]), WordHasher(), set()
+        docs, hashes = [], ([np.empty(0, np.uint64)], [np.empty(0, np.uint64)])
+        for d, t, text in zip(left["doc_id"], left["th"], left["text"]):
+            key = (_id(d), int(t))
+            marked = at(*key)
+            if len(marked) and key not in seen:
+                seen.add(key)
+                h = hasher(plain_words(text))
+                starts = near(np.unique(marked), len(h) - width + 1)
+                docs.append((*key, starts))
+                for k, base in enumerate(BASES):
+                    hashes[k].append(rolling(h, width, base)[starts])
+        frames = _meet(iter([(tuple(map(np.concatenate, hashes)), _marks_of(docs))]), sizes)
+        return next(frames, pd.DataFrame({"bucket": pd.Series(dtype=np.int32), "blob": pd.Series(dtype=object)}))
+
+    return _repeated(grouped.groupBy("g").cogroup(candidates.groupBy("g")).applyInPandas(exact, "bucket int, blob binary"), sizes)
 
 
 def _stripped(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        at, rows = _marks(right["blob"]), []
-        for d, t in zip(left["doc_id"], left["text"]):
+        at, rows = _look_up(right["blob"]), []
+        for d, th, t in zip(left["doc_id"], left["th"], left["text"]):
             words = plain_words(t)
-            n = len(words)
-            starts = at(NO_ID if d is None or d != d else int(d))
-            starts = starts[starts <= n - width]
+            n, starts = len(words), at(_id(d), int(th))
             steps = np.zeros(n + 1, np.int64)
             np.add.at(steps, starts, 1)
             np.add.at(steps, starts + width, -1)
@@ -198,12 +269,12 @@ def _stripped(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
         return out
 
     schema = "doc_id long, n_words long, n_removed long, kept string, starts array<long>, ends array<long>"
-    groups = docs.groupBy("g").cogroup(marks.groupBy("g"))
-    return groups.applyInPandas(run, schema)
+    return docs.groupBy("g").cogroup(marks.groupBy("g")).applyInPandas(run, schema)
 
 
-def _two_columns(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+def _documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    body = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), body.alias("text"))
 
 
 def strip_repeated_windows(docs: DataFrame, width: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -213,12 +284,14 @@ def strip_repeated_windows(docs: DataFrame, width: int = 20, text: str = "text",
     Returns doc_id, n_words, n_removed, kept (the other words joined by one space) and the maximal removed
     intervals [starts[i], ends[i]) in words. All windows of all whole texts are hashed (Rabin-Karp modulo 2**64) and
     counted. Null or empty texts have no words and keep the empty text; texts shorter than a window stay
-    whole; rows that repeat a doc_id and its text are each returned, and none of them is the earlier one; a null
+    whole. Rows that repeat a doc_id and its text are one document, each returned, none of them the earlier one; of rows
+    that repeat a doc_id with other texts, the one with the lower xxhash64 of its text is the earlier; a null
     doc_id counts as the smallest. An empty table gives an empty result; other columns are not read.
     """
-    sizes, plain = _Sizes(docs), _two_columns(docs, text, doc_id)
-    met = plain.mapInPandas(lambda it: _meet(_windows(it, width), sizes, False), "bucket int, blob binary")
-    return _stripped(_grouped(plain, sizes.groups), _repeated(met, sizes, False), width)
+    sizes, plain = _Sizes(docs), _documents(docs, text, doc_id)
+    met = plain.mapInPandas(lambda it: _meet(_windows(it, width), sizes), "bucket int, blob binary")
+    grouped = _grouped(plain, sizes.groups)
+    return _stripped(grouped, _decided(grouped, _repeated(met, sizes), sizes, width, lambda marked, n: marked), width)
 
 
 def minimisers(h: np.ndarray, span: int) -> np.ndarray:
@@ -229,19 +302,54 @@ def minimisers(h: np.ndarray, span: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + view.argmin(1))
 
 
-def _suffixes(frames: Iterator[pd.DataFrame], width: int, prefix: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _suffixes(frames: Iterator[pd.DataFrame], width: int, prefix: int) -> Iterator[Hashed]:
+    """Suffixes at minimiser positions, by the hash of their first ``prefix`` words."""
     hasher = WordHasher()
     for docs in _batches(frames):
-        hs, ids, at = [], [], []
-        for d, w in docs:
+        found = []
+        for d, t, w in docs:
             if len(w) >= width:
                 h = rolling(hasher(w), prefix)
                 p = minimisers(mix64(h), width - prefix + 1)
-                hs.append(h[p])
-                at.append(p)
-                ids.append(np.full(len(p), d, np.int64))
-        if hs:
-            yield np.concatenate(hs), np.concatenate(ids), np.concatenate(at)
+                found.append((d, t, p, h[p]))
+        if found:
+            yield (np.concatenate([h for *_, h in found]),), _marks_of([(d, t, p) for d, t, p, _ in found])
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading words rows of a and b (uint32[n, words]) have in common; 0 stands for no word."""
+    same = (a == b) & (a != 0)
+    return np.where(same.all(1), a.shape[1], same.argmin(1))
+
+
+def _neighbours(sorted_rows: DataFrame, side: str, words: int) -> DataFrame:
+    """(doc, th, start, side binary), sorted by ``side`` in each partition -> (doc, th, start, n): the words in common with a neighbour.
+
+    The first and the last row of a partition have neighbours elsewhere; they count as agreeing in all words.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, kept = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.frombuffer(b"".join(pdf[side]), ">u4").reshape(len(pdf), words)
+            out = pdf[["doc", "th", "start"]].assign(n=np.int32(0))
+            n = np.zeros(len(pdf), np.int32)
+            inside = _agreeing(x[1:], x[:-1])
+            n[1:] = inside
+            n[:-1] = np.maximum(n[:-1], inside)
+            over = words if before is None else int(_agreeing(x[:1], before)[0])
+            n[0] = max(n[0], over)
+            if kept is not None:
+                kept.loc[kept.index[-1], "n"] = max(int(kept["n"].iloc[-1]), over)
+                yield kept
+            kept, before = out.assign(n=n), x[-1:]
+        if kept is not None:
+            kept.loc[kept.index[-1], "n"] = words
+            yield kept
+
+    return sorted_rows.mapInPandas(run, "doc long, th long, start int, n int")
 
 
 def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -249,36 +357,62 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
 
     1. Of every whole text only the suffixes at minimiser positions are retained: the least hash of ``prefix``
        words among every min_words - prefix + 1 neighbouring positions, so that each passage of min_words words
-       retains a suffix, the same one wherever it stands.
-    2. The suffixes are sorted by their first ``prefix`` words (by the hash of these, in buckets) and compared with
-       their neighbours; those that agree with one are the anchors.
-    3. Anchors are extended left and right in their documents: each stretch of min_words words around an
-       anchor is matched against the stretches around the others; those with an earlier equal are removed.
-
-    The result is that of removing every word covered by a window of min_words words that starts earlier, with a
-    sixteenth of the positions sorted. Columns and the treatment of nulls, empty texts and repeated rows are those
-    of ``strip_repeated_windows``.
+       retains a suffix, the same one wherever it stands. Suffixes whose first ``prefix`` words begin no other go.
+    2. The others are sorted in Spark by their words (as 32-bit codes, which is an order of the words like any other),
+       dealt by ranges, and compared with their neighbours: the largest number of words that one has in
+       common with any other, to the right, is that with a neighbour. The same is done to the left, with the words before
+       the suffixes in reverse. Suffixes that agree in fewer than min_words words to both sides together go.
+    3. The rest is extended left and right as far as it agrees; what starts earlier is decided by 128 bits of each
+       stretch of min_words words in these extents.
+
+    The result is that of removing every word covered by a window of min_words words that starts earlier. Codes that
+    agree by chance and neighbours in another partition only keep more for step 3. Columns and the treatment of nulls, empty
+    texts and repeated rows are those of ``strip_repeated_windows``.
     """
-    sizes, plain = _Sizes(docs), _two_columns(docs, text, doc_id)
-    retained = plain.mapInPandas(lambda it: _meet(_suffixes(it, min_words, prefix), sizes, True), "bucket int, blob binary")
-    anchors = _repeated(retained, sizes, True)
-    grouped = _grouped(plain, sizes.groups)
-
-    def stretches(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        at, hasher, hs, ids, starts = _marks(right["blob"]), WordHasher(), [], [], []
-        for d, t in zip(left["doc_id"], left["text"]):
-            d = NO_ID if d is None or d != d else int(d)
-            anchor = np.unique(at(d))
-            if not len(anchor):
+    sizes, plain = _Sizes(docs), _documents(docs, text, doc_id)
+    retained = plain.mapInPandas(lambda it: _meet(_suffixes(it, min_words, prefix), sizes), "bucket int, blob binary")
+    grouped, back = _grouped(plain, sizes.groups), min_words - prefix
+
+    def sides(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        at, hasher, out, seen = _look_up(right["blob"]), WordHasher(), [], set()
+        for d, t, text in zip(left["doc_id"], left["th"], left["text"]):
+            key = (_id(d), int(t))
+            p = np.unique(at(*key))
+            if not len(p) or key in seen:
                 continue
-            h = rolling(hasher(plain_words(t)), min_words)
-            near = np.unique((anchor[:, None] - np.arange(min_words - prefix + 1)[None, :]).ravel())
-            near = near[(near >= 0) & (near < len(h))]
-            hs.append(h[near])
-            ids.append(np.full(len(near), d, np.int64))
-            starts.append(near)
-        frames = _meet([(np.concatenate(hs), np.concatenate(ids), np.concatenate(starts))] if hs else [], sizes, False)
-        return next(frames, pd.DataFrame({"bucket": pd.Series(dtype=np.int32), "blob": pd.Series(dtype=object)}))
-
-    met = grouped.groupBy("g").cogroup(anchors.groupBy("g")).applyInPandas(stretches, "bucket int, blob binary")
-    return _stripped(grouped, _repeated(met, sizes, False), min_words)
+            seen.add(key)
+            codes = np.r_[np.zeros(back, np.uint64), hasher(plain_words(text)) | np.uint64(1 << 32), np.zeros(min_words, np.uint64)] >> np.uint64(32)
+            codes = codes.astype(">u4")
+            ahead, behind = codes[p[:, None] + back + np.arange(min_words)], codes[p[:, None] + back - 1 - np.arange(back)]
+            out.append(pd.DataFrame({"doc": key[0], "th": key[1], "start": p, "ahead": [x.tobytes() for x in ahead], "behind": [x.tobytes() for x in behind]}))
+        empty = {"doc": _EMPTY, "th": _EMPTY, "start": _EMPTY, "ahead": [], "behind": []}
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(empty)
+
+    anchors = _repeated(retained, sizes)
+    suffixes = cut(grouped.groupBy("g").cogroup(anchors.groupBy("g")).applyInPandas(sides, "doc long, th long, start int, ahead binary, behind binary"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    agreed = {}
+    for side, words in (("ahead", min_words), ("behind", back)):
+        # The position breaks ties, so that a passage in very many documents is dealt over several ranges.
+        order = [side, "th", "doc", "start"]
+        ranked = suffixes.select("doc", "th", "start", side).repartitionByRange(n, *order).sortWithinPartitions(*order)
+        agreed[side] = _neighbours(ranked, side, words).withColumnRenamed("n", side)
+    both = agreed["ahead"].join(agreed["behind"], ["doc", "th", "start"]).where(F.col("ahead") + F.col("behind") >= min_words)
+    kept = cut(both.select(F.pmod(F.col("doc").bitwiseXOR(F.col("th")), F.lit(sizes.groups)).cast("int").alias("g"), "doc", "th", "start", "ahead", "behind"))
+
+    def extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Starts of the stretches of min_words words that hold a kept suffix and lie in its extent."""
+        for pdf in batches:
+            doc, th, p, ahead, behind = (pdf[c].to_numpy(np.int64) for c in ("doc", "th", "start", "ahead", "behind"))
+            first, last = p - behind, p + ahead - min_words
+            first, last = np.maximum(first, p - back), np.minimum(last, p)
+            size = np.maximum(last - first + 1, 0)
+            at = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+            rows = np.unique(np.stack([np.repeat(doc, size), np.repeat(th, size), at]), axis=1)
+            yield pd.DataFrame(list(Marks(*rows).by_group(sizes.groups)), columns=["g", "blob"])
+
+    stretches = kept.select("doc", "th", "start", "ahead", "behind").mapInPandas(extents, "g int, blob binary")
+    inside = lambda marked, count: marked[(marked >= 0) & (marked < count)]
+    late = cut(_decided(grouped, stretches, sizes, min_words, inside))
+    forget(suffixes, kept)
+    return _stripped(grouped, late, min_words)

@@ -230,7 +230,12 @@ def test_keep_one(spark):
 
 
 def brute_windows(rows, width):
-    order, first = sorted(((common_id(d), d, t) for d, t in rows), key=lambda x: x[0]), {}
+    """Documents in the order of doc_id (null first) and, for one doc_id, of the signed hash of their texts."""
+    def place(d, t):
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+        return (repeats.NO_ID if d is None else d, h - (1 << 64) if h >> 63 else h)
+
+    order, first = sorted(((place(d, t), d, t) for d, t in rows), key=lambda x: x[0]), {}
     for key, _, t in order:
         w = split(t)
         for k in range(len(w) - width + 1):
@@ -246,24 +251,39 @@ def brute_windows(rows, width):
     return Counter(out)
 
 
-def common_id(d):
-    return repeats.NO_ID if d is None else d
-
-
 @pytest.mark.parametrize("width", [20, 50])
 def test_repeated_windows(spark, width):
-    rows = corpus()
+    """Also one doc_id with several texts, several null ids, and runs of one word."""
+    rng, rows = random.Random(31), corpus()
+    shared = words(rng, 64)
+    rows += [(0, words(rng, 70)), (1, words(rng, 60)), (1, words(rng, 80)), (1, shared), (1, words(rng, 9) + " " + shared), (None, shared), (None, words(rng, 90)), (None, words(rng, 60))]
+    rows += [(3, "la " * 140), (3, "la " * 55 + "le " + "la " * 70), (400, words(rng, 25) + " " + shared + " " + words(rng, 12))]
     f = repeats.strip_repeated_windows if width == 20 else repeats.strip_repeated_passages
     got = f(table(spark, rows), width)
     assert Counter(tuple(r)[:4] for r in got.collect()) == brute_windows(rows, width)
     for r in got.where("n_removed > 0").collect():
         assert sum(e - s for s, e in zip(r["starts"], r["ends"])) == r["n_removed"]
+    assert f(table(spark, rows).limit(0), width).count() == 0
 
 
 def test_packing_round_trip():
-    doc, start, h = np.array([-5, 3, 3, 1 << 40]), np.array([0, 7, 9, 1]), np.array([1, 2, (1 << 48) - 1, 5], np.uint64)
-    assert all((a == b).all() for a, b in zip(repeats.unpack(repeats.pack(doc, start, h)), (doc, start, h)))
-    assert repeats.unpack(repeats.pack(doc, start))[2] is None
+    doc, text, start = np.array([-5, 3, 3, 1 << 40]), np.array([9, 1, 2, -8]), np.array([0, 7, 9, 1])
+    tail = np.arange(16, dtype=np.uint8).reshape(4, 4)
+    back = repeats.Marks.unpack(repeats.Marks(doc, text, start, tail).pack())
+    assert all((getattr(back, c) == x).all() for c, x in (("doc", doc), ("text", text), ("start", start), ("tail", tail)))
+    assert repeats.Marks.unpack(repeats.Marks(doc, text, start).pack()).tail.shape == (4, 0)
+
+
+def test_neighbours_in_order(spark):
+    """What a suffix has in common with any other it has in common with a neighbour."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(1, 3, (300, 6))
+    rows = [(i, 0, 0, x.astype(">u4").tobytes()) for i, x in enumerate(codes)]
+    df = spark.createDataFrame(rows, "doc long, th long, start int, side binary").repartition(1).sortWithinPartitions("side", "doc")
+    got = {r["doc"]: r["n"] for r in repeats._neighbours(df, "side", 6).collect()}
+    agree = lambda a, b: next((k for k in range(6) if a[k] != b[k]), 6)
+    want = {i: max(agree(codes[i], codes[j]) for j in range(300) if j != i) for i in range(300)}
+    assert all(got[i] >= want[i] for i in want) and sum(got[i] != want[i] for i in want) <= 2
 
 
 def test_rolling_hashes():
