@@ -372,42 +372,53 @@ def test_held_out_labels_are_never_read(spark):
 
 
 def brute_top(rows, k):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            ok[i] = min(v, ok.get(i, v))
-    q = {i: [math.floor(256 * x) for x in v] for i, v in ok.items()}
-    out = set()
-    for i, v in q.items():
+    """Every row is a candidate, and every row whose id is divisible by 10 a query."""
+    exact = lambda x: math.floor(256 * x) if math.isfinite(256 * x) else int(x) * 256
+    ok = [(i, [exact(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out, clip = Counter(), lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    for at, (i, v) in enumerate(ok):
         if i % 10 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, x)), j) for j, x in q.items() if j != i and len(x) == len(v))
-            out |= {(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)}
+            scores = sorted((-sum(a * b for a, b in zip(v, x)), j) for n, (j, x) in enumerate(ok) if n != at and len(x) == len(v))
+            out.update((i, r, j, clip(-s)) for r, (s, j) in enumerate(scores[:k], 1))
     return out
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_top_k(spark, monkeypatch, block):
+    """Ties, repeated ids with other vectors, many lengths, and components up to the largest double."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    monkeypatch.setattr(topk, "FIRST", 40)
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(5, 8))
-    rows = [(i, [float(np.float32(x)) for x in centres[i % 5] + rng.normal(scale=0.05, size=8)]) for i in range(700)]
+    rows = [(i, (centres[i % 5] + rng.normal(scale=0.05, size=8)).tolist()) for i in range(300 if block == 2048 else 90)]
     rows += [(701 + i, rows[3][1]) for i in range(9)] + [(800, None), (801, [1.0, None] + [0.0] * 6), (802, [float("nan")] * 8), (803, [float("inf")] * 8), (None, rows[0][1])]
-    rows += [(810, [1.0, 2.0]), (811, [0.5, 0.5]), (820, []), (830, rows[30][1]), (830, rows[30][1]), (840, [3e6] * 8)]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, query int").repartition(3)
-    rows32 = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    rows += [(810, [1.0, 2.0]), (811, [0.5, 0.5]), (820, []), (830, []), (20, rows[31][1]), (20, rows[31][1]), (840, [3e6] * 8), (850, [1e308] * 8), (851, [-1e308] + [1e300] * 7), (860, [-1e150] * 8)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, query int").repartition(3)
     got = topk.exact_top_k(df, F.col("vec_id") % 10 == 0)
-    assert {tuple(r) for r in got.collect()} == brute_top(rows32, 5)
+    assert Counter(tuple(r) for r in got.collect()) == brute_top(rows, 5)
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_any_number_of_lengths(spark):
+    rows = [(i, [float(i % 7 - 3)] * (i // 3)) for i in range(3 * 1001)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.exact_top_k(df, F.col("vec_id") % 10 == 0)
+    assert Counter(tuple(r) for r in got.collect()) == brute_top(rows, 5)
+
+
 def test_pivots_spare_work():
+    """Of clustered vectors a small part is evaluated."""
     rng = np.random.default_rng(7)
-    centres = 200 * rng.normal(size=(40, 4))
-    x = np.floor(centres[np.arange(8000) % 40] + rng.normal(size=(8000, 4)))
-    refs = x[:32]
-    tab = np.sqrt(((x[:, None] - refs[None]) ** 2).sum(2))
-    ids, best, looked = topk._best(np.arange(8000), x, tab, 5, x[5], tab[5], 5)
-    s = (x @ x[5]).astype(int)
-    s[5] = -(1 << 60)
-    assert list(ids) == list(np.lexsort((np.arange(8000), -s))[:5]) and looked < 4000
+    x = 200 * rng.normal(size=(40, 4))[np.arange(8000) % 40] + rng.normal(size=(8000, 4))
+    refs = np.floor(256 * x[:32])
+    tab = np.sqrt(((np.floor(256 * x)[:, None] - refs[None]) ** 2).sum(2))
+    every = topk.Vectors(np.arange(8000), np.arange(8000), x, tab, 256.0)
+    search = topk.Search(every[np.arange(0, 8000, 50)], every[np.arange(500)], 5)
+    search.add(every)
+    s = np.floor(256 * x) @ np.floor(256 * x[150])
+    s[150] = -np.inf
+    assert [j for i, q, j, v in search.rows() if q == 150] == list(np.lexsort((np.arange(8000), -s))[:5])
+    assert search.evaluated < 0.25 * 160 * 8000
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
