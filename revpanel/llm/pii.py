@@ -4,64 +4,98 @@ Detected entities are brought to a key form, so that mentions of one entity in s
 makes each distinct entity a replacement of its own type, format, script and, for names, gender; entities whose
 replacements meet, or are themselves real entities, are hashed again until all differ. The mapping is a
 table that is joined to the mentions, so an entity has one replacement in all documents.
+
+Names are runs of capitalised words with a known given name before another word, or after a title or a cue such as "name
+is". Given and family names are replaced word by word, so that a name's parts, alone or in another order, follow
+the whole wherever a document has both.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import cut
+from revpanel.llm.common import cut, forget
 
-#: Given names by script and gender; detection and replacement draw on the same lists.
+#: Given names by script and gender; a known name's replacement is another one of its list.
 GIVEN = {
-    "latin_f": "Anna Maria Emma Julia Laura Sarah Elena Sofia Clara Alice Emily Hannah Carmen Lucia Marie Claire Ingrid Helga Teresa Paula Olivia Nora Greta Camille".split(),
-    "latin_m": "John James Robert Michael David Thomas Peter Paul Daniel Martin Carlos Pedro Miguel Pablo Jean Pierre Louis Hans Klaus Stefan Lukas Marco Antonio William".split(),
+    "latin_f": "Anna Maria Emma Julia Laura Sarah Elena Sofia Clara Alice Emily Hannah Carmen Lucia Marie Claire Ingrid Helga Teresa Paula Olivia Nora Greta Camille Nancy Mary Linda Susan Karen Lisa Ruth Jane Margaret Barbara".split(),
+    "latin_m": "John James Robert Michael David Thomas Peter Paul Daniel Martin Carlos Pedro Miguel Pablo Jean Pierre Louis Hans Klaus Stefan Lukas Marco Antonio William Joseph George Henry Charles Edward Richard Andrew Stephen Jack Samuel".split(),
     "cyrillic_f": "Анна Мария Елена Ольга Татьяна Наталья Ирина Светлана Екатерина Юлия".split(),
     "cyrillic_m": "Иван Сергей Алексей Дмитрий Андрей Михаил Николай Владимир Павел Виктор".split(),
     "greek_f": "Μαρία Ελένη Κατερίνα Σοφία Άννα Ιωάννα Βασιλική Δήμητρα".split(),
     "greek_m": "Γιώργος Γιάννης Δημήτρης Νίκος Κώστας Παναγιώτης Βασίλης Χρήστος".split(),
 }
-_NAMES = sorted({n for x in GIVEN.values() for n in x}, key=lambda n: (-len(n), n))
-#: Types in the order in which they are tried at one place, with their patterns.
+_NAMES = sorted({n for x in GIVEN.values() for n in x})
+#: A capitalised word; a title, after which a single word is a family name; a cue, after which it is a given name.
+WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}++(?:-?\p{Lu}\p{Ll}++)*+"
+TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame|Mme)\.? "
+CUE = r"(?:[Nn]ame(?: is|:)|[Dd]ear|[Ss]igned(?: by|,)) "
+RUN = rf"{WORD}(?: {WORD})*+"
+#: Types in the order in which they are tried at one place, with their patterns. None begins inside a word or number.
 PATTERNS = {
-    "email": r"(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)+",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(_NAMES)})(?: \p{{Lu}}\p{{Ll}}++(?:-\p{{Lu}}\p{{Ll}}++)?)(?!\p{{L}})",
+    "email": r"[\w.+%-]++@[\w-]++(?:\.[\w-]++)+",
+    "secret": r"(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])|(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<!\.)\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)",
+    "phone": r"(?<!\+)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}(?!\d)|(?<!\()\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "name": rf"(?:{TITLE}|{CUE}){RUN}|{WORD}(?: {WORD})++",
 }
+_START = r"(?<![\p{L}\p{N}])"
 
 
-def _everything() -> str:
-    """One pattern for all types: a place where none can start costs one look at the next character."""
+def _everything(name: str) -> str:
+    """One pattern for all types: inside a word it costs one look at the character before."""
     parts, shift = [], 0
-    for p in PATTERNS.values():
+    for k, p in PATTERNS.items():
+        p = name if k == "name" else p
         parts.append(f"(?:{p})" if r"\1" not in p else f"(?:{p})".replace(r"\1", rf"\{shift + 1}"))
         shift += r"\1" in p
-    return "|".join(parts)
+    return f"{_START}(?:{'|'.join(parts)})"
 
 
-EVERYTHING = _everything()
+#: What is looked for in all texts; and what is looked at again in the texts that have some of it: single words too.
+FIND, WEAVE = _everything(PATTERNS["name"]), _everything(RUN)
 _ALPHABETS = (
     ("aeiou", "bcdfghjklmnpqrstvwxz"), ("AEIOU", "BCDFGHJKLMNPQRSTVWXZ"), ("аеиоуюя", "бвгдзклмнпрстфх"), ("АЕИОУЮЯ", "БВГДЗКЛМНПРСТФХ"),
     ("αεηιου", "βγδζκλμνπρστφχ"), ("ΑΕΗΙΟΥ", "ΒΓΔΖΚΛΜΝΠΡΣΤΦΧ"),
 )
 
 
+def _name_words(mention: Column) -> Column:
+    """(given, family words) of a run of words: what follows a title or cue, or begins with a known given name; else null."""
+    bare = F.split(F.regexp_replace(mention, rf"\A(?:{TITLE}|{CUE})", ""), " ")
+    known = F.array(*[F.lit(n) for n in _NAMES])
+    # The first known given name that another word follows.
+    at = F.array_min(F.filter(F.transform(bare, lambda w, i: F.when(F.array_contains(known, w) & (i < F.size(bare) - 1), i + 1)), lambda i: i.isNotNull()))
+    part = F.when(mention.rlike(rf"\A(?:{TITLE}|{CUE})"), F.lit(1)).otherwise(at)
+    given = F.when(mention.rlike(rf"\A{TITLE}") & (F.size(bare) == 1), F.lit(None).cast("string")).otherwise(F.get(bare, part - 1))
+    family = F.when(given.isNull(), bare).otherwise(F.slice(bare, part + 1, F.size(bare)))
+    return F.when(part.isNotNull(), F.struct(given.alias("given"), family.alias("family")))
+
+
 def _kind(mention: Column) -> Column:
-    tests = [F.when(mention.rlike(rf"\A(?:{p})\z"), F.lit(k)) for k, p in PATTERNS.items()]
-    return F.coalesce(*tests)
+    """The type of a mention; a number is a card by its Luhn sum, a run of words a name by ``_name_words``."""
+    out = None
+    for k, p in PATTERNS.items():
+        test = mention.rlike(rf"\A(?:{p})\z")
+        if k == "card":
+            test = test & (_luhn_sum(F.regexp_replace(mention, r"\D", "")) % 10 == 0)
+        if k == "name":
+            test = test & _name_words(mention).isNotNull()
+        out = F.when(test, F.lit(k)) if out is None else out.when(test, F.lit(k))
+    return out
 
 
 def _norm(mention: Column, kind: Column) -> Column:
     """The form in which spellings of one entity are equal."""
     packed = F.regexp_replace(mention, r"[ ().\-]", "")
     lower = (kind == "email") | ((kind == "secret") & mention.rlike(r"\A[0-9A-Fa-f]+\z"))
-    return F.when(lower, F.lower(mention)).when(kind.isin("ip", "secret", "name"), mention).otherwise(packed)
+    return F.when(lower, F.lower(mention)).when(kind.isin("ip", "secret", "given", "family"), mention).otherwise(packed)
 
 
 def _nibbles(seed: Column, n: int = 3) -> Column:
@@ -104,13 +138,13 @@ def _luhn_sum(number: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(number), ""), value), F.lit(0), add)
 
 
-def _name_pool(given: Column, seed: Column) -> Column:
-    pick = F.conv(F.substr(F.sha2(F.concat(F.lit("n|"), seed), 256), F.lit(1), F.lit(7)), 16, 10).cast("int")
-    out = None
+def given_names(key: str) -> dict[str, str]:
+    """A keyed permutation of each list of given names, in which no name stays."""
+    out = {}
     for names in GIVEN.values():
-        test, value = given.isin(*names), F.element_at(F.array(*[F.lit(n) for n in names]), pick % len(names) + 1)
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(given)
+        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).digest())
+        out |= dict(zip(order, [*order[1:], order[0]]))
+    return out
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -129,13 +163,14 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     tail = F.element_at(labels, -1)
     body = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(1))), ".")
     email = F.concat(_like(local, seed), F.lit("@"), _like(body, F.concat(F.lit("d|"), seed)), F.lit("."), tail)
-    given = F.substring_index(norm, " ", 1)
-    name = F.concat_ws(" ", _name_pool(given, seed), _like(F.substr(norm, F.length(given) + 2), seed))
+    # Where the words of a length are nearly used up, longer ones follow.
+    more = F.repeat(F.lower(F.substring(norm, -2, 2)), F.least(F.floor(attempt / 8), F.lit(4)).cast("int"))
+    word = _like(F.concat(norm, more), seed)
     prefix = F.regexp_extract(norm, r"\A(AKIA|gh[pousr]_|sk-|)", 1)
     secret = F.concat(prefix, F.when(prefix == "", _like(norm, seed, True)).otherwise(_like(F.substr(norm, F.length(prefix) + 1), seed)))
     iban = F.concat(F.substr(norm, F.lit(1), F.lit(2)), _like(F.substr(norm, F.lit(3)), seed))
     ssn = F.substr(digits, F.lit(1), n)
-    cases = {"email": email, "ip": ip, "name": name, "secret": secret, "iban": iban, "ssn": ssn, "phone": phone, "card": card}
+    cases = {"email": email, "ip": ip, "given": word, "family": word, "secret": secret, "iban": iban, "ssn": ssn, "phone": phone, "card": card}
     out = None
     for k, v in cases.items():
         out = F.when(kind == k, v) if out is None else out.when(kind == k, v)
@@ -171,29 +206,44 @@ def _rendered(mention: Column, kind: Column, replaced: Column) -> Column:
 
     spaced = F.array_join(F.transform(chars, one), "")
     cased = F.when(mention == F.upper(mention), F.upper(replaced)).otherwise(replaced)
-    return F.when(kind.isin("email", "secret"), cased).when(kind.isin("ip", "name"), replaced).otherwise(spaced)
+    return F.when(kind.isin("email", "secret"), cased).when(kind.isin("ip", "given", "family"), replaced).otherwise(spaced)
 
 
-def replace_personal_data(docs: DataFrame, key: str = "surrogates", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, text (with surrogates), n_mentions: every mention of an email, phone, card, IP, IBAN, secret or name replaced.
 
-    One entity has one surrogate in all documents (keyed by ``key``), different entities of a kind have different ones, and
-    none equals an entity that occurs. Whole texts; a null text stays null, an empty one empty; rows that repeat
-    are each returned; an empty table gives an empty result; other columns are not read.
+    One entity has one surrogate in all documents (keyed by ``key``, which is to be kept secret), different entities of a kind
+    have different ones, and none equals an entity that occurs; known given names change places within their lists. In a
+    document with a whole name its given and family names alone are mentions too. Numbers are cards only by their Luhn sum.
+    Whole texts; a null text stays null, an empty one empty; rows that repeat are each returned; an empty table gives an
+    empty result; other columns are not read.
     """
     body = F.col(f"`{text}`")
-    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"), F.struct(F.xxhash64(body), F.crc32(body.cast("binary")), F.length(body)).alias("th"))
-    mentions = F.regexp_extract_all("text", F.lit(EVERYTHING), F.lit(0))
-    found = plain.select("th", F.array_distinct(mentions).alias("m")).where("size(m) > 0")
-    one = found.select("th", F.explode("m").alias("mention"))
-    kind = _kind(F.col("mention"))
-    one = cut(one.withColumn("kind", kind).where("kind is not null").withColumn("norm", _norm(F.col("mention"), F.col("kind"))).distinct())
-    mapping = cut(distinct_surrogates(cut(one.select("kind", "norm").distinct()), key))
-    shown = one.join(mapping, ["kind", "norm"]).select("th", "mention", _rendered(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("by"))
-    by_text = cut(shown.groupBy("th").agg(F.map_from_entries(F.collect_set(F.struct("mention", "by"))).alias("by")))
+    seen = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(FIND), F.lit(0))), lambda m: _kind(m).isNotNull())
+    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2"))
+    # One look at all texts; what follows reads the mentions, and joins only texts that have some.
+    every = cut(plain.withColumn("m", F.coalesce(seen, F.array().cast("array<string>"))))
+    one = every.where("size(m) > 0").select("h1", "h2", F.explode("m").alias("mention")).withColumn("kind", _kind(F.col("mention")))
+    names = one.where("kind = 'name'").withColumn("n", _name_words(F.col("mention")))
+    words = names.select("h1", "h2", F.col("n.given").alias("mention"), F.lit("given").alias("kind")).where("mention is not null")
+    words = words.union(names.select("h1", "h2", F.explode("n.family").alias("mention"), F.lit("family").alias("kind")))
+    known = given_names(key)
+    one = cut(one.where("kind != 'name'").union(words).withColumn("norm", _norm(F.col("mention"), F.col("kind"))).distinct())
+    is_known = (F.col("kind") == "given") & F.col("norm").isin(*known)
+    mapping = cut(distinct_surrogates(cut(one.where(~is_known).select("kind", "norm").distinct()), key))
+    shown = one.join(mapping, ["kind", "norm"]).select("h1", "h2", "mention", "kind", _rendered(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("by"))
+    swapped = F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col("mention"))
+    shown = shown.union(one.where(is_known).select("h1", "h2", "mention", "kind", swapped.alias("by")))
+    # A word that is a given name here and a family name there counts as a given name in this text.
+    shown = shown.groupBy("h1", "h2", "mention").agg(F.max_by("by", "kind").alias("by"))
+    by_text = cut(shown.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("mention", "by"))).alias("by")))
     # The same join at every size; AQE splits texts that very many documents share.
-    joined = plain.join(by_text.hint("shuffle_hash"), "th", "left")
-    pieces = F.split("text", EVERYTHING, -1)
-    by = F.concat(F.transform(mentions, lambda m: F.coalesce(F.try_element_at(F.col("by"), m), m)), F.array(F.lit("")))
-    woven = F.array_join(F.flatten(F.zip_with(pieces, by, lambda p, m: F.array(p, m))), "")
-    return joined.select("doc_id", F.when(F.col("by").isNull(), F.col("text")).otherwise(woven).alias("text"), F.when(F.col("by").isNull(), 0).otherwise(F.size(mentions)).cast("long").alias("n_mentions"))
+    joined = every.where("size(m) > 0").join(by_text.hint("shuffle_hash"), ["h1", "h2"])
+    mentions, pieces = F.regexp_extract_all("text", F.lit(WEAVE), F.lit(0)), F.split("text", WEAVE, -1)
+    by = lambda m: F.try_element_at(F.col("by"), m)
+    new = lambda m: F.coalesce(by(m), F.array_join(F.transform(F.split(m, " "), lambda w: F.coalesce(by(w), w)), " "))
+    woven = F.array_join(F.flatten(F.zip_with(pieces, F.concat(F.col("news"), F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
+    changed = F.size(F.filter(F.zip_with("ms", "news", lambda m, n: m != n), lambda x: x)).cast("long")
+    done = joined.withColumn("ms", mentions).withColumn("news", F.transform("ms", new)).select("doc_id", woven.alias("text"), changed.alias("n_mentions"))
+    none = every.where("size(m) = 0").select("doc_id", "text", F.lit(0).cast("long").alias("n_mentions"))
+    return none.union(done)

@@ -64,7 +64,7 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates in place of personal data."""
-    return replace_personal_data(_table(spark, sf_dir, "documents"))
+    return replace_personal_data(_table(spark, sf_dir, "documents"), "a key for tables without real persons")
 
 
 def op9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -558,7 +558,7 @@ def test_surrogates(spark):
     rows = [(i, words(rng, 20) + f" {e} and " + words(rng, 5) + f", {e}.") for i, e in enumerate(ENTITIES)]
     rows += [(100 + i, words(rng, 5) + f" mail{i}@a{i % 7}.example.org " + f"10.0.{i % 9}.{i}") for i in range(300)]
     rows += [(900, None), (901, ""), (902, "nothing here 12 and 3.4"), (None, "4539148803436467"), (0, rows[0][1])]
-    got = pii.replace_personal_data(table(spark, rows)).collect()
+    got = pii.replace_personal_data(table(spark, rows), "k").collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
     assert by[900]["text"] is None and by[901]["text"] == "" and by[902]["text"] == rows[-3][1]
@@ -577,16 +577,16 @@ def test_surrogates(spark):
     mails = [re.search(r"\S+@\S+", by[100 + i]["text"])[0] for i in range(300)]
     addresses = {re.search(r"\d+\.\d+\.\d+\.\d+", by[100 + i]["text"])[0] for i in range(300)}
     assert len(set(mails)) == 300 and len(addresses) == len({f"10.0.{i % 9}.{i}" for i in range(300)})
-    again = {r["doc_id"]: r["text"] for r in pii.replace_personal_data(table(spark, rows)).collect()}
+    again = {r["doc_id"]: r["text"] for r in pii.replace_personal_data(table(spark, rows), "k").collect()}
     assert again == {k: r["text"] for k, r in by.items()}
-    assert pii.replace_personal_data(table(spark, rows).limit(0)).count() == 0
+    assert pii.replace_personal_data(table(spark, rows).limit(0), "k").count() == 0
 
 
 def test_secrets_of_either_case(spark):
     """An upper-cased token is the entity of its original, also one that begins like an IBAN; no spelling stays."""
     tokens = ["9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "de89370400440532013000aabbccddee"]
     rows = [(10 * k + i, f'TOKEN = "{f}" and {f}.') for k, t in enumerate(tokens) for i, f in enumerate((t, t.upper(), t[:20].upper() + t[20:]))]
-    by = {r["doc_id"]: r for r in pii.replace_personal_data(table(spark, rows)).collect()}
+    by = {r["doc_id"]: r for r in pii.replace_personal_data(table(spark, rows), "k").collect()}
     for k, t in enumerate(tokens):
         low, up, mixed = (re.search(r"[0-9A-Fa-f]{32,}", by[10 * k + i]["text"])[0] for i in range(3))
         assert all(by[10 * k + i]["n_mentions"] == 2 and t not in by[10 * k + i]["text"].lower() for i in range(3))
@@ -594,10 +594,52 @@ def test_secrets_of_either_case(spark):
 
 
 def test_surrogates_that_meet_are_hashed_again(spark):
-    names = [("name", f"Anna {chr(97 + i % 26)}") for i in range(26)]
+    names = [("family", chr(97 + i)) for i in range(18) if chr(97 + i) not in "aeiou"]
     df = spark.createDataFrame(names, "kind string, norm string")
     got = [r["surrogate"] for r in pii.distinct_surrogates(df, "k").collect()]
-    assert len(got) == len(set(got)) == 26 and not set(got) & {n for _, n in names}
+    assert len(got) == len(set(got)) == len(names) and not set(got) & {n for _, n in names}
+
+
+def test_names_and_numbers(spark):
+    """Names by list, title and cue, their parts alone, and what is no name and no card."""
+    rows = [
+        (1, "Joseph Miller and Nancy Drew came. Later Joseph left; Miller's hat stayed with Drew."), (2, "Anna Schmidt met us. Later Anna left."), (3, "Yesterday Anna O'Brien-Smith met Dr. Quincy."),
+        (4, "My name is Xaver Huber. Xaver likes the General Public License and New Zealand."), (5, "Anna alone is no mention, nor is order 9807915762804490."), (6, "Card 4539148803436467, order 9807915762804490."),
+        (7, "Dr. Quincy called. Quincy again."), (8, "Schmidt Anna Schmidt"),
+    ]
+    by = {r["doc_id"]: r for r in pii.replace_personal_data(table(spark, rows), "k").collect()}
+    given, text = pii.given_names("k"), {i: r["text"] for i, r in by.items()}
+    assert all(a != b for a, b in given.items()) and sorted(given) == sorted(given.values())
+    m = re.fullmatch(r"(\w+) (\w+) and (\w+) (\w+) came\. Later (\w+) left; (\w+)'s hat stayed with (\w+)\.", text[1])
+    assert m and m[1] == m[5] == given["Joseph"] and m[2] == m[6] != "Miller" and m[3] == given["Nancy"] and m[4] == m[7] != "Drew" and by[1]["n_mentions"] == 5
+    schmidt = re.fullmatch(rf"{given['Anna']} (\w+) met us\. Later {given['Anna']} left\.", text[2])[1]
+    assert schmidt != "Schmidt" and text[8] == f"{schmidt} {given['Anna']} {schmidt}"
+    quincy = re.fullmatch(r"Dr\. (\w+) called\. (\w+) again\.", text[7])
+    assert quincy and quincy[1] == quincy[2] != "Quincy"
+    assert re.fullmatch(rf"Yesterday {given['Anna']} \w'\w+-\w+ met Dr\. {quincy[1]}\.", text[3]) and "Brien" not in text[3]
+    m = re.fullmatch(r"My name is (\w+) (\w+)\. (\w+) likes the General Public License and New Zealand\.", text[4])
+    assert m and m[1] == m[3] != "Xaver" and m[2] != "Huber"
+    assert text[5] == rows[4][1] and by[5]["n_mentions"] == 0
+    assert text[6].endswith(", order 9807915762804490.") and "4539148803436467" not in text[6] and by[6]["n_mentions"] == 1
+
+
+def test_surrogates_against_brute_force(spark):
+    """Everything but the mentions of a plainly written detector stays, and what replaces them is a one-to-one map."""
+    find = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)|(?<!\w)\+1 \(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w])[0-9a-f]{40}(?!\w)")
+    rng, rows = random.Random(41), []
+    kinds = [lambda i: f"u.{i % 30}@host{i % 7}.example.com", lambda i: f"10.{i % 9}.{i % 30}.7", lambda i: f"+1 (415) 555-{1000 + i % 40}", lambda i: hashlib.sha1(str(i % 25).encode()).hexdigest()]
+    for i in range(400):
+        w = words(rng, 30).split()
+        for k in rng.sample(range(30), rng.randint(0, 3)):
+            w[k] = rng.choice(kinds)(rng.randrange(1000)) + rng.choice(["", ",", "."])
+        rows.append((i, " ".join(w)))
+    got, pairs = {r["doc_id"]: r for r in pii.replace_personal_data(table(spark, rows), "k").collect()}, {}
+    for i, t in rows:
+        old, new = find.findall(t), find.findall(got[i]["text"])
+        assert len(old) == len(new) == got[i]["n_mentions"] and find.split(t) == find.split(got[i]["text"])
+        for a, b in zip(old, new):
+            assert pairs.setdefault(a, b) == b and a != b
+    assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
 
 
 def test_registered_queries(spark):
