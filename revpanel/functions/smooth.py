@@ -16,8 +16,11 @@ def _natural_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q, r
 
 
-def smoothing_spline(x: np.ndarray, y: np.ndarray, x0: np.ndarray, df: float | None = None, lam: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Values and slopes at x0 of the smoothing spline; its weight from lam, df, or generalised cross-validation."""
+def smoothing_spline(x: np.ndarray, y: np.ndarray, x0: np.ndarray, df: float | None = None, lam: float | None = None, cv: bool = False, df_offset: float = 0, penalty: float = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Values and slopes at x0 of the smoothing spline; its weight from lam, df, or cross-validation.
+
+    The latter is generalised, with df_offset + penalty * df for the degrees of freedom, or with ``cv`` leaves out one x at a time.
+    """
     x, at = np.unique(x, return_inverse=True)
     weight = np.bincount(at).astype(float)
     y = np.bincount(at, y) / weight
@@ -38,10 +41,14 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, x0: np.ndarray, df: float | N
 
     def gcv(lam_: float) -> float:
         shrink = lam_ * values / (1 + lam_ * values)
-        return float((shrink * rotated) @ (shrink * rotated)) / max(1e-12, (1 - trace(lam_) / n) ** 2)
+        if cv:
+            left = vectors @ (shrink * rotated) / half
+            own = vectors**2 @ (1 / (1 + lam_ * values))
+            return float((weight * (left / np.maximum(1 - own, 1e-9)) ** 2).mean())
+        return float((shrink * rotated) @ (shrink * rotated)) / max(1e-12, (1 - (df_offset + penalty * trace(lam_)) / n) ** 2)
 
     if lam is not None:
-        best = float(np.atleast_1d(lam)[0])
+        best = float(lam)
     else:
         grid = np.exp(np.linspace(-18, 12, 241))
         score = [abs(trace(g) - df) for g in grid] if df is not None else [gcv(g) for g in grid]
@@ -188,6 +195,7 @@ def stl(y: np.ndarray, period: int, seasonal: int, trend: int, inner: int = 1, o
         if loop < outer:
             r = np.abs(y - s - t)
             h = 6 * np.median(r)
-            u = r / h if h > 0 else np.zeros(n)
+            # Remainders that are mere rounding say nothing about outliers.
+            u = r / h if h > 1e-10 * np.abs(y).max() else np.zeros(n)
             weight = np.where(u <= 0.001, 1, np.where(u > 0.999, 0, (1 - np.minimum(u, 1) ** 2) ** 2))
     return s, t, y - s - t

@@ -27,7 +27,7 @@ class GrowthParams:
     lam: float | Sequence[float] | None = None
     cv: bool = False
     spar: float | None = None
-    all_knots: bool = False
+    all_knots: bool = True
     df_offset: float = 0
     penalty: float = 1
     k: int = 3
@@ -126,9 +126,10 @@ def growth_rate(panel: Panel, y: str, method: str = "rel_change", h: int = 7, lo
         warnings.warn(f"{method} leaves out values that are missing or not finite", stacklevel=2)
     options = params or GrowthParams()
     if method == "smooth_spline":
-        plain = GrowthParams()
-        if any(getattr(options, o) != getattr(plain, o) for o in ("cv", "spar", "all_knots", "df_offset", "penalty")):
-            raise PanelError("the smoothing spline has no cv, spar, all_knots, df_offset or penalty; give df or lam")
+        if options.spar is not None or not options.all_knots:
+            raise PanelError("the smoothing spline has its knots at all times and no spar; give df or lam")
+        if options.lam is not None and np.size(options.lam) != 1:
+            raise PanelError("the smoothing spline takes one lam")
     if method == "trend_filter":
         options = options.for_trend_filter()
         if options.family != "gaussian":
@@ -142,7 +143,8 @@ def growth_rate(panel: Panel, y: str, method: str = "rel_change", h: int = 7, lo
         x, v = x0[ok], pdf["__y"].to_numpy(float)[ok]
         out = np.full(len(x0), np.nan)
         if method == "smooth_spline" and len(x) >= 4:
-            f, d = smooth.smoothing_spline(x, v, x0, df=None if isinstance(options.df, str) else options.df, lam=options.lam)
+            lam = None if options.lam is None else float(np.ravel(options.lam)[0])
+            f, d = smooth.smoothing_spline(x, v, x0, None if isinstance(options.df, str) else options.df, lam, options.cv, options.df_offset, options.penalty)
             out = d if log_scale else d / f
         elif method == "trend_filter" and len(x) >= options.k + 3:
             f = smooth.trend_filter(x, v, x0, options)

@@ -164,8 +164,13 @@ def roll(panel: Panel, columns: str | Sequence[str], f: str = "mean", size=None,
     return _finish(panel, df, names, times, all_rows)
 
 
-def slide(panel: Panel, exprs: dict[str, Column], size=None, align: str = "right", ref_times: Sequence | None = None, all_rows: bool = False, pack_as: str | None = None, split: int | None = None) -> Panel:
-    """Named aggregate expressions over each window (nulls skipped, as aggregates do); None deletes an earlier output.
+def as_expressions(exprs: dict[str, Column | str | None]) -> dict[str, Column | None]:
+    """Named aggregates, given as columns or in SQL."""
+    return {k: F.expr(v) if isinstance(v, str) else v for k, v in exprs.items()}
+
+
+def slide(panel: Panel, exprs: dict[str, Column | str | None], size=None, align: str = "right", ref_times: Sequence | None = None, all_rows: bool = False, pack_as: str | None = None, split: int | None = None) -> Panel:
+    """Named aggregate expressions, columns or SQL, over each window (nulls skipped); None deletes an earlier output.
 
     With ``pack_as`` the outputs are one struct column. An empty panel is returned as it is, with null columns.
     """
@@ -174,7 +179,7 @@ def slide(panel: Panel, exprs: dict[str, Column], size=None, align: str = "right
     _check_groups(panel)
     times = _ref_times(panel, ref_times, True)
     w, _, _, (before, after) = _frame(panel, size, align, split)
-    kept = {k: v for k, v in exprs.items() if v is not None}
+    kept = {k: v for k, v in as_expressions(exprs).items() if v is not None}
     if not kept:
         raise PanelError("no new column is made")
     if clash := set([pack_as] if pack_as else kept) & set(panel.df.columns):
@@ -199,8 +204,8 @@ def check_arity(f: Callable, n: int, what: str) -> None:
         raise PanelError(f"{what} must take {n} positional arguments")
 
 
-def slide_python(panel: Panel, f: Callable, schema: str, size=None, align: str = "right", new_name: str = "slide_value", ref_times: Sequence | None = None, all_rows: bool = False) -> Panel:
-    """f(window, key, ref_time) -> a scalar, or a dict for a struct ``schema``, for each reference time.
+def slide_python(panel: Panel, f: Callable, schema: str, size=None, align: str = "right", new_name: str = "slide_value", ref_times: Sequence | None = None, all_rows: bool = False, **more) -> Panel:
+    """f(window, key, ref_time, **more) -> a scalar, or a dict for a struct ``schema``, for each reference time.
 
     ``window`` is a pandas frame with the key columns and one row per slot: slots without a row hold nulls. A scalar
     becomes the column ``new_name``; the fields of a struct become columns, or one packed column if new_name is given.
@@ -240,7 +245,7 @@ def slide_python(panel: Panel, f: Callable, schema: str, size=None, align: str =
                 out.append({x.name: None for x in value.fields})
                 continue
             start = 0 if before == INF else pos - int(before)
-            got = f(dense.iloc[start : pos + int(after) + 1], key, pdf["time_value"].iloc[i])
+            got = f(dense.iloc[start : pos + int(after) + 1], key, pdf["time_value"].iloc[i], **more)
             out.append(dict(got) if packed else {new_name: got})
         return pd.concat([pdf, pd.DataFrame(out, columns=[x.name for x in value.fields])], axis=1)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +73,20 @@ class Panel:
     def to_pandas(self):
         return self.df.toPandas()
 
+    def interval(self) -> int:
+        """The largest period (days, months or units) that divides all gaps within series; two times of one series are needed."""
+        w = Window.partitionBy(*self.meta.series).orderBy("__t")
+        gaps = self.df.select(*self.meta.series, self.index().alias("__t")).select((F.col("__t") - F.lag("__t").over(w)).alias("gap"))
+        found = [r["gap"] for r in gaps.where("gap > 0").distinct().toLocalIterator()]
+        if not found:
+            raise PanelError("an interval needs two distinct times in a series")
+        return math.gcd(*found)
+
+    def to_regular(self) -> tuple[DataFrame, int]:
+        """The rows in canonical order, with unique keys, and their interval: what a regular time series table is."""
+        check_unique(self.df, self.meta.keys)
+        return self.arrange_canonical().df, self.interval()
+
     def describe(self) -> DataFrame:
         """One row: types, as_of, rows, first and last time, and average rows per time (whole)."""
         by = self.df.groupBy("time_value").agg(F.count("*").alias("n"))
@@ -94,8 +109,6 @@ class Panel:
 
     def slice(self, positions: Sequence[int]) -> Panel:
         """Rows at 0-based positions of the canonical row order (per group, if grouped)."""
-        from pyspark.sql import Window
-
         w = Window.partitionBy(*self.groups) if self.groups else Window.partitionBy(F.lit(0))
         rows = self.df.withColumn("__i", F.row_number().over(w.orderBy(*self.meta.keys)) - 1)
         return self.wrap(rows.where(F.col("__i").isin(list(positions))).drop("__i"))
