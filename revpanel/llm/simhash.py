@@ -297,6 +297,15 @@ NEAR_BITS, LEAST_RUNS = 512, 32
 SAMPLE, COMMON = 8000, 50_000
 
 
+def near_limit(similarity: float) -> int:
+    """The bits by which two fingerprints of a cosine of ``similarity`` differ, and two standard deviations of that more.
+
+    Without the margin half of the pairs just at ``similarity`` would be lost; with it 2 in 100 are.
+    """
+    share = np.arccos(similarity) / np.pi
+    return int(NEAR_BITS * share + 2 * np.sqrt(NEAR_BITS * share * (1 - share)))
+
+
 def _runs(words: list[bytes], hasher: WordHasher, shingle: int) -> np.ndarray:
     """Hashes of the runs of a text, repeats included; fewer words are one run."""
     return rolling(hasher(words), min(shingle, len(words))) if words else np.empty(0, np.uint64)
@@ -323,8 +332,8 @@ def _look_up(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.nd
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, h1 long, h2 long, group_id, keep boolean): groups of documents alike by 0.8 or more, one row per document.
 
-    Alike are texts whose 512-bit SimHash fingerprints of five-word runs estimate a cosine of ``similarity`` or more:
-    cos(pi * bits / 512). Words are lower-cased runs of ASCII letters, digits and all other characters from U+0080 on, so
+    Alike are texts whose 512-bit SimHash fingerprints of five-word runs may have a cosine of ``similarity`` or more: they
+    differ in ``near_limit`` bits at most (122 for 0.8). Words are lower-cased runs of ASCII letters, digits and all other characters from U+0080 on, so
     that case and punctuation hide no copy; fewer words make one run. Candidates share one of the runs of
     ``_look_up``; the order of runs comes from a bounded sample, which spares work and changes no result.
 
@@ -333,7 +342,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int
     other. ``keep`` marks the rows of one doc_id and text of each group: the smallest doc_id, nulls last. Rows that repeat a
     doc_id are grouped by their texts. An empty table gives an empty result; columns other than the two are not read.
     """
-    limit = int(np.floor(np.arccos(similarity) / np.pi * NEAR_BITS))
+    limit = near_limit(similarity)
     kind = docs.schema[doc_id].dataType.simpleString()
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("t"), *text_key(text))

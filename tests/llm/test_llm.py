@@ -147,11 +147,11 @@ def test_components(spark):
 
 
 def brute_groups(rows):
-    """Components of all pairs of different texts whose fingerprints of five-word runs estimate a cosine of 0.8."""
+    """Components of all pairs of different texts whose fingerprints of five-word runs are within the limit of 0.8."""
     hasher, texts = common.WordHasher(), sorted({t or "" for _, t in rows})
     fps = np.stack([simhash.fingerprint(simhash._runs(common.alnum_words(t), hasher, 5), simhash.NEAR_BITS) for t in texts])
     some = np.array([bool(common.alnum_words(t)) for t in texts])
-    limit, u, at = math.floor(math.acos(0.8) / math.pi * simhash.NEAR_BITS), Union(len(texts)), {t: i for i, t in enumerate(texts)}
+    limit, u, at = simhash.near_limit(0.8), Union(len(texts)), {t: i for i, t in enumerate(texts)}
     for i in range(len(texts)):
         for j in np.flatnonzero((np.bitwise_count(fps[:i] ^ fps[i]).sum(1) <= limit) & some[:i] & some[i]):
             u.join(i, int(j))
