@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +81,13 @@ class Forest:
         source = source or ""
         root = self._node(-1, _TAG["#other"], 0, 0)
         stack, at, scan = [("#root", root)], 0, _TOKEN.scanner(source)
+        # How often each element is open, so that an end tag without a start costs no look through the stack.
+        opened: Counter[str] = Counter()
+
+        def close(k: int) -> None:
+            opened.subtract(name for name, _ in stack[k:])
+            del stack[k:]
+
         while True:
             m = scan.search()
             if m is None:
@@ -95,19 +103,17 @@ class Forest:
             if name in BLOCK:
                 self.blocks += 1
             if m[1] or m[4]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened[name] > 0:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
                 continue
             attrs = m[3] or m[6] or ""
             ends = _ENDS.get(name, ())
             if name in _NO_P:
                 ends = {*ends, "p"}
-            if ends:
+            if any(opened[e] > 0 for e in ends):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in ends:
-                        del stack[k:]
+                        close(k)
                     elif stack[k][0] in _STOPS and not (name in ("tr", "tbody") and stack[k][0] == "tr"):
                         break
             cue = 0
@@ -122,9 +128,10 @@ class Forest:
             if name in VOID or attrs.endswith("/"):
                 continue
             stack.append((name, node))
+            opened[name] += 1
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-                end = close.start() if close else len(source)
+                end_tag = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
+                end = end_tag.start() if end_tag else len(source)
                 self._text(stack, source[at:end])
                 at = end
         self._text(stack, source[at:])
@@ -139,7 +146,7 @@ class Forest:
             size[i] = len(t.strip())
         a = tag == _TAG["a"]
         for d in range(int(depth.max(initial=0)), 0, -1):
-            at = np.flatnonzero(depth == d) if d > 64 else self._level(depth, d)
+            at = self._level(depth, d)
             linked[at] = np.where(a[at], size[at], linked[at])
             np.add.at(size, parent[at], size[at])
             np.add.at(linked, parent[at], linked[at])
@@ -177,9 +184,11 @@ class TreeModel:
 
     @classmethod
     def train(cls, pages: list[str]) -> TreeModel:
-        forest = Forest()
-        for p in pages:
-            forest.add(p)
+        """Counts on four fifths of the pages; the weights of the features, which depend on each other, fitted on the rest."""
+        at = len(pages) * 4 // 5
+        forest, rest = Forest(), Forest()
+        for k, p in enumerate(pages):
+            (forest if k < at else rest).add(p)
         f, parent = forest.features()
         y = np.array(forest.label)
         emission = []
@@ -187,12 +196,27 @@ class TreeModel:
             c = np.full((size, 2), 0.2)
             np.add.at(c, (f[:, j], y), 1)
             emission.append(np.log(c / c.sum(0)))
-        # Tags decide most, and the other features depend on them: their weight is halved.
-        emission[2:] = [e / 2 for e in emission[2:]]
         child = np.flatnonzero(parent >= 0)
         c = np.full((5, 2, 2), 0.5)
         np.add.at(c, (edge_kinds(f, parent)[child], y[parent[child]], y[child]), 1)
-        return cls(np.log([0.99, 0.01]), np.log(c / c.sum(2, keepdims=True)), emission)
+        pair = np.log(c / c.sum(2, keepdims=True))
+        truth, weights = np.array(rest.label), [1.0] * len(FEATURES)
+
+        def model(w: list[float]) -> TreeModel:
+            return cls(np.log([0.99, 0.01]), pair, [e * x for e, x in zip(emission, w)])
+
+        def loss(w: list[float]) -> float:
+            p = np.clip(model(w).marginals(rest), 1e-9, 1 - 1e-9)
+            return -float(np.where(truth, np.log(p), np.log(1 - p)).mean())
+
+        best = loss(weights) if rest.parent else 0.0
+        for _ in range(2 if rest.parent else 0):
+            for j in range(len(weights)):
+                for x in (0.25, 0.5, 0.75, 1.0, 1.25, 1.5):
+                    tried = [*weights[:j], x, *weights[j + 1 :]]
+                    if (now := loss(tried)) < best - 1e-6:
+                        best, weights = now, tried
+        return model(weights)
 
     def marginals(self, forest: Forest) -> np.ndarray:
         """P(main text) of every node, by one pass of messages upward and one downward."""

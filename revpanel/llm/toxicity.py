@@ -2,7 +2,8 @@
 
 Terms are words and their beginnings of 4 to 7 characters, each at three levels (present, at least twice, at least
 four times), hashed to 3 * 2**18 slots. The machine learns a weight for each kept slot and, through factor vectors, one for
-each pair of slots, so that two terms that are harmless alone can count together.
+each pair of slots, so that two terms that are harmless alone can count together. Slots are kept for what they say about the
+label alone or in a pair with another one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from revpanel.llm.common import alnum_words
 
 SLOTS, LEVELS, PREFIXES = 1 << 18, (1, 2, 4), (4, 5, 6, 7)
+#: Most frequent slots whose pairs are looked at, pairs whose slots are kept, and the chi-square that they need: a chance of
+#: one in four billion for each of half a million pairs.
+PAIRED, PAIRS, PAIR_LEAST = 1024, 128, 40.0
 
 
 def _slots(word: bytes) -> list[int]:
@@ -48,6 +52,39 @@ class _Terms:
         return np.array([s * len(LEVELS) + i for s, n in sums.items() for i, least in enumerate(LEVELS) if n >= least], np.int32)
 
 
+def _chi_square(seen: np.ndarray, hit: np.ndarray, positives: float, negatives: float) -> np.ndarray:
+    share, rest = (hit + 0.5) / (positives + 1), (seen - hit + 0.5) / (negatives + 1)
+    pooled = (seen + 1) / (positives + negatives + 2)
+    return (share - rest) ** 2 / np.maximum(pooled * (1 - pooled), 1e-12) * positives * negatives / (positives + negatives)
+
+
+def _paired(rows: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, positives: float, negatives: float) -> np.ndarray:
+    """Slots of the pairs whose presence together says most about the label, of the PAIRED most frequent slots.
+
+    Slots that nearly all texts have say nothing, and rare ones have no pairs to count.
+    """
+    n = len(rows)
+    frequent = np.flatnonzero((seen >= max(20, n // 200)) & (seen <= 0.7 * n))
+    frequent = np.sort(frequent[np.argsort(-seen[frequent], kind="stable")[:PAIRED]])
+    if len(frequent) < 2:
+        return np.empty(0, np.int64)
+    x = np.zeros((n, len(frequent)), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.isin(frequent, r)
+    y = labels > 0
+    both, hit = x.T @ x, x[y].T @ x[y]
+    chi = _chi_square(both, hit, positives, negatives)
+    # A pair that says no more than one of its slots alone needs no pair, and levels or beginnings of one word are none.
+    alone = np.diag(chi)
+    single = np.maximum(alone[:, None], alone[None, :])
+    spread = np.minimum(np.diag(both)[:, None], np.diag(both)[None, :])
+    chi = np.where((both >= 10) & (both < 0.8 * spread) & (chi > 2 * single), chi, 0)
+    i, j = np.triu_indices(len(frequent), 1)
+    best = np.argsort(-chi[i, j], kind="stable")[:PAIRS]
+    best = best[chi[i, j][best] > PAIR_LEAST]
+    return frequent[np.union1d(i[best], j[best])]
+
+
 @dataclass
 class FactorizationMachine:
     """score = sigmoid(bias + sum w_i + sum_{i<j} <v_i, v_j>) over the slots present in a text."""
@@ -59,9 +96,10 @@ class FactorizationMachine:
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], labels: np.ndarray, keep: int = 1024, least: float = 10.8, factors: int = 8, epochs: int = 300, rate: float = 0.03, decay: float = 2e-4, seed: int = 5) -> FactorizationMachine:
-        """Adam on the logistic loss, over the ``keep`` slots most associated with the label.
+        """Adam on the logistic loss, over the ``keep`` slots most associated with the label and those of ``_paired``.
 
-        Slots whose chi-square with the label is under ``least`` (10.8: one in a thousand by chance) are left out.
+        Slots whose chi-square with the label is under ``least`` (10.8: one in a thousand by chance) are left out. Without
+        ``factors`` the machine is a linear model.
         """
         n, size = len(rows), SLOTS * len(LEVELS)
         seen, hit = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -71,11 +109,9 @@ class FactorizationMachine:
                 hit[r] += 1
         positives = max(float(labels.sum()), 1.0)
         negatives = max(n - positives, 1.0)
-        share, rest = (hit + 0.5) / (positives + 1), (seen - hit + 0.5) / (negatives + 1)
-        pooled = (seen + 1) / (n + 2)
-        score = (share - rest) ** 2 / (pooled * (1 - pooled)) * positives * negatives / (positives + negatives) * (seen >= 3)
-        slots = np.sort(np.argsort(-score, kind="stable")[:keep])
-        slots = slots[score[slots] > least]
+        score = _chi_square(seen, hit, positives, negatives) * (seen >= 3)
+        slots = np.argsort(-score, kind="stable")[:keep]
+        slots = np.union1d(slots[score[slots] > least], _paired(rows, labels, seen, positives, negatives))
         x = np.zeros((n, len(slots)), np.float32)
         for i, r in enumerate(rows):
             x[i] = np.isin(slots, r)
@@ -105,10 +141,11 @@ class FactorizationMachine:
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether the labels of a document are never read; those of a null doc_id are not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> FactorizationMachine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", factors: int = 8) -> FactorizationMachine:
     """Fit on about ``max_rows`` labelled documents at most, taken by a hash of their id; held-out ids are never read.
 
     The bound keeps what reaches the driver the same at every input size. Null labels are left out; of
@@ -130,7 +167,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, text:
     # sample has at most about max_rows rows; texts become slots where they are
     rows = plain.join(F.broadcast(sample), "doc_id").mapInPandas(slots, "y boolean, x binary").toArrow()
     pairs = sorted(zip(rows["y"].to_pylist(), rows["x"].to_pylist()))
-    return FactorizationMachine.fit([np.frombuffer(x, np.int32) for _, x in pairs], np.array([y for y, _ in pairs], np.float64))
+    return FactorizationMachine.fit([np.frombuffer(x, np.int32) for _, x in pairs], np.array([y for y, _ in pairs], np.float64), factors=factors)
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

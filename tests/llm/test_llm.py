@@ -363,6 +363,29 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert 0 <= nothing.score(np.array([1, 2])) <= 1
 
 
+def test_pairs_of_terms_that_say_nothing_alone(spark):
+    """Toxic is what has exactly one of two words: the machine learns it, the same model without factors can not."""
+    rng, rows, labels = random.Random(15), [], []
+    for i in range(1500):
+        w, a, b = words(rng, 40).split(), rng.random() < 0.5, rng.random() < 0.5
+        if a:
+            w[rng.randrange(20)] = "those"
+        if b:
+            w[20 + rng.randrange(20)] = "vermin"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a != b)))
+    docs, marks = table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+
+    def right(model):
+        scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, model).collect()}
+        return np.mean([(scores[i] >= 0.5) == y for i, y in held])
+
+    assert right(toxicity.fit_toxicity(docs, marks)) > 0.95 and right(toxicity.fit_toxicity(docs, marks, factors=0)) < 0.8
+    odd = table(spark, [(None, "those"), (1, "x")]).select(toxicity.held_out().alias("h")).collect()
+    assert all(r["h"] is not None for r in odd)
+
+
 def test_held_out_labels_are_never_read(spark):
     rows = [(i, f"text number {i} " + words(random.Random(i), 20)) for i in range(200)]
     good = [(i, i % 2) for i in range(200)]
@@ -437,6 +460,44 @@ def test_main_text():
     assert got[6].startswith("The & title\nFirst part")
 
 
+#: Pages written by hand, each with its main text.
+BY_HAND = [
+    ("""<html><head><title>Bread - My Kitchen</title></head><body class="home"><div id="top"><a href="/">My Kitchen</a> | <a href="/r">Recipes</a> | <a href="/s">Shop</a></div>
+     <div class="post"><h2>How I bake bread at home</h2><p>Flour, water and salt are all you need, and some patience on a cold day.</p><p>Mix the <em>dough</em> in the evening and let it rest until the next morning; then fold it twice.</p><ul><li>500 g of flour from a mill nearby</li><li>10 g of salt</li></ul></div>
+     <div class="sidebar"><h3>About me</h3><p>I am a baker who writes about bread and other good things to eat.</p></div><div class="footer">All rights reserved 2024</div></body></html>""",
+     "How I bake bread at home\nFlour, water and salt are all you need, and some patience on a cold day.\nMix the dough in the evening and let it rest until the next morning; then fold it twice.\n500 g of flour from a mill nearby\n10 g of salt"),
+    ("""<!doctype html><body><header><nav><a href=/>Home</a><a href=/news>News</a></nav></header><main><article><h1>Bridge opens after three years of work</h1><p>The new bridge over the river was opened on Monday by the mayor, who crossed it on foot.
+     <p>It cost &euro;12 million, which is twice as much as was planned when work began.<aside class="related"><h4>Read also</h4><a href=/b>Another bridge</a></aside><p>Buses will use it from next week on.</article></main><footer><p>&copy; Local Paper &middot; <a href=/c>Contact</a></p></footer></body>""",
+     "Bridge opens after three years of work\nThe new bridge over the river was opened on Monday by the mayor, who crossed it on foot.\nIt cost €12 million, which is twice as much as was planned when work began.\nBuses will use it from next week on."),
+    ("""<body><div id="cookie-banner"><p>This site uses cookies to make your visit better, do you agree to that?</p><button>Yes</button></div><div id="content"><h1>Garden notes</h1><blockquote><p>Plant in the autumn, harvest in the summer, as my mother used to say.</p></blockquote><p>Roses want sun and some water every day.</p></div>
+     <div id="comments"><h3>2 comments</h3><div class="comment"><p>What a lovely garden you have there, thank you for sharing it with us.</p></div></div><form><input name=q><button>Search</button></form><script>track("page");</script></body>""",
+     "Garden notes\nPlant in the autumn, harvest in the summer, as my mother used to say.\nRoses want sun and some water every day."),
+]
+
+
+def test_main_text_of_pages_written_by_hand():
+    """Block by block: nearly all is found, and next to nothing else."""
+    got, hit, found, wanted = html.main_texts(html.trained_model(), [p for p, _ in BY_HAND]), 0, 0, 0
+    for text, (_, want) in zip(got, BY_HAND):
+        a, b = Counter(text.split("\n")), Counter(want.split("\n"))
+        hit, found, wanted = hit + sum((a & b).values()), found + sum(a.values()), wanted + sum(b.values())
+    assert hit / wanted >= 0.9 and hit / found >= 0.9, (hit, found, wanted, got)
+
+
+def test_deep_long_and_hostile_pages():
+    """In time that grows with the page: deep nesting, stray end tags, unclosed quotes, very long texts, and no crash."""
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html.main_texts(model, ["<div>" * n + "text</div></p></i></x>" * n, "<b>" * n + "</i>" * n, "<p class=\"" * n, "<p>" + "a word and another one. " * n, "<!--" * n, "&#1;&bogus;&#x110000;" * n])
+        return time.process_time() - began
+
+    model = html.trained_model()
+    seconds(100)
+    assert seconds(4000) < 12 * max(seconds(1000), 0.05)
+
+
 def test_main_text_on_held_out_pages():
     model, right, total = html.trained_model(), 0, 0
     forest = html.Forest()
