@@ -18,22 +18,37 @@ WORDS = r"[^\x20\x09-\x0D]+"
 _BITS, _STEP = 62, 10
 
 
+def ordered_sums(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """With __row, the number of each row in the order (from 0), and __before_{name}, the sum of a column over the rows before it.
+
+    Rows are dealt by ranges and numbered within their range; only one row per range is summed in one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__sum_{c}") for c in sums])
+    starts = totals.select("__range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_at") for c in ("__n", *(f"__sum_{c}" for c in sums))])
+    within = Window.partitionBy("__range").orderBy(*order)
+    inside = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("__row", F.row_number().over(within) - 1).withColumns({f"__before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    out = out.join(starts, "__range")
+    return out.select(*rows.columns, (F.col("__row") + F.col("__n_at")).alias("__row"), *[(F.col(f"__before_{c}") + F.col(f"__sum_{c}_at")).alias(f"__before_{c}") for c in sums])
+
+
 def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], most: float) -> DataFrame:
     """(k, source, source_size) -> with target: shares by weight, none above ``most`` times its source's size.
 
-    With caps ordered by cap / weight, the level at which the rest divides evenly is found from running sums. There is
-    one row per source.
+    With caps ordered by cap / weight, the level at which the rest divides evenly is found from running sums.
     """
-    everyone = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(everyone) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("w", weight).withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy())
-    rows = rows.withColumn("level", (share * total - before) / left).withColumn("at", F.row_number().over(order))
-    level = F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.col("at"))).over(Window.partitionBy())
-    return rows.select("k", "source_size", F.least("cap", F.coalesce(F.col("w") * level, F.col("cap"))).alias("target"))
+    code_points = [F.col("source").isNull(), F.col("source")]
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__row") % len(weights) + 1).cast("int"))
+    rows = ordered_sums(sizes, code_points, []).withColumn("w", weight).drop("__row")
+    rows = cut(rows.withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w")))
+    all_ = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    runs = ordered_sums(rows, [F.col("ratio"), *code_points], ["cap", "w"])
+    level = (share * all_["n"] - F.col("__before_cap")) / (all_["w"] - F.col("__before_w"))
+    first = runs.withColumn("level", level).where("level <= ratio").agg(F.min_by("level", "__row").alias("level")).first()["level"]
+    return rows.select("k", "source_size", F.least("cap", F.coalesce(F.col("w") * F.lit(first).cast("double"), F.col("cap"))).alias("target"))
 
 
 def _boundary(hist: DataFrame, budget: DataFrame, bucket: str) -> DataFrame:
@@ -85,7 +100,7 @@ def mix_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...]
         ends.append(end)
         budget = end.select("k", F.col("left").alias("budget"))
         near = left.join(end, "k")
-        left = near.where((F.col("h") >= F.col("h_end")) & (F.col("size") <= F.col("left"))).select("k", "h", "size")
+        left = cut(near.where((F.col("h") >= F.col("h_end")) & (F.col("size") <= F.col("left"))).select("k", "h", "size"))
     # One more document where it comes nearer than none.
     marks = targets.select("k", "source_size", "target", "whole")
     for i, end in enumerate(ends):

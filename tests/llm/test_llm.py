@@ -572,6 +572,16 @@ def test_mixing(spark):
     assert got
 
 
+def test_targets_of_many_sources(spark):
+    """Hundreds of sources over several ranges, null and equal ratios among them."""
+    rng = random.Random(17)
+    sizes = {f"src{rng.randrange(10**6)}": rng.choice([10, 10, 500, 4000, 0]) for _ in range(400)} | {None: 70, "ä": 5, "Z": 5}
+    df = spark.createDataFrame([(str(k), k, n) for k, n in sizes.items()], "k string, source string, source_size long").repartition(5)
+    got = {r["k"]: r["target"] for r in mixing.source_targets(df, 1.5, (5, 2, 1), 2.0).collect()}
+    want = brute_targets(sizes, (5, 2, 1))
+    assert len(got) == len(want) and all(abs(got[str(k)] - t) < 1e-6 * max(1, t) for k, t in want.items())
+
+
 def test_sharding(spark):
     rng = random.Random(10)
     rows = corpus() + [(5000 + i, "the same text") for i in range(90)] + [(7000 + i, words(rng, 4)) for i in range(60)] + [(8000 + i, f"pair {i // 3}") for i in range(60)]
@@ -703,15 +713,47 @@ def test_surrogates_against_brute_force(spark):
     assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
 
 
-def test_registered_queries(spark):
-    """Columns of the contracts."""
+#: Columns, in their order and with their types, that the contracts fix.
+CONTRACTS = {
+    "op1_simhash": "doc_id bigint, fingerprint string, component_id bigint", "op2_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op3_decontaminate": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", "op4_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op5_html": "page_id bigint, url string, text string, n_chars bigint", "op6_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op9_windows": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+}
+
+
+def test_registered_queries(spark, tmp_path):
+    """Columns and values of the contracts, through the queries."""
     assert list(queries.QUERIES) == [next(q for q in queries.QUERIES if q.startswith(f"op{n}_")) for n in range(1, 11)]
-    folder = "/root/testdata/sf0.001"
-    out = queries.QUERIES["op9_windows"](spark, folder)
-    assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    row = out.first()
-    assert re.fullmatch("[0-9a-f]{64}", row["kept_sha256"]) and hashlib.sha256(b"").hexdigest() != ""
-    assert isinstance(out.schema["n_words"].dataType, T.LongType)
+    rows, folder = corpus(), str(tmp_path)
+    docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    items = [(1, " ".join(split(rows[3][1] or "a b")[:20])), (2, "w3 w9")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(d, 1, d % 2) for d, _ in rows[:40] if d is not None], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, [float(i % 7), 0.5, float(i % 3)]) for i in range(120)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(i, f"u{i}", p) for i, (p, _) in enumerate(BY_HAND)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    got = {}
+    for name, want in CONTRACTS.items():
+        out = queries.QUERIES[name](spark, folder)
+        assert [", ".join(f"{c} {t}" for c, t in out.dtypes)] == [want], name
+        got[name] = [r.asDict() for r in out.collect()]
+    ids = Counter(d for d, _ in rows)
+    assert all(Counter(r["doc_id"] for r in got[n]) == ids for n in CONTRACTS if "doc_id" in CONTRACTS[n])
+    prints = defaultdict(set)
+    for d, t in rows:
+        prints[d].add(f"{brute_print(t):016x}")
+    assert all(r["fingerprint"] in prints[r["doc_id"]] for r in got["op1_simhash"])
+    assert all(r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got["op2_toxicity"])
+    want = Counter((d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), c) for (d, n, h, i, c), k in brute_contamination(rows, items).items() for _ in range(k))
+    assert Counter(tuple(r.values()) for r in got["op3_decontaminate"]) == want
+    assert Counter(r["query_id"] for r in got["op4_topk"]) == {0: 5, 50: 5, 100: 5}
+    assert all(r["n_chars"] == len(r["text"]) for r in got["op5_html"]) and len(got["op5_html"]) == len(BY_HAND)
+    assert all(r["law"] == "rows" and r["grown_shard"] is None and 0 <= r["shard"] < 16 for r in got["op10_sharding"])
+    kept = Counter((d, n, g, hashlib.sha256(k.encode()).hexdigest()) for (d, n, g, k), c in brute_windows(rows, 20).items() for _ in range(c))
+    assert Counter(tuple(r.values()) for r in got["op9_windows"]) == kept
+    assert queries.QUERIES["op7_suffixes"](spark, folder).columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"]
+    assert queries.QUERIES["op8_pii"](spark, folder).columns == ["doc_id", "text", "n_mentions"]
 
 
 def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
