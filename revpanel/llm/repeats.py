@@ -3,12 +3,12 @@
 A document is a doc_id and a text: rows that repeat both are one document, rows that repeat a doc_id with other texts are
 several, in the order of a hash of their texts. Positions are (doc_id, hash of the text, word).
 
-Windows are counted in two rounds. The first finds candidates by 32 bits of a hash beside its bucket, which loses none;
-positions travel as packed arrays, one row per task batch and bucket, so that a shuffle carries about six bytes a window.
-The second decides on the candidates alone by two independent 64-bit hashes, 128 bits: n different windows among the candidates
-meet by chance with a probability under n**2 / 2**129. (Words themselves are told apart by 64 bits.) Each batch keeps back all but
-its first occurrence of a window, so a passage that stands in a third of all documents sends one position per batch and
-no task ever gathers its occurrences.
+Windows are counted in two rounds. The first finds candidates by 24 bits of a hash beside its bucket, which loses none (and
+adds a few in a hundred); positions travel as packed arrays, one row per task batch and bucket, so that a shuffle carries
+about seven bytes a window. The second decides on the candidates alone by two independent hashes, 96 bits together: n different
+windows among the candidates meet by chance with a probability under n**2 / 2**97. (Words themselves are told apart by 64
+bits.) Each batch keeps back all but its first occurrence of a window, so a passage that stands in a third of all documents
+sends one position per batch and no task ever gathers its occurrences.
 """
 
 from __future__ import annotations
@@ -42,6 +42,11 @@ def _unplanes(b: bytes, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
+def salt(doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """What tells the texts of one doc_id apart in the first round: all of the hash where there is no doc_id, else four bits."""
+    return np.where(doc == NO_ID, text, text & 15)
+
+
 class Marks:
     """Positions (doc, text, start), sorted, with hashes of some width for each (uint8[n, width])."""
 
@@ -62,7 +67,7 @@ class Marks:
     def pack(self) -> bytes:
         new = np.flatnonzero(np.r_[True, (self.doc[1:] != self.doc[:-1]) | (self.text[1:] != self.text[:-1])][: len(self)])
         counts = np.diff(np.r_[new, len(self)]).astype(np.uint32)
-        body = _planes(self.doc[new]) + self.text[new].tobytes() + _planes(counts) + _planes(self.start.astype(np.uint32))
+        body = _planes(self.doc[new]) + _planes(self.text[new]) + _planes(counts) + _planes(self.start.astype(np.uint32))
         body = zstandard.ZstdCompressor(level=1).compress(body)
         return np.array([len(self), len(new), len(body), self.tail.shape[1]], np.uint32).tobytes() + body + self.tail.tobytes()
 
@@ -71,13 +76,13 @@ class Marks:
         n, docs, size, width = map(int, np.frombuffer(blob, np.uint32, 4))
         body = zstandard.ZstdDecompressor().decompress(blob[16 : 16 + size])
         counts = _unplanes(body[16 * docs : 20 * docs], "<u4", docs)
-        doc, text = _unplanes(body[: 8 * docs], "<i8", docs), np.frombuffer(body, np.int64, docs, 8 * docs)
+        doc, text = (_unplanes(body[8 * k * docs : 8 * (k + 1) * docs], "<i8", docs) for k in (0, 1))
         tail = np.frombuffer(blob, np.uint8, n * width, 16 + size).reshape(n, width)
         return cls(np.repeat(doc, counts), np.repeat(text, counts), _unplanes(body[20 * docs :], "<u4", n).astype(np.int64), tail)
 
     def by_group(self, groups: int) -> Iterator[tuple[int, bytes]]:
         """One packed row for each group of documents, without hashes."""
-        g = np.mod(self.doc ^ self.text, groups)
+        g = np.mod(self.doc ^ salt(self.doc, self.text), groups)
         order = np.lexsort((self.start, self.text, self.doc, g))
         g = g[order]
         for s, e in zip(*cursors(g)):
@@ -100,11 +105,12 @@ def _equal(h: tuple[np.ndarray, ...], marks: Marks) -> tuple[np.ndarray, np.ndar
 
 
 class _Sizes:
-    """Buckets of hashes and groups of documents. From 100 TB on a bucket grows beyond BUCKET_WINDOWS, to some hundred MB."""
+    """Buckets of hashes of each round and groups of documents. From 100 TB on a bucket grows beyond BUCKET_WINDOWS, to some hundred MB."""
 
     def __init__(self, docs: DataFrame):
         data = input_bytes(docs)
         self.buckets = power_of_two(data / 3 / BUCKET_WINDOWS, 64, 1 << 20)
+        self.fewer = max(64, self.buckets // 8)
         self.groups = power_of_two(2 * data / GROUP_BYTES, 16, 1 << 24) + 1
 
 
@@ -115,35 +121,47 @@ Hashed = tuple[tuple[np.ndarray, ...], Marks]
 def _meet(hashed: Iterator[Hashed], sizes: _Sizes) -> Iterator[pd.DataFrame]:
     """Rows (bucket, blob) of a batch's windows; what is known from the batch alone goes straight on as bucket -1 - group.
 
-    With one hash, that are all windows that have an equal elsewhere, and 32 bits travel; with two, those that start later than an
-    equal one, and all 128 bits travel.
+    With one hash, that are all windows that have an equal one, and 24 bits travel, with the salt for the text; with two,
+    those that start later than an equal one, and 96 bits travel.
     """
-    low = sizes.buckets.bit_length() - 1
     for h, marks in hashed:
         if not len(marks):
             continue
         order, first, later = _equal(h, marks)
         h, marks = tuple(x[order] for x in h), marks[order]
-        known = later.copy()
+        own = first == np.arange(len(marks))
+        low = (sizes.buckets if len(h) == 1 else sizes.fewer).bit_length() - 1
+        known = later
         if len(h) == 1:
-            known[first[later]] = True
+            known = ~own
+            known[first[~own]] = True
+            marks.text = salt(marks.doc, marks.text)
         rows = [(-1 - g, b) for g, b in marks[known].by_group(sizes.groups)] if known.any() else []
-        own = np.flatnonzero(first == np.arange(len(marks)))
         h, marks = tuple(x[own] for x in h), marks[own]
         bucket = (h[0] >> np.uint64(64 - low)).astype(np.int64)
         order = np.lexsort((marks.start, marks.text, marks.doc, bucket))
         marks, bucket = marks[order], bucket[order]
         if len(h) == 1:
-            tail = (h[0][order] << np.uint64(low) >> np.uint64(32)).astype(np.uint32).view(np.uint8).reshape(-1, 4)
+            marks.tail = (h[0][order] << np.uint64(low)).view(np.uint8).reshape(-1, 8)[:, 5:]
         else:
-            tail = np.stack([x[order] for x in h], 1).view(np.uint8).reshape(-1, 16)
-        marks.tail = tail
+            marks.tail = np.concatenate([h[0][order].view(np.uint8).reshape(-1, 8), h[1][order].view(np.uint8).reshape(-1, 8)[:, :4]], 1)
         rows += [(int(bucket[s]), marks[slice(s, e)].pack()) for s, e in zip(*cursors(bucket))]
         yield pd.DataFrame(rows, columns=["bucket", "blob"])
 
 
+def _tail_numbers(tail: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash bytes as numbers: one for 3 bytes, two for 12."""
+    wide = np.zeros((len(tail), 16), np.uint8)
+    wide[:, : tail.shape[1]] = tail
+    h = wide.view(np.uint64)
+    return (h[:, 0],) if tail.shape[1] == 3 else (h[:, 0], h[:, 1])
+
+
 def _repeated(met: DataFrame, sizes: _Sizes) -> DataFrame:
-    """(bucket, blob) -> (g, blob): windows that have an equal elsewhere (32 bits), or start later than an equal one (128 bits)."""
+    """(bucket, blob) -> (g, blob): windows that have an equal one (24 bits), or start later than an equal one (96 bits).
+
+    In the first round two rows of one document count as equal windows too; the second tells them apart.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[Marks] = []
@@ -156,10 +174,10 @@ def _repeated(met: DataFrame, sizes: _Sizes) -> DataFrame:
                 if key[s] < 0:
                     continue
                 marks = Marks.joined([Marks.unpack(b) for b in pdf["blob"].iloc[s:e]])
-                width = marks.tail.shape[1]
-                h = np.ascontiguousarray(marks.tail).view(np.uint32 if width == 4 else np.uint64)
-                order, first, later = _equal(tuple(h[:, k] for k in range(h.shape[1])), marks)
-                if width == 4:
+                h = _tail_numbers(marks.tail)
+                order, first, later = _equal(h, marks)
+                if len(h) == 1:
+                    later = first != np.arange(len(order))
                     later[first[later]] = True
                 held.append(marks[order[later]])
             if sum(map(len, held)) > 1_000_000:
@@ -180,6 +198,10 @@ def _id(d: object) -> int:
     return NO_ID if d is None or d != d else int(d)
 
 
+def _salt(doc: int, text: int) -> int:
+    return text if doc == NO_ID else text & 15
+
+
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[list[Doc]]:
     """Different documents in lists of about BATCH_WORDS words; a long document is a list of its own."""
     held: dict[tuple[int, int], list[bytes]] = {}
@@ -211,8 +233,8 @@ def _windows(frames: Iterator[pd.DataFrame], width: int) -> Iterator[Hashed]:
 
 
 def _grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """With the group of each document: doc_id xor hash of the text, so that neither one text nor one doc_id is a group."""
-    g = F.pmod(F.coalesce("doc_id", F.lit(NO_ID)).bitwiseXOR(F.col("th")), F.lit(groups)).cast("int")
+    """With the group of each document: doc_id xor salt, so that neither one text nor one doc_id is a group."""
+    g = F.pmod(F.coalesce("doc_id", F.lit(NO_ID)).bitwiseXOR(F.when(F.col("doc_id").isNull(), F.col("th")).otherwise(F.col("th").bitwiseAND(F.lit(15)))), F.lit(groups)).cast("int")
     return docs.select(g.alias("g"), "doc_id", "th", "text")
 
 
@@ -229,19 +251,20 @@ def _look_up(blobs: pd.Series) -> Callable[[int, int], np.ndarray]:
     return lambda d, t: marks.start[slice(*at.get((d, t), (0, 0)))]
 
 
-def _decided(grouped: DataFrame, candidates: DataFrame, sizes: _Sizes, width: int, near: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
-    """(g, blob) of the windows, among ``near`` the candidates, that start later than an equal one by 128 bits."""
+def _decided(grouped: DataFrame, candidates: DataFrame, sizes: _Sizes, width: int) -> DataFrame:
+    """(g, blob) of the windows, among the candidates (by salt), that start later than an equal one by 96 bits."""
 
     def exact(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at, hasher, seen = _look_up(right["blob"]), WordHasher(), set()
         docs, hashes = [], ([np.empty(0, np.uint64)], [np.empty(0, np.uint64)])
         for d, t, text in zip(left["doc_id"], left["th"], left["text"]):
             key = (_id(d), int(t))
-            marked = at(*key)
+            marked = at(key[0], _salt(*key))
             if len(marked) and key not in seen:
                 seen.add(key)
                 h = hasher(plain_words(text))
-                starts = near(np.unique(marked), len(h) - width + 1)
+                starts = np.unique(marked)
+                starts = starts[(starts >= 0) & (starts <= len(h) - width)]
                 docs.append((*key, starts))
                 for k, base in enumerate(BASES):
                     hashes[k].append(rolling(h, width, base)[starts])
@@ -291,7 +314,7 @@ def strip_repeated_windows(docs: DataFrame, width: int = 20, text: str = "text",
     sizes, plain = _Sizes(docs), _documents(docs, text, doc_id)
     met = plain.mapInPandas(lambda it: _meet(_windows(it, width), sizes), "bucket int, blob binary")
     grouped = _grouped(plain, sizes.groups)
-    return _stripped(grouped, _decided(grouped, _repeated(met, sizes), sizes, width, lambda marked, n: marked), width)
+    return _stripped(grouped, _decided(grouped, _repeated(met, sizes), sizes, width), width)
 
 
 def minimisers(h: np.ndarray, span: int) -> np.ndarray:
@@ -362,7 +385,7 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
        dealt by ranges, and compared with their neighbours: the largest number of words that one has in
        common with any other, to the right, is that with a neighbour. The same is done to the left, with the words before
        the suffixes in reverse. Suffixes that agree in fewer than min_words words to both sides together go.
-    3. The rest is extended left and right as far as it agrees; what starts earlier is decided by 128 bits of each
+    3. The rest is extended left and right as far as it agrees; what starts earlier is decided by 96 bits of each
        stretch of min_words words in these extents.
 
     The result is that of removing every word covered by a window of min_words words that starts earlier. Codes that
@@ -377,11 +400,13 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
         at, hasher, out, seen = _look_up(right["blob"]), WordHasher(), [], set()
         for d, t, text in zip(left["doc_id"], left["th"], left["text"]):
             key = (_id(d), int(t))
-            p = np.unique(at(*key))
+            words = hasher(plain_words(text))
+            p = np.unique(at(key[0], _salt(*key)))
+            p = p[p + prefix <= len(words)]
             if not len(p) or key in seen:
                 continue
             seen.add(key)
-            codes = np.r_[np.zeros(back, np.uint64), hasher(plain_words(text)) | np.uint64(1 << 32), np.zeros(min_words, np.uint64)] >> np.uint64(32)
+            codes = np.r_[np.zeros(back, np.uint64), words | np.uint64(1 << 32), np.zeros(min_words, np.uint64)] >> np.uint64(32)
             codes = codes.astype(">u4")
             ahead, behind = codes[p[:, None] + back + np.arange(min_words)], codes[p[:, None] + back - 1 - np.arange(back)]
             out.append(pd.DataFrame({"doc": key[0], "th": key[1], "start": p, "ahead": [x.tobytes() for x in ahead], "behind": [x.tobytes() for x in behind]}))
@@ -398,7 +423,7 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
         ranked = suffixes.select("doc", "th", "start", side).repartitionByRange(n, *order).sortWithinPartitions(*order)
         agreed[side] = _neighbours(ranked, side, words).withColumnRenamed("n", side)
     both = agreed["ahead"].join(agreed["behind"], ["doc", "th", "start"]).where(F.col("ahead") + F.col("behind") >= min_words)
-    kept = cut(both.select(F.pmod(F.col("doc").bitwiseXOR(F.col("th")), F.lit(sizes.groups)).cast("int").alias("g"), "doc", "th", "start", "ahead", "behind"))
+    kept = cut(both)
 
     def extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Starts of the stretches of min_words words that hold a kept suffix and lie in its extent."""
@@ -409,10 +434,9 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
             size = np.maximum(last - first + 1, 0)
             at = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
             rows = np.unique(np.stack([np.repeat(doc, size), np.repeat(th, size), at]), axis=1)
-            yield pd.DataFrame(list(Marks(*rows).by_group(sizes.groups)), columns=["g", "blob"])
+            yield pd.DataFrame(list(Marks(rows[0], salt(rows[0], rows[1]), rows[2]).by_group(sizes.groups)), columns=["g", "blob"])
 
     stretches = kept.select("doc", "th", "start", "ahead", "behind").mapInPandas(extents, "g int, blob binary")
-    inside = lambda marked, count: marked[(marked >= 0) & (marked < count)]
-    late = cut(_decided(grouped, stretches, sizes, min_words, inside))
+    late = cut(_decided(grouped, stretches, sizes, min_words))
     forget(suffixes, kept)
     return _stripped(grouped, late, min_words)
