@@ -339,8 +339,12 @@ def _suffixes(frames: Iterator[pd.DataFrame], width: int, prefix: int) -> Iterat
             yield (np.concatenate([h for *_, h in found]),), _marks_of([(d, t, p) for d, t, p, _ in found])
 
 
+#: Word codes: the order of their bytes is that of the numbers.
+CODE = ">u2"
+
+
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words rows of a and b (uint32[n, words]) have in common; 0 stands for no word."""
+    """How many leading words rows of a and b (codes[n, words]) have in common; 0 stands for no word."""
     same = (a == b) & (a != 0)
     return np.where(same.all(1), a.shape[1], same.argmin(1))
 
@@ -356,7 +360,7 @@ def _neighbours(sorted_rows: DataFrame, side: str, words: int) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.frombuffer(b"".join(pdf[side]), ">u4").reshape(len(pdf), words)
+            x = np.frombuffer(b"".join(pdf[side]), CODE).reshape(len(pdf), words)
             out = pdf[["doc", "th", "start"]].assign(n=np.int32(0))
             n = np.zeros(len(pdf), np.int32)
             inside = _agreeing(x[1:], x[:-1])
@@ -381,7 +385,7 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
     1. Of every whole text only the suffixes at minimiser positions are retained: the least hash of ``prefix``
        words among every min_words - prefix + 1 neighbouring positions, so that each passage of min_words words
        retains a suffix, the same one wherever it stands. Suffixes whose first ``prefix`` words begin no other go.
-    2. The others are sorted in Spark by their words (as 32-bit codes, which is an order of the words like any other),
+    2. The others are sorted in Spark by their words (as 15-bit codes, which order words like any other rule),
        dealt by ranges, and compared with their neighbours: the largest number of words that one has in
        common with any other, to the right, is that with a neighbour. The same is done to the left, with the words before
        the suffixes in reverse. Suffixes that agree in fewer than min_words words to both sides together go.
@@ -406,8 +410,7 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
             if not len(p) or key in seen:
                 continue
             seen.add(key)
-            codes = np.r_[np.zeros(back, np.uint64), words | np.uint64(1 << 32), np.zeros(min_words, np.uint64)] >> np.uint64(32)
-            codes = codes.astype(">u4")
+            codes = np.r_[np.zeros(back, np.uint64), words >> np.uint64(48) | np.uint64(1), np.zeros(min_words, np.uint64)].astype(CODE)
             ahead, behind = codes[p[:, None] + back + np.arange(min_words)], codes[p[:, None] + back - 1 - np.arange(back)]
             out.append(pd.DataFrame({"doc": key[0], "th": key[1], "start": p, "ahead": [x.tobytes() for x in ahead], "behind": [x.tobytes() for x in behind]}))
         empty = {"doc": _EMPTY, "th": _EMPTY, "start": _EMPTY, "ahead": [], "behind": []}
@@ -427,16 +430,19 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
 
     def extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Starts of the stretches of min_words words that hold a kept suffix and lie in its extent."""
-        for pdf in batches:
-            doc, th, p, ahead, behind = (pdf[c].to_numpy(np.int64) for c in ("doc", "th", "start", "ahead", "behind"))
-            first, last = p - behind, p + ahead - min_words
-            first, last = np.maximum(first, p - back), np.minimum(last, p)
-            size = np.maximum(last - first + 1, 0)
-            at = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
-            rows = np.unique(np.stack([np.repeat(doc, size), np.repeat(th, size), at]), axis=1)
-            yield pd.DataFrame(list(Marks(rows[0], salt(rows[0], rows[1]), rows[2]).by_group(sizes.groups)), columns=["g", "blob"])
+        held: list[Marks] = []
+        for pdf in (*batches, None):
+            if pdf is not None:
+                doc, th, p, ahead, behind = (pdf[c].to_numpy(np.int64) for c in ("doc", "th", "start", "ahead", "behind"))
+                first, last = np.maximum(p - behind, p - back), np.minimum(p + ahead - min_words, p)
+                size = np.maximum(last - first + 1, 0)
+                at = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+                held.append(Marks(np.repeat(doc, size), np.repeat(salt(doc, th), size), at))
+            if held and (pdf is None or sum(map(len, held)) > 4_000_000):
+                yield pd.DataFrame(list(Marks.joined(held).by_group(sizes.groups)), columns=["g", "blob"])
+                held = []
 
     stretches = kept.select("doc", "th", "start", "ahead", "behind").mapInPandas(extents, "g int, blob binary")
-    late = cut(_decided(grouped, stretches, sizes, min_words))
-    forget(suffixes, kept)
-    return _stripped(grouped, late, min_words)
+    forget(suffixes)
+    # One job, so that the texts are shuffled once for both.
+    return _stripped(grouped, _decided(grouped, stretches, sizes, min_words), min_words)

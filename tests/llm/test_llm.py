@@ -278,7 +278,7 @@ def test_neighbours_in_order(spark):
     """What a suffix has in common with any other it has in common with a neighbour."""
     rng = np.random.default_rng(3)
     codes = rng.integers(1, 3, (300, 6))
-    rows = [(i, 0, 0, x.astype(">u4").tobytes()) for i, x in enumerate(codes)]
+    rows = [(i, 0, 0, x.astype(repeats.CODE).tobytes()) for i, x in enumerate(codes)]
     df = spark.createDataFrame(rows, "doc long, th long, start int, side binary").repartition(1).sortWithinPartitions("side", "doc")
     got = {r["doc"]: r["n"] for r in repeats._neighbours(df, "side", 6).collect()}
     agree = lambda a, b: next((k for k in range(6) if a[k] != b[k]), 6)
