@@ -81,13 +81,13 @@ class Marks:
         return cls(np.repeat(doc, counts), np.repeat(text, counts), _unplanes(body[20 * docs :], "<u4", n).astype(np.int64), tail)
 
     def by_group(self, groups: int) -> Iterator[tuple[int, bytes]]:
-        """One packed row for each group of documents, without hashes."""
+        """One packed row for each group of documents."""
         g = np.mod(self.doc ^ salt(self.doc, self.text), groups)
         order = np.lexsort((self.start, self.text, self.doc, g))
         g = g[order]
         for s, e in zip(*cursors(g)):
             at = order[s:e]
-            yield int(g[s]), Marks(self.doc[at], self.text[at], self.start[at]).pack()
+            yield int(g[s]), self[at].pack()
 
 
 def _equal(h: tuple[np.ndarray, ...], marks: Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def _meet(hashed: Iterator[Hashed], sizes: _Sizes) -> Iterator[pd.DataFrame]:
             known = ~own
             known[first[~own]] = True
             marks.text = salt(marks.doc, marks.text)
-        rows = [(-1 - g, b) for g, b in marks[known].by_group(sizes.groups)] if known.any() else []
+        rows = [(-1 - g, b) for g, b in _bare([marks[known]]).by_group(sizes.groups)] if known.any() else []
         h, marks = tuple(x[own] for x in h), marks[own]
         bucket = (h[0] >> np.uint64(64 - low)).astype(np.int64)
         order = np.lexsort((marks.start, marks.text, marks.doc, bucket))
@@ -239,10 +239,14 @@ def _grouped(docs: DataFrame, groups: int) -> DataFrame:
 
 
 def _look_up(blobs: pd.Series) -> Callable[[int, int], np.ndarray]:
-    """Positions of each document of a group."""
+    """Positions of each document of a group; a byte beside a position says how many follow it."""
     if not len(blobs):
         return lambda d, t: _EMPTY
-    marks = _bare([Marks.unpack(b) for b in blobs])
+    marks = Marks.joined([Marks.unpack(b) for b in blobs])
+    if marks.tail.shape[1] == 1:
+        size = marks.tail[:, 0].astype(np.int64) + 1
+        ahead = np.arange(int(size.sum())) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+        marks = Marks(np.repeat(marks.doc, size), np.repeat(marks.text, size), np.repeat(marks.start, size) + ahead)
     order = np.lexsort((marks.text, marks.doc))
     marks = marks[order]
     starts = np.flatnonzero(np.r_[True, (marks.doc[1:] != marks.doc[:-1]) | (marks.text[1:] != marks.text[:-1])])
@@ -397,6 +401,8 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
     texts and repeated rows are those of ``strip_repeated_windows``.
     """
     sizes, plain = _Sizes(docs), _documents(docs, text, doc_id)
+    if min_words - prefix > 255:
+        raise ValueError("a passage is at most 255 words longer than the beginnings by which suffixes are sorted")
     retained = plain.mapInPandas(lambda it: _meet(_suffixes(it, min_words, prefix), sizes), "bucket int, blob binary")
     grouped, back = _grouped(plain, sizes.groups), min_words - prefix
 
@@ -429,16 +435,15 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
     kept = cut(both)
 
     def extents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Starts of the stretches of min_words words that hold a kept suffix and lie in its extent."""
+        """First starts of the stretches of min_words words that hold a kept suffix and lie in its extent, and how many follow."""
         held: list[Marks] = []
         for pdf in (*batches, None):
             if pdf is not None:
                 doc, th, p, ahead, behind = (pdf[c].to_numpy(np.int64) for c in ("doc", "th", "start", "ahead", "behind"))
                 first, last = np.maximum(p - behind, p - back), np.minimum(p + ahead - min_words, p)
-                size = np.maximum(last - first + 1, 0)
-                at = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
-                held.append(Marks(np.repeat(doc, size), np.repeat(salt(doc, th), size), at))
-            if held and (pdf is None or sum(map(len, held)) > 4_000_000):
+                ok = last >= first
+                held.append(Marks(doc[ok], salt(doc, th)[ok], first[ok], (last - first)[ok].astype(np.uint8).reshape(-1, 1)))
+            if held and (pdf is None or sum(map(len, held)) > 2_000_000):
                 yield pd.DataFrame(list(Marks.joined(held).by_group(sizes.groups)), columns=["g", "blob"])
                 held = []
 
