@@ -440,7 +440,7 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
         for pdf in (*batches, None):
             if pdf is not None:
                 doc, th, p, ahead, behind = (pdf[c].to_numpy(np.int64) for c in ("doc", "th", "start", "ahead", "behind"))
-                first, last = np.maximum(p - behind, p - back), np.minimum(p + ahead - min_words, p)
+                first, last = np.maximum(p - np.minimum(behind, back), 0), np.minimum(p + ahead - min_words, p)
                 ok = last >= first
                 held.append(Marks(doc[ok], salt(doc, th)[ok], first[ok], (last - first)[ok].astype(np.uint8).reshape(-1, 1)))
             if held and (pdf is None or sum(map(len, held)) > 2_000_000):
