@@ -6,7 +6,6 @@ range join of the log with the versions: each live row comes out exactly once pe
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -203,7 +202,3 @@ def slide_python(log: RevisionLog, f: Callable, schema: str, before: Any = INF,
         return out[[*groups, "version", *names]]
 
     return live.groupBy("__v", *groups).applyInPandas(run, result)
-
-
-def product_of_levels(levels: dict[str, Sequence]) -> list[tuple]:
-    return list(itertools.product(*levels.values()))

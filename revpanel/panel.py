@@ -109,8 +109,10 @@ class Panel:
 
     def slice(self, positions: Sequence[int]) -> Panel:
         """Rows at 0-based positions of the canonical row order (per group, if grouped)."""
+        # Ungrouped, only the rows up to the last position come together.
+        df = self.df if self.groups else self.df.orderBy(*self.meta.keys).limit(max(positions, default=-1) + 1)
         w = Window.partitionBy(*self.groups) if self.groups else Window.partitionBy(F.lit(0))
-        rows = self.df.withColumn("__i", F.row_number().over(w.orderBy(*self.meta.keys)) - 1)
+        rows = df.withColumn("__i", F.row_number().over(w.orderBy(*self.meta.keys)) - 1)
         return self.wrap(rows.where(F.col("__i").isin(list(positions))).drop("__i"))
 
     def mutate(self, **cols: Column) -> Panel:

@@ -184,6 +184,11 @@ def log_group_by(spark, d):
     return log.df.groupBy(*log.groups).agg((F.avg("qty") > 0).alias("positive"), F.count("*").alias("n"))
 
 
+@query(f"WITH {DAYS} SELECT geo_value, time_value, n FROM days ORDER BY geo_value, time_value LIMIT 1 OFFSET 4")
+def slice_whole(spark, d):
+    return panel_region(spark, d).slice([4]).df.drop("rev", "big")
+
+
 # -- small fixed tables with known results ----------------------------------------------------------------------------
 
 _GRID = [(1, _day(1), 1.0), (1, _day(3), 3.0), (2, _day(2), 2.0), (2, _day(3), 3.0)]

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from revpanel.plans.queries import ORACLE, QUERIES
+from revpanel.plans.coverage import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def plain(v):
     return v.isoformat()[:10] if isinstance(v, (dt.date, dt.datetime)) else v
 
 
-@pytest.mark.parametrize("name", ["roll_mean_right", "running_sum", "complete_grid", "sum_groups_total", "asof_join_pop", "cor_spearman", "growth_rel_change", "outlier_rm", "compact", "as_of", "merge_na", "replay_grouped", "replay_python", "revision_table", "revision_summary"])
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, sql, name):
     df = QUERIES[name](spark, FOLDER)
     cols = sorted(df.columns)
