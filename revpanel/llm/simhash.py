@@ -29,7 +29,11 @@ from revpanel.llm.graph import components
 TILE = 256
 #: References of a bucket, where these are members of it.
 REFERENCES = 4
-_CHUNK = 1 << 16
+_CHUNK = 255 * 64
+
+
+#: For each byte, its eight bits as the bytes of one number, the highest bit first: sums of up to 255 rows count bits side by side.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def fingerprint(hashes: np.ndarray, bits: int = 64) -> np.ndarray:
@@ -37,18 +41,17 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> np.ndarray:
 
     Words after the first use remixed hashes. No hashes give zeros.
     """
-    out = np.zeros(bits // 64, np.uint64)
+    words = bits // 64
     if not len(hashes):
-        return out
-    for k in range(bits // 64):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), _CHUNK):
-            h = hashes[at : at + _CHUNK]
-            if k:
-                h = mix64(h ^ np.uint64(0xA24BAED4963EE407 * k & (1 << 64) - 1))
-            counts += np.unpackbits(h.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
-        out[k] = np.packbits(counts * 2 > len(hashes)).view(">u8")[0]
-    return out
+        return np.zeros(words, np.uint64)
+    counts = np.zeros(bits, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK]
+        rows = np.stack([part, *(mix64(part ^ np.uint64(0xA24BAED4963EE407 * k & (1 << 64) - 1)) for k in range(1, words))], 1)
+        lanes = _LANES[rows.byteswap().view(np.uint8)]
+        for i in range(0, len(part), 255):
+            counts += lanes[i : i + 255].sum(0).view(np.uint8)
+    return np.packbits(counts * 2 > len(hashes)).view(">u8").astype(np.uint64)
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3, lower: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ label alone or in a pair with another one.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,8 @@ class _Terms:
     def __init__(self, kept: set[int] | None = None, limit: int = 300_000):
         self.kept, self.limit, self.cache = kept, limit, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def sums(self, text: str | None) -> Counter[int]:
+        """How often each hashed term occurs."""
         if len(self.cache) > self.limit:
             self.cache.clear()
         sums: Counter[int] = Counter()
@@ -49,7 +50,10 @@ class _Terms:
                 got = self.cache[w] = [s for s in _slots(w) if self.kept is None or s in self.kept]
             for s in got:
                 sums[s] += n
-        return np.array([s * len(LEVELS) + i for s, n in sums.items() for i, least in enumerate(LEVELS) if n >= least], np.int32)
+        return sums
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.array([s * len(LEVELS) + i for s, n in self.sums(text).items() for i, least in enumerate(LEVELS) if n >= least], np.int32)
 
 
 def _chi_square(seen: np.ndarray, hit: np.ndarray, positives: float, negatives: float) -> np.ndarray:
@@ -140,6 +144,32 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+class Scorer:
+    """Scores of texts, a batch at a time; a text's score does not depend on its batch."""
+
+    def __init__(self, model: FactorizationMachine):
+        self.model, self.index = model, {int(s): i for i, s in enumerate(model.slots)}
+        self.terms = _Terms({s // len(LEVELS) for s in self.index})
+
+    def __call__(self, texts: Iterable[str | None]) -> np.ndarray:
+        fm, at, ends = self.model, [], []
+        for t in texts:
+            own = (self.index.get(s * len(LEVELS) + i) for s, n in self.terms.sums(t).items() for i, least in enumerate(LEVELS) if n >= least)
+            at += sorted(i for i in own if i is not None)
+            ends.append(len(at))
+        at, ends = np.array(at, np.int64), np.array(ends, np.int64)
+        starts, v = np.r_[0, ends[:-1]], fm.factors[at]
+        some = ends > starts
+        z, linear = np.full(len(ends), fm.bias), np.zeros(len(ends))
+        pairs = np.zeros((len(ends), 2 * v.shape[1]))
+        if some.any():
+            linear[some] = np.add.reduceat(fm.weights[at], starts[some])
+            pairs[some] = np.add.reduceat(np.concatenate([v, v * v], 1), starts[some])
+        k = v.shape[1]
+        z += linear + 0.5 * ((pairs[:, :k] ** 2).sum(1) - pairs[:, k:].sum(1))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether the labels of a document are never read; those of a null doc_id are not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -176,10 +206,9 @@ def toxicity_scores(docs: DataFrame, model: FactorizationMachine, text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fm = shared.value
-        terms = _Terms({int(s) // len(LEVELS) for s in fm.slots})
+        scorer = Scorer(shared.value)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["d"], "score": [fm.score(terms(t)) for t in pdf["t"]]})
+            yield pd.DataFrame({"doc_id": pdf["d"], "score": scorer(pdf["t"])})
 
     return docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInPandas(run, f"doc_id {kind}, score double")
 
@@ -190,9 +219,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fm = shared.value
-        terms = _Terms({int(s) // len(LEVELS) for s in fm.slots})
+        scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([fm.score(terms(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
