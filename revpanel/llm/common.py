@@ -44,20 +44,22 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(ALNUM).split() if text else []
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+
 class WordHasher:
     """64-bit hash of each word, with a cache that is emptied when it holds ``limit`` words."""
 
     def __init__(self, limit: int = 400_000):
-        self.limit, self.cache = limit, {}
+        self.limit, self.cache = limit, _Hashes()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache, digest = self.cache, xxhash.xxh64_intdigest
-        if len(cache) > self.limit:
-            cache.clear()
-        for w in words:
-            if w not in cache:
-                cache[w] = digest(w, 7)
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

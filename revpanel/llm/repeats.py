@@ -90,9 +90,8 @@ class Marks:
             yield int(g[s]), self[at].pack()
 
 
-def _equal(h: tuple[np.ndarray, ...], marks: Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by hashes and position; the index of each one's first equal; which ones lie elsewhere than that."""
-    order = np.lexsort((marks.start, marks.text, marks.doc, *h))
+def _equal(h: tuple[np.ndarray, ...], marks: Marks, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In an order by the hashes: the index of each one's first equal; which ones lie elsewhere than that."""
     new = np.zeros(len(order), bool)
     for x in h:
         x = x[order]
@@ -100,8 +99,8 @@ def _equal(h: tuple[np.ndarray, ...], marks: Marks) -> tuple[np.ndarray, np.ndar
     new[:1] = True
     starts = np.flatnonzero(new)
     first = np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-    m = marks[order]
-    return order, first, (m.doc != m.doc[first]) | (m.text != m.text[first]) | (m.start != m.start[first])
+    back = order[first]
+    return first, (marks.doc[order] != marks.doc[back]) | (marks.text[order] != marks.text[back]) | (marks.start[order] != marks.start[back])
 
 
 class _Sizes:
@@ -119,7 +118,7 @@ Hashed = tuple[tuple[np.ndarray, ...], Marks]
 
 
 def _meet(hashed: Iterator[Hashed], sizes: _Sizes) -> Iterator[pd.DataFrame]:
-    """Rows (bucket, blob) of a batch's windows; what is known from the batch alone goes straight on as bucket -1 - group.
+    """Rows (bucket, blob) of a batch's windows, given in the order of their positions; what is known from the batch alone goes straight on as bucket -1 - group.
 
     With one hash, that are all windows that have an equal one, and 24 bits travel, with the salt for the text; with two,
     those that start later than an equal one, and 96 bits travel.
@@ -127,24 +126,25 @@ def _meet(hashed: Iterator[Hashed], sizes: _Sizes) -> Iterator[pd.DataFrame]:
     for h, marks in hashed:
         if not len(marks):
             continue
-        order, first, later = _equal(h, marks)
-        h, marks = tuple(x[order] for x in h), marks[order]
-        own = first == np.arange(len(marks))
+        # Stable, so that equal windows stay in the order of their positions.
+        order = np.argsort(h[0], kind="stable") if len(h) == 1 else np.lexsort(h[::-1])
+        first, known = _equal(h, marks, order)
+        own = first == np.arange(len(order))
         low = (sizes.buckets if len(h) == 1 else sizes.fewer).bit_length() - 1
-        known = later
         if len(h) == 1:
             known = ~own
             known[first[~own]] = True
             marks.text = salt(marks.doc, marks.text)
-        rows = [(-1 - g, b) for g, b in _bare([marks[known]]).by_group(sizes.groups)] if known.any() else []
+        rows = [(-1 - g, b) for g, b in _bare([marks[np.sort(order[known])]]).by_group(sizes.groups)] if known.any() else []
+        own = np.sort(order[own])
+        bucket = (h[0][own] >> np.uint64(64 - low)).astype(np.uint16 if low <= 16 else np.int64)
+        own = own[np.argsort(bucket, kind="stable")]
         h, marks = tuple(x[own] for x in h), marks[own]
         bucket = (h[0] >> np.uint64(64 - low)).astype(np.int64)
-        order = np.lexsort((marks.start, marks.text, marks.doc, bucket))
-        marks, bucket = marks[order], bucket[order]
         if len(h) == 1:
-            marks.tail = (h[0][order] << np.uint64(low)).view(np.uint8).reshape(-1, 8)[:, 5:]
+            marks.tail = (h[0] << np.uint64(low)).view(np.uint8).reshape(-1, 8)[:, 5:]
         else:
-            marks.tail = np.concatenate([h[0][order].view(np.uint8).reshape(-1, 8), h[1][order].view(np.uint8).reshape(-1, 8)[:, :4]], 1)
+            marks.tail = np.concatenate([h[0].view(np.uint8).reshape(-1, 8), h[1].view(np.uint8).reshape(-1, 8)[:, :4]], 1)
         rows += [(int(bucket[s]), marks[slice(s, e)].pack()) for s, e in zip(*cursors(bucket))]
         yield pd.DataFrame(rows, columns=["bucket", "blob"])
 
@@ -175,7 +175,9 @@ def _repeated(met: DataFrame, sizes: _Sizes) -> DataFrame:
                     continue
                 marks = Marks.joined([Marks.unpack(b) for b in pdf["blob"].iloc[s:e]])
                 h = _tail_numbers(marks.tail)
-                order, first, later = _equal(h, marks)
+                # The first round takes all of a run, in any order; the second needs the least position first.
+                order = np.argsort(h[0]) if len(h) == 1 else np.lexsort((marks.start, marks.text, marks.doc, *h))
+                first, later = _equal(h, marks, order)
                 if len(h) == 1:
                     later = first != np.arange(len(order))
                     later[first[later]] = True
@@ -203,7 +205,7 @@ def _salt(doc: int, text: int) -> int:
 
 
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[list[Doc]]:
-    """Different documents in lists of about BATCH_WORDS words; a long document is a list of its own."""
+    """Different documents in lists of about BATCH_WORDS words, in order; a long document is a list of its own."""
     held: dict[tuple[int, int], list[bytes]] = {}
     words = 0
     for pdf in frames:
@@ -212,10 +214,10 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[list[Doc]]:
                 held[key] = plain_words(t)
                 words += len(held[key])
             if words > BATCH_WORDS:
-                yield [(*k, w) for k, w in held.items()]
+                yield [(*k, held[k]) for k in sorted(held)]
                 held, words = {}, 0
     if held:
-        yield [(*k, w) for k, w in held.items()]
+        yield [(*k, held[k]) for k in sorted(held)]
 
 
 def _marks_of(docs: list[tuple[int, int, np.ndarray]]) -> Marks:
@@ -261,8 +263,8 @@ def _decided(grouped: DataFrame, candidates: DataFrame, sizes: _Sizes, width: in
     def exact(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at, hasher, seen = _look_up(right["blob"]), WordHasher(), set()
         docs, hashes = [], ([np.empty(0, np.uint64)], [np.empty(0, np.uint64)])
-        for d, t, text in zip(left["doc_id"], left["th"], left["text"]):
-            key = (_id(d), int(t))
+        for *key, text in sorted(zip(map(_id, left["doc_id"]), left["th"], left["text"]), key=lambda x: x[:2]):
+            key = (key[0], int(key[1]))
             marked = at(key[0], _salt(*key))
             if len(marked) and key not in seen:
                 seen.add(key)
