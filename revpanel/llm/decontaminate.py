@@ -53,15 +53,15 @@ def candidates(words: np.ndarray, sizes: list[int], bits: np.ndarray) -> tuple[n
         else:
             h = _at_all(words, size)
             p = np.arange(len(h))
-        on = _slot(h)
+        on = _slot(h, bits)
         ok = (bits[on >> 3] >> (on & 7).astype(np.uint8)) & 1 > 0
         hs.append(h[ok])
         at.append(p[ok])
     return np.concatenate(hs), np.concatenate(at)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def _slot(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
 
 
 def extended(words: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int]]:
@@ -107,7 +107,7 @@ def _filter(prints: DataFrame) -> np.ndarray:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for pdf in batches:
-            on = _slot(pdf["h"].to_numpy().view(np.uint64))
+            on = _slot(pdf["h"].to_numpy().view(np.uint64), bits)
             np.bitwise_or.at(bits, on >> 3, (1 << (on & 7)).astype(np.uint8))
         for at in range(0, len(bits), CHUNK):
             if bits[at : at + CHUNK].any():
