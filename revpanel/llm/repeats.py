@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from revpanel.llm.common import BASES, WordHasher, cursors, cut, forget, grouped_batches, input_bytes, mix64, plain_words, power_of_two, rolling
 
 #: Words that a task hashes at once; windows a bucket should hold; bytes of text of a group of documents.
-BATCH_WORDS, BUCKET_WINDOWS, GROUP_BYTES = 1_000_000, 1 << 19, 4 << 20
+BATCH_WORDS, BUCKET_WINDOWS, GROUP_BYTES = 500_000, 1 << 19, 3 << 20
 NO_ID = -(1 << 63)
 #: A document: (doc_id or NO_ID, hash of the text), its doc_id and its words.
 Doc = tuple[int, int, list[bytes]]
@@ -227,7 +227,7 @@ def _marks_of(docs: list[tuple[int, int, np.ndarray]]) -> Marks:
 
 
 def _windows(frames: Iterator[pd.DataFrame], width: int) -> Iterator[Hashed]:
-    hasher = WordHasher()
+    hasher = WordHasher(200_000)
     for docs in _batches(frames):
         long = [(d, t, rolling(hasher(w), width)) for d, t, w in docs if len(w) >= width]
         if long:
@@ -333,7 +333,7 @@ def minimisers(h: np.ndarray, span: int) -> np.ndarray:
 
 def _suffixes(frames: Iterator[pd.DataFrame], width: int, prefix: int) -> Iterator[Hashed]:
     """Suffixes at minimiser positions, by the hash of their first ``prefix`` words."""
-    hasher = WordHasher()
+    hasher = WordHasher(200_000)
     for docs in _batches(frames):
         found = []
         for d, t, w in docs:
