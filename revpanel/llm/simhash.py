@@ -310,8 +310,8 @@ def near_limit(similarity: float) -> int:
 
 
 def _runs(words: list[bytes], hasher: WordHasher, shingle: int) -> np.ndarray:
-    """Hashes of the runs of a text, repeats included; fewer words are one run."""
-    return rolling(hasher(words), min(shingle, len(words))) if words else np.empty(0, np.uint64)
+    """Hashes of the different runs of a text, ascending; fewer words are one run."""
+    return np.unique(rolling(hasher(words), min(shingle, len(words)))) if words else np.empty(0, np.uint64)
 
 
 def _look_up(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
@@ -335,7 +335,7 @@ def _look_up(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.nd
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, h1 long, h2 long, group_id, keep boolean): groups of documents alike by 0.8 or more, one row per document.
 
-    Alike are texts whose 512-bit SimHash fingerprints of five-word runs may have a cosine of ``similarity`` or more: they
+    Alike are texts whose 512-bit SimHash fingerprints of their different five-word runs may have a cosine of ``similarity`` or more: they
     differ in ``near_limit`` bits at most (122 for 0.8). Words are lower-cased runs of ASCII letters, digits and all other characters from U+0080 on, so
     that case and punctuation hide no copy; fewer words make one run. Candidates share one of the runs of
     ``_look_up``; the order of runs comes from a bounded sample, which spares work and changes no result.
