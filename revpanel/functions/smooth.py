@@ -45,7 +45,8 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, x0: np.ndarray, df: float | N
             left = vectors @ (shrink * rotated) / half
             own = vectors**2 @ (1 / (1 + lam_ * values))
             return float((weight * (left / np.maximum(1 - own, 1e-9)) ** 2).mean())
-        return float((shrink * rotated) @ (shrink * rotated)) / max(1e-12, (1 - (df_offset + penalty * trace(lam_)) / n) ** 2)
+        rest = 1 - (df_offset + penalty * trace(lam_)) / n
+        return float((shrink * rotated) @ (shrink * rotated)) / rest**2 if rest > 1e-6 else np.inf
 
     if lam is not None:
         best = float(lam)

@@ -194,8 +194,25 @@ def test_outliers_by_decomposition_and_by_function(spark):
         p.detect_outliers("y", [Method(lambda x: 1, "a")])
 
 
-@pytest.mark.parametrize("option", [{"cv": True}, {"spar": 0.5}, {"all_knots": True}, {"df_offset": 1}, {"penalty": 2}])
+@pytest.mark.parametrize("option", [{"spar": 0.5}, {"all_knots": False}, {"lam": [0.1, 0.2]}])
 def test_spline_refuses_options_it_does_not_have(spark, option):
     df = spark.createDataFrame([("a", i, float(i + 1)) for i in range(8)], "geo_value string, time_value int, v double")
     with pytest.raises(PanelError, match="smoothing spline"):
         Panel.from_df(df, as_of=9).growth_rate("v", method="smooth_spline", params=GrowthParams(**option))
+
+
+def test_spline_weights_by_cross_validation():
+    """Against a search by leaving each time out, and a heavier penalty gives a smoother curve."""
+    rng = np.random.default_rng(2)
+    x = np.arange(25.0)
+    y = np.sin(x / 4) + 0.3 * rng.normal(size=25)
+    grid = np.exp(np.linspace(-14, 4, 60))
+
+    def left_out(lam):
+        return np.mean([(y[i] - smooth.smoothing_spline(np.delete(x, i), np.delete(y, i), x[i : i + 1], lam=lam * (24 / (np.delete(x, i)[-1] - np.delete(x, i)[0])) ** 3)[0][0]) ** 2 for i in range(1, 24)])
+
+    best = grid[int(np.argmin([left_out(g) for g in grid]))]
+    by_cv = smooth.smoothing_spline(x, y, x, cv=True)[0]
+    assert np.abs(by_cv - smooth.smoothing_spline(x, y, x, lam=best)[0]).max() < 0.15
+    rough = lambda f: np.abs(np.diff(f, 2)).sum()
+    assert rough(smooth.smoothing_spline(x, y, x, penalty=3)[0]) < rough(smooth.smoothing_spline(x, y, x)[0]) + 1e-9
