@@ -53,7 +53,7 @@ class _Hashes(dict):
 class WordHasher:
     """64-bit hash of each word, with a cache that is emptied when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.limit, self.cache = limit, _Hashes()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

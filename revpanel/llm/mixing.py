@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import cut
+from revpanel.llm.common import cut, forget
 
 WORDS = r"[^\x20\x09-\x0D]+"
 _BITS, _STEP = 62, 10
@@ -51,10 +51,19 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], mos
     return rows.select("k", "source_size", F.least("cap", F.coalesce(F.col("w") * F.lit(first).cast("double"), F.col("cap"))).alias("target"))
 
 
+def _per_source(*tables: DataFrame) -> DataFrame:
+    """Tables of at most one row per source beside each other: one aggregate of their union instead of joins."""
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t, allowMissingColumns=True)
+    return every.groupBy("k").agg(*[F.max(c).alias(c) for c in every.columns if c != "k"])
+
+
 def _boundary(hist: DataFrame, budget: DataFrame, bucket: str) -> DataFrame:
     """First bucket per source in which the running sum passes the budget, and what is left before it."""
-    w = Window.partitionBy("k").orderBy(bucket)
-    run = hist.withColumn("upto", F.sum("n").over(w)).join(budget, "k").where("upto > budget")
+    both = hist.unionByName(budget, allowMissingColumns=True)
+    run = both.withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy(bucket))).withColumn("budget", F.max("budget").over(Window.partitionBy("k")))
+    run = run.where(f"upto > budget and {bucket} is not null")
     return run.groupBy("k").agg(F.min(bucket).alias(bucket), F.min_by(F.col("budget") - F.col("upto") + F.col("n"), bucket).alias("left"))
 
 
@@ -71,8 +80,10 @@ def threshold(rows: DataFrame, budget: DataFrame) -> DataFrame:
     inside = rows.join(two.select("k", "c"), "k").where(second == F.col("c"))
     three = _boundary(inside.groupBy("k", "h").agg(F.sum("size").alias("n")), two.select("k", F.col("left").alias("budget")), "h")
     sums = rows.groupBy("k").agg(F.sum("size").alias("all"))
-    ends = budget.join(three.withColumnRenamed("h", "h_end"), "k", "left").join(sums, "k", "left")
-    return cut(ends.select("k", "h_end", F.coalesce("left", F.col("budget") - F.coalesce("all", F.lit(0))).alias("left")))
+    ends = _per_source(budget, three.withColumnRenamed("h", "h_end"), sums).where("budget is not null")
+    out = cut(ends.select("k", "h_end", F.coalesce("left", F.col("budget") - F.coalesce("all", F.lit(0))).alias("left")))
+    forget(one, two)
+    return out
 
 
 def mix_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, rounds: int = 4, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -102,9 +113,8 @@ def mix_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...]
         near = left.join(end, "k")
         left = cut(near.where((F.col("h") >= F.col("h_end")) & (F.col("size") <= F.col("left"))).select("k", "h", "size"))
     # One more document where it comes nearer than none.
-    marks = targets.select("k", "source_size", "target", "whole")
-    for i, end in enumerate(ends):
-        marks = marks.join(end.select("k", F.coalesce("h_end", F.lit((1 << 63) - 1)).alias(f"e{i}"), F.col("left").alias(f"l{i}")), "k")
+    named = [end.select("k", F.coalesce("h_end", F.lit((1 << 63) - 1)).alias(f"e{i}"), F.col("left").alias(f"l{i}")) for i, end in enumerate(ends)]
+    marks = _per_source(targets.select("k", "source_size", "target", "whole"), *named)
     for i in range(rounds):
         fits = F.col("size") <= F.col(f"l{i - 1}") if i else F.lit(True)
         taken = taken | (fits & (F.col("h") < F.col(f"e{i}")))
@@ -112,7 +122,7 @@ def mix_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...]
     gap = F.col(f"l{rounds - 1}")
     rest = rows.join(marks, "k").where((F.col("size") > 0) & ~taken).groupBy("k", "h").agg(F.sum("size").alias("n"), F.first(gap).alias("gap"))
     last = cut(rest.where("n < 2 * gap").groupBy("k").agg(F.min(F.struct("n", "h"))["h"].alias("e_last")))
-    out = rows.join(marks.join(last, "k", "left"), "k")
+    out = rows.join(_per_source(marks, last), "k")
     copies = F.when(F.col("size") > 0, F.col("whole") + (taken | F.coalesce(F.col("h") == F.col("e_last"), F.lit(False))).cast("int")).otherwise(0)
     return out.withColumn("copies", copies).select("doc_id", "h", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

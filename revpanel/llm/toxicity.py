@@ -23,8 +23,8 @@ from revpanel.llm.common import alnum_words
 
 SLOTS, LEVELS, PREFIXES = 1 << 18, (1, 2, 4), (4, 5, 6, 7)
 #: Most frequent slots whose pairs are looked at, pairs whose slots are kept, and the chi-square that they need: a chance of
-#: one in four billion for each of half a million pairs.
-PAIRED, PAIRS, PAIR_LEAST = 1024, 128, 40.0
+#: one in a billion for each of 130,000 pairs.
+PAIRED, PAIRS, PAIR_LEAST = 512, 128, 37.0
 
 
 def _slots(word: bytes) -> list[int]:
@@ -36,7 +36,7 @@ def _slots(word: bytes) -> list[int]:
 class _Terms:
     """Slots of a text; with ``kept``, only those slots, and words without any cost one look-up."""
 
-    def __init__(self, kept: set[int] | None = None, limit: int = 300_000):
+    def __init__(self, kept: set[int] | None = None, limit: int = 150_000):
         self.kept, self.limit, self.cache = kept, limit, {}
 
     def sums(self, text: str | None) -> Counter[int]:
@@ -47,7 +47,7 @@ class _Terms:
         for w, n in Counter(alnum_words(text.lower() if text else None)).items():
             got = self.cache.get(w)
             if got is None:
-                got = self.cache[w] = [s for s in _slots(w) if self.kept is None or s in self.kept]
+                got = self.cache[w] = tuple(s for s in _slots(w) if self.kept is None or s in self.kept)
             for s in got:
                 sums[s] += n
         return sums
@@ -152,6 +152,11 @@ class Scorer:
         self.terms = _Terms({s // len(LEVELS) for s in self.index})
 
     def __call__(self, texts: Iterable[str | None]) -> np.ndarray:
+        texts = list(texts)
+        # In small parts, so that the factors of all terms of a part take little memory.
+        return np.concatenate([np.empty(0), *(self._part(texts[i : i + 256]) for i in range(0, len(texts), 256))])
+
+    def _part(self, texts: list[str | None]) -> np.ndarray:
         fm, at, ends = self.model, [], []
         for t in texts:
             own = (self.index.get(s * len(LEVELS) + i) for s, n in self.terms.sums(t).items() for i, least in enumerate(LEVELS) if n >= least)
@@ -159,14 +164,12 @@ class Scorer:
             ends.append(len(at))
         at, ends = np.array(at, np.int64), np.array(ends, np.int64)
         starts, v = np.r_[0, ends[:-1]], fm.factors[at]
-        some = ends > starts
-        z, linear = np.full(len(ends), fm.bias), np.zeros(len(ends))
-        pairs = np.zeros((len(ends), 2 * v.shape[1]))
+        some, k = ends > starts, v.shape[1]
+        z, pairs = np.full(len(ends), fm.bias), np.zeros((len(ends), 2 * k))
         if some.any():
-            linear[some] = np.add.reduceat(fm.weights[at], starts[some])
+            z[some] += np.add.reduceat(fm.weights[at], starts[some])
             pairs[some] = np.add.reduceat(np.concatenate([v, v * v], 1), starts[some])
-        k = v.shape[1]
-        z += linear + 0.5 * ((pairs[:, :k] ** 2).sum(1) - pairs[:, k:].sum(1))
+        z += 0.5 * ((pairs[:, :k] ** 2).sum(1) - pairs[:, k:].sum(1))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
