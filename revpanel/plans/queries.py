@@ -13,7 +13,6 @@ from revpanel.functions.time import INF
 from revpanel.log import RevisionLog
 from revpanel.operators import aggregate, completion, joins, plotting
 from revpanel.operators.correlation import lag_sweep
-from revpanel.operators.growth import GrowthParams
 from revpanel.operators.outliers import Method
 from revpanel.panel import Panel
 from revpanel.sources.tables import log_ship, panel_events, panel_nation_month, panel_region, panel_week
@@ -343,7 +342,7 @@ def growth_spline(spark, d):
 
 @query()
 def growth_trend_filter(spark, d):
-    return panel_nation_month(spark, d).growth_rate("n", method="trend_filter", params=GrowthParams(nlambda=12)).df
+    return panel_nation_month(spark, d).growth_rate("n", method="trend_filter").df
 
 
 _RM = """, f AS (SELECT *, quantile_cont(rev, 0.5) OVER (PARTITION BY geo_value ORDER BY time_value RANGE BETWEEN INTERVAL 10 DAYS PRECEDING AND INTERVAL 10 DAYS FOLLOWING) AS fitted FROM days),
