@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import WordHasher, alnum_words, cursors, cut, forget, grouped_batches, lower_words, mix64, plain_words, rolling, shingle_hashes
+from revpanel.llm.common import WordHasher, alnum_words, cursors, cut, forget, grouped_batches, input_bytes, lower_words, mix64, plain_words, power_of_two, rolling, shingle_hashes
 from revpanel.llm.graph import components
 
 #: Members of one bucket tile; larger buckets are dealt out over tiles.
@@ -296,8 +296,8 @@ def block_keys(prints: DataFrame, plan: PivotPlan) -> DataFrame:
 
 #: Bits of the fingerprints of near_duplicate_groups, and the runs by which a text is looked up.
 NEAR_BITS, LEAST_RUNS = 512, 32
-#: Texts whose runs are counted for the order of the runs, and runs that this order puts last, at most.
-SAMPLE, COMMON = 8000, 50_000
+#: Runs in more texts than a tile holds, and in over one of so many texts, are put last; runs that a task counts at once.
+COMMON, BATCH_RUNS = 4096, 1 << 20
 
 
 def near_limit(similarity: float) -> int:
@@ -309,18 +309,75 @@ def near_limit(similarity: float) -> int:
     return int(NEAR_BITS * share + 2 * np.sqrt(NEAR_BITS * share * (1 - share)))
 
 
+def near_cosine(limit: int) -> float:
+    """The cosine at which ``limit`` bits are three standard deviations less than fingerprints differ by: 1 pair in 700 links there.
+
+    0.59 for 122 bits. Texts are looked up by it, so that pairs under ``similarity`` that link are found too.
+    """
+    b = 2 * limit + 9
+    share = (b + np.sqrt(b * b - 4 * (NEAR_BITS + 9) * limit * limit / NEAR_BITS)) / (2 * (NEAR_BITS + 9))
+    return float(np.cos(np.pi * min(share, 0.5)))
+
+
 def _runs(words: list[bytes], hasher: WordHasher, shingle: int) -> np.ndarray:
     """Hashes of the different runs of a text, ascending; fewer words are one run."""
     return np.unique(rolling(hasher(words), min(shingle, len(words)))) if words else np.empty(0, np.uint64)
 
 
+def common_runs(docs: DataFrame, shingle: int = 5, text: str = "text") -> np.ndarray:
+    """int64, ascending: the runs (62 bits of their hash) in more than TILE rows and in over one of COMMON rows, counted over all rows.
+
+    Runs travel as packed arrays: one row for each batch and part of the hashes, with each run once and its count, so that
+    no task gathers the occurrences of a run. The result is what all runs over the limit are; only these come to the driver,
+    at most COMMON times the mean number of runs of a text.
+    """
+    limit = max(TILE, docs.count() // COMMON)
+    low = 62 - (power_of_two(input_bytes(docs) / 3 / BATCH_RUNS, 64, 1 << 16).bit_length() - 1)
+
+    def packed(held: list[np.ndarray]) -> pd.DataFrame:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        part = h >> low
+        # Differences, with bytes of equal weight beside each other, of which two in eight are zeros.
+        rows = [(int(part[s]), np.diff(h[s:e], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), n[s:e].astype(np.uint32).tobytes()) for s, e in zip(*cursors(part))]
+        return pd.DataFrame(rows, columns=["part", "h", "n"])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher, held, size = WordHasher(), [], 0
+        for pdf in batches:
+            for t in pdf["t"]:
+                held.append(np.unique(_runs(alnum_words(t), hasher, shingle) >> np.uint64(2)).view(np.int64))
+                size += len(held[-1])
+                if size >= BATCH_RUNS:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in grouped_batches(batches, ["part"]):
+            for s, e in zip(*cursors(pdf["part"].to_numpy())):
+                h = np.concatenate([np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel().cumsum() for b in pdf["h"].iloc[s:e]])
+                n = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["n"].iloc[s:e]])
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                starts, _ = cursors(h)
+                often = np.add.reduceat(n[order], starts, dtype=np.int64) > limit
+                if often.any():
+                    yield pd.DataFrame({"h": [h[starts[often]].tobytes()]})
+
+    parts = docs.select(F.col(f"`{text}`").alias("t")).mapInPandas(counted, "part int, h binary, n binary")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = parts.repartition(n, "part").sortWithinPartitions("part").mapInPandas(summed, "h binary").collect()
+    return np.sort(np.frombuffer(b"".join(r["h"] for r in found), np.int64))
+
+
 def _look_up(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
     """int64: the runs by which a text is looked up, the first ones in an order that puts those of ``common`` last.
 
     Of two sets of runs with a cosine of ``similarity`` or more one of the first n - similarity**2 * n + 1 is shared, in
-    whatever order (prefix filter). Hashes are in random order, and at least 0.64 of the union is shared, so that
+    whatever order (prefix filter). Hashes are in random order, and at a cosine of 0.8 at least 0.64 of the union is shared, so that
     already LEAST_RUNS share none with a probability under 0.36**32 = 7e-15; under 0.5**32 = 3e-10 if up to a seventh of the runs
-    are put last. Texts with more of these are looked up by all.
+    are put last (at 0.59, where few pairs link, 0.35, 2e-6 and 2e-4). Texts with more of these are looked up by all.
     """
     h = np.unique(hashes >> np.uint64(2)).view(np.int64)
     n, last = len(h), 0
@@ -338,7 +395,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int
     Alike are texts whose 512-bit SimHash fingerprints of their different five-word runs may have a cosine of ``similarity`` or more: they
     differ in ``near_limit`` bits at most (122 for 0.8). Words are lower-cased runs of ASCII letters, digits and all other characters from U+0080 on, so
     that case and punctuation hide no copy; fewer words make one run. Candidates share one of the runs of
-    ``_look_up``; the order of runs comes from a bounded sample, which spares work and changes no result.
+    ``_look_up``; the order of runs comes from their counts over all rows (``common_runs``).
 
     Exact copies meet first, by 128 bits of their text, and are alike whatever they hold; a null text is an empty one. Texts
     without words are like their copies only. group_id is the smallest doc_id of the group, null if it has no
@@ -349,15 +406,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int
     kind = docs.schema[doc_id].dataType.simpleString()
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("t"), *text_key(text))
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
-        for pdf in batches:
-            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *(np.unique(_runs(alnum_words(t), hasher, shingle) >> np.uint64(2)).view(np.int64) for t in pdf["t"])])})
-
-    part = F.pmod("h2", F.lit(max(1, docs.count() // SAMPLE))) == 0
-    often = texts.where(part).dropDuplicates(["h1", "h2"]).mapInPandas(counted, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    common = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64))
+    common, least = common_runs(docs, shingle, text), near_cosine(limit)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
@@ -365,7 +414,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int
             rows = []
             for t in pdf["t"]:
                 runs = _runs(alnum_words(t), hasher, shingle)
-                rows.append((fingerprint(runs, NEAR_BITS).tobytes(), _look_up(runs, common, similarity)))
+                rows.append((fingerprint(runs, NEAR_BITS).tobytes(), _look_up(runs, common, least)))
             yield pdf[["doc_id", "h1", "h2"]].assign(fp=[r[0] for r in rows], keys=[r[1] for r in rows])
 
     every = texts.mapInPandas(prints, f"doc_id {kind}, h1 long, h2 long, fp binary, keys array<long>")

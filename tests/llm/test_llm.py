@@ -211,6 +211,42 @@ def test_near_duplicate_groups(spark, monkeypatch, tile):
     assert all(group[10_000 + 10 * i + 5] == 10_000 + 10 * i + 5 for i in range(120)) and group[30_001] == group[30_002] == 30_000
 
 
+@pytest.mark.parametrize("tile", [256, 4])
+def test_near_duplicate_links_under_the_similarity(spark, monkeypatch, tile):
+    """Links at a cosine near 0.72, where a passage that all share is the smaller part of the longer texts."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(21)
+    base = words(rng, 60)
+    rows = [(i, base + " " + words(rng, (2, 48)[i % 2])) for i in range(60)]
+    want = brute_groups(rows)
+    group = {d: g for d, _, g, _ in want}
+    assert sum(group[i] == group[0] for i in range(1, 60, 2)) >= 20
+    got = simhash.near_duplicate_groups(table(spark, rows)).select("doc_id", "group_id").collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == group
+
+
+def test_common_runs_of_all_rows(spark, monkeypatch):
+    """Runs are counted over all rows, also where those that share one are none of a sample by hash of 16,000 rows and more."""
+    rng = random.Random(8)
+    passage = words(rng, 8)
+    texts = spark.createDataFrame([(i, words(rng, 56) + " " + passage) for i in range(1300)], "doc_id long, text string")
+    texts = texts.where(F.pmod(simhash.text_key("text")[1], F.lit(2)) == 1)
+    docs = texts.union(spark.range(16_000).select(F.col("id") + 10_000, F.concat(F.lit("word "), "id"))).repartition(3)
+    linked, most = simhash.linked, []
+
+    def look(keys, items, bits):
+        most.append(keys.groupBy("key").count().agg(F.max("count")).first()[0])
+        return linked(keys, items, bits)
+
+    monkeypatch.setattr(simhash, "linked", look)
+    assert simhash.near_duplicate_groups(docs).where("keep").count() == docs.count() and most[0] <= simhash.TILE
+    monkeypatch.setattr(simhash, "BATCH_RUNS", 3000)
+    hasher, counts = common.WordHasher(), Counter()
+    for r in docs.collect():
+        counts.update({int(h) >> 2 for h in simhash._runs(common.alnum_words(r["text"]), hasher, 5)})
+    assert simhash.common_runs(docs).tolist() == sorted(h for h, n in counts.items() if n > simhash.TILE) != []
+
+
 def test_keep_one(spark):
     """One row of each group, whatever repeats."""
     rng = random.Random(3)
