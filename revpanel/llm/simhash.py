@@ -29,6 +29,8 @@ from revpanel.llm.graph import components
 TILE = 256
 #: References of a bucket, where these are members of it.
 REFERENCES = 4
+#: Keys by which ids meet before all others.
+FIRST = 3
 _CHUNK = 255 * 64
 
 
@@ -166,18 +168,23 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _in_buckets(rows: DataFrame, max_bits: int, refs: np.ndarray | None) -> DataFrame:
-    """(key, t1, t2, id, comp, fp) -> (a, b): links that span what is connected in each bucket (key, t1, t2).
+    """(key, t1, t2, id, comp, fp) -> (a, b): comps that are linked, spanning what is connected in each bucket (key, t1, t2).
 
-    Pairs of one comp (not null) are not looked at. Without ``refs``, members of each bucket are its references.
+    Pairs of one comp are not looked at. A bucket has at most one row for each of its comps but one, however many members are
+    linked. Without ``refs``, members of each bucket are its references.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in grouped_batches(batches, ["key", "t1", "t2"]):
-            ids, fps = pdf["id"].to_numpy(), _words(pdf["fp"])
-            comp = pdf["comp"].fillna(-1).to_numpy(np.int64) if pdf["comp"].isna().any() else pdf["comp"].to_numpy(np.int64)
+            comp, fps = pdf["comp"].to_numpy(np.int64), _words(pdf["fp"])
             group = (pdf[["key", "t1", "t2"]].ne(pdf[["key", "t1", "t2"]].shift())).any(axis=1).to_numpy().cumsum()
             starts, ends = cursors(group)
             size = ends - starts
+            # The members of one comp in a bucket are one node, the least comp first.
+            order = np.lexsort((comp, group))
+            fresh = np.r_[True, (group[order][1:] != group[order][:-1]) | (comp[order][1:] != comp[order][:-1])]
+            node, names = np.empty(len(comp), np.int64), comp[order][fresh]
+            node[order] = fresh.cumsum() - 1
             if refs is not None:
                 table = distances(fps, refs)
             else:
@@ -186,11 +193,11 @@ def _in_buckets(rows: DataFrame, max_bits: int, refs: np.ndarray | None) -> Data
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
             def look(i: np.ndarray, j: np.ndarray) -> None:
-                open_ = (comp[i] != comp[j]) | (comp[i] < 0)
+                open_ = node[i] != node[j]
                 i, j = i[open_], j[open_]
                 ok = linked_pairs(fps, table, i, j, max_bits)
-                left.append(i[ok])
-                right.append(j[ok])
+                left.append(node[i[ok]])
+                right.append(node[j[ok]])
 
             # Buckets of up to 8: all pairs at once, one distance in the order after the other.
             small = np.repeat(size <= 8, size)
@@ -203,57 +210,77 @@ def _in_buckets(rows: DataFrame, max_bits: int, refs: np.ndarray | None) -> Data
                     i, j = np.meshgrid(np.arange(at, min(at + TILE, e)), np.arange(at, e), indexing="ij")
                     i, j = i[i < j], j[i < j]
                     look(i, j)
-            # One row for each member that is not the least of its component, however many links it has.
-            root = _roots(len(ids), np.concatenate(left), np.concatenate(right))
-            at = np.flatnonzero(root != np.arange(len(ids)))
+            # One row for each node that is not the least of its component, however many links it has.
+            root = _roots(len(names), np.concatenate(left), np.concatenate(right))
+            at = np.flatnonzero(root != np.arange(len(names)))
             if len(at):
-                yield pd.DataFrame({"a": ids[root[at]], "b": ids[at]}).drop_duplicates()
+                yield pd.DataFrame({"a": names[root[at]], "b": names[at]}).drop_duplicates()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "id").mapInPandas(run, "a long, b long")
 
 
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows with the comp of their id, which is the id itself where it has no links."""
+    return rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(key): the buckets of (key, id, comp) whose members are not all connected."""
+    return placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+
+
 def linked(keys: DataFrame, items: DataFrame, max_bits: int, refs: np.ndarray | None = None) -> DataFrame:
     """keys (key long, id long), items (id long, fp binary), ids distinct -> (node long, comp long): components of links.
 
-    Ids that share a key and whose fingerprints differ in ``max_bits`` or fewer bits are linked. Buckets of up to TILE members
-    are looked at whole. A larger one is dealt over tiles, with one member as the lead in all of them; only
-    where its members are then not all connected are the tiles of those connected with the lead set against
-    the others, and the others against each other. Nodes without links are not in the result.
+    Ids that share a key and whose fingerprints differ in ``max_bits`` or fewer bits are linked. Ids alike share many keys, so
+    they meet first by the FIRST keys of the least hashes of each. Then every bucket is looked at whose members
+    are not all connected by that, and of it the pairs that are not. Buckets of up to TILE members are looked at whole. A
+    larger one is dealt over tiles, with one member as the lead in all of them; only where its members are then not all
+    connected are the tiles of those connected with the lead set against the others, and the others against each
+    other. Nodes without links are not in the result.
     """
     tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    prints, none = items.select("id", "fp"), F.lit(None).cast("long").alias("comp")
+    prints = items.select("id", "fp")
+    look = lambda rows: _in_buckets(rows.select("key", "t1", "t2", "id", "comp").join(prints, "id"), max_bits, refs)
+    whole = lambda rows: rows.withColumn("t1", F.col("t")).withColumn("t2", F.lit(0))
     # Partial counts, so a hot bucket is one row per task.
     lead = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))["id"]
     sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n"), lead.alias("lead")).where("n > 1").withColumn("c", tiles("n")))
     members = cut(keys.join(sizes.select("key", "c"), "key").select("key", "id", "c", own("c").alias("t")))
-    leads = sizes.where("c > 1").select("key", F.col("lead").alias("id"), F.explode(F.expr("sequence(0, c - 1)")).alias("t"))
-    rows = members.select("key", "id", "t").union(leads).select("key", F.col("t").alias("t1"), F.lit(0).alias("t2"), "id", none)
-    found = cut(_in_buckets(rows.join(prints, "id"), max_bits, refs).distinct())
-    comp = components(found)
     large = sizes.where("c > 1")
+    leads = large.select("key", F.col("lead").alias("id"), F.explode(F.expr("sequence(0, c - 1)")).alias("t"))
+    # The first keys, each id by itself.
+    drawn = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("key").alias("h"), "key", "t"))), 1, FIRST)
+    drawn = members.groupBy("id").agg(F.explode(drawn).alias("k")).select("k.key", "id", "k.t")
+    found = cut(look(whole(drawn.union(leads).withColumn("comp", F.col("id")))).distinct())
+    comp = components(found)
+    # All keys: pairs of different components only.
+    placed = cut(_labelled(members.select("key", "id", "t"), comp))
+    mixed = cut(_mixed(placed))
+    rows = placed.select("key", "id", "t", "comp").union(_labelled(leads, comp).select("key", "id", "t", "comp")).join(mixed, "key")
+    first, found = found, cut(found.union(look(whole(rows))).distinct())
+    comp = components(found)
+    forget(first, placed, mixed)
     if large.isEmpty():
         forget(sizes, members, found)
         return comp
-    # The rest of the large buckets: pairs of different components only.
-    label = F.coalesce("comp", "id").alias("comp")
-    placed = cut(members.where("c > 1").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", label))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    major = large.select("key", F.col("lead").alias("id")).join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("comp", "id").alias("major"))
-    mixed = cut(mixed.join(major, "key"))
-    placed = placed.join(mixed, "key").withColumn("main", F.col("comp") == F.col("major"))
-    counts = cut(placed.groupBy("key").agg(F.count_if("main").alias("n1"), F.count_if(~F.col("main")).alias("n2")).select("key", tiles("n1").alias("c1"), tiles("n2").alias("c2")))
-    placed = cut(placed.join(counts, "key").select("key", "id", "comp", "main", "c1", "c2"))
-    ones = placed.where("main").select("key", "id", "comp", own("c1").alias("t1"), F.explode(F.expr("sequence(0, c2 - 1)")).alias("t2"))
-    others = placed.where("not main").withColumn("t", own("c2"))
+    # The rest of the large buckets.
+    placed = cut(_labelled(members.where("c > 1").select("key", "id"), comp))
+    major = _labelled(large.select("key", F.col("lead").alias("id")), comp).select("key", F.col("comp").alias("major"))
+    mixed = cut(_mixed(placed).join(major, "key"))
+    split = placed.join(mixed, "key").withColumn("main", F.col("comp") == F.col("major"))
+    counts = cut(split.groupBy("key").agg(F.count_if("main").alias("n1"), F.count_if(~F.col("main")).alias("n2")).select("key", tiles("n1").alias("c1"), tiles("n2").alias("c2")))
+    split = cut(split.join(counts, "key").select("key", "id", "comp", "main", "c1", "c2"))
+    ones = split.where("main").select("key", "id", "comp", own("c1").alias("t1"), F.explode(F.expr("sequence(0, c2 - 1)")).alias("t2"))
+    others = split.where("not main").withColumn("t", own("c2"))
     against = others.select("key", "id", "comp", F.explode(F.expr("sequence(0, c1 - 1)")).alias("t1"), F.col("t").alias("t2"))
-    between = others.select("key", "id", "comp", "t", F.explode(F.expr("sequence(0, c2 - 1)")).alias("u"))
+    between = others.select("key", "id", "comp", "t", F.explode(F.expr("sequence(0, c2 - 1)")).alias("u")).where("t != u")
     between = between.select("key", "id", "comp", (-1 - F.least("t", "u")).alias("t1"), F.greatest("t", "u").alias("t2"))
     rows = ones.union(against).union(between).select("key", "t1", "t2", "id", "comp")
-    more = _in_buckets(rows.join(prints, "id"), max_bits, refs)
-    out = components(cut(found.union(more).distinct()))
-    forget(sizes, members, mixed, counts, placed, found)
+    out = components(cut(found.union(look(rows)).distinct()))
+    forget(sizes, members, mixed, counts, placed, split, found)
     return out
 
 

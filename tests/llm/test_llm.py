@@ -225,6 +225,31 @@ def test_near_duplicate_links_under_the_similarity(spark, monkeypatch, tile):
     assert {r["doc_id"]: r["group_id"] for r in got} == group
 
 
+@pytest.mark.parametrize("tile", [256, 16])
+def test_near_copies_link_once(spark, monkeypatch, tile):
+    """Links of a group of near copies grow with its texts, not with the runs that these share or the tiles of a bucket."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng, buckets, made = random.Random(31), simhash._in_buckets, []
+
+    def counted(*args):
+        out = common.cut(buckets(*args))
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "_in_buckets", counted)
+    base = words(rng, 150).split()
+    for n in (100, 400):
+        rows, _ = [(n + i, words(rng, 40)) for i in range(20)], made.append(0)
+        for i in range(n):
+            copy = list(base)
+            for at in rng.sample(range(150), 3):
+                copy[at] = f"own{i}x{at}"
+            rows.append((i, " ".join(copy)))
+        got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(table(spark, rows)).collect()}
+        assert got == {d: g for d, _, g, _ in brute_groups(rows)} and len({got[i] for i in range(n)}) == 1
+        assert n - 1 <= made[-1] <= 5 * n
+
+
 def test_common_runs_of_all_rows(spark, monkeypatch):
     """Runs are counted over all rows, also where those that share one are none of a sample by hash of 16,000 rows and more."""
     rng = random.Random(8)
