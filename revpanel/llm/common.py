@@ -6,12 +6,15 @@ import itertools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -168,6 +171,27 @@ def forget(*tables: DataFrame) -> None:
             files.delete(where, True)
 
 
+def mapped(df: DataFrame, read: list[str], made: str, start: Callable[[], Callable[..., list]]) -> DataFrame:
+    """The columns of ``df`` but those of ``read``, and the columns ``made`` (a schema as DDL) that a function makes of these.
+
+    ``start`` is called once in a task and gives the function, which gets the columns of ``read`` of a batch as Arrow arrays
+    and returns the values of each column made. All other columns stay in Arrow, so that ids of any type keep their values:
+    in pandas a long beside a null would become a double and lose its last digits.
+    """
+    new = StructType.fromDDL(made)
+    kept, at = [c for c in df.columns if c not in read], [df.columns.index(c) for c in read]
+    places, types = [df.columns.index(c) for c in kept], [to_arrow_type(f.dataType) for f in new]
+    names = kept + new.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            made = [pa.array(v, t) for v, t in zip(make(*[batch.column(i) for i in at]), types)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + made, names)
+
+    return df.mapInArrow(run, StructType([df.schema[c] for c in kept] + new.fields))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes of a plan: file sizes for a scan, so no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

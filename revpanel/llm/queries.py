@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revpanel.llm.codes import compress_vectors
+from revpanel.llm.common import cut
 from revpanel.llm.decontaminate import contamination
 from revpanel.llm.html import extract_main_text
 from revpanel.llm.mixing import mix_documents
+from revpanel.llm.packing import pack_documents
 from revpanel.llm.pii import replace_personal_data
+from revpanel.llm.ranked import ranked_search
 from revpanel.llm.repeats import strip_repeated_passages, strip_repeated_windows
 from revpanel.llm.sharding import shard_documents
 from revpanel.llm.simhash import simhash_classes
@@ -80,7 +85,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_html": op5_html, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op8_pii": op8_pii, "op9_windows": op9_windows, "op10_sharding": op10_sharding}
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all documents for every benchmark item, by sums of bit-sliced impacts."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens, by a configuration linear program."""
+    packed, _ = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, end=2)
+    return packed
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four bytes for all vectors, by four rounds of exponion search over 256 entries a part."""
+    coded, books = compress_vectors(_table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    coded = cut(coded)
+    sums = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of")
+    out = coded.join(sums, F.col("label").eqNullSafe(F.col("of")))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op4_topk": op4_topk, "op5_html": op5_html, "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op8_pii": op8_pii, "op9_windows": op9_windows, "op10_sharding": op10_sharding, "op11_ranked": op11_ranked, "op12_packing": op12_packing, "op13_codes": op13_codes}
+
 
 def _windows_sql(width: int, spans: bool) -> str:
     """Removal of windows that start earlier, for tables of the size of the correctness check."""
@@ -100,6 +126,24 @@ def _windows_sql(width: int, spans: bool) -> str:
     {"LEFT JOIN spans ON spans.doc_id = w.doc_id" if spans else ""}"""
 
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Product quantisation by the plain definition: every part against every entry, a pair of common tables a round."""
+    whole = "[CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding]"
+    assign = """a{r} AS MATERIALIZED (SELECT rn, part, m // 256 AS d, m % 256 AS entry FROM (SELECT p.rn, p.part, min(CAST(p.q + b.q - 2 * list_dot_product(p.f, b.f) AS BIGINT) * 256 + b.entry) AS m FROM p JOIN b{r} b ON b.part = p.part GROUP BY p.rn, p.part)),"""
+    update = """u{r} AS (SELECT part, entry, i, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*)) AS BIGINT) AS v FROM (SELECT p.part, a.entry, unnest(p.x) AS v, unnest(range(1, len(p.x) + 1)) AS i FROM p JOIN a{r} a ON a.rn = p.rn AND a.part = p.part) GROUP BY part, entry, i),
+    n{r} AS (SELECT part, entry, list(v ORDER BY i) AS x FROM u{r} GROUP BY part, entry),
+    b{s} AS MATERIALIZED (SELECT *, [CAST(v AS DOUBLE) for v in x] AS f, list_dot_product([CAST(v AS DOUBLE) for v in x], [CAST(v AS DOUBLE) for v in x]) AS q FROM (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN n{r} n ON n.part = b.part AND n.entry = b.entry)),"""
+    steps = "".join(assign.format(r=r) + update.format(r=r, s=r + 1) for r in range(rounds)) + assign.format(r=rounds)
+    return f"""
+    WITH k AS (SELECT vec_id, label, {whole} AS x, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    p AS MATERIALIZED (SELECT *, [CAST(v AS DOUBLE) for v in x] AS f, list_dot_product([CAST(v AS DOUBLE) for v in x], [CAST(v AS DOUBLE) for v in x]) AS q FROM (SELECT rn, part, list_slice(x, part * (len(x) // 4) + 1, (part + 1) * (len(x) // 4)) AS x FROM (SELECT rn, x, unnest(range(0, 4)) AS part FROM k))),
+    b0 AS MATERIALIZED (SELECT part, rn - 1 AS entry, x, f, q FROM p WHERE rn <= 256),
+    {steps}
+    c AS (SELECT rn, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rn),
+    h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+    SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c ON c.rn = k.rn CROSS JOIN h"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
@@ -119,4 +163,13 @@ ORACLE: dict[str, str] = {
     SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""",
     "op7_suffixes": _windows_sql(50, True),
     "op9_windows": _windows_sql(20, False),
+    "op11_ranked": rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+    c AS (SELECT count(*) AS nn, CAST(sum(len(ws)) AS BIGINT) AS ll FROM d WHERE len(ws) > 0),
+    tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS t FROM d) GROUP BY doc_id, n, t),
+    w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t) CROSS JOIN c),
+    s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score FROM b JOIN tf USING (t) JOIN w USING (t) CROSS JOIN c GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 10""",
+    "op13_codes": _codes_sql(),
 }
