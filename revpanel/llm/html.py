@@ -11,20 +11,21 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revpanel.llm.common import mapped
 from revpanel.llm.pages import labelled_pages
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
-    re.S,
-)
+#: The beginnings of comments, declarations and tags. None looks further than its own name.
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+_QUOTES = re.compile("[\"'>]")
 _NAMED = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _LABEL = re.compile(r'data-y="(\d)"')
 _PARTS = re.compile(r"[a-z]+")
@@ -52,6 +53,83 @@ _TAG = {t: i for i, t in enumerate(TAGS)}
 FEATURES = (len(TAGS), 4, 5, 6)
 
 
+class _TagEnds:
+    """Where a tag ends that begins at some place: the next > outside quotes, or, if there is none, the next >.
+
+    A quote that never closes would make every tag after it look through the rest of the page. From the first such one on, the
+    ends are looked up in a table, made once from the end of the page backwards.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last, self.at = source, source.rfind(">"), None
+
+    def __call__(self, place: int) -> int:
+        """The end of the tag, behind its >; -1 if there is no > at all."""
+        if place > self.last:
+            return -1
+        if self.at is None:
+            if m := _REST.match(self.source, place):
+                return m.end()
+            marks = [(m.start(), m[0]) for m in _QUOTES.finditer(self.source, place)]
+            # The end as seen outside quotes, within double and within single ones.
+            outside = double = single = -1
+            self.at, self.end = [p for p, _ in marks], [0] * (len(marks) + 1)
+            self.end[-1] = -1
+            for i in range(len(marks) - 1, -1, -1):
+                p, c = marks[i]
+                if c == ">":
+                    outside = p + 1
+                elif c == '"':
+                    outside, double = double, outside
+                else:
+                    outside, single = single, outside
+                self.end[i] = outside
+        end = self.end[bisect_left(self.at, place)]
+        return end if end >= 0 else self.source.find(">", place) + 1
+
+
+def _tags(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, whether an end tag, attributes) of each tag; comments and declarations without a name.
+
+    A < that begins nothing, or a tag without any > after it, is text. The content of raw elements is passed over.
+    """
+    at, ends = 0, _TagEnds(source)
+    while (at := source.find("<", at)) >= 0:
+        if at > ends.last:
+            # No tag ends any more; a comment may still begin.
+            at = source.find("<!--", at)
+            if at >= 0:
+                yield at, len(source), None, False, ""
+            return
+        m = _OPEN.match(source, at)
+        if m is None:
+            at += 1
+            continue
+        if m[1]:
+            end = source.find("-->", m.end())
+            end = end + 3 if end >= 0 else len(source)
+            yield at, end, None, False, ""
+        elif m[2]:
+            end = source.find(">", m.end()) + 1
+            yield at, end, None, False, ""
+        else:
+            end, name = ends(m.end()), m[4].lower()
+            yield at, end, name, bool(m[3]), source[m.end() : end - 1]
+            if name in RAW and not m[3] and source[end - 2] != "/":
+                end = _raw_end(source, name, end)
+        at = end
+
+
+@functools.lru_cache(maxsize=64)
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+
+
+def _raw_end(source: str, name: str, at: int) -> int:
+    m = _end_tag(name).search(source, at)
+    return m.start() if m else len(source)
+
+
 class Forest:
     """Nodes of a batch of pages in document order."""
 
@@ -80,42 +158,34 @@ class Forest:
         """Parse one page: forgiving of missing, crossed and unknown tags."""
         source = source or ""
         root = self._node(-1, _TAG["#other"], 0, 0)
-        stack, at, scan = [("#root", root)], 0, _TOKEN.scanner(source)
-        # How often each element is open, so that an end tag without a start costs no look through the stack.
-        opened: Counter[str] = Counter()
+        stack, at = [("#root", root)], 0
+        # Where in the stack each element is open, and those that end the look for one, so that no tag costs a look through it.
+        opened: dict[str, list[int]] = {}
+        stops: list[int] = [0]
 
         def close(k: int) -> None:
-            opened.subtract(name for name, _ in stack[k:])
+            for i in range(len(stack) - 1, k - 1, -1):
+                opened[stack[i][0]].pop()
+                if stops[-1] == i:
+                    stops.pop()
             del stack[k:]
 
-        while True:
-            m = scan.search()
-            if m is None:
-                break
-            if m.start() < at:
-                continue
-            self._text(stack, source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
+        for start, end, name, closing, attrs in _tags(source):
+            self._text(stack, source[at:start])
+            at = end
             if name is None:
                 continue
-            name = name.lower()
             if name in BLOCK:
                 self.blocks += 1
-            if m[1] or m[4]:
-                if opened[name] > 0:
-                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
+            if closing:
+                if opened.get(name):
+                    close(opened[name][-1])
                 continue
-            attrs = m[3] or m[6] or ""
             ends = _ENDS.get(name, ())
             if name in _NO_P:
                 ends = {*ends, "p"}
-            if any(opened[e] > 0 for e in ends):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        close(k)
-                    elif stack[k][0] in _STOPS and not (name in ("tr", "tbody") and stack[k][0] == "tr"):
-                        break
+            while (k := max((opened[e][-1] for e in ends if opened.get(e)), default=0)) > stops[-1]:
+                close(k)
             cue = 0
             if "=" in attrs:
                 for value in _NAMED.findall(attrs):
@@ -127,11 +197,12 @@ class Forest:
                 self._text([*stack, (name, node)], " ")
             if name in VOID or attrs.endswith("/"):
                 continue
+            opened.setdefault(name, []).append(len(stack))
+            if name in _STOPS:
+                stops.append(len(stack))
             stack.append((name, node))
-            opened[name] += 1
             if name in RAW:
-                end_tag = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
-                end = end_tag.start() if end_tag else len(source)
+                end = _raw_end(source, name, at)
                 self._text(stack, source[at:end])
                 at = end
         self._text(stack, source[at:])
@@ -274,21 +345,19 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...
     columns not kept are not read.
     """
     model = pages.sparkSession.sparkContext.broadcast(trained_model())
-    names = list(keep)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sources, at = pdf["__html"].tolist(), 0
-            texts: list[str] = []
-            while at < len(sources):
-                end, size = at, 0
-                while end < len(sources) and (end == at or size < BATCH_CHARS):
-                    size += len(sources[end] or "")
-                    end += 1
-                texts += main_texts(model.value, sources[at:end])
-                at = end
-            yield pdf[names].assign(text=texts)
 
-    plain = pages.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{html}`").alias("__html"))
-    kinds = ", ".join(f"`{c}` {plain.schema[c].dataType.simpleString()}" for c in names)
-    return plain.mapInPandas(run, f"{kinds}, text string")
+    def texts_of(html: pa.Array) -> list:
+        sources, at = html.to_pylist(), 0
+        texts: list[str] = []
+        while at < len(sources):
+            end, size = at, 0
+            while end < len(sources) and (end == at or size < BATCH_CHARS):
+                size += len(sources[end] or "")
+                end += 1
+            texts += main_texts(model.value, sources[at:end])
+            at = end
+        return [texts]
+
+    plain = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{html}`").alias("html"))
+    found = mapped(plain, ["html"], "text string", lambda: texts_of)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text")
