@@ -2,9 +2,10 @@
 
 Of every benchmark item the least hash of K words among each SPAN neighbouring positions is kept; the same is done
 to the documents. K + SPAN - 1 = 13, so any 13 shared words contain a fingerprint kept on both sides. An item of fewer
-than 13 words has one fingerprint, the hash of all its words, which is looked up at every position. Fingerprints of documents
-are joined with those of the items in Spark, and each hit is extended over the whole diagonal of the two word
-sequences; runs of 13 equal words (or of all words of a shorter item) are hits.
+than 13 words has one fingerprint, the hash of all its words, which is looked up at every position. A document's fingerprint that
+a filter of the benchmark's lets through is extended to the windows of 13 words around it, and these are joined with the
+items' windows in Spark. So a run of 8 words that very many documents and items share brings none of them together unless
+13 are shared, and a hit is never more than a hash: the shared spans are the unions of the windows that meet.
 
 What happens to a text depends on the text alone, so results are kept by 128 bits of it and equal texts are matched once.
 """
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import WordHasher, alnum_words, cut, mix64, rolling
+from revpanel.llm.common import WordHasher, alnum_words, cut, forget, mapped, mix64, rolling
 from revpanel.llm.repeats import minimisers
 from revpanel.llm.simhash import text_key
 
@@ -43,35 +45,30 @@ def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(words: np.ndarray, sizes: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions in a document that may be fingerprints of the benchmark."""
+    """Hashes of the windows of a document that may be the benchmark's, and where: WINDOW + 1 times their start, plus their size."""
     hs, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for size in (0, *sizes):
-        if size == 0:
-            if len(words) < WINDOW:
-                continue
-            h, p = fingerprints(words)
-        else:
-            h = _at_all(words, size)
-            p = np.arange(len(h))
-        on = _slot(h, bits)
-        ok = (bits[on >> 3] >> (on & 7).astype(np.uint8)) & 1 > 0
-        hs.append(h[ok])
-        at.append(p[ok])
+    if len(words) >= WINDOW:
+        h, p = fingerprints(words)
+        around = (p[_passes(h, bits)][:, None] - np.arange(SPAN)).ravel()
+        starts = np.unique(around[(around >= 0) & (around <= len(words) - WINDOW)])
+        if len(starts):
+            hs.append(_at_all(words, WINDOW)[starts])
+            at.append(starts * (WINDOW + 1) + WINDOW)
+    for size in sizes:
+        h = _at_all(words, size)
+        starts = np.flatnonzero(_passes(h, bits))
+        hs.append(h[starts])
+        at.append(starts * (WINDOW + 1) + size)
     return np.concatenate(hs), np.concatenate(at)
 
 
-def _slot(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+def _passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    on = _slot(h, bits)
+    return (bits[on >> 3] >> (on & 7).astype(np.uint8)) & 1 > 0
 
 
-def extended(words: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int]]:
-    """Runs [start, end) of the document that equal the item at this shift, of 13 words or the whole of a shorter item."""
-    a, b = max(0, shift), min(len(words), shift + len(item))
-    if b <= a:
-        return []
-    edge = np.flatnonzero(np.diff(np.r_[False, words[a:b] == item[a - shift : b - shift], False].astype(np.int8)))
-    least = min(WINDOW, len(item))
-    return [(a + int(s), a + int(e)) for s, e in zip(edge[::2], edge[1::2]) if e - s >= least]
+def _slot(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
 
 
 def _edges(hit: np.ndarray) -> tuple[list, list]:
@@ -79,26 +76,27 @@ def _edges(hit: np.ndarray) -> tuple[list, list]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
-def _items(benchmark: DataFrame, text: str, item_id: str) -> tuple[DataFrame, DataFrame]:
-    """(iid, words binary, item_ids array<string>): a row for each different sequence of words; (h, iid, at): its fingerprints."""
+def _items(benchmark: DataFrame, text: str, item_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(iid, n, item_ids array<string>): a row for each different sequence of words; (h): its fingerprints; (w, iid): its windows."""
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         hasher = WordHasher()
-        for pdf in batches:
-            out = pdf.assign(words=[hasher(alnum_words(t)).tobytes() for t in pdf["text"]])
-            yield out.loc[out["words"].str.len() > 0, ["item_id", "words"]]
+        return lambda texts: [[hasher(alnum_words(t.as_py())).tobytes() for t in texts]]
 
-    plain = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), F.col(f"`{text}`").alias("text"))
-    same = plain.mapInPandas(hashed, "item_id string, words binary").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    plain = mapped(benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), F.col(f"`{text}`").alias("text")), ["text"], "words binary", start)
+    same = plain.where("octet_length(words) > 0").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     items = cut(same.withColumn("iid", F.monotonically_increasing_id()))
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, w in zip(pdf["iid"], pdf["words"]):
-                h, p = fingerprints(np.frombuffer(w, np.uint64))
-                yield pd.DataFrame({"h": h.view(np.int64), "iid": i, "at": p})
+                words = np.frombuffer(w, np.uint64)
+                own = np.unique(_at_all(words, min(WINDOW, len(words))))
+                yield pd.DataFrame({"kind": False, "h": own.view(np.int64), "iid": i})
+                yield pd.DataFrame({"kind": True, "h": np.unique(fingerprints(words)[0]).view(np.int64), "iid": i})
 
-    return items, cut(items.select("iid", "words").mapInPandas(prints, "h long, iid long, at long"))
+    both = cut(items.select("iid", "words").mapInPandas(hashed, "kind boolean, h long, iid long"))
+    return items, both.where("kind").select("h"), both.where("not kind").select(F.col("h").alias("w"), "iid")
 
 
 def _filter(prints: DataFrame) -> np.ndarray:
@@ -123,46 +121,48 @@ def _filter(prints: DataFrame) -> np.ndarray:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h1, h2, n_words), a row per document; (h1, h2, n_hit, items, starts, ends), a row per different text with hits."""
-    items, prints = _items(benchmark, text, item_id)
+    """(doc_id, h1, h2, n_words, w, at), a row per document; (h1, h2, n_hit, items, starts, ends), a row per different text with hits."""
+    items, prints, windows = _items(benchmark, text, item_id)
     # At most WINDOW - 1 lengths of items shorter than a window.
     sizes = [int(r["n"]) for r in items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(f"n < {WINDOW}").distinct().collect()]
     shared = docs.sparkSession.sparkContext.broadcast((sorted(sizes), _filter(prints)))
-    kind = docs.schema[doc_id].dataType.simpleString()
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *text_key(text), F.col(f"`{text}`").alias("text"))
 
-    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         hasher, (short, bits) = WordHasher(), shared.value
-        for pdf in batches:
-            words = [hasher(alnum_words(t)) for t in pdf["text"]]
+
+        def looked_up(texts: pa.Array) -> list:
+            words = [hasher(alnum_words(t.as_py())) for t in texts]
             found = [candidates(w, short, bits) for w in words]
-            yield pdf[["doc_id", "h1", "h2"]].assign(n_words=[len(w) for w in words], h=[x[0].view(np.int64) for x in found], p=[x[1] for x in found])
-
-    every = cut(plain.mapInPandas(looked_up, f"doc_id {kind}, h1 long, h2 long, n_words long, h array<long>, p array<long>"))
-    ones = every.where("size(h) > 0").select("h1", "h2", F.explode(F.arrays_zip("h", "p")).alias("x")).select("h1", "h2", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
-    pairs = cut(ones.join(prints, "h").select("h1", "h2", "iid", (F.col("p") - F.col("at")).alias("shift")).distinct())
-    wanted = pairs.select("h1", "h2").distinct()
-    texts = plain.select("h1", "h2", "text").join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    against = pairs.join(items, "iid").select("h1", "h2", "shift", "words", "item_ids")
-
-    def extend(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["h1", "h2", "n_hit", "items", "starts", "ends"]
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=columns)
-        words, names = WordHasher()(alnum_words(left["text"].iloc[0])), set()
-        steps = np.zeros(len(words) + 1, np.int64)
-        for shift, w, ids in zip(right["shift"], right["words"], right["item_ids"]):
-            for s, e in extended(words, np.frombuffer(w, np.uint64), int(shift)):
-                names.update(ids)
-                steps[s] += 1
-                steps[e] -= 1
-        hit = np.cumsum(steps[:-1]) > 0
-        if not hit.any():
-            return pd.DataFrame(columns=columns)
-        return pd.DataFrame([(left["h1"].iloc[0], left["h2"].iloc[0], int(hit.sum()), sorted(names), *_edges(hit))], columns=columns)
-
-    schema = "h1 long, h2 long, n_hit long, items array<string>, starts array<long>, ends array<long>"
-    return every.select("doc_id", "h1", "h2", "n_words"), cut(texts.groupBy("h1", "h2").cogroup(against.groupBy("h1", "h2")).applyInPandas(extend, schema))
+            return [list(map(len, words)), [w.view(np.int64) for w, _ in found], [at for _, at in found]]
+
+        return looked_up
+
+    every = cut(mapped(plain, ["text"], "n_words long, w array<long>, at array<long>", start))
+    # Copies of a text give its windows once.
+    ones = every.where("size(w) > 0").select("h1", "h2", F.explode(F.arrays_zip("w", "at")).alias("x")).select("h1", "h2", F.col("x.w").alias("w"), F.col("x.at").alias("at"))
+    ones = cut(ones.distinct().join(windows.select("w").distinct(), "w", "left_semi"))
+    spans = ones.groupBy("h1", "h2").agg(F.collect_list("at").alias("at"))
+    pairs = ones.select("h1", "h2", "w").distinct().join(windows, "w").select("h1", "h2", "iid").distinct()
+    named = pairs.join(items.select("iid", F.explode("item_ids").alias("item")), "iid")
+    names = named.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+    def merged(at: pa.Array) -> list:
+        rows = []
+        for x in at:
+            x = np.array(x.as_py(), np.int64)
+            s, size = x // (WINDOW + 1), x % (WINDOW + 1)
+            steps = np.zeros(int((s + size).max()) + 1, np.int64)
+            np.add.at(steps, s, 1)
+            np.add.at(steps, s + size, -1)
+            hit = np.cumsum(steps[:-1]) > 0
+            rows.append((int(hit.sum()), *_edges(hit)))
+        return list(zip(*rows)) or [[], [], []]
+
+    found = mapped(spans, ["at"], "n_hit long, starts array<long>, ends array<long>", lambda: merged).join(names, ["h1", "h2"], "left")
+    found = cut(found.select("h1", "h2", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "starts", "ends"))
+    forget(items, ones)
+    return every, found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
@@ -175,6 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, text:
     joined by its fingerprints at every size; only a filter of FILTER_BITS bits goes to all tasks.
     """
     every, found = hits(docs, benchmark, text, doc_id, item_id)
+    every = every.select("doc_id", "h1", "h2", "n_words")
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>")).alias(c)
     out = every.join(found, ["h1", "h2"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
     contaminated = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
@@ -187,7 +188,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", d
     A passage of a benchmark spoils a long document as it does a short one, so one hit is enough. Documents without words
     (null or empty) stay, as do rows that repeat and null ids; an empty benchmark drops nothing, an empty table stays empty.
     """
-    _, found = hits(docs, benchmark, text, doc_id, item_id)
+    every, found = hits(docs, benchmark, text, doc_id, item_id)
+    forget(every)
     names = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(F.struct(*names).alias("row"), *text_key(text))
     return marked.join(found.select("h1", "h2"), ["h1", "h2"], "left_anti").select("row.*")
