@@ -21,6 +21,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from revpanel.llm.common import BASES, WordHasher, cursors, cut, forget, grouped_batches, input_bytes, mix64, plain_words, power_of_two, rolling
 
@@ -196,10 +197,6 @@ def _bare(parts: list[Marks]) -> Marks:
     return Marks.joined([Marks(p.doc, p.text, p.start) for p in parts])
 
 
-def _id(d: object) -> int:
-    return NO_ID if d is None or d != d else int(d)
-
-
 def _salt(doc: int, text: int) -> int:
     return text if doc == NO_ID else text & 15
 
@@ -210,7 +207,7 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[list[Doc]]:
     words = 0
     for pdf in frames:
         for d, h, t in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
-            if (key := (_id(d), int(h))) not in held:
+            if (key := (int(d), int(h))) not in held:
                 held[key] = plain_words(t)
                 words += len(held[key])
             if words > BATCH_WORDS:
@@ -236,8 +233,9 @@ def _windows(frames: Iterator[pd.DataFrame], width: int) -> Iterator[Hashed]:
 
 def _grouped(docs: DataFrame, groups: int) -> DataFrame:
     """With the group of each document: doc_id xor salt, so that neither one text nor one doc_id is a group."""
-    g = F.pmod(F.coalesce("doc_id", F.lit(NO_ID)).bitwiseXOR(F.when(F.col("doc_id").isNull(), F.col("th")).otherwise(F.col("th").bitwiseAND(F.lit(15)))), F.lit(groups)).cast("int")
-    return docs.select(g.alias("g"), "doc_id", "th", "text")
+    salt = F.when(F.col("doc_id") == NO_ID, F.col("th")).otherwise(F.col("th").bitwiseAND(F.lit(15)))
+    g = F.pmod(F.col("doc_id").bitwiseXOR(salt), F.lit(groups)).cast("int")
+    return docs.select(g.alias("g"), "doc_id", "none", "th", "text")
 
 
 def _look_up(blobs: pd.Series) -> Callable[[int, int], np.ndarray]:
@@ -263,8 +261,8 @@ def _decided(grouped: DataFrame, candidates: DataFrame, sizes: _Sizes, width: in
     def exact(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at, hasher, seen = _look_up(right["blob"]), WordHasher(), set()
         docs, hashes = [], ([np.empty(0, np.uint64)], [np.empty(0, np.uint64)])
-        for *key, text in sorted(zip(map(_id, left["doc_id"]), left["th"], left["text"]), key=lambda x: x[:2]):
-            key = (key[0], int(key[1]))
+        for *key, text in sorted(zip(left["doc_id"], left["th"], left["text"]), key=lambda x: x[:2]):
+            key = (int(key[0]), int(key[1]))
             marked = at(key[0], _salt(*key))
             if len(marked) and key not in seen:
                 seen.add(key)
@@ -283,27 +281,29 @@ def _decided(grouped: DataFrame, candidates: DataFrame, sizes: _Sizes, width: in
 def _stripped(docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at, rows = _look_up(right["blob"]), []
-        for d, th, t in zip(left["doc_id"], left["th"], left["text"]):
+        for d, none, th, t in zip(left["doc_id"], left["none"], left["th"], left["text"]):
             words = plain_words(t)
-            n, starts = len(words), at(_id(d), int(th))
+            n, starts = len(words), at(int(d), int(th))
             steps = np.zeros(n + 1, np.int64)
             np.add.at(steps, starts, 1)
             np.add.at(steps, starts + width, -1)
             gone = np.cumsum(steps[:n]) > 0
             edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
             kept = b" ".join(itertools.compress(words, ~gone)) if len(edge) else b" ".join(words)
-            rows.append((d, n, int(gone.sum()), kept.decode("utf-8", "replace"), edge[::2].tolist(), edge[1::2].tolist()))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept", "starts", "ends"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+            rows.append((d, none, n, int(gone.sum()), kept.decode("utf-8", "replace"), edge[::2].tolist(), edge[1::2].tolist()))
+        return pd.DataFrame(rows, columns=["doc_id", "none", "n_words", "n_removed", "kept", "starts", "ends"])
 
-    schema = "doc_id long, n_words long, n_removed long, kept string, starts array<long>, ends array<long>"
-    return docs.groupBy("g").cogroup(marks.groupBy("g")).applyInPandas(run, schema)
+    schema = "doc_id long, none boolean, n_words long, n_removed long, kept string, starts array<long>, ends array<long>"
+    out = docs.groupBy("g").cogroup(marks.groupBy("g")).applyInPandas(run, schema)
+    return out.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
 def _documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    body = F.col(f"`{text}`")
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), body.alias("text"))
+    """(doc_id, none, th, text): a null id is NO_ID, as a long beside a null would lose its last digits on the way through pandas."""
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} has to be a whole number, by which documents are ordered")
+    body, key = F.col(f"`{text}`"), F.col(f"`{doc_id}`").cast("long")
+    return docs.select(F.coalesce(key, F.lit(NO_ID)).alias("doc_id"), key.isNull().alias("none"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), body.alias("text"))
 
 
 def strip_repeated_windows(docs: DataFrame, width: int = 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -315,7 +315,8 @@ def strip_repeated_windows(docs: DataFrame, width: int = 20, text: str = "text",
     counted. Null or empty texts have no words and keep the empty text; texts shorter than a window stay
     whole. Rows that repeat a doc_id and its text are one document, each returned, none of them the earlier one; of rows
     that repeat a doc_id with other texts, the one with the lower xxhash64 of its text is the earlier; a null
-    doc_id counts as the smallest. An empty table gives an empty result; other columns are not read.
+    doc_id counts as the smallest. Ids are whole numbers; another type is a TypeError. An empty table gives an empty result; other columns
+    are not read.
     """
     sizes, plain = _Sizes(docs), _documents(docs, text, doc_id)
     met = plain.mapInPandas(lambda it: _meet(_windows(it, width), sizes), "bucket int, blob binary")
@@ -411,7 +412,7 @@ def strip_repeated_passages(docs: DataFrame, min_words: int = 50, prefix: int =
     def sides(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at, hasher, out, seen = _look_up(right["blob"]), WordHasher(), [], set()
         for d, t, text in zip(left["doc_id"], left["th"], left["text"]):
-            key = (_id(d), int(t))
+            key = (int(d), int(t))
             words = hasher(plain_words(text))
             p = np.unique(at(key[0], _salt(*key)))
             p = p[p + prefix <= len(words)]
