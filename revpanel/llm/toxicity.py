@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import alnum_words
+from revpanel.llm.common import alnum_words, mapped
 
 SLOTS, LEVELS, PREFIXES = 1 << 18, (1, 2, 4), (4, 5, 6, 7)
 #: Most frequent slots whose pairs are looked at, pairs whose slots are kept, and the chi-square that they need: a chance of
@@ -182,7 +182,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, text:
     """Fit on about ``max_rows`` labelled documents at most, taken by a hash of their id; held-out ids are never read.
 
     The bound keeps what reaches the driver the same at every input size. Null labels are left out; of
-    several labels of one document the largest counts.
+    several labels of one document the largest counts, of several texts of one id the one with the least xxhash64.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -190,6 +190,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, text:
     share = min(1.0, 0.95 * max_rows / max(n, 1))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    # A row for each id, however often the documents repeat it.
+    known = plain.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = _Terms()
@@ -198,22 +200,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, text:
                 yield pd.DataFrame({"y": pdf["y"] > 0, "x": [np.sort(terms(t)).tobytes() for t in pdf["text"]]})
 
     # sample has at most about max_rows rows; texts become slots where they are
-    rows = plain.join(F.broadcast(sample), "doc_id").mapInPandas(slots, "y boolean, x binary").toArrow()
+    rows = known.select("y", "text").mapInPandas(slots, "y boolean, x binary").toArrow()
     pairs = sorted(zip(rows["y"].to_pylist(), rows["x"].to_pylist()))
     return FactorizationMachine.fit([np.frombuffer(x, np.int32) for _, x in pairs], np.array([y for y, _ in pairs], np.float64), factors=factors)
 
 
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score double): the score of every whole text; null and empty texts have no terms and get the bias's."""
-    kind = docs.schema[doc_id].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         scorer = Scorer(shared.value)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["d"], "score": scorer(pdf["t"])})
+        return lambda texts: [scorer(texts.to_pylist())]
 
-    return docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInPandas(run, f"doc_id {kind}, score double")
+    return mapped(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")), ["t"], "score double", start)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
