@@ -130,7 +130,7 @@ def mix_documents(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...]
 def repeat_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The mixed corpus: each row as often as it is taken, with its own columns."""
     mixed = mix_documents(docs, text=text, doc_id=doc_id)
-    plan = cut(mixed.groupBy("h").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("h", "__h"))
+    plan = cut(mixed.groupBy("h").agg(F.max("copies").alias("copies")).where("copies > 0"))
     h: Column = F.shiftrightunsigned(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), 64 - _BITS)
-    joined = docs.withColumn("__h", h).join(plan.hint("shuffle_hash"), "__h")
-    return joined.withColumn("__i", F.explode(F.expr("sequence(1, __copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), h.alias("h"))
+    return rows.join(plan.hint("shuffle_hash"), "h").select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")
