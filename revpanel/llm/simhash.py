@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revpanel.llm.common import WordHasher, alnum_words, cursors, cut, forget, grouped_batches, input_bytes, lower_words, mix64, plain_words, power_of_two, rolling, shingle_hashes
+from revpanel.llm.common import WordHasher, alnum_words, cursors, cut, forget, grouped_batches, lower_words, mapped, mix64, plain_words, rolling, shingle_hashes
 from revpanel.llm.graph import components
 
 #: Members of one bucket tile; larger buckets are dealt out over tiles.
@@ -59,14 +60,12 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> np.ndarray:
 def with_fingerprints(docs: DataFrame, shingle: int = 3, lower: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp long): 64-bit SimHash of every whole text. Null and empty texts have fingerprint 0."""
     split = lower_words if lower else plain_words
-    kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.fromiter((fingerprint(shingle_hashes(split(t), shingle))[0] for t in pdf["t"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["d"], "fp": fps.view(np.int64)})
+    def prints(texts: pa.Array) -> list:
+        fps = (fingerprint(shingle_hashes(split(t.as_py()), shingle))[0] for t in texts)
+        return [np.fromiter(fps, np.uint64, len(texts)).view(np.int64)]
 
-    return docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return mapped(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")), ["t"], "fp long", lambda: prints)
 
 
 @dataclass(frozen=True)
@@ -321,10 +320,10 @@ def block_keys(prints: DataFrame, plan: PivotPlan) -> DataFrame:
     return prints.mapInPandas(keyed, "key long, id long")
 
 
-#: Bits of the fingerprints of near_duplicate_groups, and the runs by which a text is looked up.
-NEAR_BITS, LEAST_RUNS = 512, 32
-#: Runs in more texts than a tile holds, and in over one of so many texts, are put last; runs that a task counts at once.
-COMMON, BATCH_RUNS = 4096, 1 << 20
+#: Bits of the fingerprints of near_duplicate_groups; the runs by which a text is looked up, of each kind; its least runs that are counted.
+NEAR_BITS, LEAST_RUNS, COUNTED_RUNS = 512, 32, 64
+#: Runs counted in over one of so many texts, and in more than a tile holds, are common.
+COMMON = 4096
 
 
 def near_limit(similarity: float) -> int:
@@ -336,84 +335,33 @@ def near_limit(similarity: float) -> int:
     return int(NEAR_BITS * share + 2 * np.sqrt(NEAR_BITS * share * (1 - share)))
 
 
-def near_cosine(limit: int) -> float:
-    """The cosine at which ``limit`` bits are three standard deviations less than fingerprints differ by: 1 pair in 700 links there.
-
-    0.59 for 122 bits. Texts are looked up by it, so that pairs under ``similarity`` that link are found too.
-    """
-    b = 2 * limit + 9
-    share = (b + np.sqrt(b * b - 4 * (NEAR_BITS + 9) * limit * limit / NEAR_BITS)) / (2 * (NEAR_BITS + 9))
-    return float(np.cos(np.pi * min(share, 0.5)))
-
-
 def _runs(words: list[bytes], hasher: WordHasher, shingle: int) -> np.ndarray:
     """Hashes of the different runs of a text, ascending; fewer words are one run."""
     return np.unique(rolling(hasher(words), min(shingle, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def common_runs(docs: DataFrame, shingle: int = 5, text: str = "text") -> np.ndarray:
-    """int64, ascending: the runs (62 bits of their hash) in more than TILE rows and in over one of COMMON rows, counted over all rows.
+def common_runs(items: DataFrame) -> np.ndarray:
+    """int64, ascending: the runs that are among the least of more than TILE texts and of over one of COMMON.
 
-    Runs travel as packed arrays: one row for each batch and part of the hashes, with each run once and its count, so that
-    no task gathers the occurrences of a run. The result is what all runs over the limit are; only these come to the driver,
-    at most COMMON times the mean number of runs of a text.
+    ``items`` has the COUNTED_RUNS least runs of each different text (``runs``). The result is at most COMMON * COUNTED_RUNS
+    numbers, whatever the number of texts.
     """
-    limit = max(TILE, docs.count() // COMMON)
-    low = 62 - (power_of_two(input_bytes(docs) / 3 / BATCH_RUNS, 64, 1 << 16).bit_length() - 1)
-
-    def packed(held: list[np.ndarray]) -> pd.DataFrame:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        part = h >> low
-        # Differences, with bytes of equal weight beside each other, of which two in eight are zeros.
-        rows = [(int(part[s]), np.diff(h[s:e], prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), n[s:e].astype(np.uint32).tobytes()) for s, e in zip(*cursors(part))]
-        return pd.DataFrame(rows, columns=["part", "h", "n"])
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, held, size = WordHasher(), [], 0
-        for pdf in batches:
-            for t in pdf["t"]:
-                held.append(np.unique(_runs(alnum_words(t), hasher, shingle) >> np.uint64(2)).view(np.int64))
-                size += len(held[-1])
-                if size >= BATCH_RUNS:
-                    yield packed(held)
-                    held, size = [], 0
-        if size:
-            yield packed(held)
-
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in grouped_batches(batches, ["part"]):
-            for s, e in zip(*cursors(pdf["part"].to_numpy())):
-                h = np.concatenate([np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel().cumsum() for b in pdf["h"].iloc[s:e]])
-                n = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["n"].iloc[s:e]])
-                order = np.argsort(h, kind="stable")
-                h = h[order]
-                starts, _ = cursors(h)
-                often = np.add.reduceat(n[order], starts, dtype=np.int64) > limit
-                if often.any():
-                    yield pd.DataFrame({"h": [h[starts[often]].tobytes()]})
-
-    parts = docs.select(F.col(f"`{text}`").alias("t")).mapInPandas(counted, "part int, h binary, n binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = parts.repartition(n, "part").sortWithinPartitions("part").mapInPandas(summed, "h binary").collect()
-    return np.sort(np.frombuffer(b"".join(r["h"] for r in found), np.int64))
-
-
-def _look_up(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """int64: the runs by which a text is looked up, the first ones in an order that puts those of ``common`` last.
-
-    Of two sets of runs with a cosine of ``similarity`` or more one of the first n - similarity**2 * n + 1 is shared, in
-    whatever order (prefix filter). Hashes are in random order, and at a cosine of 0.8 at least 0.64 of the union is shared, so that
-    already LEAST_RUNS share none with a probability under 0.36**32 = 7e-15; under 0.5**32 = 3e-10 if up to a seventh of the runs
-    are put last (at 0.59, where few pairs link, 0.35, 2e-6 and 2e-4). Texts with more of these are looked up by all.
+    limit = max(TILE, items.count() // COMMON)
+    counted = items.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return np.sort(np.array([r["run"] for r in counted.select("run").collect()], np.int64))
+
+
+def _look_up(runs: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The runs of a text by which it is looked up, of its least ones (ascending): LEAST_RUNS that are not common, and as many common ones if these are over a seventh.
+
+    Runs are in random order. Of the union of two texts' runs at least 0.64 are shared at a cosine of 0.8, so that their LEAST_RUNS
+    least share none with a probability under 0.36**32 = 7e-15. A text with many common runs is looked up by all of these. With
+    a seventh of common ones at most, at least half of the others are shared, and the probability is under 0.5**32 = 3e-10.
+    (At a cosine of 0.59, where few pairs link, 0.35 of the union is shared, and the figures are 2e-6 and 2e-4.)
     """
-    h = np.unique(hashes >> np.uint64(2)).view(np.int64)
-    n, last = len(h), 0
-    if n and len(common):
-        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-        last = int(often.sum())
-        h = np.sort(h | often.astype(np.int64) << 62)
-    first = n - int(np.ceil(similarity**2 * n - 1e-9)) + 1
-    return h[: first if 7 * last > n else min(first, LEAST_RUNS)]
+    often = common[np.minimum(np.searchsorted(common, runs), len(common) - 1)] == runs if len(common) else np.zeros(len(runs), bool)
+    out = runs[~often][:LEAST_RUNS]
+    return np.concatenate([out, runs[often][:LEAST_RUNS]]) if 7 * often.sum() > len(runs) else out
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -422,7 +370,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int
     Alike are texts whose 512-bit SimHash fingerprints of their different five-word runs may have a cosine of ``similarity`` or more: they
     differ in ``near_limit`` bits at most (122 for 0.8). Words are lower-cased runs of ASCII letters, digits and all other characters from U+0080 on, so
     that case and punctuation hide no copy; fewer words make one run. Candidates share one of the runs of
-    ``_look_up``; the order of runs comes from their counts over all rows (``common_runs``).
+    ``_look_up``, 2 * LEAST_RUNS at most for a text of any length; which runs are common is counted over all different texts.
 
     Exact copies meet first, by 128 bits of their text, and are alike whatever they hold; a null text is an empty one. Texts
     without words are like their copies only. group_id is the smallest doc_id of the group, null if it has no
@@ -430,24 +378,33 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int
     doc_id are grouped by their texts. An empty table gives an empty result; columns other than the two are not read.
     """
     limit = near_limit(similarity)
-    kind = docs.schema[doc_id].dataType.simpleString()
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("t"), *text_key(text))
-    common, least = common_runs(docs, shingle, text), near_cosine(limit)
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         hasher = WordHasher()
-        for pdf in batches:
-            rows = []
-            for t in pdf["t"]:
-                runs = _runs(alnum_words(t), hasher, shingle)
-                rows.append((fingerprint(runs, NEAR_BITS).tobytes(), _look_up(runs, common, least)))
-            yield pdf[["doc_id", "h1", "h2"]].assign(fp=[r[0] for r in rows], keys=[r[1] for r in rows])
-
-    every = texts.mapInPandas(prints, f"doc_id {kind}, h1 long, h2 long, fp binary, keys array<long>")
-    first = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+
+        def prints(texts: pa.Array) -> list:
+            fps, least = [], []
+            for t in texts:
+                runs = _runs(alnum_words(t.as_py()), hasher, shingle)
+                fps.append(fingerprint(runs, NEAR_BITS).tobytes())
+                least.append((runs[:COUNTED_RUNS] >> np.uint64(1)).view(np.int64))
+            return [fps, least]
+
+        return prints
+
+    every = mapped(texts, ["t"], "fp binary, runs array<long>", start)
+    first = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("runs").alias("runs"))
     items = cut(first.withColumn("id", F.monotonically_increasing_id()))
-    found = linked(items.select(F.explode("keys").alias("key"), "id"), items, limit)
+    shared = docs.sparkSession.sparkContext.broadcast(common_runs(items))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [_look_up(r, shared.value) for r in pdf["runs"]]
+            yield pd.DataFrame({"key": np.concatenate([np.empty(0, np.int64), *keys]), "id": np.repeat(pdf["id"].to_numpy(), list(map(len, keys)))})
+
+    found = linked(items.select("id", "runs").mapInPandas(keyed, "key long, id long"), items, limit)
     tagged = cut(items.select("id", "h1", "h2", "least").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("group_id"), F.col("id").alias("best"))).alias("b")
     roots = cut(tagged.groupBy("comp").agg(best).select("comp", "b.group_id", "b.best"))

@@ -265,11 +265,22 @@ def test_common_runs_of_all_rows(spark, monkeypatch):
 
     monkeypatch.setattr(simhash, "linked", look)
     assert simhash.near_duplicate_groups(docs).where("keep").count() == docs.count() and most[0] <= simhash.TILE
-    monkeypatch.setattr(simhash, "BATCH_RUNS", 3000)
-    hasher, counts = common.WordHasher(), Counter()
+    hasher, counts, least = common.WordHasher(), Counter(), []
     for r in docs.collect():
-        counts.update({int(h) >> 2 for h in simhash._runs(common.alnum_words(r["text"]), hasher, 5)})
-    assert simhash.common_runs(docs).tolist() == sorted(h for h, n in counts.items() if n > simhash.TILE) != []
+        least.append([int(h) >> 1 for h in simhash._runs(common.alnum_words(r["text"]), hasher, 5)[: simhash.COUNTED_RUNS]])
+        counts.update(least[-1])
+    items = spark.createDataFrame([(x,) for x in least], "runs array<long>")
+    assert simhash.common_runs(items).tolist() == sorted(h for h, n in counts.items() if n > simhash.TILE) != []
+
+
+def test_look_up_of_common_runs():
+    """At most twice LEAST_RUNS for any text; common runs only where they are more than a seventh."""
+    runs = np.arange(64) * 3
+    assert simhash._look_up(runs, np.array([], np.int64)).tolist() == runs[:32].tolist()
+    assert simhash._look_up(runs, runs[:9]).tolist() == runs[9:41].tolist()
+    assert simhash._look_up(runs, runs[:10]).tolist() == [*runs[10:42], *runs[:10]]
+    assert simhash._look_up(runs, np.arange(400)).tolist() == runs[:32].tolist()
+    assert simhash._look_up(runs[:0], runs).tolist() == []
 
 
 def test_keep_one(spark):
@@ -785,7 +796,7 @@ CONTRACTS = {
 
 def test_registered_queries(spark, tmp_path):
     """Columns and values of the contracts, through the queries."""
-    assert list(queries.QUERIES) == [next(q for q in queries.QUERIES if q.startswith(f"op{n}_")) for n in range(1, 11)]
+    assert list(queries.QUERIES) == [next(q for q in queries.QUERIES if q.startswith(f"op{n}_")) for n in range(1, 14)]
     rows, folder = corpus(), str(tmp_path)
     docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(f"{folder}/documents.parquet")
