@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revpanel.functions.time import PanelError, guess_period, plus_steps, py_index, shift
+from revpanel.functions.time import PanelError, plus_steps, shift
 from revpanel.meta import LogMeta, PanelMeta, duplicated, geo_column_names, guess_column, guess_geo_type, guess_time_type, time_column_names, version_column_names
 from revpanel.panel import Panel
 
@@ -237,16 +237,10 @@ class RevisionLog:
         return replace(self, groups=groups, levels=tuple(x for x in self.levels if x[0] in groups))
 
     def default_versions(self) -> list:
-        """All versions from the first to versions_end, in steps of the period of those that occur."""
-        found = sorted(r[0] for r in self.df.select("version").distinct().collect())
-        tt = self.meta.time_type
-        if tt == "yearmonth":
-            lo, hi = py_index(found[0], tt), py_index(self.meta.versions_end, tt)
-            return [shift(found[0], i, tt) for i in range(hi - lo + 1)]
-        step = guess_period([*found, self.meta.versions_end])
-        unit = "day" if tt == "week" else tt
-        n = (py_index(self.meta.versions_end, unit) - py_index(found[0], unit)) // step
-        return [shift(found[0], i * step, unit) for i in range(n + 1)]
+        """All versions from the first to versions_end, in steps of the period of those that occur; ``versions.grid`` is their table."""
+        from revpanel.operators.versions import default_list
+
+        return default_list(self)
 
     # -- operators ------------------------------------------------------------------------------------------------
     def merge(self, other: RevisionLog, **kw) -> RevisionLog:

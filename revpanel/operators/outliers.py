@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from revpanel.functions import smooth
 from revpanel.functions.time import STEP, PanelError, before_after, index
 from revpanel.meta import check_unique
-from revpanel.operators.windows import check_arity
+from revpanel.operators.order import sliding_quantiles
+from revpanel.operators.windows import WIDE, check_arity
 from revpanel.panel import Panel
 
 PARTS = ("lower", "upper", "replacement")
@@ -30,16 +31,22 @@ class Method:
     args: dict[str, Any] = field(default_factory=dict)
 
 
-def _frame(panel: Panel, n: int):
+def _quantiles(df: DataFrame, panel: Panel, c: str, n: int, probs: list[float]) -> DataFrame:
+    """The column __q: quantiles of ``c`` over the centred window of n steps; null without values.
+
+    Wide windows keep a sorted list, so that a row costs the same for 21 steps as for 2001.
+    """
     before, after = before_after(int(n), "center")
     step = STEP[panel.meta.time_type]
-    return Window.partitionBy(*panel.meta.series).orderBy("__x").rangeBetween(-int(before) * step, int(after) * step)
+    if n > WIDE:
+        return sliding_quantiles(df, panel.meta.series, "__x", [c], probs, int(before) * step, int(after) * step).withColumnRenamed(f"{c}_q", "__q").drop(f"{c}_n")
+    w = Window.partitionBy(*panel.meta.series).orderBy("__x").rangeBetween(-int(before) * step, int(after) * step)
+    return df.withColumn("__q", F.percentile(c, F.array(*map(F.lit, probs))).over(w))
 
 
 def _bounds(df: DataFrame, panel: Panel, n: int, detection_multiplier: float, min_radius: float, replacement_multiplier: float, min_lower: float, whole: bool) -> DataFrame:
     """lower, upper and replacement from __fitted, __resid and __v, by the rolling interquartile range of residuals."""
-    quartiles = F.percentile("__resid", F.array(F.lit(0.25), F.lit(0.75))).over(_frame(panel, n))
-    df = df.withColumn("__q", quartiles).withColumn("__iqr", F.col("__q")[1] - F.col("__q")[0])
+    df = _quantiles(df, panel, "__resid", n, [0.25, 0.75]).withColumn("__iqr", F.col("__q")[1] - F.col("__q")[0])
     radius = F.when(F.col("__iqr").isNotNull(), F.greatest(F.lit(float(min_radius)), detection_multiplier * F.col("__iqr")))
     low = F.col("__fitted") - radius
     df = df.withColumn("__lower", F.when(low.isNotNull(), F.greatest(F.lit(min_lower), low))).withColumn("__upper", F.col("__fitted") + radius)
@@ -70,7 +77,7 @@ def _rm(df: DataFrame, panel: Panel, y: str, abbr: str, n: int = 21, log_transfo
     """Rolling median and interquartile range, as two stacked windows."""
     keep, whole = df.columns, isinstance(panel.df.schema[y].dataType, T.IntegralType) and not log_transform
     df = _logged(df.withColumn("__v", F.col(y).cast("double")), panel, log_transform)
-    df = df.withColumn("__fitted", F.percentile("__v", F.lit(0.5)).over(_frame(panel, n))).withColumn("__resid", F.col("__v") - F.col("__fitted"))
+    df = _quantiles(df, panel, "__v", n, [0.5]).withColumn("__fitted", F.col("__q")[0]).drop("__q").withColumn("__resid", F.col("__v") - F.col("__fitted"))
     least = 0.0 if detect_negatives and not log_transform else float("-inf")
     return _named(_bounds(df, panel, n, detection_multiplier, min_radius, replacement_multiplier, least, whole), keep, abbr, log_transform)
 

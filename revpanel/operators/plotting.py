@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from revpanel.functions.time import PanelError
 from revpanel.log import RevisionLog
 from revpanel.operators.replay import snapshots
+from revpanel.operators.versions import grid
 from revpanel.panel import Panel
 
 
@@ -51,8 +52,12 @@ def panel_plot_data(panel: Panel, columns: Sequence[str] = (), color_by: str = "
 def log_plot_data(log: RevisionLog, column: str | None = None, versions: Sequence | None = None, facet_filter=None) -> DataFrame:
     """Snapshots at ``versions`` (all but the last, by default) and the latest one, stacked: keys, version, value, is_latest."""
     column = _measurements(log.df, log.meta.keys, [column] if column else [])[0]
-    chosen = [v for v in (log.default_versions() if versions is None else versions) if v < log.meta.versions_end]
-    rows = snapshots(log, [*chosen, log.meta.versions_end])
+    end = log.meta.versions_end
+    if versions is None:
+        known = grid(log).where(F.col("__v") < F.lit(end))
+        rows = snapshots(log, known.union(known.sparkSession.range(1).select(F.lit(end).cast(known.schema["__v"].dataType))))
+    else:
+        rows = snapshots(log, [*[v for v in versions if v < end], end])
     out = rows.select(*log.meta.cell, F.col("__v").alias("version"), F.col(column).cast("double").alias("value"))
     out = out.withColumn("is_latest", F.col("version") == F.lit(log.meta.versions_end))
     return out.where(facet_filter) if facet_filter is not None else out

@@ -18,10 +18,14 @@ from pyspark.sql import types as T
 
 from revpanel.functions.time import INF, STEP, PanelError, before_after, index, py_index, unit_letter, window_steps
 from revpanel.meta import check_unique
+from revpanel.operators.order import sliding_quantiles
+from revpanel.operators.scan import running
 from revpanel.panel import Panel
 
 #: Name stems; those of logical columns differ.
 STEMS = {"mean": "av", "sum": "sum", "prod": "prod", "min": "min", "max": "max", "all": "all", "any": "any", "median": "slide"}
+#: Slots of a window from which on a median is kept sorted; below, each window is sorted by itself within Spark's codegen.
+WIDE = 64
 LOGICAL_STEMS = {"mean": "prop", "sum": "count"}
 _ALIGN = {"right": "", "center": "c", "left": "l"}
 
@@ -50,8 +54,8 @@ def _frame(panel: Panel, size, align: str, split: int | None = None) -> tuple[Wi
     n = window_steps(size, tt)
     before, after = before_after(n, align)
     base = Window.partitionBy(*panel.meta.series, *(["__c"] if split else [])).orderBy("__t")
-    if split and (n == INF or split < 1):
-        raise PanelError("only bounded windows are split, into chunks of at least one step")
+    if split is not None and split < 1:
+        raise PanelError("a series is split into chunks of at least one step")
     if n == INF:
         # The running window starts at the first time of the whole panel.
         first = panel.df.agg(F.min(index("time_value", tt))).first()[0] or 0
@@ -81,6 +85,48 @@ def guarded(f: str, c: Column, w: WindowSpec, slots: Column, logical: bool, skip
     return F.coalesce(got.cast("double") if f in ("min", "max", "mean", "prod") else got, F.lit(nothing))
 
 
+def _running_split(df: DataFrame, panel: Panel, f: str, columns: Sequence[str], names: Sequence[str], slots: Column, logical: dict[str, bool], skip_nulls: bool, split: int) -> DataFrame:
+    """Running functions of a series cut into chunks of ``split`` steps: states of chunks before it and rows of its own, as in ``guarded``."""
+    if f == "median":
+        raise PanelError("a running median has no state that merges; it is not split")
+    states = {}
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("int") if logical[c] and f not in ("all", "any") else F.col(c)
+        states[f"__k{i}"] = ("count", x)
+        kind = {"mean": "sum", "sum": "sum", "prod": "product", "min": "min", "max": "max"}.get(f, f)
+        states[f"__x{i}"] = (kind, F.col(c).cast("boolean") if f in ("all", "any") else x)
+    step = STEP[panel.meta.time_type]
+    out = running(df, panel.meta.series, ["__t"], F.floor(F.col("__t") / (split * step)), states)
+    made = []
+    for i, (c, name) in enumerate(zip(columns, names)):
+        k, got = F.col(f"__k{i}"), F.col(f"__x{i}")
+        if f in ("all", "any"):
+            empty = F.lit(f == "all")
+            decided = ~got if f == "all" else got
+            value = F.coalesce(got, empty) if skip_nulls else F.when(decided, F.lit(f == "any")).when(k == slots, empty)
+        else:
+            value = got / F.when(k > 0, k) if f == "mean" else got
+            if not skip_nulls:
+                value = F.when(k == slots, value)
+            else:
+                nothing = {"mean": float("nan"), "sum": 0, "prod": 1.0, "min": float("inf"), "max": float("-inf")}[f]
+                value = F.coalesce(value.cast("double") if f in ("min", "max", "mean", "prod") else value, F.lit(nothing))
+        made.append(value.alias(name))
+    return out.select(*df.columns, *made)
+
+
+def _order_statistics(df: DataFrame, panel: Panel, columns: Sequence[str], names: Sequence[str], n: int, before: int, after: int, logical: dict[str, bool], skip_nulls: bool, split: int | None) -> DataFrame:
+    """Rolling medians of wide windows, by a sorted list that rows enter and leave, in chunks of a series."""
+    tt, series = panel.meta.time_type, panel.meta.series
+    wanted = {f"__m{i}": (F.col(c).cast("int") if logical[c] else F.col(c)).cast("double") for i, c in enumerate(columns)}
+    out = sliding_quantiles(df.withColumns(wanted), series, "__t", list(wanted), [0.5], int(before) * STEP[tt], int(after) * STEP[tt], (split or 0) * STEP[tt])
+    made = []
+    for i, name in enumerate(names):
+        value = F.col(f"__m{i}_q")[0]
+        made.append((value if skip_nulls else F.when(F.col(f"__m{i}_n") == n, value)).alias(name))
+    return out.select(*df.columns, *made)
+
+
 def default_names(panel: Panel, columns: Sequence[str], f: str, n: int | float, align: str, prefix: str | None = None, suffix: str | None = None) -> list[str]:
     """prefix + column + suffix, in which {n}, {unit}, {align} and {f} stand for the parts of the default suffix."""
     if prefix is None and suffix is None:
@@ -132,7 +178,9 @@ def _near(panel: Panel, times: list | None, before, after, all_rows: bool, split
 def roll(panel: Panel, columns: str | Sequence[str], f: str = "mean", size=None, align: str = "right", skip_nulls: bool = False, prefix: str | None = None, suffix: str | None = None, new_names: Sequence[str] | None = None, ref_times: Sequence | None = None, all_rows: bool = False, validate: bool = True, split: int | None = None) -> Panel:
     """Rolling (or, with size=inf, running) mean, sum, prod, min, max, all, any or median of columns.
 
-    ``split`` deals each series out in chunks of that many steps, for few and very long series.
+    ``split`` deals each series out in chunks of that many steps, for few and very long series: overlapping ones for a rolling
+    window, while a running one adds the states of the chunks before to the rows of its own (not for a median). A median
+    over more than WIDE slots keeps a sorted list of the window instead of sorting each window anew.
     """
     if f not in STEMS:
         raise PanelError(f"no rolling function {f!r}; use slide() or slide_python()")
@@ -159,6 +207,12 @@ def roll(panel: Panel, columns: str | Sequence[str], f: str = "mean", size=None,
     if len(set(names)) != len(names):
         raise PanelError("new column names repeat")
     logical = {c: isinstance(panel.df.schema[c].dataType, T.BooleanType) for c in columns}
+    if split and n == INF:
+        df = _running_split(_near(panel, times, before, after, all_rows), panel, f, columns, names, slots, logical, skip_nulls, split)
+        return _finish(panel, df, names, times, all_rows)
+    if f == "median" and WIDE < n < INF:
+        df = _order_statistics(_near(panel, times, before, after, all_rows), panel, columns, names, int(n), before, after, logical, skip_nulls, split)
+        return _finish(panel, df, names, times, all_rows)
     df = _near(panel, times, before, after, all_rows, split)
     df = df.select("*", *[guarded(f, F.col(c), w, slots, logical[c], skip_nulls).alias(name) for c, name in zip(columns, names)])
     return _finish(panel, df, names, times, all_rows)
@@ -178,7 +232,9 @@ def slide(panel: Panel, exprs: dict[str, Column | str | None], size=None, align:
         raise PanelError("a window size is needed")
     _check_groups(panel)
     times = _ref_times(panel, ref_times, True)
-    w, _, _, (before, after) = _frame(panel, size, align, split)
+    w, _, n, (before, after) = _frame(panel, size, align, split)
+    if split and n == INF:
+        raise PanelError("only the running functions of roll() merge over chunks; an aggregate over all of a series is not split")
     kept = {k: v for k, v in as_expressions(exprs).items() if v is not None}
     if not kept:
         raise PanelError("no new column is made")
