@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revpanel.log import RevisionLog
-from revpanel.meta import LogMeta, PanelMeta
+from revpanel.meta import PanelMeta
 from revpanel.panel import Panel
+from revpanel.sources.store import append_log, read_log, read_snapshot, write_log
 
 
 def read_table(spark: SparkSession, path: str, format: str = "parquet", **options: Any) -> DataFrame:
@@ -18,7 +19,7 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", **option
     return spark.read.format(format).options(**options).load(path)
 
 
-def _text(meta: PanelMeta | LogMeta) -> str:
+def _text(meta: PanelMeta) -> str:
     return json.dumps({k: list(v) if isinstance(v, tuple) else None if v is None else v if isinstance(v, (int, float, str)) else str(v) for k, v in meta.__dict__.items()})
 
 
@@ -34,29 +35,7 @@ def read_panel(spark: SparkSession, path: str) -> Panel:
     return Panel(df, PanelMeta(meta["geo_type"], meta["time_type"], meta["as_of"], tuple(meta["other_keys"])))
 
 
-def write_log(log: RevisionLog, path: str, mode: str = "errorifexists", bucket: int = 32) -> None:
-    """Parquet files by buckets of versions, so that ``version <= v`` reads only what it needs."""
-    from revpanel.functions.time import index
-
-    at = F.floor(index("version", "day" if log.meta.time_type == "week" else log.meta.time_type) / bucket).cast("int")
-    df = log.df.withMetadata("geo_value", {"log": _text(log.meta)}).withColumn("version_bucket", at)
-    df.repartition("version_bucket").write.mode(mode).partitionBy("version_bucket").parquet(path)
-
-
-def read_log(spark: SparkSession, path: str, through: Any = None, bucket: int = 32) -> RevisionLog:
-    """The log at ``path``; with ``through`` only buckets that hold versions up to it are read."""
-    from revpanel.functions.time import py_index
-
-    df = spark.read.parquet(path)
-    meta = json.loads(df.schema["geo_value"].metadata["log"])
-    kind = df.schema["version"].dataType.simpleString()
-    read = lambda v: None if v is None else __import__("datetime").date.fromisoformat(v) if kind == "date" else v
-    log = RevisionLog(df, LogMeta(meta["geo_type"], meta["time_type"], tuple(meta["other_keys"]), read(meta["versions_end"]), read(meta["clobberable_start"])))
-    if through is not None:
-        tt = "day" if log.meta.time_type == "week" else log.meta.time_type
-        df = df.where((F.col("version_bucket") <= py_index(through, tt) // bucket) & (F.col("version") <= F.lit(through)))
-    return RevisionLog(df.drop("version_bucket"), log.meta)
-
+__all__ = ["append_log", "log_ship", "panel_events", "panel_nation_month", "panel_region", "panel_week", "read_log", "read_panel", "read_snapshot", "read_table", "write_log", "write_panel"]
 
 # -- derived from the order tables ------------------------------------------------------------------------------------
 
