@@ -1,13 +1,17 @@
-"""More registered queries: construction, metadata, verbs, helpers and methods, some on small fixed tables with known results."""
+"""More registered queries: construction, metadata, verbs, helpers and methods."""
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import math
+import tempfile
+import uuid
 import warnings
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revpanel.functions import time as steps
@@ -16,33 +20,15 @@ from revpanel.meta import LogMeta, PanelMeta, duplicated, guess_geo_type, guess_
 from revpanel.operators import completion
 from revpanel.operators.growth import GrowthParams
 from revpanel.operators.outliers import Method
+from revpanel.operators.versions import grid
 from revpanel.operators.windows import check_arity
 from revpanel.panel import Panel
-from revpanel.plans.queries import DAYS, EVENTS, LAST2, LINES, MONTHS, ORACLE, QUERIES, SHIP, WEEKS, _out, query
+from revpanel.plans.queries import _SNAP, _VALUES, _VERSIONS, DAYS, EVENTS, LAST2, LINES, MONTHS, ORACLE, QUERIES, SHIP, WEEKS, _out, query
+from revpanel.sources.store import append_log, read_log, read_snapshot, write_log
 from revpanel.sources.tables import log_ship, panel_events, panel_nation_month, panel_region, panel_week, read_table
 
 __all__ = ["ORACLE", "QUERIES"]
 
-D = dt.date(2020, 1, 1)
-
-
-def _day(n: int) -> dt.date:
-    return D + dt.timedelta(days=n)
-
-
-def _values(rows: list[tuple], names: str, *casts: str) -> str:
-    """SELECT of fixed rows; None is NULL, dates and booleans are literals."""
-    def lit(v: object) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).lower()
-        return f"DATE '{v}'" if isinstance(v, dt.date) else f"'{v}'" if isinstance(v, str) else repr(v)
-
-    columns = ", ".join(f"CAST({n.strip()} AS {c}) AS {n.strip()}" for n, c in zip(names.split(","), casts))
-    return f"SELECT {columns} FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
-
-
 def _refused(f: Callable) -> bool:
     try:
         with warnings.catch_warnings():
@@ -53,13 +39,19 @@ def _refused(f: Callable) -> bool:
     return False
 
 
-def _cases(spark, cases: dict[str, Callable]):
-    return spark.createDataFrame([(k, _refused(f)) for k, f in cases.items()], "case_name string, refused boolean")
+def _named(value: Column, cases: dict[str, bool]) -> list[Column]:
+    """A row for each case, beside the other columns."""
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("case_name"), F.lit(v).alias("refused")) for k, v in cases.items()]))
+    return [value, rows]
 
 
 def _cases_sql(refused: str, allowed: str) -> str:
-    rows = [(c, True) for c in refused.split()] + [(c, False) for c in allowed.split()]
-    return _values(rows, "case_name, refused", "VARCHAR", "BOOLEAN")
+    rows = [f"('{c}', true)" for c in refused.split()] + [f"('{c}', false)" for c in allowed.split()]
+    return f"(VALUES {', '.join(rows)}) AS cases(case_name, refused)"
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # -- construction and metadata ----------------------------------------------------------------------------------------
@@ -76,43 +68,16 @@ def panel_new(spark, d):
     return Panel(panel_events(spark, d).df, PanelMeta("custom", "day", None, ("grp",))).to_df()
 
 
-@query(_values([("keys and values", True), ("keys only", True), ("no geo_value", False), ("no time_value", False), ("summarized", False)], "what, is_panel", "VARCHAR", "BOOLEAN"))
-def panel_decay(spark, d):
-    p = panel_region(spark, d)
-    made = {"keys and values": p.drop("rev"), "keys only": p.select("geo_value", "time_value"), "no geo_value": p.drop("geo_value"), "no time_value": p.select("geo_value", "n"), "summarized": p.group_by("geo_value").summarize(n=F.sum("n"))}
-    return spark.createDataFrame([(k, isinstance(v, Panel)) for k, v in made.items()], "what string, is_panel boolean")
-
-
 @query(f"WITH {SHIP} SELECT geo_value, time_value, version, qty FROM ship")
 def log_new(spark, d):
     return RevisionLog(log_ship(spark, d).df, LogMeta("custom", "integer", (), 30000)).clone().df
 
 
-@query(_cases_sql("null_version repeated_key versions_end_too_early clobberable_after_end other_type null_end", "sound later_end"))
-def log_validation(spark, d):
-    def check(rows: list[tuple], end: object = 3, clobberable: object = None) -> Callable:
-        df = spark.createDataFrame(rows, "geo_value string, time_value int, version int, v double")
-        return lambda: RevisionLog(df, LogMeta("custom", "integer", (), end, clobberable)).validate()
-
-    good = [("ak", 1, 2, 1.0), ("ak", 1, 3, 2.0)]
-    return _cases(spark, {
-        "null_version": check([*good, ("ak", 2, None, 1.0)]), "repeated_key": check([*good, good[0]]), "versions_end_too_early": check(good, 2), "clobberable_after_end": check(good, 3, 4),
-        "other_type": check(good, "3"), "null_end": check(good, None), "sound": check(good), "later_end": check(good, 9, 9),
-    })
-
-
 @query(f"WITH {SHIP} SELECT max(version) AS version FROM ship")
 def log_max_version(spark, d):
     return spark.createDataFrame([(max_version(log_ship(spark, d).df),)], "version int")
 
 
-@query(_cases_sql("text null boolean date", "number null_allowed"))
-def log_version_bounds(spark, d):
-    log = log_ship(spark, d)
-    bound = lambda v, null_ok=False: lambda: log.check_bound(v, "v", null_ok)
-    return _cases(spark, {"text": bound("24000"), "null": bound(None), "boolean": bound(True), "date": bound(D), "number": bound(24000), "null_allowed": bound(None, True)})
-
-
 @query(f"WITH {SHIP} SELECT CAST(30000 AS INTEGER) AS versions_end, count(*) AS n_rows, max(version) AS last_version FROM ship")
 def log_versions_end(spark, d):
     return log_ship(spark, d).with_versions_end(30000).describe().select("versions_end", "n_rows", "last_version")
@@ -129,11 +94,47 @@ def source_table(spark, d):
     return read_table(spark, f"{d}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
 
 
-@query(_values([("panel", 1, "geo_value"), ("panel", 2, "grp"), ("panel", 3, "time_value"), ("series", 1, "geo_value"), ("series", 2, "grp"), ("log", 1, "geo_value"), ("log", 2, "time_value"), ("log", 3, "version"), ("cell", 1, "geo_value"), ("cell", 2, "time_value")], "of, place, name", "VARCHAR", "INTEGER", "VARCHAR"))
+@query(f"WITH {DAYS} SELECT 'keys and values' AS what, true AS is_panel, count(*) AS n_rows FROM days UNION ALL SELECT 'keys only', true, count(*) FROM days UNION ALL SELECT 'no geo_value', false, count(*) FROM days UNION ALL SELECT 'no time_value', false, count(*) FROM days UNION ALL SELECT 'summarized', false, count(DISTINCT geo_value) FROM days")
+def panel_decay(spark, d):
+    """What is still a panel after a verb, and its rows."""
+    p = panel_region(spark, d)
+    made = {"keys and values": p.drop("rev"), "keys only": p.select("geo_value", "time_value"), "no geo_value": p.drop("geo_value"), "no time_value": p.select("geo_value", "n"), "summarized": p.group_by("geo_value").summarize(n=F.sum("n"))}
+    return _stacked([(v.df if isinstance(v, Panel) else v).agg(F.lit(k).alias("what"), F.lit(isinstance(v, Panel)).alias("is_panel"), F.count("*").alias("n_rows")) for k, v in made.items()])
+
+
+@query(f"WITH {SHIP}, c AS (SELECT count(*) AS n FROM ship) SELECT case_name, refused, CASE WHEN case_name = 'repeated_key' THEN 2 * n ELSE n END AS n_rows FROM c CROSS JOIN {_cases_sql('null_version repeated_key versions_end_too_early clobberable_after_end other_type null_end', 'sound later_end')}")
+def log_validation(spark, d):
+    """A log of the table, and what a log must not be."""
+    df = log_ship(spark, d).df
+    last = max_version(df)
+    nulls = df.withColumn("version", F.when(F.col("version") < last, F.col("version")))
+    cases = {
+        "null_version": (nulls, last, None), "repeated_key": (df.union(df), last, None), "versions_end_too_early": (df, last - 1, None), "clobberable_after_end": (df, last, last + 1),
+        "other_type": (df, str(last), None), "null_end": (df, None, None), "sound": (df, last, None), "later_end": (df, last + 6, last + 6),
+    }
+    refused = {k: _refused(lambda x=x: RevisionLog(x[0], LogMeta("custom", "integer", (), x[1], x[2])).validate()) for k, x in cases.items()}
+    return _stacked([x[0].agg(F.lit(k).alias("case_name"), F.lit(refused[k]).alias("refused"), F.count("*").alias("n_rows")) for k, x in cases.items()])
+
+
+@query(f"WITH {SHIP}, e AS (SELECT min(version) AS a, max(version) AS b FROM ship), ends AS (SELECT 'first' AS bound, a AS version, false AS refused FROM e UNION ALL SELECT 'last', b, false FROM e UNION ALL SELECT 'after', b + 1, true FROM e) SELECT bound, ends.version, refused, CASE WHEN NOT refused THEN count(ship.version) END AS n_rows FROM ends LEFT JOIN ship ON ship.version <= ends.version GROUP BY 1, 2, 3")
+def log_version_bounds(spark, d):
+    """A log is cut at its first and last version, and not after the last."""
+    log = log_ship(spark, d)
+    low, high = log.df.agg(F.min("version"), F.max("version")).first()
+    out = []
+    for bound, v in {"first": low, "last": high, "after": high + 1}.items():
+        refused = _refused(lambda v=v: log.truncate_versions_after(v))
+        n = F.lit(None).cast("long") if refused else F.count("*")
+        out.append((log if refused else log.truncate_versions_after(v)).df.agg(F.lit(bound).alias("bound"), F.lit(v).alias("version"), F.lit(refused).alias("refused"), n.alias("n_rows")))
+    return _stacked(out)
+
+
+@query(f"WITH {EVENTS}, {SHIP} SELECT 'panel' AS of, 1 AS place, 'geo_value' AS name, count(DISTINCT geo_value) AS n_different FROM ev UNION ALL SELECT 'panel' AS of, 2 AS place, 'grp' AS name, count(DISTINCT grp) AS n_different FROM ev UNION ALL SELECT 'panel' AS of, 3 AS place, 'time_value' AS name, count(DISTINCT time_value) AS n_different FROM ev UNION ALL SELECT 'series' AS of, 1 AS place, 'geo_value' AS name, count(DISTINCT geo_value) AS n_different FROM ev UNION ALL SELECT 'series' AS of, 2 AS place, 'grp' AS name, count(DISTINCT grp) AS n_different FROM ev UNION ALL SELECT 'log' AS of, 1 AS place, 'geo_value' AS name, count(DISTINCT geo_value) AS n_different FROM ship UNION ALL SELECT 'log' AS of, 2 AS place, 'time_value' AS name, count(DISTINCT time_value) AS n_different FROM ship UNION ALL SELECT 'log' AS of, 3 AS place, 'version' AS name, count(DISTINCT version) AS n_different FROM ship UNION ALL SELECT 'cell' AS of, 1 AS place, 'geo_value' AS name, count(DISTINCT geo_value) AS n_different FROM ship UNION ALL SELECT 'cell' AS of, 2 AS place, 'time_value' AS name, count(DISTINCT time_value) AS n_different FROM ship")
 def key_columns(spark, d):
+    """The key columns in their order, and how many values each has."""
     p, log = panel_events(spark, d), log_ship(spark, d)
-    lists = {"panel": p.key_columns(), "series": p.key_columns(["time_value"]), "log": log.key_columns(), "cell": log.key_columns(["version"])}
-    return spark.createDataFrame([(k, i, n) for k, names in lists.items() for i, n in enumerate(names, 1)], "of string, place int, name string")
+    lists = {"panel": (p, p.key_columns()), "series": (p, p.key_columns(["time_value"])), "log": (log, log.key_columns()), "cell": (log, log.key_columns(["version"]))}
+    return _stacked([x.df.agg(F.lit(k).alias("of"), F.lit(i).alias("place"), F.lit(n).alias("name"), F.countDistinct(n).alias("n_different")) for k, (x, names) in lists.items() for i, n in enumerate(names, 1)])
 
 
 # -- verbs ------------------------------------------------------------------------------------------------------------
@@ -166,10 +167,13 @@ def group_modify(spark, d):
     return panel_region(spark, d).group_by("geo_value").group_modify(_standardised, "geo_value string, time_value date, z double").df
 
 
-@query(_cases_sql("sum mean prod min max all any range", "summarize"))
+@query(f"WITH {DAYS} SELECT geo_value, case_name, refused, CAST(sum(n) AS BIGINT) AS n FROM days CROSS JOIN {_cases_sql('sum mean prod min max all any range', 'summarize')} GROUP BY 1, 2, 3")
 def forbidden_summaries(spark, d):
+    """Summaries of a whole panel are refused, those of groups are not."""
     p = panel_region(spark, d)
-    return _cases(spark, {n: lambda n=n: getattr(p, n)() for n in "sum mean prod min max all any range".split()} | {"summarize": lambda: p.group_by("geo_value").summarize(n=F.sum("n"))})
+    refused = {n: _refused(lambda n=n: getattr(p, n)()) for n in "sum mean prod min max all any range".split()}
+    out = p.group_by("geo_value").summarize(n=F.sum("n"))
+    return out.select("geo_value", *_named(F.col("n"), {**refused, "summarize": False}))
 
 
 @query(f"WITH {DAYS} SELECT geo_value, time_value, last_value(CASE WHEN n % 3 > 0 THEN n END IGNORE NULLS) OVER (PARTITION BY geo_value ORDER BY time_value) AS n FROM days")
@@ -189,98 +193,214 @@ def slice_whole(spark, d):
     return panel_region(spark, d).slice([4]).df.drop("rev", "big")
 
 
-# -- small fixed tables with known results ----------------------------------------------------------------------------
+# -- panels with holes --------------------------------------------------------------------------------------------------
+
+_HOLES = f"{DAYS}, part AS (SELECT geo_value, time_value, n FROM days WHERE n % 3 = 0)"
+_ALL = "grid AS (SELECT geo_value, CAST(t AS DATE) AS time_value FROM (SELECT DISTINCT geo_value FROM part), generate_series((SELECT min(time_value) FROM part), (SELECT max(time_value) FROM part), INTERVAL 1 DAY) AS g(t))"
 
-_GRID = [(1, _day(1), 1.0), (1, _day(3), 3.0), (2, _day(2), 2.0), (2, _day(3), 3.0)]
 
+def _with_holes(spark, d) -> Panel:
+    return panel_region(spark, d).drop("rev", "big").filter("n % 3 = 0")
 
-def _grid(spark, rows: list[tuple] = _GRID, time_type: str = "day") -> Panel:
-    return Panel.from_df(spark.createDataFrame(rows, "geo_value int, time_value date, value double"), geo_type="hhs", time_type=time_type)
 
+@query(f"WITH {_HOLES}, {_ALL} SELECT geo_value, time_value, n FROM grid LEFT JOIN part USING (geo_value, time_value)")
+def complete_holes(spark, d):
+    return _with_holes(spark, d).complete().df
 
-_GRID_TYPES = ("geo_value, time_value, value", "INTEGER", "DATE", "DOUBLE")
 
+@query(f"WITH {_HOLES}, ends AS (SELECT geo_value, min(time_value) AS a, max(time_value) AS b FROM part GROUP BY 1), grid AS (SELECT geo_value, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS time_value FROM ends) SELECT geo_value, time_value, n FROM grid LEFT JOIN part USING (geo_value, time_value)")
+def complete_holes_grouped(spark, d):
+    return _with_holes(spark, d).group_by("geo_value").complete().df
 
-@query(_values([(1, _day(1), 1.0), (1, _day(2), None), (1, _day(3), 3.0), (2, _day(1), None), (2, _day(2), 2.0), (2, _day(3), 3.0)], *_GRID_TYPES))
-def complete_small(spark, d):
-    return _grid(spark).complete().df
 
+@query(f"WITH {_HOLES}, {_ALL} SELECT geo_value, time_value, CASE WHEN part.geo_value IS NULL THEN 0 WHEN n % 2 = 1 THEN n END AS n FROM grid LEFT JOIN part USING (geo_value, time_value)".replace("part.geo_value IS NULL", "n IS NULL"))
+def complete_holes_explicit(spark, d):
+    """Nulls that are there stay, new rows are filled."""
+    return _with_holes(spark, d).mutate(n=F.when(F.col("n") % 2 == 1, F.col("n"))).complete(fill={"n": 0}, explicit=False).df
 
-@query(_values([(1, _day(1), 1.0), (1, _day(2), None), (1, _day(3), 3.0), (2, _day(2), 2.0), (2, _day(3), 3.0)], *_GRID_TYPES))
-def complete_small_grouped(spark, d):
-    return _grid(spark).group_by("geo_value").complete().df
 
+@query(f"WITH {WEEKS}, part AS (SELECT * FROM weeks WHERE n % 2 = 0), {_ALL.replace('1 DAY', '7 DAYS')} SELECT geo_value, time_value, coalesce(n, 0) AS n FROM grid LEFT JOIN part USING (geo_value, time_value)")
+def complete_holes_weekly(spark, d):
+    return panel_week(spark, d).filter("n % 2 = 0").complete(fill={"n": 0}).df
 
-@query(_values([(1, _day(1), 1.0), (1, _day(2), None), (1, _day(3), 3.0), (2, _day(1), 0.0), (2, _day(2), 2.0), (2, _day(3), 3.0)], *_GRID_TYPES))
-def complete_small_explicit(spark, d):
-    return _grid(spark, [*_GRID, (1, _day(2), None)]).complete(fill={"value": 0.0}, explicit=False).df
 
+# -- replay, versions and storage -------------------------------------------------------------------------------------
 
-@query(_values([(1, _day(1), 1.0), (1, _day(8), 0.0), (1, _day(15), 3.0), (2, _day(1), 0.0), (2, _day(8), 2.0), (2, _day(15), 3.0)], *_GRID_TYPES))
-def complete_small_weekly(spark, d):
-    return _grid(spark, [(1, _day(1), 1.0), (1, _day(15), 3.0), (2, _day(8), 2.0), (2, _day(15), 3.0)], "week").complete(fill={"value": 0.0}).df
+_PLACES = ["africa", "america", "asia", "europe", "middle east", "atlantis"]
 
 
-def _aged(spark) -> RevisionLog:
-    day = lambda n: dt.date(2000, 1, n)
-    rows = [("us", "adult", day(1), day(2), 121.0), ("us", "pediatric", day(2), day(3), 5.0), ("us", "adult", day(1), day(3), 125.0), ("us", "adult", day(2), day(3), 130.0)]
-    return RevisionLog.from_df(spark.createDataFrame(rows, "geo_value string, age_group string, time_value date, version date, value double"), other_keys=["age_group"], geo_type="nation", time_type="day")
+@query(f"WITH {SHIP}, {_SNAP}, sums AS (SELECT geo_value, v, sum(qty) AS s FROM snap GROUP BY 1, 2) SELECT geo_value, CAST(v AS INTEGER) AS version, CAST(coalesce(s, 0) AS DOUBLE) AS s FROM (SELECT unnest({_PLACES}) AS geo_value) CROSS JOIN {_VALUES} LEFT JOIN sums USING (geo_value, v)")
+def replay_levels(spark, d):
+    """Groups of levels without rows are kept."""
+    log = log_ship(spark, d).group_by("geo_value", drop=False, levels={"geo_value": _PLACES})
+    return log.slide({"s": F.coalesce(F.sum("qty"), F.lit(0.0))}, versions=_VERSIONS)
 
 
-_LEVELS = [("us", "pediatric", dt.date(2000, 1, 2), 0.0), ("us", "adult", dt.date(2000, 1, 2), 121.0), ("us", "pediatric", dt.date(2000, 1, 3), 5.0), ("us", "adult", dt.date(2000, 1, 3), 255.0)]
+@query(f"WITH {SHIP}, {_SNAP} SELECT geo_value, CAST(v AS INTEGER) AS version, CAST(sum(qty) AS DOUBLE) AS s FROM snap WHERE time_value >= v - 10 GROUP BY 1, 2")
+def replay_levels_dropped(spark, d):
+    return log_ship(spark, d).group_by("geo_value").slide({"s": F.sum("qty")}, before=10, versions=_VERSIONS)
 
 
-@query(_values(_LEVELS, "geo_value, age_group, version, s", "VARCHAR", "VARCHAR", "DATE", "DOUBLE"))
-def replay_levels(spark, d):
-    log = _aged(spark).group_by("geo_value", "age_group", drop=False, levels={"age_group": ["pediatric", "adult"]})
-    return log.slide({"s": F.coalesce(F.sum("value"), F.lit(0.0))}, before=10)
+_EVERY = "vs AS (SELECT CAST(v AS INTEGER) AS v FROM range((SELECT min(version) FROM ship), (SELECT max(version) + 1 FROM ship)) AS r(v)), snap AS (SELECT * FROM ship JOIN vs ON version <= v QUALIFY row_number() OVER (PARTITION BY v, geo_value, time_value ORDER BY version DESC) = 1)"
 
 
-@query(_values([r for r in _LEVELS if r[3] > 0], "geo_value, age_group, version, s", "VARCHAR", "VARCHAR", "DATE", "DOUBLE"))
-def replay_levels_dropped(spark, d):
-    return _aged(spark).group_by("geo_value", "age_group").slide({"s": F.sum("value")}, before=10)
+@query(f"WITH {SHIP}, {_EVERY} SELECT v AS version, CAST(sum(qty) AS DOUBLE) AS s FROM vs LEFT JOIN (SELECT v, qty FROM snap WHERE time_value >= v - 2) USING (v) GROUP BY 1")
+def replay_every_version(spark, d):
+    """All versions of the log's own grid, which is a table."""
+    return log_ship(spark, d).slide({"s": F.sum("qty")}, before=2)
+
+
+@query(f"WITH {SHIP} SELECT CAST(v AS INTEGER) AS version FROM range((SELECT min(version) FROM ship), (SELECT max(version) + 1 FROM ship)) AS r(v)")
+def versions_grid(spark, d):
+    return grid(log_ship(spark, d)).select(F.col("__v").alias("version"))
+
+
+@query(f"WITH {SHIP}, vs AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS v FROM orders GROUP BY 1), snap AS (SELECT * FROM ship JOIN vs ON version <= v QUALIFY row_number() OVER (PARTITION BY v, geo_value, time_value ORDER BY version DESC) = 1) SELECT geo_value, v AS version, CAST(sum(qty) AS DOUBLE) AS total, count(*) AS cells FROM snap GROUP BY 1, 2 UNION ALL SELECT NULL, v, NULL, 0 FROM vs WHERE v NOT IN (SELECT v FROM snap)")
+def replay_table(spark, d):
+    """Versions that are a table: the months in which something was ordered."""
+    months = read_table(spark, f"{d}/orders.parquet").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("int").alias("v")).distinct()
+    return log_ship(spark, d).group_by("geo_value").slide({"total": F.sum("qty"), "cells": F.count("*")}, versions=months)
+
+
+def _known(history, key: dict, version) -> pd.DataFrame:
+    now, then = history.as_of(version), history.as_of(version - 1)
+    return pd.DataFrame({"now": [float(now["qty"].sum())], "gain": [float(now["qty"].sum() - then["qty"].sum())], "changes": [len(history.frame)]})
+
 
+@query(f"WITH {SHIP}, {_EVERY}, t AS (SELECT geo_value, v, sum(qty) AS now FROM snap GROUP BY 1, 2), c AS (SELECT geo_value, v, count(*) AS changes FROM ship JOIN vs ON version <= v GROUP BY 1, 2) SELECT geo_value, v AS version, CAST(now AS DOUBLE) AS now, CAST(now - coalesce(lag(now) OVER (PARTITION BY geo_value ORDER BY v), 0) AS DOUBLE) AS gain, changes FROM t JOIN c USING (geo_value, v)")
+def replay_histories(spark, d):
+    """The history up to every version of the grid, in chunks of versions."""
+    return log_ship(spark, d).group_by("geo_value").slide_python(_known, "now double, gain double, changes long", all_versions=True)
 
-@query(_values([("ak", _day(4), 12.0), ("ak", _day(5), 72.0), ("ak", _day(6), 1536.0), ("ak", _day(7), 49152.0)], "geo_value, version, s", "VARCHAR", "DATE", "DOUBLE"))
-def replay_small(spark, d):
-    seen = {4: {1: 2, 2: 4, 3: 8}, 5: {1: 16, 2: 32, 4: 64}, 6: {1: 128, 2: 256, 4: 512, 5: 1024}, 7: {2: 2048, 3: 4096, 4: 8192, 5: 16384, 6: 32768}}
-    rows = [("ak", _day(t), _day(v), float(x)) for v, cells in seen.items() for t, x in cells.items()]
-    log = RevisionLog.from_df(spark.createDataFrame(rows, "geo_value string, time_value date, version date, binary double"), geo_type="state", time_type="day")
-    return log.group_by("geo_value").slide({"s": F.sum("binary")}, before=2)
 
+def _stored(log: RevisionLog) -> str:
+    """A folder that all executors share: that of the checkpoints, where one is set."""
+    spark = log.df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="revpanel-")
+    path = f"{root}/logs/{uuid.uuid4().hex}"
+    low, high = log.df.agg(F.min("version"), F.max("version")).first()
+    half = (low + high) // 2
+    write_log(log.truncate_versions_after(half), path, bucket=2, base_every=3)
+    append_log(log.df.where(F.col("version") > half), path)
+    return path
 
-@query(_values([(_day(0), _day(1), 10, None), (_day(0), _day(4), None, None), (_day(0), _day(5), None, 20)], "time_value, version, x_value, y_value", "DATE", "DATE", "INTEGER", "INTEGER"))
-def merge_small(spark, d):
-    def log(rows: list[tuple], name: str, end: dt.date) -> RevisionLog:
-        return RevisionLog.from_df(spark.createDataFrame(rows, f"geo_value string, time_value date, version date, {name} int"), geo_type="state", time_type="day", versions_end=end)
 
-    x, y = log([("ak", _day(0), _day(1), 10)], "x_value", _day(3)), log([("ak", _day(0), _day(5), 20)], "y_value", _day(5))
-    return x.merge(y, sync="na").df.select("time_value", "version", "x_value", "y_value")
+@query(f"WITH {SHIP} SELECT geo_value, time_value, qty FROM ship WHERE version <= (SELECT max(version) - 7 FROM ship) QUALIFY row_number() OVER (PARTITION BY geo_value, time_value ORDER BY version DESC) = 1")
+def stored_snapshot(spark, d):
+    """A snapshot from a stored log, written in two parts: one base and the changes after it."""
+    log = log_ship(spark, d)
+    return read_snapshot(spark, _stored(log), max_version(log.df) - 7).df
+
+
+@query(f"WITH {SHIP} SELECT geo_value, time_value, version, qty FROM ship WHERE version <= (SELECT max(version) - 7 FROM ship)")
+def stored_log(spark, d):
+    log = log_ship(spark, d)
+    return read_log(spark, _stored(log), through=max_version(log.df) - 7).df
+
+
+# -- long series and wide windows -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DAYS} SELECT geo_value, time_value, n, CASE WHEN count(n) OVER w = date_diff('day', (SELECT min(time_value) FROM days), time_value) + 1 THEN CAST(sum(n) OVER w AS BIGINT) END AS s, max(n) OVER w AS top FROM days WINDOW w AS (PARTITION BY geo_value ORDER BY time_value)")
+def running_split(spark, d):
+    """Running windows of series that are cut into chunks of a month."""
+    p = panel_region(spark, d).drop("rev", "big").roll_sum("n", steps.INF, split=30, new_names=["s"])
+    return p.roll("n", "max", steps.INF, split=30, new_names=["top"], skip_nulls=True).df.withColumn("top", F.col("top").cast("long"))
+
+
+@query(f"WITH {DAYS} SELECT geo_value, time_value, CAST(quantile_cont(n, 0.5) OVER w AS DOUBLE) AS med FROM days WINDOW w AS (PARTITION BY geo_value ORDER BY time_value RANGE BETWEEN INTERVAL 180 DAYS PRECEDING AND CURRENT ROW)")
+def roll_median_wide(spark, d):
+    """A median over half a year, from a sorted list that rows enter and leave."""
+    return panel_region(spark, d).roll("n", "median", 181, new_names=["med"], skip_nulls=True).df.select("geo_value", "time_value", "med")
 
 
 # -- times ------------------------------------------------------------------------------------------------------------
 
 
-@query(_values([(n, a, *{"right": (n - 1, 0), "center": (n // 2, n - n // 2 - 1), "left": (0, n - 1)}[a]) for n in range(1, 7) for a in ("right", "center", "left")], "n, align, before, after", "INTEGER", "VARCHAR", "INTEGER", "INTEGER"))
+@query(f"WITH {WEEKS}, {MONTHS} SELECT 'weeks' AS times, CAST(7 AS BIGINT) AS period, count(DISTINCT time_value) AS n_times FROM weeks UNION ALL SELECT 'every third week', 21, count(DISTINCT time_value) FROM weeks WHERE date_diff('day', DATE '1970-01-05', time_value) % 21 = 0 UNION ALL SELECT 'months', 1, count(DISTINCT time_value) FROM months")
+def time_period(spark, d):
+    week, month = panel_week(spark, d).df, panel_nation_month(spark, d).df
+    third = week.where(F.datediff("time_value", F.lit(dt.date(1970, 1, 5))) % 21 == 0)
+    times = lambda df: [r[0] for r in df.select("time_value").distinct().collect()]
+    rows = [(k, steps.guess_period(v), len(v)) for k, v in {"weeks": times(week), "every third week": times(third), "months": times(month)}.items()]
+    return spark.createDataFrame(rows, "times string, period long, n_times long")
+
+
+_SIDES = [(n, a) for n in (1, 2, 5, 6) for a in ("right", "center", "left")]
+
+
+def _sides_sql() -> str:
+    ends = {"right": lambda n: (n - 1, 0), "center": lambda n: (n // 2, n - n // 2 - 1), "left": lambda n: (0, n - 1)}
+    one = "SELECT {n} AS n, '{a}' AS align, CAST(sum(k) AS BIGINT) AS present FROM (SELECT count(n) OVER (PARTITION BY geo_value ORDER BY time_value RANGE BETWEEN INTERVAL {x[0]} DAYS PRECEDING AND INTERVAL {x[1]} DAYS FOLLOWING) AS k FROM days)"
+    return " UNION ALL ".join(one.format(n=n, a=a, x=ends[a](n)) for n, a in _SIDES)
+
+
+@query(f"WITH {DAYS} {_sides_sql()}")
 def window_sides(spark, d):
-    rows = [(n, a, *map(int, steps.before_after(steps.window_steps(n, "day"), a))) for n in range(1, 7) for a in ("right", "center", "left")]
-    return spark.createDataFrame(rows, "n int, align string, before int, after int")
+    """How many rows windows of each size and alignment hold, in all."""
+    p = panel_region(spark, d).drop("rev", "big")
+    return _stacked([p.slide({"k": F.count("n")}, n, align=a).df.agg(F.lit(n).alias("n"), F.lit(a).alias("align"), F.sum("k").alias("present")) for n, a in _SIDES])
 
 
-@query(_cases_sql("zero half_step days_for_weeks number_for_weeks duration_for_months left_unbounded", "number duration weeks unbounded whole_float"))
+@query(f"WITH {DAYS}, {WEEKS}, {MONTHS}, r AS (SELECT 'number' AS case_name, sum(n) OVER (PARTITION BY geo_value ORDER BY time_value RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS s FROM days UNION ALL SELECT 'weeks', sum(n) OVER (PARTITION BY geo_value ORDER BY time_value RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) FROM weeks UNION ALL SELECT 'unbounded', sum(n) OVER (PARTITION BY geo_value ORDER BY time_value) FROM months), t AS (SELECT case_name, CAST(sum(s) AS BIGINT) AS total FROM r GROUP BY 1) SELECT case_name, refused, total FROM {_cases_sql('zero half_step days_for_weeks number_for_weeks duration_for_months', 'number duration weeks unbounded whole_float')} LEFT JOIN t ON t.case_name = CASE WHEN cases.case_name IN ('duration', 'whole_float') THEN 'number' ELSE cases.case_name END".replace("SELECT case_name, refused, total FROM (VALUES", "SELECT cases.case_name, refused, total FROM (VALUES"))
 def window_sizes(spark, d):
-    size = lambda v, kind: lambda: steps.window_steps(v, kind)
-    return _cases(spark, {
-        "zero": size(0, "day"), "half_step": size(2.5, "day"), "days_for_weeks": size(dt.timedelta(days=3), "week"), "number_for_weeks": size(2, "week"), "duration_for_months": size(dt.timedelta(days=30), "yearmonth"),
-        "left_unbounded": lambda: steps.before_after(math.inf, "left"), "number": size(7, "day"), "duration": size(dt.timedelta(days=7), "day"), "weeks": size(dt.timedelta(weeks=2), "week"), "unbounded": size(math.inf, "yearmonth"), "whole_float": size(3.0, "integer"),
-    })
+    """Sizes as numbers and durations, and the sum of the windows they make."""
+    panels = {"day": panel_region(spark, d).drop("rev", "big"), "week": panel_week(spark, d), "yearmonth": panel_nation_month(spark, d)}
+    cases = {
+        "zero": (0, "day"), "half_step": (2.5, "day"), "days_for_weeks": (dt.timedelta(days=3), "week"), "number_for_weeks": (2, "week"), "duration_for_months": (dt.timedelta(days=30), "yearmonth"),
+        "number": (7, "day"), "duration": (dt.timedelta(days=7), "day"), "weeks": (dt.timedelta(weeks=2), "week"), "unbounded": (math.inf, "yearmonth"), "whole_float": (7.0, "day"),
+    }
+    out = []
+    for k, (size, kind) in cases.items():
+        refused = _refused(lambda size=size, kind=kind: steps.window_steps(size, kind))
+        total = F.lit(None).cast("long") if refused else F.sum("s")
+        out.append((panels[kind] if refused else panels[kind].slide({"s": F.sum("n")}, size)).df.agg(F.lit(k).alias("case_name"), F.lit(refused).alias("refused"), total.alias("total")))
+    return _stacked(out)
+
+
+@query(f"WITH {DAYS}, {WEEKS}, {MONTHS} SELECT 'day' AS time_type, 'd' AS letter, count(DISTINCT time_value) || ' days' AS shown, CAST(count(DISTINCT time_value) AS DOUBLE) AS days, CAST(ceil(count(DISTINCT time_value) / 1) AS BIGINT) AS steps FROM days UNION ALL SELECT 'week', 'w', count(DISTINCT time_value) || ' weeks', 7.0 * count(DISTINCT time_value), CAST(ceil(count(DISTINCT time_value) / 7) AS BIGINT) FROM weeks UNION ALL SELECT 'yearmonth', 'm', count(DISTINCT time_value) || ' months', 30.0 * count(DISTINCT time_value), CAST(ceil(count(DISTINCT time_value) / 30) AS BIGINT) FROM months")
+def time_units(spark, d):
+    """As many steps as the tables have times, in words, in days, and as many days in steps."""
+    out = []
+    for t, p in {"day": panel_region(spark, d), "week": panel_week(spark, d), "yearmonth": panel_nation_month(spark, d)}.items():
+        n = p.df.select("time_value").distinct().count()
+        out.append((t, steps.unit_letter(t), steps.format_steps(n, t), steps.approximate_duration(n, t) / dt.timedelta(days=1), steps.ceiling_steps(dt.timedelta(days=n), t)))
+    return spark.createDataFrame(out, "time_type string, letter string, shown string, days double, steps long")
 
 
-@query(_values([("1 8", 7), ("0 7 14 15", 1), ("0 2 5", 1), ("0 4 10", 2), ("weeks", 7)], "times, period", "VARCHAR", "BIGINT"))
-def time_period(spark, d):
-    weeks = [r[0] for r in panel_week(spark, d).df.select("time_value").distinct().orderBy("time_value").limit(9).collect()]
-    rows = [(s, steps.guess_period(map(int, s.split()))) for s in ("1 8", "0 7 14 15", "0 2 5", "0 4 10")] + [("weeks", steps.guess_period(weeks))]
-    return spark.createDataFrame(rows, "times string, period long")
+@query(f"WITH {WEEKS}, s AS (SELECT date_diff('day', min(time_value), max(time_value)) // 7 AS n FROM weeks) SELECT case_name, refused, CASE WHEN NOT refused THEN n END AS steps FROM s CROSS JOIN {_cases_sql('part_of_week duration_for_integer boolean', 'weeks back whole_float')}")
+def time_durations(spark, d):
+    """The length of the weekly table as a duration and as steps."""
+    row = panel_week(spark, d).df.agg(F.min("time_value").alias("a"), F.max("time_value").alias("b")).first()
+    span = row["b"] - row["a"]
+    cases = {
+        "part_of_week": lambda: steps.to_steps(span + dt.timedelta(days=3), "week"), "duration_for_integer": lambda: steps.to_steps(span, "integer"), "boolean": lambda: steps.to_steps(True, "day"),
+        "weeks": lambda: steps.to_steps(span, "week"), "back": lambda: steps.to_steps(steps.from_steps(span.days // 7, "week"), "week"), "whole_float": lambda: steps.to_steps(span.days / 7, "week"),
+    }
+    rows = [(k, _refused(f), None if _refused(f) else int(f())) for k, f in cases.items()]
+    return spark.createDataFrame(rows, "case_name string, refused boolean, steps long")
+
+
+_STATES = ["ca", "ny", "tx", "wa", "fl"]
+
+
+@query(f"SELECT 'names' AS geos, 'custom' AS geo_type, count(DISTINCT r_name) AS n FROM region UNION ALL SELECT 'states', 'state', count(DISTINCT r_regionkey) FROM region UNION ALL SELECT 'five digits', 'county', count(DISTINCT c_custkey) FROM customer UNION ALL SELECT 'up to ten', 'hhs', count(DISTINCT r_regionkey) FROM region UNION ALL SELECT 'hundreds', 'hrr', count(DISTINCT n_nationkey) FROM nation")
+def geo_types(spark, d):
+    """Types guessed from the values of a column."""
+    region, nation, customer = (read_table(spark, f"{d}/{t}.parquet") for t in ("region", "nation", "customer"))
+    columns = {
+        "names": region.select(F.lower("r_name")), "states": region.select(F.element_at(F.array(*map(F.lit, _STATES)), F.col("r_regionkey").cast("int") + 1)), "five digits": customer.select(F.lpad(F.col("c_custkey").cast("string"), 5, "0")),
+        "up to ten": region.select((F.col("r_regionkey") + 1).cast("int")), "hundreds": nation.select((F.col("n_nationkey") + 100).cast("int")),
+    }
+    return _stacked([x.toDF("geo_value").agg(F.lit(k).alias("geos"), F.lit(guess_geo_type(x.toDF("geo_value"))).alias("geo_type"), F.countDistinct("geo_value").alias("n")) for k, x in columns.items()])
+
+
+@query(f"WITH {DAYS}, {WEEKS}, {SHIP} SELECT 'days' AS times, 'day' AS time_type, count(DISTINCT time_value) AS n FROM days UNION ALL SELECT 'weeks', 'week', count(DISTINCT time_value) FROM weeks UNION ALL SELECT 'weeks with gaps', 'week', count(DISTINCT time_value) FROM weeks WHERE date_diff('day', DATE '1970-01-05', time_value) % 35 > 0 UNION ALL SELECT 'months as numbers', 'integer', count(DISTINCT time_value) FROM ship")
+def time_types(spark, d):
+    weeks = panel_week(spark, d).df
+    gaps = weeks.where(F.datediff("time_value", F.lit(dt.date(1970, 1, 5))) % 35 > 0)
+    frames = {"days": panel_region(spark, d).df, "weeks": weeks, "weeks with gaps": gaps, "months as numbers": log_ship(spark, d).df}
+    return _stacked([x.agg(F.lit(k).alias("times"), F.lit(guess_time_type(x)).alias("time_type"), F.countDistinct("time_value").alias("n")) for k, x in frames.items()])
 
 
 @query(f"WITH {WEEKS} SELECT CAST(unnest(generate_series(min(time_value), max(time_value), INTERVAL 7 DAYS)) AS DATE) AS time_value FROM weeks")
@@ -305,43 +425,6 @@ def time_steps_month(spark, d):
     return df.select("geo_value", "time_value", steps.plus_steps(t, 5, "yearmonth").alias("later"), steps.minus_steps(t, 13, "yearmonth").alias("earlier"), steps.steps_between(t, F.lit(least), "yearmonth").alias("since"))
 
 
-@query(_values([("day", 1, "d", "3 days", 3.0, 3), ("week", 7, "w", "3 weeks", 21.0, 1), ("yearmonth", 1, "m", "3 months", 90.0, 1)], "time_type, unit, letter, shown, days, steps_of_3_days", "VARCHAR", "INTEGER", "VARCHAR", "VARCHAR", "DOUBLE", "INTEGER"))
-def time_units(spark, d):
-    three = dt.timedelta(days=3)
-    rows = [(t, steps.STEP[t], steps.unit_letter(t), steps.format_steps(3, t), steps.approximate_duration(3, t) / dt.timedelta(days=1), steps.ceiling_steps(three, t)) for t in ("day", "week", "yearmonth")]
-    return spark.createDataFrame(rows, "time_type string, unit int, letter string, shown string, days double, steps_of_3_days int")
-
-
-@query(_cases_sql("part_of_week duration_for_integer duration_of_integer letter_of_integer boolean custom", "weeks round_trip whole_float"))
-def time_durations(spark, d):
-    def back() -> None:
-        if steps.to_steps(steps.from_steps(5, "week"), "week") != 5:
-            raise steps.PanelError("steps change on the way")
-
-    return _cases(spark, {
-        "part_of_week": lambda: steps.to_steps(dt.timedelta(days=10), "week"), "duration_for_integer": lambda: steps.to_steps(dt.timedelta(days=1), "integer"), "duration_of_integer": lambda: steps.ceiling_steps(dt.timedelta(days=3), "integer"),
-        "letter_of_integer": lambda: steps.unit_letter("integer"), "boolean": lambda: steps.to_steps(True, "day"), "custom": lambda: steps.to_steps(1, "custom"), "weeks": lambda: steps.to_steps(dt.timedelta(days=14), "week"), "round_trip": back, "whole_float": lambda: steps.to_steps(2.0, "day"),
-    })
-
-
-_GEO = [("ca ny", "state"), ("ca us uk", "nation"), ("12345 67890", "county"), ("1 2 3", "hhs"), ("100 200", "hrr"), ("123456789", "custom"), ("somewhere else", "custom")]
-
-
-@query(_values(_GEO, "geos, geo_type", "VARCHAR", "VARCHAR"))
-def geo_types(spark, d):
-    numbers = {"1 2 3", "100 200"}
-    frame = lambda g: spark.createDataFrame([(int(x),) if g in numbers else (x,) for x in g.split()], f"geo_value {'int' if g in numbers else 'string'}")
-    return spark.createDataFrame([(g, guess_geo_type(frame(g))) for g, _ in _GEO], "geos string, geo_type string")
-
-
-@query(_values([("days", "day"), ("weeks", "week"), ("gaps", "day"), ("weeks with gaps", "week"), ("years", "integer")], "times, time_type", "VARCHAR", "VARCHAR"))
-def time_types(spark, d):
-    gaps = [1, 2, 3, 4, 5, 6, 8, 9, 11, 15]
-    cases = {"days": [_day(i) for i in range(7)], "weeks": [_day(7 * i) for i in range(7)], "gaps": [_day(i) for i in gaps], "weeks with gaps": [_day(7 * i) for i in gaps], "years": [1999, 2000]}
-    frame = lambda v: spark.createDataFrame([(x,) for x in v], f"time_value {'int' if isinstance(v[0], int) else 'date'}")
-    return spark.createDataFrame([(k, guess_time_type(frame(v))) for k, v in cases.items()], "times string, time_type string")
-
-
 @query(f"WITH {EVENTS} SELECT geo_value, time_value, count(*) AS n FROM ev WHERE geo_value = (SELECT min(geo_value) FROM ev) GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_keys(spark, d):
     df = panel_events(spark, d).df
@@ -363,10 +446,17 @@ def slide_forms(spark, d):
     return out.slide_python(_above, "long", 7, new_name="many", least=2).df.select("geo_value", "time_value", "present", "total", "many")
 
 
-@query(_cases_sql("none two", "three any default"))
+@query(f"WITH {MONTHS}, s AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM months) SELECT case_name, refused, CASE WHEN NOT refused THEN total END AS total FROM s CROSS JOIN {_cases_sql('none two', 'three any default')}")
 def slide_arity(spark, d):
-    forms = {"none": lambda: 0, "two": lambda a, b: 0, "three": lambda a, b, c: 0, "any": lambda *a: 0, "default": lambda a, b, c, e=1: 0}
-    return _cases(spark, {k: lambda f=f: check_arity(f, 3, "f") for k, f in forms.items()})
+    """Functions of three arguments or more slide; others are refused before any row is read."""
+    p = panel_nation_month(spark, d)
+    forms = {"none": lambda: 0, "two": lambda w, k: 0, "three": lambda w, k, t: int(w["n"].iloc[-1]), "any": lambda *a: int(a[0]["n"].iloc[-1]), "default": lambda w, k, t, e=1: int(w["n"].iloc[-1]) * e}
+    out = []
+    for name, f in forms.items():
+        refused = _refused(lambda f=f: check_arity(f, 3, "f"))
+        total = F.lit(None).cast("long") if refused else F.sum("own")
+        out.append((p if refused else p.slide_python(f, "long", 1, new_name="own")).df.agg(F.lit(name).alias("case_name"), F.lit(refused).alias("refused"), total.alias("total")))
+    return _stacked(out)
 
 
 def _fences(times: pd.Series, y: pd.Series, wide: float = 1.0) -> dict:
@@ -415,15 +505,19 @@ def growth_trend_line(spark, d):
     return out.df.select("geo_value", "time_value", F.round(F.col("slope") * 100, 5).alias("slope"))
 
 
-@query(_cases_sql("df_word df_negative family measure folds ratio spar some_knots several_lam poisson", "default cv offset one_lam"))
+@query(f"WITH {_FULL}, s AS (SELECT count(*) AS n FROM grid) SELECT case_name, refused, CASE WHEN NOT refused THEN n END AS n FROM s CROSS JOIN {_cases_sql('df_word df_negative family measure folds ratio spar some_knots several_lam poisson', 'default cv offset one_lam')}")
 def growth_options(spark, d):
+    """Options of the smoothers, and for how many rows of the weekly grid those that are taken give a rate."""
     p = _weekly_curve(spark, d, lambda i: 10 + 2 * i)
     make = lambda **o: lambda: GrowthParams(**o)
-    run = lambda method="smooth_spline", **o: lambda: p.growth_rate("v", method=method, params=GrowthParams(**o), validate=False)
-    return _cases(spark, {
+    run = lambda method="smooth_spline", **o: lambda: p.growth_rate("v", method=method, params=GrowthParams(**o), name="rate", validate=False)
+    cases = {
         "df_word": make(df="best"), "df_negative": make(df=-1), "family": make(family="gamma"), "measure": make(error_measure="rank"), "folds": make(nfolds=1), "ratio": make(lambda_min_ratio=2), "spar": run(spar=0.5), "some_knots": run(all_knots=False), "several_lam": run(lam=[0.1, 0.2]),
         "poisson": run("trend_filter", family="poisson"), "default": run(), "cv": run(cv=True), "offset": run(df_offset=1, penalty=1.4), "one_lam": run(lam=0.5),
-    })
+    }
+    refused = {k: _refused(f) for k, f in cases.items()}
+    counted = lambda k: F.lit(None).cast("long") if refused[k] else F.count("rate")
+    return _stacked([(p if refused[k] else f()).df.agg(F.lit(k).alias("case_name"), F.lit(refused[k]).alias("refused"), counted(k).alias("n")) for k, f in cases.items()])
 
 
 @query(f"WITH {_FULL} SELECT geo_value, time_value, round(v, 5) AS stl_lower, round(v, 5) AS stl_upper, round(v, 5) AS stl_replacement FROM (SELECT *, CAST(20 + 0.5 * i + 3 * (i % 4) AS DOUBLE) AS v FROM grid)")
