@@ -136,34 +136,31 @@ def trend_filter(x: np.ndarray, y: np.ndarray, x0: np.ndarray, params) -> np.nda
 
 
 def _loess(y: np.ndarray, span: int, at: np.ndarray, degree: int, weight: np.ndarray) -> np.ndarray:
-    """Local regression of y on 0..n-1 at the positions ``at``, with tricube and given weights."""
+    """Local regression of y on 0..n-1 at the positions ``at`` (whole numbers), with tricube and given weights.
+
+    The nearest points of all positions are taken side by side, some positions at a time, so that memory does not grow with both.
+    """
     n, x = len(y), np.arange(len(y), dtype=float)
     q = min(span, n)
+    near = [np.lib.stride_tricks.sliding_window_view(v, q) for v in (x, y, weight)]
     out = np.empty(len(at))
-    for i, t in enumerate(at):
-        lo = int(np.clip(np.round(t) - q // 2, 0, n - q))
-        while lo > 0 and t - x[lo - 1] < x[min(lo + q - 1, n - 1)] - t:
-            lo -= 1
-        while lo + q < n and x[lo + q] - t < t - x[lo]:
-            lo += 1
-        s = slice(lo, lo + q)
-        reach = max(abs(t - x[lo]), abs(x[lo + q - 1] - t))
-        if span > n:
-            reach += (span - n) / 2
-        far = np.abs(x[s] - t) / max(reach, 1e-12)
-        w = np.where(far < 0.999, (1 - np.minimum(far, 1) ** 3) ** 3, 0) * weight[s]
-        total = w.sum()
-        if total <= 0:
-            out[i] = y[s].mean()
-            continue
-        w = w / total
-        mean = (w * x[s]).sum()
-        fit = (w * y[s]).sum()
+    for s in range(0, len(at), max(1, 1_000_000 // q)):
+        t = at[s : s + max(1, 1_000_000 // q)].astype(float)
+        lo = np.clip(t.astype(np.int64) - q // 2, 0, n - q)
+        xs, ys, ws = (v[lo] for v in near)
+        reach = np.maximum(np.abs(t - xs[:, 0]), np.abs(xs[:, -1] - t)) + max(span - n, 0) / 2
+        far = np.abs(xs - t[:, None]) / np.maximum(reach, 1e-12)[:, None]
+        w = np.where(far < 0.999, (1 - np.minimum(far, 1) ** 3) ** 3, 0) * ws
+        total = w.sum(1)
+        w = w / np.where(total > 0, total, 1)[:, None]
+        fit = (w * ys).sum(1)
         if degree:
-            var = (w * (x[s] - mean) ** 2).sum()
-            if var > 1e-6 * (n - 1) ** 2 * 1e-3:
-                fit += (t - mean) * (w * (x[s] - mean) * y[s]).sum() / var
-        out[i] = fit
+            mean = (w * xs).sum(1)
+            off = xs - mean[:, None]
+            var = (w * off**2).sum(1)
+            slope = (w * off * ys).sum(1) / np.where(var > 0, var, 1)
+            fit = np.where(var > 1e-9 * (n - 1) ** 2, fit + (t - mean) * slope, fit)
+        out[s : s + len(t)] = np.where(total > 0, fit, ys.mean(1))
     return out
 
 
@@ -175,12 +172,18 @@ def _odd(n: int) -> int:
     return int(n) + (int(n) % 2 == 0)
 
 
-def stl(y: np.ndarray, period: int, seasonal: int, trend: int, inner: int = 1, outer: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Robust seasonal-trend decomposition by local regression: seasonal, trend, remainder."""
+def stl(y: np.ndarray, period: int, seasonal: int | str, trend: int, inner: int = 1, outer: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Robust seasonal-trend decomposition by local regression: seasonal, trend, remainder.
+
+    With the seasonal window "periodic" each phase of the period has one value: means over a window of ten series, and the mean of
+    these at the end.
+    """
     n = len(y)
     if n < 2 * period:
         raise ValueError("a series needs at least two periods")
-    seasonal, trend, low = max(3, _odd(seasonal)), max(3, _odd(trend)), max(3, _odd(period))
+    periodic = seasonal == "periodic"
+    degree, seasonal = (0, 10 * n + 1) if periodic else (1, max(3, _odd(seasonal)))
+    trend, low = max(3, _odd(trend)), max(3, _odd(period))
     weight, t, s = np.ones(n), np.zeros(n), np.zeros(n)
     for loop in range(outer + 1):
         for _ in range(inner):
@@ -189,7 +192,7 @@ def stl(y: np.ndarray, period: int, seasonal: int, trend: int, inner: int = 1, o
             for j in range(period):
                 sub = d[j::period]
                 at = np.arange(-1, len(sub) + 1)
-                c[j :: period][: len(sub) + 2] = _loess(sub, seasonal, at, 1, weight[j::period])
+                c[j :: period][: len(sub) + 2] = _loess(sub, seasonal, at, degree, weight[j::period])
             passed = _moving(_moving(_moving(c, period), period), 3)
             s = c[period : period + n] - _loess(passed, low, np.arange(n), 1, np.ones(n))
             t = _loess(y - s, trend, np.arange(n), 1, weight)
@@ -199,4 +202,7 @@ def stl(y: np.ndarray, period: int, seasonal: int, trend: int, inner: int = 1, o
             # Remainders that are mere rounding say nothing about outliers.
             u = r / h if h > 1e-10 * np.abs(y).max() else np.zeros(n)
             weight = np.where(u <= 0.001, 1, np.where(u > 0.999, 0, (1 - np.minimum(u, 1) ** 2) ** 2))
+    if periodic:
+        phase = np.arange(n) % period
+        s = (np.bincount(phase, s) / np.bincount(phase))[phase]
     return s, t, y - s - t

@@ -82,10 +82,15 @@ def _rm(df: DataFrame, panel: Panel, y: str, abbr: str, n: int = 21, log_transfo
     return _named(_bounds(df, panel, n, detection_multiplier, min_radius, replacement_multiplier, least, whole), keep, abbr, log_transform)
 
 
-def _stl(df: DataFrame, panel: Panel, y: str, abbr: str, seasonal_period: int, n_trend: int = 21, n_seasonal: int = 21, n_threshold: int = 21, seasonal_as_residual: bool = False, log_transform: bool = False, detect_negatives: bool = False, detection_multiplier: float = 2, min_radius: float = 0, replacement_multiplier: float = 0) -> DataFrame:
-    """Residuals of a robust seasonal decomposition; the series must be regular and without nulls."""
+def _stl(df: DataFrame, panel: Panel, y: str, abbr: str, seasonal_period: int, n_trend: int = 21, n_seasonal: int | str = 21, n_threshold: int = 21, seasonal_as_residual: bool = False, log_transform: bool = False, detect_negatives: bool = False, detection_multiplier: float = 2, min_radius: float = 0, replacement_multiplier: float = 0) -> DataFrame:
+    """Residuals of a robust seasonal decomposition; the series must be regular and without nulls.
+
+    ``n_seasonal`` is a window of periods, or "periodic" for a season that is the same in all of them.
+    """
     if seasonal_period < 2:
         raise PanelError("seasonal_period is at least 2")
+    if isinstance(n_seasonal, str) and n_seasonal != "periodic":
+        raise PanelError('n_seasonal is a number or "periodic"')
     keep, whole = df.columns, isinstance(panel.df.schema[y].dataType, T.IntegralType) and not log_transform
     df = _logged(df.withColumn("__v", F.col(y).cast("double")), panel, log_transform)
     schema = T.StructType([*df.schema.fields, T.StructField("__fitted", T.DoubleType()), T.StructField("__resid", T.DoubleType())])

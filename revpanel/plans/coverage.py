@@ -298,6 +298,23 @@ def stored_log(spark, d):
     return read_log(spark, _stored(log), through=max_version(log.df) - 7).df
 
 
+# -- correlations without keys ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {WEEKS}, p AS (SELECT CAST(n AS DOUBLE) AS x, CAST(lead(n) OVER (ORDER BY time_value, geo_value) AS DOUBLE) AS y FROM weeks), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS y FROM p WHERE y IS NOT NULL) SELECT round(corr(x, y), 6) AS cor FROM r")
+def cor_all_spearman(spark, d):
+    """One rank correlation over the whole panel, with the next row of all: ranks come from counts in ranges."""
+    out = panel_week(spark, d).cor("n", "n", dt2=1, shift_by=None, cor_by=None, method="spearman")
+    return out.select(F.round("cor", 6).alias("cor"))
+
+
+@query(f"WITH {MONTHS}, p AS (SELECT n AS x, CAST(month(time_value) AS BIGINT) AS y FROM months), c AS (SELECT x, y, count(*) AS w FROM p GROUP BY 1, 2), t AS (SELECT sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN a.w * b.w WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN -a.w * b.w ELSE 0 END) / 2 AS s FROM c a CROSS JOIN c b), g AS (SELECT (SELECT sum(w) * (sum(w) - 1) / 2 FROM c) AS n0, (SELECT sum(w * (w - 1) / 2) FROM (SELECT sum(w) AS w FROM c GROUP BY x)) AS tx, (SELECT sum(w * (w - 1) / 2) FROM (SELECT sum(w) AS w FROM c GROUP BY y)) AS ty) SELECT round(s / sqrt((n0 - tx) * (n0 - ty)), 6) AS cor FROM t CROSS JOIN g")
+def cor_all_kendall(spark, d):
+    """One tau-b over the whole panel: swapped pairs are counted in and between ranges."""
+    p = panel_nation_month(spark, d).mutate(of_year=F.month("time_value"))
+    return p.cor("n", "of_year", cor_by=None, method="kendall").select(F.round("cor", 6).alias("cor"))
+
+
 # -- long series and wide windows -------------------------------------------------------------------------------------
 
 
@@ -527,6 +544,13 @@ def outlier_stl_exact(spark, d):
     return _out(p.detect_outliers("v", [Method("stl", "stl", {"seasonal_period": 4})], combiner="none"), "stl_lower", "stl_upper", "stl_replacement", digits=5).drop("v")
 
 
+@query(f"WITH {_FULL} SELECT geo_value, time_value, round(v, 5) AS stl_lower, round(v, 5) AS stl_upper, round(v, 5) AS stl_replacement FROM (SELECT *, CAST(20 + 0.5 * i + 3 * (i % 4) AS DOUBLE) AS v FROM grid)")
+def outlier_stl_periodic(spark, d):
+    """The same season in all periods."""
+    p = _weekly_curve(spark, d, lambda i: 20 + 0.5 * i + 3 * (i % 4))
+    return _out(p.detect_outliers("v", [Method("stl", "stl", {"seasonal_period": 4, "n_seasonal": "periodic"})], combiner="none"), "stl_lower", "stl_upper", "stl_replacement", digits=5).drop("v")
+
+
 @query(f"WITH {LINES} SELECT CAST({LAST2 + 5} AS INTEGER) AS versions_end, count(*) AS n_rows FROM lines")
 def log_extended(spark, d):
     return log_ship(spark, d, count=True, last=LAST2).fill_through_version(LAST2 + 5, "locf").describe().select("versions_end", "n_rows")

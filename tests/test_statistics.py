@@ -216,3 +216,54 @@ def test_spline_weights_by_cross_validation():
     assert np.abs(by_cv - smooth.smoothing_spline(x, y, x, lam=best)[0]).max() < 0.15
     rough = lambda f: np.abs(np.diff(f, 2)).sum()
     assert rough(smooth.smoothing_spline(x, y, x, penalty=3)[0]) < rough(smooth.smoothing_spline(x, y, x)[0]) + 1e-9
+
+
+def plain_loess(y, span, at, degree, weight):
+    """One position after the other: the nearest points, tricube weights, a line through them."""
+    n, out = len(y), []
+    for t in at:
+        near = sorted(range(n), key=lambda i: (abs(i - t), i))[: min(span, n)]
+        reach = max(abs(i - t) for i in near) + max(span - n, 0) / 2
+        w = np.array([max(0.0, (1 - (abs(i - t) / reach) ** 3) ** 3 if abs(i - t) < 0.999 * reach else 0.0) * weight[i] for i in near])
+        x, v = np.array(near, float), y[near]
+        mean = (w * x).sum() / w.sum()
+        var = (w * (x - mean) ** 2).sum()
+        out.append((w * v).sum() / w.sum() + ((t - mean) * (w * (x - mean) * v).sum() / var if degree and var > 0 else 0))
+    return np.array(out)
+
+
+def test_local_regression():
+    rng = np.random.default_rng(4)
+    for n, span, degree in ((40, 7, 1), (40, 7, 0), (12, 31, 1), (25, 25, 1), (9, 91, 0)):
+        y, weight, at = rng.normal(size=n), rng.uniform(0.1, 1, n), np.arange(-1, n + 1)
+        assert smooth._loess(y, span, at, degree, weight) == pytest.approx(plain_loess(y, span, at, degree, weight))
+
+
+def test_periodic_season(spark):
+    """A season that is the same in all periods: found under noise and an outlier, and constant by phase."""
+    rng, n = np.random.default_rng(5), 140
+    season = np.tile([5.0, -1, 0, 2, -3, -2, -1], n // 7)
+    y = 50 + 0.1 * np.arange(n) + season + rng.normal(0, 0.2, n)
+    y[70] += 60
+    s, t, r = smooth.stl(y, 7, "periodic", 31)
+    assert (s.reshape(-1, 7) == s[:7]).all() and np.abs(s[:7] - season[:7]).max() < 0.2 and r[70] > 55
+    assert np.allclose(s + t + r, y)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(int(i)) for i in range(n)]
+    p = Panel.from_df(spark.createDataFrame([("a", d, float(v)) for d, v in zip(days, y)], "geo_value string, time_value date, y double"), geo_type="custom", time_type="day")
+    out = p.detect_outliers("y", [Method("stl", "stl", {"seasonal_period": 7, "n_seasonal": "periodic", "detection_multiplier": 4})]).df.orderBy("time_value").toPandas()
+    assert (out["y"] > out["stl_upper"]).to_numpy().nonzero()[0].tolist() == [70]
+    with pytest.raises(PanelError):
+        p.detect_outliers("y", [Method("stl", "stl", {"seasonal_period": 7, "n_seasonal": "always"})])
+
+
+def test_long_decompositions_take_linear_time():
+    """Four times the series in less than eight times the time, and no table of all points against all."""
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        smooth.stl(np.sin(np.arange(n) / 9) + np.arange(n) % 7, 7, 21, 21, outer=1)
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 8 * seconds(4_000) + 0.3
