@@ -246,7 +246,11 @@ def linked(keys: DataFrame, items: DataFrame, max_bits: int, refs: np.ndarray |
     whole = lambda rows: rows.withColumn("t1", F.col("t")).withColumn("t2", F.lit(0))
     # Partial counts, so a hot bucket is one row per task.
     lead = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))["id"]
-    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n"), lead.alias("lead")).where("n > 1").withColumn("c", tiles("n")))
+    # Buckets of the same members (128 bits of them) are one: runs of one passage, say, bring the same texts together.
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"s{k}") for k in (1, 2)]
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), lead.alias("lead"), *same).where("n > 1")
+    sizes = sizes.groupBy("n", "s1", "s2").agg(F.min(F.struct("key", "lead")).alias("b"))
+    sizes = cut(sizes.select("b.key", "n", "b.lead", tiles("n").alias("c")))
     members = cut(keys.join(sizes.select("key", "c"), "key").select("key", "id", "c", own("c").alias("t")))
     large = sizes.where("c > 1")
     leads = large.select("key", F.col("lead").alias("id"), F.explode(F.expr("sequence(0, c - 1)")).alias("t"))
@@ -352,16 +356,17 @@ def common_runs(items: DataFrame) -> np.ndarray:
 
 
 def _look_up(runs: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The runs of a text by which it is looked up, of its least ones (ascending): LEAST_RUNS that are not common, and as many common ones if these are over a seventh.
+    """The runs of a text by which it is looked up, of its least ones (ascending): LEAST_RUNS that are not common, and as many common ones if these are over two sevenths.
 
     Runs are in random order. Of the union of two texts' runs at least 0.64 are shared at a cosine of 0.8, so that their LEAST_RUNS
-    least share none with a probability under 0.36**32 = 7e-15. A text with many common runs is looked up by all of these. With
-    a seventh of common ones at most, at least half of the others are shared, and the probability is under 0.5**32 = 3e-10.
-    (At a cosine of 0.59, where few pairs link, 0.35 of the union is shared, and the figures are 2e-6 and 2e-4.)
+    least share none with a probability under 0.36**32 = 7e-15; texts with many common runs are looked up by all of these. As for the
+    others: where at least 0.35 of the runs of the union that are not common are shared, the probability is under 0.65**32 = 1e-6.
+    Where they are fewer, common ones are at least 0.446 of the union and of each of the two texts (0.64 - 0.35 r is at most
+    1 - r for a share r of others), more than two sevenths by the error of an estimate from COUNTED_RUNS.
     """
     often = common[np.minimum(np.searchsorted(common, runs), len(common) - 1)] == runs if len(common) else np.zeros(len(runs), bool)
     out = runs[~often][:LEAST_RUNS]
-    return np.concatenate([out, runs[often][:LEAST_RUNS]]) if 7 * often.sum() > len(runs) else out
+    return np.concatenate([out, runs[often][:LEAST_RUNS]]) if 7 * often.sum() > 2 * len(runs) else out
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

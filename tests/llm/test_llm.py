@@ -274,11 +274,11 @@ def test_common_runs_of_all_rows(spark, monkeypatch):
 
 
 def test_look_up_of_common_runs():
-    """At most twice LEAST_RUNS for any text; common runs only where they are more than a seventh."""
+    """At most twice LEAST_RUNS for any text; common runs only where they are more than two sevenths."""
     runs = np.arange(64) * 3
     assert simhash._look_up(runs, np.array([], np.int64)).tolist() == runs[:32].tolist()
-    assert simhash._look_up(runs, runs[:9]).tolist() == runs[9:41].tolist()
-    assert simhash._look_up(runs, runs[:10]).tolist() == [*runs[10:42], *runs[:10]]
+    assert simhash._look_up(runs, runs[:18]).tolist() == runs[18:50].tolist()
+    assert simhash._look_up(runs, runs[:19]).tolist() == [*runs[19:51], *runs[:19]]
     assert simhash._look_up(runs, np.arange(400)).tolist() == runs[:32].tolist()
     assert simhash._look_up(runs[:0], runs).tolist() == []
 
