@@ -20,6 +20,7 @@ from revpanel.functions.time import INF, STEP, PanelError, before_after, index,
 from revpanel.meta import check_unique
 from revpanel.operators.order import sliding_quantiles
 from revpanel.operators.scan import running
+from revpanel.operators.trace import Untraceable, traced
 from revpanel.panel import Panel
 
 #: Name stems; those of logical columns differ.
@@ -260,6 +261,36 @@ def check_arity(f: Callable, n: int, what: str) -> None:
         raise PanelError(f"{what} must take {n} positional arguments")
 
 
+class _Symbol:
+    """Stands for the key and the time of a window: a function that looks at it runs in Python."""
+
+    def _stops(self, *_, **__):
+        raise Untraceable
+
+    __getattr__ = __getitem__ = __iter__ = __len__ = __bool__ = __eq__ = __lt__ = __gt__ = __le__ = __ge__ = __add__ = __sub__ = __hash__ = __float__ = __int__ = __str__ = _stops
+
+
+def slide_function(panel: Panel, f: Callable, schema: str, size=None, align: str = "right", new_name: str = "slide_value", ref_times: Sequence | None = None, all_rows: bool = False, **more) -> Panel:
+    """slide_python(), without Python where the function can be traced: f(window, key, ref_time) of columns, aggregates and numpy functions.
+
+    ``lambda w, k, t: np.log(w.cases.sum() / w.deaths.sum())`` is planned as two sums over one window. A function that looks at the
+    key, the time, a length or a single value is run by slide_python.
+    """
+    check_arity(f, 3, "the window function")
+    if size is None:
+        raise PanelError("a window size is needed")
+    _check_groups(panel)
+    w, _, _, (before, after) = _frame(panel, size, align)
+    exprs = None if more else traced(f, panel.df, schema, new_name, lambda a: a.over(w), _Symbol(), _Symbol())
+    if exprs is None:
+        return slide_python(panel, f, schema, size, align, new_name, ref_times, all_rows, **more)
+    if clash := set(exprs) & set(panel.df.columns):
+        raise PanelError(f"new columns exist already: {sorted(clash)}")
+    times = _ref_times(panel, ref_times, True)
+    df = _near(panel, times, before, after, all_rows).select("*", *[v.alias(k) for k, v in exprs.items()])
+    return _finish(panel, df, list(exprs), times, all_rows)
+
+
 def slide_python(panel: Panel, f: Callable, schema: str, size=None, align: str = "right", new_name: str = "slide_value", ref_times: Sequence | None = None, all_rows: bool = False, **more) -> Panel:
     """f(window, key, ref_time, **more) -> a scalar, or a dict for a struct ``schema``, for each reference time.
 

@@ -211,6 +211,11 @@ class Panel:
 
         return slide(self, *args, **kw)
 
+    def slide_function(self, *args, **kw) -> Panel:
+        from revpanel.operators.windows import slide_function
+
+        return slide_function(self, *args, **kw)
+
     def slide_python(self, *args, **kw) -> Panel:
         from revpanel.operators.windows import slide_python
 

@@ -10,6 +10,7 @@ import uuid
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -452,6 +453,19 @@ def repeated_keys(spark, d):
 # -- computations given by the user -----------------------------------------------------------------------------------
 
 
+def _per_order(window, key, time) -> dict:
+    """Written for a pandas frame."""
+    return {"per_order": window["rev"].sum() / window["n"].sum(), "busy": (window["n"] > 3).sum(), "spread": np.log1p(window["n"].max() - window["n"].min())}
+
+
+@query(f"WITH {DAYS} SELECT geo_value, time_value, round(sum(rev) OVER w / sum(n) OVER w, 4) AS per_order, CAST(count(CASE WHEN n > 3 THEN 1 END) OVER w AS BIGINT) AS busy, round(ln(1.0 + max(n) OVER w - min(n) OVER w), 6) AS spread FROM days WINDOW w AS (PARTITION BY geo_value ORDER BY time_value RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND CURRENT ROW)")
+def slide_traced(spark, d):
+    """A function of a pandas window, planned as aggregates over one window."""
+    out = panel_region(spark, d).slide_function(_per_order, "per_order double, busy long, spread double", 14)
+    assert "InPandas" not in out.df._jdf.queryExecution().executedPlan().toString()
+    return out.df.select("geo_value", "time_value", F.round("per_order", 4).alias("per_order"), "busy", F.round("spread", 6).alias("spread"))
+
+
 def _above(window: pd.DataFrame, key: tuple, t: dt.date, least: int = 0) -> int:
     return int((window["n"] >= least).sum())
 
