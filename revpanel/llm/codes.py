@@ -103,7 +103,7 @@ def _assigned(rows: DataFrame, books: np.ndarray, final: bool = False) -> DataFr
 
         return assign
 
-    return mapped(rows, ["x", "code"], "error long, code binary" if final else "x array<int>, code binary", start)
+    return mapped(rows, ["x", "code"], "error long, code binary" if final else "x array<int>, code binary", start, 16_384)
 
 
 def _updated(coded: DataFrame, books: np.ndarray) -> np.ndarray:

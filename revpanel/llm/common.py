@@ -56,7 +56,7 @@ class _Hashes(dict):
 class WordHasher:
     """64-bit hash of each word, with a cache that is emptied when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.cache = limit, _Hashes()
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -171,11 +171,12 @@ def forget(*tables: DataFrame) -> None:
             files.delete(where, True)
 
 
-def mapped(df: DataFrame, read: list[str], made: str, start: Callable[[], Callable[..., list]]) -> DataFrame:
+def mapped(df: DataFrame, read: list[str], made: str, start: Callable[[], Callable[..., list]], rows: int = 512) -> DataFrame:
     """The columns of ``df`` but those of ``read``, and the columns ``made`` (a schema as DDL) that a function makes of these.
 
     ``start`` is called once in a task and gives the function, which gets the columns of ``read`` of a batch as Arrow arrays
-    and returns the values of each column made. All other columns stay in Arrow, so that ids of any type keep their values:
+    and returns the values of each column made, for ``rows`` rows at a time, so that what it makes of them on the way takes little
+    memory beside the batch. All other columns stay in Arrow, so that ids of any type keep their values:
     in pandas a long beside a null would become a double and lose its last digits.
     """
     new = StructType.fromDDL(made)
@@ -186,8 +187,10 @@ def mapped(df: DataFrame, read: list[str], made: str, start: Callable[[], Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for batch in batches:
-            made = [pa.array(v, t) for v, t in zip(make(*[batch.column(i) for i in at]), types)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + made, names)
+            for s in range(0, len(batch), rows):
+                part = batch.slice(s, rows)
+                made = [pa.array(v, t) for v, t in zip(make(*[part.column(i) for i in at]), types)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + made, names)
 
     return df.mapInArrow(run, StructType([df.schema[c] for c in kept] + new.fields))
 

@@ -286,7 +286,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end: int =
         plan = shared.value
         return lambda length, number: [length, *plan(length.to_numpy().astype(np.int64), number.to_numpy())]
 
-    placed = mapped(numbered, ["length", "number"], "length int, sequence_id long, offset long", start)
+    placed = mapped(numbered, ["length", "number"], "length int, sequence_id long, offset long", start, 16_384)
     columns = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"]
     return placed.select(*columns, *(["ids"] if ids else [])), plan
 

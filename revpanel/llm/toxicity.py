@@ -36,7 +36,7 @@ def _slots(word: bytes) -> list[int]:
 class _Terms:
     """Slots of a text; with ``kept``, only those slots, and words without any cost one look-up."""
 
-    def __init__(self, kept: set[int] | None = None, limit: int = 150_000):
+    def __init__(self, kept: set[int] | None = None, limit: int = 100_000):
         self.kept, self.limit, self.cache = kept, limit, {}
 
     def sums(self, text: str | None) -> Counter[int]:
@@ -224,6 +224,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) < threshold, pa.bool_()))
+            for s in range(0, len(batch), 512):
+                part = batch.slice(s, 512)
+                yield part.filter(pa.array(scorer(part.column(at).to_pylist()) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
