@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from revpanel.llm.common import cut, forget
 
 
+#: Edges of a task, where there are fewer than for all partitions.
+EDGES = 20_000
+
+
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
@@ -19,7 +23,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round sends a node's larger neighbours, then its smaller ones, to its least neighbour.
     Minima are partial aggregates and are written out first, so that the joins that follow are
     between plain tables and a node with very many edges can be split over tasks.
-    Nodes without an edge are not in the result; an empty edge table gives an empty result.
+    Few edges are written by few tasks. Nodes without an edge are not in the result; an empty edge table gives an empty result.
     """
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     now = cut(edges.where("a != b").select(lo.alias("a"), hi.alias("b")).distinct())
@@ -27,13 +31,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
+        few = lambda df, n=before[0] // EDGES + 1: cut(df.coalesce(n))
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
-        lower = cut(large.groupBy("b").agg(F.min("a").alias("m")))
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
+        lower = few(large.groupBy("b").agg(F.min("a").alias("m")))
         joined = large.join(lower, "b")
         small = joined.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(lower.select(F.col("m").alias("a"), "b"))
-        old, now = now, cut(small.distinct())
+        old, now = now, few(small.distinct())
         forget(old, least, large, lower)
         after = _digest(now)
         if after == before:

@@ -28,6 +28,8 @@ from revpanel.llm.graph import components
 
 #: Members of one bucket tile; larger buckets are dealt out over tiles.
 TILE = 256
+#: Tiles that are set against each other, at most: no member is there more often, however large its bucket is.
+AGAINST = 16
 #: References of a bucket, where these are members of it.
 REFERENCES = 4
 #: Keys by which ids meet before all others.
@@ -204,11 +206,11 @@ def _in_buckets(rows: DataFrame, max_bits: int, refs: np.ndarray | None) -> Data
                 i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
                 look(i, i + step)
             for s, e in zip(starts[size > 8], ends[size > 8]):
-                # In slabs, so that a bucket of any size takes bounded memory.
+                # In slabs, so that the pairs of a bucket of any size take bounded memory.
                 for at in range(s, e, TILE):
-                    i, j = np.meshgrid(np.arange(at, min(at + TILE, e)), np.arange(at, e), indexing="ij")
-                    i, j = i[i < j], j[i < j]
-                    look(i, j)
+                    for to in range(at, e, 2 * TILE):
+                        i, j = np.meshgrid(np.arange(at, min(at + TILE, e)), np.arange(to, min(to + 2 * TILE, e)), indexing="ij")
+                        look(i[i < j], j[i < j])
             # One row for each node that is not the least of its component, however many links it has.
             root = _roots(len(names), np.concatenate(left), np.concatenate(right))
             at = np.flatnonzero(root != np.arange(len(names)))
@@ -236,10 +238,12 @@ def linked(keys: DataFrame, items: DataFrame, max_bits: int, refs: np.ndarray |
     they meet first by the FIRST keys of the least hashes of each. Then every bucket is looked at whose members
     are not all connected by that, and of it the pairs that are not. Buckets of up to TILE members are looked at whole. A
     larger one is dealt over tiles, with one member as the lead in all of them; only where its members are then not all
-    connected are the tiles of those connected with the lead set against the others, and the others against each
-    other. Nodes without links are not in the result.
+    connected are those connected with the lead set against the others, and the others against each other, in tiles whose
+    number is the root of that of whole tiles, AGAINST at most: a bucket's rows are 2 * AGAINST times its members at most, its
+    pairs are looked at in the tasks. Nodes without links are not in the result.
     """
     tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    few = lambda n: F.least(F.ceil(F.sqrt(F.col(n) / TILE)), F.lit(AGAINST)).cast("int")
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     prints = items.select("id", "fp")
     look = lambda rows: _in_buckets(rows.select("key", "t1", "t2", "id", "comp").join(prints, "id"), max_bits, refs)
@@ -274,7 +278,7 @@ def linked(keys: DataFrame, items: DataFrame, max_bits: int, refs: np.ndarray |
     major = _labelled(large.select("key", F.col("lead").alias("id")), comp).select("key", F.col("comp").alias("major"))
     mixed = cut(_mixed(placed).join(major, "key"))
     split = placed.join(mixed, "key").withColumn("main", F.col("comp") == F.col("major"))
-    counts = cut(split.groupBy("key").agg(F.count_if("main").alias("n1"), F.count_if(~F.col("main")).alias("n2")).select("key", tiles("n1").alias("c1"), tiles("n2").alias("c2")))
+    counts = cut(split.groupBy("key").agg(F.count_if("main").alias("n1"), F.count_if(~F.col("main")).alias("n2")).select("key", few("n1").alias("c1"), few("n2").alias("c2")))
     split = cut(split.join(counts, "key").select("key", "id", "comp", "main", "c1", "c2"))
     ones = split.where("main").select("key", "id", "comp", own("c1").alias("t1"), F.explode(F.expr("sequence(0, c2 - 1)")).alias("t2"))
     others = split.where("not main").withColumn("t", own("c2"))

@@ -250,6 +250,50 @@ def test_near_copies_link_once(spark, monkeypatch, tile):
         assert n - 1 <= made[-1] <= 5 * n
 
 
+def test_rows_of_a_large_bucket(spark, monkeypatch):
+    """A bucket whose members are hardly linked is dealt over rows in proportion to its members, and all links are found."""
+    monkeypatch.setattr(simhash, "TILE", 4)
+    rng, buckets, made = np.random.default_rng(3), simhash._in_buckets, []
+
+    def counted(rows, *args):
+        made.append(rows.count())
+        return buckets(rows, *args)
+
+    monkeypatch.setattr(simhash, "_in_buckets", counted)
+    n = 1200
+    fps = rng.integers(0, 1 << 64, (n, 8), dtype=np.uint64)
+    fps[n - 20 :] = fps[:20] ^ np.uint64(1)
+    items = spark.createDataFrame([(i, fps[i].tobytes()) for i in range(n)], "id long, fp binary")
+    got = {r["node"]: r["comp"] for r in simhash.linked(items.select(F.lit(7).cast("long").alias("key"), "id"), items, 122).collect()}
+    assert got == {j: i for i in range(20) for j in (i, n - 20 + i)}
+    assert len(made) == 3 and made[-1] <= 2 * 16 * n
+
+
+def test_few_edges_take_few_tasks(spark, monkeypatch):
+    """Tables of the rounds are as many files as their edges need, however many partitions a shuffle has."""
+    written, cut = [], graph.cut
+
+    def counted(df):
+        written.append(df.rdd.getNumPartitions())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", counted)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+        assert {r["comp"] for r in graph.components(edges).collect()} == {0}
+        assert set(written[1:]) == {1}
+        written.clear()
+        monkeypatch.setattr(graph, "EDGES", 4)
+        assert {r["comp"] for r in graph.components(edges).collect()} == {0}
+        assert max(written[1:]) == 3
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_common_runs_of_all_rows(spark, monkeypatch):
     """Runs are counted over all rows, also where those that share one are none of a sample by hash of 16,000 rows and more."""
     rng = random.Random(8)
