@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import itertools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from revpanel.sources.shared import checkpoint_dir, cut, forget, shared_folder  # noqa: F401  used from here
+
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -112,65 +111,6 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     return np.fromiter((digest(joined[s : e - 1], 42) for s, e in zip(starts, ends[n - 1 :])), np.uint64, len(words) - n + 1)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Where none is set, a session on one machine gets a temporary one; on a cluster, whose executors would not share
-    it, that is an error.
-    """
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not re.match(r"local(\[[^\]]*\])?$", sc.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-            _delete_at_exit(spark, folder)
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def _hadoop_path(spark: SparkSession, path: str) -> tuple:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    files, where = _hadoop_path(spark, path)
-    files.deleteOnExit(where)
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, deleted when the driver ends."""
-    path = f"{checkpoint_dir(spark)}/{name}/{uuid.uuid4().hex}"
-    files, where = _hadoop_path(spark, path)
-    files.mkdirs(where)
-    files.deleteOnExit(where)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared checkpoint folder and read them from there.
-
-    The lineage ends here, so a lost executor costs a re-read and not a recomputation. The table goes with ``forget`` or when
-    the driver ends.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark, "tables")
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables made by ``cut`` on which nothing that is still to run depends."""
-    for df in tables:
-        if path := getattr(df, "_cut_at", None):
-            files, where = _hadoop_path(df.sparkSession, path)
-            files.delete(where, True)
-
-
 def mapped(df: DataFrame, read: list[str], made: str, start: Callable[[], Callable[..., list]], rows: int = 512) -> DataFrame:
     """The columns of ``df`` but those of ``read``, and the columns ``made`` (a schema as DDL) that a function makes of these.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from revpanel.log import RevisionLog
 from revpanel.meta import PanelMeta
 from revpanel.panel import Panel
+from revpanel.sources.shared import cut
 from revpanel.sources.store import append_log, read_log, read_snapshot, write_log
 
 
@@ -79,7 +80,10 @@ def panel_events(spark: SparkSession, sf_dir: str) -> Panel:
 
 
 def log_ship(spark: SparkSession, sf_dir: str, count: bool = False, last: int | None = None) -> RevisionLog:
-    """Region by order month, revised each ship month: quantity (or number) shipped by then, a running sum."""
+    """Region by order month, revised each ship month: quantity (or number) shipped by then, a running sum.
+
+    The sums of each ship month are written as a table: orders and items are read and joined once, however often the log is.
+    """
     from pyspark.sql import Window
 
     month = lambda c: (F.year(c) * 12 + F.month(c)).cast("int")
@@ -87,7 +91,7 @@ def log_ship(spark: SparkSession, sf_dir: str, count: bool = False, last: int |
     orders = _t(spark, sf_dir, "orders").join(places, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "region", month("o_orderdate").alias("time_value"))
     rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", month("l_shipdate").alias("version")).join(orders, "l_orderkey").where("version >= time_value")
     value = F.count("*").cast("double") if count else F.sum("l_quantity").cast("double")
-    step = rows.groupBy(F.col("region").alias("geo_value"), "time_value", "version").agg(value.alias("__n"))
+    step = cut(rows.groupBy(F.col("region").alias("geo_value"), "time_value", "version").agg(value.alias("__n")))
     w = Window.partitionBy("geo_value", "time_value").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
     df = step.select("geo_value", "time_value", "version", F.sum("__n").over(w).alias("lines" if count else "qty"))
     if last is not None:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from revpanel.plans.coverage import ORACLE, QUERIES
+from revpanel.sources.tables import log_ship
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,3 +51,10 @@ def test_geo_types_of_large_keys(spark, sql, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     got = {r["geos"]: (r["geo_type"], r["n"]) for r in QUERIES["geo_types"](spark, str(tmp_path)).collect()}
     assert got["five digits"] == ("county", len(keys))
+
+
+@pytest.mark.parametrize("count, last", [(False, None), (True, 2001 * 12)])
+def test_log_reads_its_tables_once(spark, count, last):
+    """What is done with the log reads a table of sums, not orders and items again."""
+    files = log_ship(spark, FOLDER, count, last).df.inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "orders" in f]
