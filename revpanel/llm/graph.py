@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +21,43 @@ def _digest(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member reachable from each of n members over the links (i, j)."""
+    lab = np.arange(n)
+    while True:
+        new = lab.copy()
+        np.minimum.at(new, i, lab[j])
+        np.minimum.at(new, j, new[i])
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+def _joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges (a, b) of one task as stars around the least nodes that these connect."""
+    parts = [pdf[["a", "b"]].to_numpy(np.int64) for pdf in batches]
+    nodes, at = np.unique(np.concatenate([np.empty((0, 2), np.int64), *parts]), return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = least_reached(len(nodes), at[:, 0], at[:, 1])
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pd.DataFrame({"a": nodes[root[far]], "b": nodes[far]})
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a long, b long) -> (node long, comp long): comp is the smallest node of the component.
 
-    Each round sends a node's larger neighbours, then its smaller ones, to its least neighbour.
+    First each task joins up its own edges, EDGES or so; where they are one task's, that is all. Then each round sends a node's larger neighbours, then its smaller ones, to its least neighbour.
     Minima are partial aggregates and are written out first, so that the joins that follow are
     between plain tables and a node with very many edges can be split over tasks.
     Few edges are written by few tasks. Nodes without an edge are not in the result; an empty edge table gives an empty result.
     """
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     now = cut(edges.where("a != b").select(lo.alias("a"), hi.alias("b")).distinct())
-    before = _digest(now)
+    tasks = now.count() // EDGES + 1
+    old, now = now, cut(now.coalesce(tasks).mapInPandas(_joined_up, "a long, b long"))
+    forget(old)
+    before = _digest(now) if tasks > 1 else (0, None)
     for _ in range(rounds):
         if not before[0]:
             break

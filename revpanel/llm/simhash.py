@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revpanel.llm.common import WordHasher, alnum_words, cursors, cut, forget, grouped_batches, lower_words, mapped, mix64, plain_words, rolling, shingle_hashes
-from revpanel.llm.graph import components
+from revpanel.llm.graph import components, least_reached
 
 #: Members of one bucket tile; larger buckets are dealt out over tiles.
 TILE = 256
@@ -155,19 +155,6 @@ def _words(blobs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), -1)
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member reachable from each of n members over the links (i, j)."""
-    lab = np.arange(n)
-    while True:
-        new = lab.copy()
-        np.minimum.at(new, i, lab[j])
-        np.minimum.at(new, j, new[i])
-        new = new[new]
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
 def _in_buckets(rows: DataFrame, max_bits: int, refs: np.ndarray | None) -> DataFrame:
     """(key, t1, t2, id, comp, fp) -> (a, b): comps that are linked, spanning what is connected in each bucket (key, t1, t2).
 
@@ -212,7 +199,7 @@ def _in_buckets(rows: DataFrame, max_bits: int, refs: np.ndarray | None) -> Data
                         i, j = np.meshgrid(np.arange(at, min(at + TILE, e)), np.arange(to, min(to + 2 * TILE, e)), indexing="ij")
                         look(i[i < j], j[i < j])
             # One row for each node that is not the least of its component, however many links it has.
-            root = _roots(len(names), np.concatenate(left), np.concatenate(right))
+            root = least_reached(len(names), np.concatenate(left), np.concatenate(right))
             at = np.flatnonzero(root != np.arange(len(names)))
             if len(at):
                 yield pd.DataFrame({"a": names[root[at]], "b": names[at]}).drop_duplicates()
@@ -226,69 +213,60 @@ def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
-    """(key): the buckets of (key, id, comp) whose members are not all connected."""
-    return placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-
-
 def linked(keys: DataFrame, items: DataFrame, max_bits: int, refs: np.ndarray | None = None) -> DataFrame:
     """keys (key long, id long), items (id long, fp binary), ids distinct -> (node long, comp long): components of links.
 
     Ids that share a key and whose fingerprints differ in ``max_bits`` or fewer bits are linked. Ids alike share many keys, so
-    they meet first by the FIRST keys of the least hashes of each. Then every bucket is looked at whose members
-    are not all connected by that, and of it the pairs that are not. Buckets of up to TILE members are looked at whole. A
-    larger one is dealt over tiles, with one member as the lead in all of them; only where its members are then not all
-    connected are those connected with the lead set against the others, and the others against each other, in tiles whose
-    number is the root of that of whole tiles, AGAINST at most: a bucket's rows are 2 * AGAINST times its members at most, its
-    pairs are looked at in the tasks. Nodes without links are not in the result.
+    they meet first by the FIRST keys of the least hashes of each; a bucket of over TILE members is then dealt over tiles, with one
+    member as the lead in all of them. After that a bucket is looked at, once, where its members are not all connected: whole, if it
+    has up to TILE members. In a larger one those connected with the lead are set against the others, and the others
+    against each other, in tiles whose number is the root of that of whole tiles, AGAINST at most: a bucket's rows are 2 * AGAINST
+    times its members at most, its pairs are looked at in the tasks. What is connected already is one node for the links that
+    are found then. Nodes without links are not in the result.
     """
     tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    few = lambda n: F.least(F.ceil(F.sqrt(F.col(n) / TILE)), F.lit(AGAINST)).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    few = lambda n: F.greatest(F.lit(1), F.least(F.ceil(F.sqrt(F.col(n) / TILE)), F.lit(AGAINST))).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("key", "id"), F.col(c)).cast("int")
     prints = items.select("id", "fp")
-    look = lambda rows: _in_buckets(rows.select("key", "t1", "t2", "id", "comp").join(prints, "id"), max_bits, refs)
-    whole = lambda rows: rows.withColumn("t1", F.col("t")).withColumn("t2", F.lit(0))
+    columns = ["key", "t1", "t2", "id", "comp", "fp"]
+    look = lambda rows: _in_buckets(rows.select(*columns), max_bits, refs)
     # Partial counts, so a hot bucket is one row per task.
-    lead = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))["id"]
+    lead = F.min_by("id", F.xxhash64("key", "id")).alias("lead")
     # Buckets of the same members (128 bits of them) are one: runs of one passage, say, bring the same texts together.
     same = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"s{k}") for k in (1, 2)]
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), lead.alias("lead"), *same).where("n > 1")
-    sizes = sizes.groupBy("n", "s1", "s2").agg(F.min(F.struct("key", "lead")).alias("b"))
-    sizes = cut(sizes.select("b.key", "n", "b.lead", tiles("n").alias("c")))
-    members = cut(keys.join(sizes.select("key", "c"), "key").select("key", "id", "c", own("c").alias("t")))
-    large = sizes.where("c > 1")
-    leads = large.select("key", F.col("lead").alias("id"), F.explode(F.expr("sequence(0, c - 1)")).alias("t"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), lead, *same).where("n > 1")
+    sizes = sizes.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.min_by("lead", "key").alias("lead"))
+    sizes = cut(sizes.select("key", "lead", tiles("n").alias("c")))
+    members = cut(keys.join(sizes, "key").select("key", "id", "c", (F.col("id") == F.col("lead")).alias("leads"), own("c").alias("t")))
     # The first keys, each id by itself.
     drawn = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("key").alias("h"), "key", "t"))), 1, FIRST)
     drawn = members.groupBy("id").agg(F.explode(drawn).alias("k")).select("k.key", "id", "k.t")
-    found = cut(look(whole(drawn.union(leads).withColumn("comp", F.col("id")))).distinct())
-    comp = components(found)
-    # All keys: pairs of different components only.
-    placed = cut(_labelled(members.select("key", "id", "t"), comp))
-    mixed = cut(_mixed(placed))
-    rows = placed.select("key", "id", "t", "comp").union(_labelled(leads, comp).select("key", "id", "t", "comp")).join(mixed, "key")
-    first, found = found, cut(found.union(look(whole(rows))).distinct())
-    comp = components(found)
-    forget(first, placed, mixed)
-    if large.isEmpty():
-        forget(sizes, members, found)
-        return comp
-    # The rest of the large buckets.
-    placed = cut(_labelled(members.where("c > 1").select("key", "id"), comp))
-    major = _labelled(large.select("key", F.col("lead").alias("id")), comp).select("key", F.col("comp").alias("major"))
-    mixed = cut(_mixed(placed).join(major, "key"))
-    split = placed.join(mixed, "key").withColumn("main", F.col("comp") == F.col("major"))
-    counts = cut(split.groupBy("key").agg(F.count_if("main").alias("n1"), F.count_if(~F.col("main")).alias("n2")).select("key", few("n1").alias("c1"), few("n2").alias("c2")))
-    split = cut(split.join(counts, "key").select("key", "id", "comp", "main", "c1", "c2"))
-    ones = split.where("main").select("key", "id", "comp", own("c1").alias("t1"), F.explode(F.expr("sequence(0, c2 - 1)")).alias("t2"))
-    others = split.where("not main").withColumn("t", own("c2"))
-    against = others.select("key", "id", "comp", F.explode(F.expr("sequence(0, c1 - 1)")).alias("t1"), F.col("t").alias("t2"))
-    between = others.select("key", "id", "comp", "t", F.explode(F.expr("sequence(0, c2 - 1)")).alias("u")).where("t != u")
-    between = between.select("key", "id", "comp", (-1 - F.least("t", "u")).alias("t1"), F.greatest("t", "u").alias("t2"))
-    rows = ones.union(against).union(between).select("key", "t1", "t2", "id", "comp")
-    out = components(cut(found.union(look(rows)).distinct()))
-    forget(sizes, members, mixed, counts, placed, split, found)
-    return out
+    leads = sizes.where("c > 1").select("key", F.col("lead").alias("id"), F.explode(F.expr("sequence(0, c - 1)")).alias("t"))
+    met = drawn.union(leads).join(prints, "id")
+    comp = components(look(met.select("key", F.col("t").alias("t1"), F.lit(0).alias("t2"), "id", F.col("id").alias("comp"), "fp")))
+    # All keys: buckets whose members are not all connected, and of these the pairs of different components.
+    placed = cut(_labelled(members.select("key", "id", "c", "leads"), comp))
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max("leads").alias("main"), F.max("c").alias("c"))
+    of = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+    mixed = parts.groupBy("key").agg(F.max(F.when(F.col("main"), F.col("comp"))).alias("major"), of(F.col("main")).alias("n1"), of(~F.col("main")).alias("n2")).where("n2 > 0")
+    mixed = mixed.select("key", "major", few("n1").alias("c1"), few("n2").alias("c2"))
+    rows = cut(placed.join(mixed, "key").join(prints, "id").select("key", "id", "comp", "fp", "c", "c1", "c2", (F.col("comp") == F.col("major")).alias("main")))
+    forget(sizes, members, placed)
+    found = look(rows.where("c = 1").withColumns({"t1": F.lit(0), "t2": F.lit(0)}))
+    large = rows.where("c > 1")
+    if not large.isEmpty():
+        ones = large.where("main").withColumns({"t1": own("c1"), "t2": F.explode(F.expr("sequence(0, c2 - 1)"))})
+        others = large.where("not main").withColumn("t", own("c2"))
+        against = others.withColumns({"t1": F.explode(F.expr("sequence(0, c1 - 1)")), "t2": F.col("t")})
+        between = others.withColumn("u", F.explode(F.expr("sequence(0, c2 - 1)"))).where("t != u")
+        between = between.withColumns({"t1": -1 - F.least("t", "u"), "t2": F.greatest("t", "u")})
+        found = found.union(look(ones.select(*columns).union(against.select(*columns)).union(between.select(*columns))))
+    more = components(found)
+    forget(rows)
+    # A component of the first links and what it is now part of; nodes that had none.
+    joined = more.select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    out = comp.join(joined, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp"))
+    return out.union(more.join(comp.select("node"), "node", "left_anti"))
 
 
 def simhash_classes(docs: DataFrame, shingle: int = 3, max_bits: int = 3, lower: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
